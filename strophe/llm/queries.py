@@ -4,15 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
-from .common import table
+from . import chat, mixing, quality, sharding
+from .common import materialise, table
 from .sql import ORACLE
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation -1 holds control strings; the formatted table is written and read back."""
+    probe = spark.sql("SELECT -1L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
+    turns = chat.turn_rows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")).unionByName(probe)
+    return chat.digests(materialise(chat.formatted(turns), "chat"))
+
+
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), 8)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules,)}
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_rows(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_kd_shards, op4_quality_rules, op6_mix_sources)}
 
 __all__ = ["ORACLE", "QUERIES"]
