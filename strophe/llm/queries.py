@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality, sharding
+from . import chat, mixing, quality, sharding, simhash
 from .common import materialise, table
 from .sql import ORACLE
 
@@ -28,6 +28,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_kd_shards, op4_quality_rules, op6_mix_sources)}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_rows(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_kd_shards, op4_quality_rules, op6_mix_sources, op7_simhash)}
 
 __all__ = ["ORACLE", "QUERIES"]
