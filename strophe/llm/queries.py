@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, mixing, quality, sharding, simhash
+from . import chat, mixing, quality, sharding, simhash, substrings
 from .common import materialise, table
 from .sql import ORACLE
 
@@ -32,6 +33,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_kd_shards, op4_quality_rules, op6_mix_sources, op7_simhash)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_kd_shards, op4_quality_rules, op6_mix_sources, op7_simhash, op9_substring_dedup)}
 
 __all__ = ["ORACLE", "QUERIES"]
