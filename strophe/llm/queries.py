@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality, sharding, simhash, substrings
+from . import attribution, chat, decontaminate, language, mixing, quality, sharding, simhash, substrings, tokens
 from .common import materialise, table
 from .sql import ORACLE
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_index(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation -1 holds control strings; the formatted table is written and read back."""
     probe = spark.sql("SELECT -1L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
@@ -25,6 +36,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rows(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_rows(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_rows(table(spark, sf_dir, "documents"))
 
@@ -33,12 +48,26 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_rows(table(spark, sf_dir, "documents"))
 
 
+def op8_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counts = attribution.section_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return counts.withColumn("n_tokens", F.col("n_tokens").cast("long"))  # whole under the majority rule
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.col("n_bytes") - F.octet_length("kept")
     return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_kd_shards, op4_quality_rules, op6_mix_sources, op7_simhash, op9_substring_dedup)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_orc, op2_chat_format, op3_kd_shards, op4_quality_rules, op5_language_id, op6_mix_sources, op7_simhash, op8_token_attribution, op9_substring_dedup, op10_decontaminate)
+}
 
 __all__ = ["ORACLE", "QUERIES"]
