@@ -70,7 +70,7 @@ def split_long(sentenced: DataFrame, key: str, longest: float, order: str = "pos
     span = Window.partitionBy(key, "sentence")
     marked = sentenced.withColumn("__long", F.max("end_ms").over(span) - F.min("start_ms").over(span) > longest)
     rows = marked.filter("__long").groupBy(key, "sentence").agg(F.array_sort(F.collect_list(F.struct(order, "start_ms", "end_ms"))).alias("ws"))
-    flat = rows.select(key, "sentence", *(F.transform("ws", lambda w, c=c: w[c]).alias(c) for c in (order, "start_ms", "end_ms")))
+    flat = rows.select(key, "sentence", *(F.col(f"ws.{c}").alias(c) for c in (order, "start_ms", "end_ms")))
 
     def cut(batches):
         for pdf in batches:

@@ -1,6 +1,6 @@
 """All registered queries, by the area they are from."""
 
-from . import text_queries  # noqa: F401
+from . import series_queries, text_queries, timeline_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

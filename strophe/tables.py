@@ -35,22 +35,26 @@ TALK_WORDS = r"""talk_words AS (
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(song, n, role, bars, energy, shape, silent, rest, clip): one section per order line."""
+    """(song, n, role, bars, energy, shape, silent, rest, clip): one section per order line.
+
+    Line numbers repeat within an order, so n counts the lines in an order that is the same in both engines.
+    """
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"))
     q = F.col("l_quantity").cast("int")
     role = F.element_at(F.array(*map(F.lit, ("intro", "build", "drop", "breakdown", "speech_bed", "outro"))), (F.pmod("l_partkey", F.lit(6)) + 1).cast("int"))
     shape = F.element_at(F.array(*map(F.lit, ("flat", "rise", "fall"))), (F.pmod("l_suppkey", F.lit(3)) + 1).cast("int"))
-    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", q.alias("q"), role.alias("role"), shape.alias("shape"))
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", n.alias("n"), "l_partkey", "l_suppkey", q.alias("q"), role.alias("role"), shape.alias("shape"))
     return lines.select(
-        F.col("l_orderkey").alias("song"), F.col("l_linenumber").alias("n"), "role", (F.pmod("q", F.lit(16)) + 1).cast("int").alias("bars"), (F.col("q") / 50.0).alias("energy"), "shape",
+        F.col("l_orderkey").alias("song"), "n", "role", (F.pmod("q", F.lit(16)) + 1).cast("int").alias("bars"), (F.col("q") / 50.0).alias("energy"), "shape",
         ((F.col("role") != "speech_bed") & (F.pmod("l_suppkey", F.lit(5)) == 0)).alias("silent"), ((F.col("role") == "speech_bed") & (F.pmod("l_suppkey", F.lit(2)) == 0)).alias("rest"),
         F.when(F.col("role") == "speech_bed", F.concat(F.lit("c"), F.col("l_partkey"))).alias("clip"),
     )
 
 
 SECTIONS = """sections AS (
-  SELECT l_orderkey AS song, l_linenumber AS n, role, (q % 16 + 1)::INT AS bars, q / 50.0::DOUBLE AS energy, ['flat', 'rise', 'fall'][l_suppkey % 3 + 1] AS shape,
+  SELECT l_orderkey AS song, n::INT AS n, role, (q % 16 + 1)::INT AS bars, q / 50.0::DOUBLE AS energy, ['flat', 'rise', 'fall'][l_suppkey % 3 + 1] AS shape,
     role <> 'speech_bed' AND l_suppkey % 5 = 0 AS silent, role = 'speech_bed' AND l_suppkey % 2 = 0 AS rest, CASE WHEN role = 'speech_bed' THEN 'c' || l_partkey END AS clip
-  FROM (SELECT *, l_quantity::INT AS q, ['intro', 'build', 'drop', 'breakdown', 'speech_bed', 'outro'][l_partkey % 6 + 1] AS role FROM lineitem))"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS n, l_quantity::INT AS q, ['intro', 'build', 'drop', 'breakdown', 'speech_bed', 'outro'][l_partkey % 6 + 1] AS role FROM lineitem))"""
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
