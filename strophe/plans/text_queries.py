@@ -128,12 +128,12 @@ _LCS = """CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE list_reduce({a}, la
    greatest(up[j], coalesce(acc[-1], 0), CASE WHEN {b}[j] = x THEN coalesce(CASE WHEN j > 1 THEN up[j - 1] END, 0) + 1 ELSE 0 END)), []::BIGINT[]), list_transform({b}, lambda z: 0::BIGINT))[-1] END"""
 
 
-@query(rf"""WITH b AS (SELECT item_id, string_split(array_to_string(flatten(list_transform(list_filter(string_split_regex(text, '\s+'), lambda v: v <> ''), lambda w: {_TOKENS})), ' '), ' ')[:24] AS ws FROM benchmark),
+@query(rf"""WITH b AS (SELECT item_id, string_split(array_to_string(flatten(list_transform(list_filter(string_split_regex(text, '\s+'), lambda v: v <> ''), lambda w: {_TOKENS})), ' '), ' ') AS ws FROM benchmark),
   p AS (SELECT x.item_id, y.item_id AS other, x.ws AS a, y.ws AS b FROM b x JOIN b y ON y.item_id > x.item_id AND y.item_id <= x.item_id + 6)
   SELECT item_id, other, round(2.0 * ({_LCS.format(a='a', b='b')}) / (len(a) + len(b)), 6) AS similarity FROM p""")
 def t13_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Word sequences of neighbouring items, by equality on a bucket and its neighbour instead of all pairs."""
-    words = load(spark, d, "benchmark").select("item_id", F.slice(F.split(T.norm(F.col("text")), " "), 1, 24).alias("ws"))
+    """Each item with the six after it, as word sequences."""
+    words = load(spark, d, "benchmark").select("item_id", F.split(T.norm(F.col("text")), " ").alias("ws"))
     near = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda k: F.col("item_id") + k)).alias("other"), "item_id", F.col("ws").alias("a"))
     pairs = near.join(words.select(F.col("item_id").alias("other"), F.col("ws").alias("b")), "other")
     return pairs.select("item_id", "other", F.round(T.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
@@ -162,9 +162,9 @@ def x5_clean_block(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", T.clean_block(text).alias("block"))
 
 
-@query(r"""SELECT doc_id, coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(substr(text, 1, 60)), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 32), '-+$', ''), ''), 'input') AS slug FROM documents""")
+@query(r"""SELECT doc_id, coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 32), '-+$', ''), ''), 'input') AS slug FROM documents""")
 def x11_slug(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"))
+    return load(spark, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query(r"""SELECT page_id, regexp_matches(url, '(?i)^https?://') AS is_url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) || regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) AS url_key FROM pages""")
