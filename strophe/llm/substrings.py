@@ -7,7 +7,9 @@ least hash among its ``GRAM``-byte substrings, and neighbouring starts share an
 maximal run of starts with one anchor: the text from the first start to ``LENGTH`` bytes after the last.
 Equal strings have equal anchors, so all their entries meet in one group, and nothing is lost.
 
-* Each task sorts its entries by (anchor, text).  Entries with equal text are settled in the run: all but the
+* Documents are dealt into buckets by id.  Each bucket first sends only its anchors (32 bits of each, by
+  part) and gets back a bit for each: does another document have it?  Only entries of such anchors go on.
+* Each bucket sorts its entries by (anchor, text).  Entries with equal text are settled in the run: all but the
   smallest id go; so a passage of any number of copies leaves each run once.  Runs are front-coded (length of
   the prefix shared with the entry before, then the rest) and dealt out by anchor.
 * Each group merges its runs with a loser tree whose nodes keep the prefix length shared with the last winner:
@@ -31,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, n_bytes, total_bytes
+from .common import buckets_for, materialise, n_bytes, total_bytes
 
 LENGTH = 50
 GRAM = 18
@@ -39,6 +41,7 @@ GRAMS = LENGTH - GRAM + 1
 MOST_STARTS = 512
 PIECE = 2 << 20
 PART_BYTES = 24 << 20
+SHORT_BYTES = 64 << 20
 BUCKET_BYTES = 12 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -130,64 +133,90 @@ def unpacked(blob: bytes, parts: int) -> tuple[int, list[bytes]]:
     return int(head[0]), [data[e - n : e] for e, n in zip(ends, head[1:], strict=True)]
 
 
-def sorted_run(ids: np.ndarray, texts: list[bytes], buckets: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """The blobs (part, bytes) of one run: front-coded entries by part, and the spans settled inside."""
-    order = np.argsort(ids, kind="stable")
-    texts = [texts[i] for i in order]
-    docs = np.empty(len(ids), dtype=DOC)
-    docs["id"], docs["bucket"] = ids[order], buckets[order]
-    docs["text"] = [xxhash.xxh64_intdigest(t) for t in texts]
-    joined = b"".join(texts)
-    buffer = np.frombuffer(joined, dtype=np.uint8)
-    anchor, doc, at, starts, place = entries_of(buffer, np.cumsum([len(t) for t in texts], dtype=np.int64))
-    by = np.argsort(anchor, kind="stable")
-    anchor, doc, at, starts, place = (x[by] for x in (anchor, doc, at, starts, place))
-    size = starts + (LENGTH - 1)
-    shared = np.zeros(len(anchor), dtype=np.uint16)
-    keep = np.ones(len(anchor), dtype=bool)
-    twin = np.zeros(len(anchor) + 1, dtype=bool)
-    twin[1:-1] = anchor[1:] == anchor[:-1]
-    group_starts = np.flatnonzero(~twin[:-1] & twin[1:]).tolist()
-    group_stops = np.flatnonzero(twin[:-1] & ~twin[1:]).tolist()
-    rank = np.arange(len(anchor))
-    ids_list = docs["id"].tolist()
-    for lo, hi in zip(group_starts, group_stops, strict=True):
-        strings = sorted((joined[p : p + n], d, i) for i, p, n, d in zip(range(lo, hi + 1), place[lo : hi + 1].tolist(), size[lo : hi + 1].tolist(), doc[lo : hi + 1].tolist(), strict=True))
-        last, owner, prefix, slot = b"", None, 0, lo
-        for s, d, i in strings:
-            if s == last and owner is not None:
-                if ids_list[d] > owner:
+class Bucket:
+    """The entries of the documents of a bucket as one sorted run, those with equal text settled.
+
+    ``spans`` are the settled ones; the arrays hold what has to meet other runs.
+    """
+
+    def __init__(self, ids: np.ndarray, texts: list[bytes], bucket: int) -> None:
+        order = np.argsort(ids, kind="stable")
+        texts = [texts[i] for i in order]
+        self.docs = docs = np.empty(len(ids), dtype=DOC)
+        docs["id"], docs["bucket"] = ids[order], bucket
+        docs["text"] = [xxhash.xxh64_intdigest(t) for t in texts]
+        joined = b"".join(texts)
+        self.buffer = np.frombuffer(joined, dtype=np.uint8)
+        anchor, doc, at, starts, place = entries_of(self.buffer, np.cumsum([len(t) for t in texts], dtype=np.int64))
+        by = np.argsort(anchor, kind="stable")
+        anchor, doc, at, starts, place = (x[by] for x in (anchor, doc, at, starts, place))
+        size = starts + (LENGTH - 1)
+        shared = np.zeros(len(anchor), dtype=np.uint16)
+        keep = np.ones(len(anchor), dtype=bool)
+        rank = np.arange(len(anchor))
+        twin = np.zeros(len(anchor) + 1, dtype=bool)
+        twin[1:-1] = anchor[1:] == anchor[:-1]
+        owners = docs["id"].tolist()
+        for lo, hi in zip(np.flatnonzero(~twin[:-1] & twin[1:]).tolist(), np.flatnonzero(twin[:-1] & ~twin[1:]).tolist(), strict=True):
+            own = slice(lo, hi + 1)
+            strings = sorted((joined[p : p + n], d, i) for i, p, n, d in zip(range(lo, hi + 1), place[own].tolist(), size[own].tolist(), doc[own].tolist(), strict=True))
+            last, owner = b"", None
+            for slot, (s, d, i) in enumerate(strings, lo):
+                rank[slot] = i
+                if s == last and owners[d] != owner:
                     keep[i] = False
-                    rank[slot], slot = i, slot + 1
                     continue
-                prefix = len(s)
-            else:
-                prefix = shared_prefix(last, s) if last else 0
-                owner = ids_list[d]
-            last = s
-            shared[i] = prefix
-            rank[slot], slot = i, slot + 1
-    anchor, doc, at, starts, place, size, shared, keep = (x[rank] for x in (anchor, doc, at, starts, place, size, shared, keep))
-    gone = ~keep
-    if gone.any():
+                shared[i] = shared_prefix(last, s)
+                if s != last:
+                    last, owner = s, owners[d]
+        anchor, doc, at, starts, place, size, shared, keep = (x[rank] for x in (anchor, doc, at, starts, place, size, shared, keep))
+        gone = ~keep
         spans = np.empty(int(gone.sum()), dtype=SPAN)
-        spans["id"], spans["text"], spans["start"] = docs["id"][doc[gone]], docs["text"][doc[gone]], at[gone]
-        spans["stop"] = at[gone] + size[gone]
-        where = docs["bucket"][doc[gone]]
-        for bucket, own in by_bucket(spans, where):
-            yield parts + bucket % parts, packed(SPANS, np.int32(bucket).tobytes(), own.tobytes(), b"", b"")
-    anchor, doc, at, starts, place, size, shared = (x[keep] for x in (anchor, doc, at, starts, place, size, shared))
-    part = ((anchor * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)).astype(np.int64) % parts
-    by = np.argsort(part, kind="stable")
-    ends = np.searchsorted(part[by], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(ends)):
-        i = by[ends[p] : ends[p + 1]]
-        used, local = np.unique(doc[i], return_inverse=True)
-        entries = np.empty(len(i), dtype=ENTRY)
-        entries["anchor"], entries["doc"], entries["at"], entries["starts"], entries["shared"] = anchor[i], local, at[i], starts[i], shared[i]
-        n = size[i] - shared[i]
-        index = np.arange(n.sum()) + np.repeat(place[i] + shared[i] - (np.cumsum(n) - n), n)
-        yield int(p), packed(RUN, docs[used].tobytes(), entries.tobytes(), buffer[index].tobytes(), b"")
+        spans["id"], spans["text"], spans["start"], spans["stop"] = docs["id"][doc[gone]], docs["text"][doc[gone]], at[gone], at[gone] + size[gone]
+        self.spans = merged_spans(spans)
+        self.anchor, self.doc, self.at, self.starts, self.place, self.size, self.shared = (x[keep] for x in (anchor, doc, at, starts, place, size, shared))
+
+    def short_anchors(self, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By part: 32 bits of each anchor, sorted, and whether two documents here have it."""
+        part, short = short_of(self.anchor, parts)
+        key = part << np.int64(32) | short
+        order = np.argsort(key, kind="stable")
+        key, doc = key[order], self.doc[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
+        if not len(first):
+            return
+        both = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first)
+        key = key[first]
+        ends = np.searchsorted(key >> 32, np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(ends)):
+            own = slice(ends[p], ends[p + 1])
+            yield int(p), (key[own] & 0xFFFFFFFF).astype(np.uint32), both[own]
+
+    def blobs(self, wanted: dict[int, np.ndarray], short_parts: int, parts: int) -> Iterator[tuple[int, bytes]]:
+        """The settled spans, and the front-coded entries of wanted anchors by part."""
+        if len(self.spans):
+            bucket = int(self.docs["bucket"][0])
+            yield parts + bucket, packed(SPANS, np.int32(bucket).tobytes(), self.spans.tobytes(), b"")
+        key = [np.int64(p) << 32 | short.astype(np.int64) for p, short in wanted.items()]
+        part, short = short_of(self.anchor, short_parts)
+        mine = np.flatnonzero(np.isin(part << np.int64(32) | short, np.concatenate(key))) if key else np.empty(0, dtype=np.int64)
+        part = ((self.anchor[mine] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)).astype(np.int64) % parts
+        by = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[by], np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(ends)):
+            i = mine[by[ends[p] : ends[p + 1]]]
+            used, local = np.unique(self.doc[i], return_inverse=True)
+            entries = np.empty(len(i), dtype=ENTRY)
+            entries["anchor"], entries["doc"], entries["at"], entries["starts"], entries["shared"] = self.anchor[i], local, self.at[i], self.starts[i], self.shared[i]
+            n = self.size[i] - self.shared[i]
+            index = np.arange(n.sum()) + np.repeat(self.place[i] + self.shared[i] - (np.cumsum(n) - n), n)
+            yield int(p), packed(RUN, self.docs[used].tobytes(), entries.tobytes(), self.buffer[index].tobytes())
+
+
+def short_of(anchor: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Part, and 32 other bits, of anchors."""
+    mixed = anchor * np.uint64(0x9FB21C651E98DF25)
+    return (mixed >> np.uint64(40)).astype(np.int64) % parts, (mixed & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def by_bucket(spans: np.ndarray, buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -301,7 +330,7 @@ def settled(blobs: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
     """Merge the runs of one part: spans by document bucket."""
     runs: list[Run] = []
     for blob in blobs:
-        kind, (a, b, c, _) = unpacked(blob, 4)
+        kind, (a, b, c) = unpacked(blob, 3)
         if kind == SPANS:
             yield int(np.frombuffer(a, dtype=np.int32)[0]), np.frombuffer(b, dtype=SPAN)
         else:
@@ -330,23 +359,63 @@ def settled(blobs: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
         yield from by_bucket(spans, docs["bucket"])
 
 
-def repeated_spans(docs: DataFrame, parts: int) -> DataFrame:
-    """(bucket, blob) of the spans to remove, from (bucket, doc_id, text)."""
+def _bucket_of(batches: Iterator[pa.RecordBatch]) -> Bucket | None:
+    ids, texts, bucket = [], [], 0
+    for batch in batches:
+        if batch.num_rows:
+            bucket = batch.column("bucket")[0].as_py()
+            ids.append(batch.column("doc_id").to_numpy(zero_copy_only=False))
+            texts += [t.encode() for t in batch.column("text").to_pylist()]
+    return Bucket(np.concatenate(ids), texts, bucket) if ids else None
+
+
+def _rows(names: tuple[str, ...], *columns: list) -> pa.RecordBatch:
+    kinds = {"blob": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, type=kinds.get(n, pa.int32())) for n, c in zip(names, columns, strict=True)], names=list(names))
+
+
+def shared_anchors(dealt: DataFrame, parts: int) -> DataFrame:
+    """(bucket, part, blob): the short anchors of each bucket that another document has too."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if bucket := _bucket_of(batches):
+            made = [(p, packed(int(bucket.docs["bucket"][0]), short.tobytes(), np.packbits(both).tobytes())) for p, short, both in bucket.short_anchors(parts)]
+            yield _rows(("part", "blob"), [p for p, _ in made], [b for _, b in made])
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, found = 0, []
         for batch in batches:
-            ids = batch.column(1)
-            batch = batch.filter(ids.is_valid())
-            texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
-            made = [*sorted_run(batch.column(1).to_numpy(zero_copy_only=False), texts, batch.column(0).to_numpy(zero_copy_only=False), parts)]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], type=pa.int32()), pa.array([b for _, b in made], type=pa.binary())], names=["part", "blob"])
+            for p, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                bucket, (short, both) = unpacked(blob, 2)
+                short = np.frombuffer(short, dtype=np.uint32)
+                part = p
+                found.append((bucket, short, np.unpackbits(np.frombuffer(both, dtype=np.uint8))[: len(short)].astype(bool)))
+        every = np.sort(np.concatenate([x for _, x, _ in found])) if found else np.empty(0, dtype=np.uint32)
+        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        rows = [(b, x[both | np.isin(x, twice, assume_unique=True)]) for b, x, both in found]
+        rows = [(b, x) for b, x in rows if len(x)]
+        yield _rows(("bucket", "part", "blob"), [b for b, _ in rows], [part] * len(rows), [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for _, x in rows])
+
+    return dealt.groupBy("bucket").applyInArrow(send, "part int, blob binary").groupBy("part").applyInArrow(meet, "bucket int, part int, blob binary")
+
+
+def repeated_spans(dealt: DataFrame, shared: DataFrame, short_parts: int, parts: int) -> DataFrame:
+    """(bucket, blob) of the spans to remove."""
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        bucket = _bucket_of(iter(left.to_batches()))
+        made = []
+        if bucket:
+            wanted = {p: np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint32) for p, b in zip(right.column("part").to_pylist(), right.column("blob").to_pylist(), strict=True)}
+            made = [*bucket.blobs(wanted, short_parts, parts)]
+        return pa.Table.from_batches([_rows(("part", "blob"), [p for p, _ in made], [b for _, b in made])])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [*settled([b for batch in batches for b in batch.column("blob").to_pylist()])]
-        blobs = [zstandard.ZstdCompressor(level=1).compress(s.tobytes()) for _, s in found]
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], type=pa.int32()), pa.array(blobs, type=pa.binary())], names=["bucket", "blob"])
+        yield _rows(("bucket", "blob"), [b for b, _ in found], [zstandard.ZstdCompressor(level=1).compress(s.tobytes()) for _, s in found])
 
-    return docs.mapInArrow(runs, "part int, blob binary").groupBy("part").applyInArrow(reduce, "bucket int, blob binary")
+    sent = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(send, "part int, blob binary")
+    return sent.groupBy("part").applyInArrow(reduce, "bucket int, blob binary")
 
 
 SCHEMA = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary"
@@ -355,10 +424,11 @@ SCHEMA = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,stop:bi
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Per row: id, length in bytes, the spans removed and the bytes that stay."""
     total = total_bytes(docs)
-    parts, buckets = buckets_for(4 * total, PART_BYTES, 8), buckets_for(total, BUCKET_BYTES, 8)
+    short_parts, parts, buckets = buckets_for(total, SHORT_BYTES, 4), buckets_for(total, PART_BYTES, 8), buckets_for(total, BUCKET_BYTES, 8)
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    # rows without an id or of no more than a few bytes still come back: only the spans side leaves them out
-    spans = repeated_spans(dealt.filter(n_bytes(F.col("text")) >= LENGTH), parts)
+    long_enough = dealt.filter((n_bytes(F.col("text")) >= LENGTH) & F.col("doc_id").isNotNull())
+    shared = materialise(shared_anchors(long_enough, short_parts), "anchors")
+    spans = materialise(repeated_spans(long_enough, shared, short_parts, parts), "spans")
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         raw = b"".join(zstandard.ZstdDecompressor().decompress(b) for b in right.column("blob").to_pylist())
