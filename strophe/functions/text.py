@@ -129,7 +129,7 @@ def clean_quote(text: Column) -> Column:
 
 
 #: Private characters: a link inside a text being put together, and parentheses that stay.
-LINK, KEPT_OPEN, KEPT_CLOSE = "", "", ""
+LINK, KEPT_OPEN, KEPT_CLOSE = "\ue000", "\ue001", "\ue002"
 
 
 def drop_citations(text: Column, depth: int = 4) -> Column:
