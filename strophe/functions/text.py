@@ -129,19 +129,22 @@ def clean_quote(text: Column) -> Column:
 
 
 #: Private characters: a link inside a text being put together, and parentheses that stay.
-LINK, KEPT_OPEN, KEPT_CLOSE = "\ue000", "\ue001", "\ue002"
+LINK, KEPT_OPEN, KEPT_CLOSE, NEW_OPEN, NEW_CLOSE = "\ue000", "\ue001", "\ue002", "\ue005", "\ue006"
 
 
-def drop_citations(text: Column, depth: int = 4) -> Column:
+def drop_citations(text: Column, depth: int = 3) -> Column:
     """Drop groups that cite, innermost first, to a nesting of ``depth``; spoken parentheses stay, spoken brackets open up.
 
-    A group cites if it holds a link or a digit, starts with "see", or is a bracketed sentence.
+    A group cites if it holds a link or a digit, starts with "see", or is a bracketed sentence.  Each round drops until
+    no innermost group cites, then settles the innermost ones; what they were in waits for the next round.
     """
     cites = rf"(?:[^()\[\]]*[{LINK}\d][^()\[\]]*|\s*[sS][eE][eE]\b[^()\[\]]*)"
     for _ in range(depth):
-        text = F.regexp_replace(text, rf"\({cites}\)|\[{cites}\]|\[[^()\[\]]*[.!?]\s*\]", "")
-        text = F.regexp_replace(text, r"\(([^()\[\]]*)\)", f"{KEPT_OPEN}$1{KEPT_CLOSE}")
-        text = F.regexp_replace(text, r"\[([^()\[\]]*)\]", "$1")
+        for _ in range(depth):
+            text = F.regexp_replace(text, rf"\({cites}\)|\[{cites}\]|\[[^()\[\]]*[.!?]\s*\]", "")
+        text = F.regexp_replace(text, r"\(([^()\[\]]*)\)", f"{NEW_OPEN}$1{NEW_CLOSE}")
+        text = F.regexp_replace(text, rf"\[([^()\[\]{NEW_OPEN}{NEW_CLOSE}]*)\]", "$1")
+        text = F.translate(text, NEW_OPEN + NEW_CLOSE, KEPT_OPEN + KEPT_CLOSE)
     return F.translate(text, KEPT_OPEN + KEPT_CLOSE, "()")
 
 

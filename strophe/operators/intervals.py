@@ -38,7 +38,7 @@ def gaps(df: DataFrame, keys: list[str], start: str, end: str, total: DataFrame,
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], width: float) -> DataFrame:
-    """Pairs whose intervals overlap by more than a point, by equality of key and bucket instead of a range condition alone.
+    """Pairs whose intervals share more than an end point, by equality of key and bucket instead of a range condition alone.
 
     Both sides are copied to the buckets of ``width`` that they touch; a pair is kept in the first bucket it shares.
     Choose ``width`` near the longer typical interval: copies stay few and buckets small.

@@ -150,15 +150,17 @@ _CITE = r"(?:[^()\[\]]*[\x{e000}\d][^()\[\]]*|\s*[sS][eE][eE]\b[^()\[\]]*)"
 
 
 def _drop(x: str) -> str:
-    for _ in range(4):
-        x = rf"regexp_replace({x}, '\({_CITE}\)|\[{_CITE}\]|\[[^()\[\]]*[.!?]\s*\]', '', 'g')"
-        x = rf"regexp_replace(regexp_replace({x}, '\(([^()\[\]]*)\)', chr(57345) || '\1' || chr(57346), 'g'), '\[([^()\[\]]*)\]', '\1', 'g')"
+    for _ in range(3):
+        for _ in range(3):
+            x = rf"regexp_replace({x}, '\({_CITE}\)|\[{_CITE}\]|\[[^()\[\]]*[.!?]\s*\]', '', 'g')"
+        x = rf"regexp_replace(regexp_replace({x}, '\(([^()\[\]]*)\)', chr(57349) || '\1' || chr(57350), 'g'), '\[([^()\[\]\x{{e005}}\x{{e006}}]*)\]', '\1', 'g')"
+        x = f"translate({x}, chr(57349) || chr(57350), chr(57345) || chr(57346))"
     return rf"regexp_replace(trim(regexp_replace(translate({x}, chr(57345) || chr(57346), '()'), '\s+', ' ', 'g')), '\s+([.,;:!?])', '\1', 'g')"
 
 
-@query(f"SELECT doc_id, {_drop('t')} AS block FROM (SELECT doc_id, text || ' (see [a], p. 3) (said) [Cited (1982).] [kept] .' AS t FROM documents)")
+@query(f"SELECT doc_id, {_drop('t')} AS block FROM (SELECT doc_id, text || ' (see [a], p. 3) (said) [Cited (1982).] [kept] [j (k, 1982), 9] [x (said) 9] .' AS t FROM documents)")
 def x5_clean_block(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat("text", F.lit(" (see [a], p. 3) (said) [Cited (1982).] [kept] ."))
+    text = F.concat("text", F.lit(" (see [a], p. 3) (said) [Cited (1982).] [kept] [j (k, 1982), 9] [x (said) 9] ."))
     return load(spark, d, "documents").select("doc_id", T.clean_block(text).alias("block"))
 
 
