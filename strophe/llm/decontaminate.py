@@ -4,9 +4,9 @@
 2. Passages are windows of ``2 * STRIDE`` words at every ``STRIDE``; document frequencies of the benchmark's words
    over all passages give TF-IDF weights.  Words in more than ``MAX_SHARE`` of passages weigh nothing, but each
    item keeps its ``LEAST_TERMS`` rarest.
-3. A randomised SVD of the passage matrix: every task adds up its part of ``A'(A R)`` for a random ``R``; the range
-   is completed by the items' own vectors, so no item is lost by truncation; a second pass adds up the Gram
-   matrix in that range, whose eigenvectors rotate it to the right singular vectors.
+3. A randomised SVD of the passage matrix in one pass: every task adds up its part of ``A'(A R)`` for a random
+   ``R``, from which the Nystroem form gives singular values and right singular vectors; the range is completed
+   by the items' own vectors, so no item is lost by truncation.
 4. Passages and items meet in the latent space: cosine of ``MIN_COSINE`` or more makes a candidate.
 5. A candidate is a leak if a window of the text holds, in order, ``MIN_COMMON`` of the item's words, and also
    ``MIN_ANSWER`` of its last sentence (its answer) unless ``SURE_COMMON`` of all words are there.
@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 WORDS = re.compile(r"\w+")
-STRIDE = 32
-MAX_SHARE = 0.02
+STRIDE = 48
+MAX_SHARE = 0.005
 LEAST_TERMS = 4
 SKETCH = 64
-MIN_COSINE = 0.3
+MIN_COSINE = 0.7
 MIN_COMMON = 0.6
 SURE_COMMON = 0.85
 MIN_ANSWER = 0.5
@@ -97,7 +97,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list
     for batch in batches:
         blobs = batch.column("ids").to_pylist()
         sizes = np.cumsum([len(b) for b in blobs])
-        cuts = np.unique(np.r_[0, np.searchsorted(sizes, np.arange(8 << 20, (sizes[-1] if len(sizes) else 0) + 1, 8 << 20)) + 1, len(blobs)])
+        cuts = np.unique(np.r_[0, np.searchsorted(sizes, np.arange(4 << 20, (sizes[-1] if len(sizes) else 0) + 1, 4 << 20)) + 1, len(blobs)])
         for lo, hi in zip(cuts, cuts[1:]):
             hi = min(hi, len(blobs))
             if lo < hi:
@@ -153,7 +153,7 @@ class Weights:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-30)
 
 
-ROWS_AT_ONCE = 1 << 16
+ROWS_AT_ONCE = 1 << 13
 
 
 def _projected(start: np.ndarray, term: np.ndarray, value: np.ndarray, basis: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -206,21 +206,21 @@ def latent_basis(texts: DataFrame, items: Items, weights: Weights) -> np.ndarray
         yield emit(total)
 
     corpus = _summed(texts.mapInArrow(sketched, "block int, blob binary"), (terms, sketch))
-    corpus /= max(float(np.abs(corpus).max()), 1e-30)
-    basis, sizes, _ = np.linalg.svd(np.hstack([weights.dense(items.words).T, corpus]), full_matrices=False)
-    basis = np.ascontiguousarray(basis[:, sizes > 1e-9 * sizes[:1].sum()]).astype(np.float32)
+    values, vectors = singular_vectors(corpus, random.astype(np.float64))
+    good = vectors[:, values > 1e-6 * values[:1].sum()]
+    basis, sizes, _ = np.linalg.svd(np.hstack([weights.dense(items.words).T, good]), full_matrices=False)
+    return np.ascontiguousarray(basis[:, sizes > 1e-9 * sizes[:1].sum()]).astype(np.float32)
 
-    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((basis.shape[1], basis.shape[1]))
-        for _, ids in _batches(batches):
-            _, start, term, value, _ = weights.rows(ids)
-            for _, _, product in _projected(start, term, value, basis):
-                total += product.T @ product
-        yield emit(total)
 
-    square = _summed(texts.mapInArrow(gram, "block int, blob binary"), (basis.shape[1], basis.shape[1]))
-    _, turn = np.linalg.eigh(square)
-    return np.ascontiguousarray(basis @ turn[:, ::-1].astype(np.float32))
+def singular_vectors(sketch: np.ndarray, random: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and right singular vectors of A from ``A'(A R)`` and ``R``, by a shifted Nystroem step."""
+    shift = 1e-10 * max(float(np.linalg.norm(sketch)), 1e-30)
+    moved = sketch + shift * random
+    inner = random.T @ moved
+    value, vector = np.linalg.eigh((inner + inner.T) / 2)
+    keep = value > 1e-12 * max(float(value[-1]), 1e-300)
+    left, size, _ = np.linalg.svd(moved @ (vector[:, keep] / np.sqrt(value[keep])), full_matrices=False)
+    return np.sqrt(np.maximum(size**2 - shift, 0)), left
 
 
 def common_length(item: np.ndarray, window: np.ndarray) -> int:
@@ -236,12 +236,22 @@ def common_length(item: np.ndarray, window: np.ndarray) -> int:
     return row.bit_count()
 
 
+def shared_words(item: np.ndarray, window: np.ndarray) -> int:
+    """Words in common, each as often as both have it: no common subsequence is longer."""
+    own, counts = np.unique(item, return_counts=True)
+    at = np.searchsorted(own, window)
+    at[at == len(own)] = 0
+    return int(np.minimum(counts, np.bincount(at[own[at] == window], minlength=len(own))).sum())
+
+
 def verdict(item: np.ndarray, answer: np.ndarray, text: np.ndarray, lo: int, hi: int) -> tuple[int, int, bool]:
     """Best window in words [lo - n, hi + n) of a text: words in common, its start, is it a leak."""
     n = len(item)
     width, step = n + max(4, n // 4), max(1, n // 8)
     lo, hi = max(0, lo - n), min(len(text), hi + n)
     best, at = -1, lo
+    if shared_words(item, text[lo:hi]) < MIN_COMMON * n:  # no window can hold enough of the item
+        return best, at, False
     for start in range(lo, max(lo + 1, hi - width + step + 1), step):
         if (c := common_length(item, text[start : start + width])) > best:
             best, at = c, start
@@ -275,7 +285,7 @@ def leaks_of(texts: DataFrame, items: Items, weights: Weights, basis: np.ndarray
             found = [(t, i, *v) for (t, i), v in best.items()]
             columns = [doc_ids.take(pa.array([f[0] for f in found], type=pa.int64())), pa.array([items.ids[f[1]] for f in found], type=item_type)]
             numbers = [pa.array([int(x) for x in xs], type=pa.int64()) for xs in ([f[2] for f in found], [len(items.words[f[1]]) for f in found], [f[4] for f in found])]
-            yield pa.RecordBatch.from_arrays([*columns, *numbers, pa.array([float(f[3]) for f in found])], names=["doc_id", "item_id", "n_common", "n_item", "at_word", "cosine"])
+            yield pa.RecordBatch.from_arrays([*columns, *numbers, pa.array([float(f[3]) for f in found], type=pa.float64())], names=["doc_id", "item_id", "n_common", "n_item", "at_word", "cosine"])
 
     return texts.mapInArrow(run, schema)
 
