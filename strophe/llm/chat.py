@@ -19,11 +19,14 @@ size is what one task must hold.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import let
+
 OPEN, HEAD, CLOSE = "<s>", "[INST]", "</s>"
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -83,12 +86,11 @@ def json_turns(records: DataFrame, column: str = "record") -> DataFrame:
     for print_, (name, mapping) in MAPPINGS.items():
         if name in JSON_SCHEMAS:
             parsed = F.from_json(F.col(column), JSON_SCHEMAS[name])
-            body = F.transform(F.array(parsed), lambda r, name=name: _mapped(r, name))
-            turns = F.when(F.col("__print") == print_, F.element_at(body, 1)).otherwise(turns)
+            turns = F.when(F.col("__print") == print_, let(parsed, partial(_mapped, name))).otherwise(turns)
     return known.withColumn("turns", turns).withColumn("layout", F.create_map(*(F.lit(x) for p, (n, _) in MAPPINGS.items() for x in (p, n)))[F.col("__print")]).drop("__print")
 
 
-def _mapped(r: Column, name: str) -> Column:
+def _mapped(name: str, r: Column) -> Column:
     """The mapping of a layout over a parsed record."""
     turn = lambda role, text: F.struct((F.lit(role) if isinstance(role, str) else role).alias("role"), text.alias("text"))
     if name == "messages":

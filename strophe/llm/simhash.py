@@ -193,14 +193,14 @@ def linked(prints: DataFrame) -> DataFrame:
 
 
 def fingerprint_components(printed: DataFrame) -> DataFrame:
-    """(fp, component_id) from (doc_id, fp): the least id among all documents whose fingerprints link."""
+    """(fp, root, component_id) from (doc_id, fp): a fingerprint that names the component, and the least id among all documents in it."""
     first = materialise(printed.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fp-first")
     edges = materialise(linked(first.select("fp")), "fp-edges")
     # components over fingerprints, then the least id of each
     stars = materialise(components(edges.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))), "fp-stars")
     rooted = first.join(stars, first["fp"] == stars["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def simhash_rows(docs: DataFrame) -> DataFrame:
@@ -216,5 +216,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     base = materialise(docs.select(F.struct(*names).alias("__row"), F.monotonically_increasing_id().alias("rid")), "dedup-docs")
     printed = materialise(with_fingerprints(base.select("rid", F.col("__row.doc_id").alias("doc_id"), F.col("__row.text").alias("text"))), "fp")
     found = printed.join(fingerprint_components(printed), "fp")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")).alias("k"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")).alias("k"))
     return base.join(first.select("k.rid"), "rid", "left_semi").select("__row.*")
