@@ -7,20 +7,26 @@ from pyspark.sql import functions as F
 
 from strophe.functions.text import similarity
 
-SLACK, EDGE, LEAST = 0.2, 0.01, 0.8
+SLACK, LEAST = 0.2, 0.8
 
 
 def candidate_windows(texts: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(doc, quote, start, window, q): starts where a window's first token is the quote's, with tokens enough for the longest window.
+    """(doc, quote, q, slack, start, window): starts where a window opens with the quote's first token, or shares two of three opening tokens in order.
 
-    The equality on the first token is the join key, so no quote meets a text without it; tokens of most texts
-    that open a quote are common words, so the later similarity decides.
+    One of the first three tokens of the quote must be one of the first three of the window, so that equality is the
+    join key; only places meet there, and each text comes in once more, for its own places.
     """
     slack = F.greatest(F.lit(1), F.bround(F.size("q") * SLACK).cast("int"))
-    keyed = quotes.select("quote", "q", F.get("q", F.lit(0)).alias("first"), (F.size("q") + slack).alias("longest"), slack.alias("slack")).filter("size(q) > 0")
-    at = texts.select("doc", "tokens", F.posexplode("tokens").alias("start", "first"))
-    met = at.join(keyed, "first")
-    return met.select("doc", "quote", "q", "slack", "start", F.slice("tokens", F.col("start") + 1, F.col("longest")).alias("window"))
+    known = quotes.filter("size(q) > 0").select("quote", "q", slack.alias("slack"))
+    keyed = known.select("quote", F.explode(F.array_distinct(F.slice("q", 1, 3))).alias("token"))
+    at = texts.select("doc", F.posexplode("tokens").alias("pos", "token"))
+    longest = int(known.agg(F.max(F.size("q") + F.col("slack"))).first()[0] or 0)
+    near = at.join(keyed, "token").select("doc", "quote", F.explode(F.sequence(F.lit(0), F.least(F.lit(2), F.col("pos")))).alias("i"), "pos")
+    places = near.select("doc", "quote", (F.col("pos") - F.col("i")).alias("start")).distinct().groupBy("doc").agg(F.collect_list(F.struct("quote", "start")).alias("cs"))
+    cut = texts.join(places, "doc").select("doc", F.explode(F.transform("cs", lambda c: F.struct(c["quote"].alias("quote"), c["start"].alias("start"), F.slice(F.col("tokens"), c["start"] + 1, F.lit(longest)).alias("window")))).alias("c"))
+    met = cut.select("doc", "c.*").join(known, "quote")
+    opening = (F.get("window", F.lit(0)) == F.get("q", F.lit(0))) | (similarity(F.slice("q", 1, 3), F.slice("window", 1, 3)) >= 0.5)
+    return met.filter(opening).select("doc", "quote", "q", "slack", "start", F.slice("window", F.lit(1), F.size("q") + F.col("slack")).alias("window"))
 
 
 def found_quotes(texts: DataFrame, quotes: DataFrame) -> DataFrame:
