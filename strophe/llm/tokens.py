@@ -2,8 +2,8 @@
 
 Texts are dealt by ranges of ids, sorted, encoded and written; so files and stripes follow in id order, a
 reader of some ids skips by file, stripe and row-index statistics and by Bloom filter, and stripes can be read
-in parallel.  The encoder cuts texts at ASCII white space (no token crosses it) and remembers words;
-each piece goes through the tokenizer's own model, and anything out of the ordinary through the whole tokenizer.
+in parallel.  The encoder cuts ordinary texts as the tokenizer does and remembers pieces; a new piece
+goes through the tokenizer's own model, and a text with anything out of the ordinary through the whole tokenizer.
 
 Defined cases: null text is empty and has the end id alone; null ids sort first; rows of equal id are in
 the order of their texts, null first; an empty table gives an empty table; other columns are ignored.
@@ -11,12 +11,12 @@ the order of their texts, null first; an empty table gives an empty table; other
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +25,24 @@ from .common import buckets_for, if_small, materialise, new_path, shuffle_files_
 END_ID = 1
 FILE_BYTES = 24 << 20
 ROWS_AT_ONCE_BYTES = 16 << 20
-#: How this tokenizer cuts words (its own pattern; fixed value).
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: White space that str.split() knows besides ASCII, and characters outside Latin-1 or with special rules: the whole tokenizer sees them.
-UNUSUAL = regex.compile("[\x1c-\x1f\x7f-\xa0\xaa\xad\xb2\xb3\xb5\xb9\xbaĀ-\U0010ffff]|<\\|")
-WORDS_KEPT = 300_000
+#: How this tokenizer cuts lower-case Latin-1 text (its own pattern; fixed value).
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: Latin-1 characters that are white space to one library only, or letters and numbers outside the ranges above.
+ODD = bytes([*range(0x1C, 0x20), *range(0x7F, 0xA1), 0xAA, 0xAD, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE])
+PIECES_KEPT = 400_000
+
+
+def ordinary(text: str) -> bool:
+    """Can the text be cut here?  Latin-1 without odd characters or what may be a special token."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return len(data.translate(None, ODD)) == len(data) and "<|" not in text
 
 
 class Encoder:
-    """Encodes texts with a tokenizers file; words seen are kept in two generations of bounded size."""
+    """Encodes texts with a tokenizers file; pieces seen are kept in two generations of bounded size."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
@@ -43,40 +52,25 @@ class Encoder:
         self.mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
+        found = self.young.get(piece) or self.old.get(piece)
         if found is None:
             mapped = piece if piece.isascii() else "".join(m for m, _ in self.mapped(piece))
             found = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-            if len(self.pieces) >= WORDS_KEPT:
-                self.pieces.clear()
-            self.pieces[piece] = found
-        return found
-
-    def _word(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is None:
-            found = b"".join(map(self._piece, PIECES.findall(word.lower())))
-        if len(self.young) >= WORDS_KEPT:
+        if len(self.young) >= PIECES_KEPT:
             self.young, self.old = {}, self.young
-        self.young[word] = found
+        self.young[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if UNUSUAL.search(text):
+        if not ordinary(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        word = self._word
-        young = self.young.get
-        out = []
-        for w in text.split():
-            ids = young(w)
-            if ids is None:
-                ids = word(w)
-                young = self.young.get
-            out.append(ids)
+        pieces = PIECES.findall(text.lower())
+        out = [*map(self.young.get, pieces)]
+        if None in out:
+            out = [ids if ids is not None else self._piece(p) for p, ids in zip(pieces, out, strict=True)]
         return b"".join(out)
 
 
