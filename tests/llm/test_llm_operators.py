@@ -399,3 +399,41 @@ def test_common_length():
     a = np.array([1, 2, 3, 4, 5], dtype=np.int32)
     assert decontaminate.common_length(a, np.array([9, 1, 3, 9, 5], dtype=np.int32)) == 3
     assert decontaminate.common_length(a, a[:0]) == 0
+
+
+def test_near_duplicates_by_shingles(spark, docs, nothing):
+    from strophe.llm import neardup
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(40):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(rng.randint(8, 250))]
+        texts += [" ".join(words)]
+        for edits in (1, 2, 3, 4):
+            copy = list(words)
+            for at in rng.sample(range(len(words)), edits):
+                copy[at] = f"new{rng.random()}"
+            texts += [" ".join(copy), " ".join(copy[edits:])]
+    line = " ".join(f"l{i}" for i in range(12))
+    texts += [f"{line} w{i} x{i}" for i in range(30)] + [None, "", " \n", "a b", "A  b"]
+    rng.shuffle(texts)
+    sets = [neardup.shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both, either = len(np.intersect1d(sets[i], sets[j])), len(np.union1d(sets[i], sets[j]))
+            if either == 0 or both / either >= 0.8:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+                a, b = (int.from_bytes(simhash.fingerprint(texts[x])) for x in (i, j))
+                far += (a ^ b).bit_count() > simhash.THRESHOLD
+    assert far > 20  # links that the digest of op7 does not make
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    once = neardup.deduplicated(table)
+    assert sorted(r["doc_id"] for r in once.collect()) == [i for i in range(len(texts)) if find(i) == i]
+    assert neardup.deduplicated(nothing).count() == 0
+    assert neardup.deduplicated(docs).columns == docs.columns
