@@ -27,8 +27,8 @@ FILE_BYTES = 24 << 20
 ROWS_AT_ONCE_BYTES = 16 << 20
 #: How this tokenizer cuts lower-case Latin-1 text (its own pattern; fixed value).
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-#: Latin-1 characters that are white space to one library only, or letters and numbers outside the ranges above.
-ODD = bytes([*range(0x1C, 0x20), *range(0x7F, 0xA1), 0xAA, 0xAD, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE])
+#: Latin-1 characters that are control characters, white space to one library only, or letters and numbers outside the ranges above.
+ODD = bytes([*range(0x09), *range(0x0E, 0x20), *range(0x7F, 0xA1), 0xAA, 0xAD, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE])
 PIECES_KEPT = 400_000
 
 

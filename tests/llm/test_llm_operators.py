@@ -437,3 +437,13 @@ def test_near_duplicates_by_shingles(spark, docs, nothing):
     assert sorted(r["doc_id"] for r in once.collect()) == [i for i in range(len(texts)) if find(i) == i]
     assert neardup.deduplicated(nothing).count() == 0
     assert neardup.deduplicated(docs).columns == docs.columns
+
+
+def test_encoder_equals_the_tokenizer_on_every_byte():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, whole = tokens.Encoder(path), Tokenizer.from_file(path)
+    for c in map(chr, range(256)):
+        for text in (c, f"ab{c}cd", f"ab {c} cd", f"{c}{c}1", f"a. {c}!"):
+            assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
