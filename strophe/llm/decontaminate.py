@@ -314,8 +314,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no leak, with all their columns."""
-    bad = materialise(leaks(docs, benchmark).select("doc_id").distinct(), "leaky")
+    """The rows of ``docs`` that hold no leak, with all their columns; by row, as ids can be null or repeat."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    base = materialise(docs.select(F.struct(*names).alias("__row"), F.monotonically_increasing_id().alias("rid")), "leak-docs")
+    found = leaks(base.select(F.col("rid").alias("doc_id"), F.col("__row.text").alias("text")), benchmark)
+    bad = materialise(found.select(F.col("doc_id").alias("rid")).distinct(), "leaky")
     small = bad.limit(1_000_001).count() <= 1_000_000
-    side = (F.broadcast(bad) if small else bad).withColumnRenamed("doc_id", "__leaky")
-    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("__leaky")), "left_anti")
+    return base.join(F.broadcast(bad) if small else bad, "rid", "left_anti").select("__row.*")

@@ -447,3 +447,13 @@ def test_encoder_equals_the_tokenizer_on_every_byte():
     for c in map(chr, range(256)):
         for text in (c, f"ab{c}cd", f"ab {c} cd", f"{c}{c}1", f"a. {c}!"):
             assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_clean_rows_stay_beside_leaking_rows_of_their_id(spark):
+    rng = random.Random(3)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    item = text(40)
+    rows = [(None, f"{text(30)} {item} {text(20)}"), (None, text(90)), (7, item), (7, text(80)), (7, None), (8, text(50))] + [(100 + i, text(120)) for i in range(40)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontaminate.decontaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert Counter(tuple(r) for r in left.collect()) == Counter(r for r in rows if item not in (r[1] or ""))
