@@ -7,7 +7,8 @@
 3. A randomised SVD of the passage matrix in one pass: every task adds up its part of ``A'(A R)`` for a random
    ``R``, from which the Nystroem form gives singular values and right singular vectors; the range is completed
    by the items' own vectors, so no item is lost by truncation.
-4. Passages and items meet in the latent space: cosine of ``MIN_COSINE`` or more makes a candidate.
+4. Passages and items meet in the latent space: cosine of ``MIN_COSINE`` or more makes a candidate.  An item longer
+   than a passage also comes as overlapping windows of a passage's length, any of which makes it a candidate.
 5. A candidate is a leak if a window of the text holds, in order, ``MIN_COMMON`` of the item's words, and also
    ``MIN_ANSWER`` of its last sentence (its answer) unless ``SURE_COMMON`` of all words are there.
 
@@ -40,9 +41,17 @@ MIN_COMMON = 0.6
 SURE_COMMON = 0.85
 MIN_ANSWER = 0.5
 ITEMS_AT_ONCE = 500
+#: Items longer than a passage are also sought by windows of a passage's length at this stride.
+ITEM_STRIDE = STRIDE // 2
 TERM_BLOCK = 512
 
 
+def item_windows(words: np.ndarray) -> list[np.ndarray]:
+    """Overlapping windows of an item longer than a passage, the last one at its end."""
+    last = len(words) - 2 * STRIDE
+    return [words[at : at + 2 * STRIDE] for at in [*range(0, last, ITEM_STRIDE), last]] if last > 0 else []
+
+
 def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
@@ -55,6 +64,9 @@ class Items:
         texts = [words_of(r["text"]) for r in rows]
         self.number = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         self.words = [np.array([self.number[w] for w in t], dtype=np.int32) for t in texts]
+        windows = [(w, i) for i, t in enumerate(self.words) for w in item_windows(t)]
+        self.queries = [*self.words, *(w for w, _ in windows)]
+        self.owner = np.array([*range(len(self.words)), *(i for _, i in windows)], dtype=np.int64)
         answers = [[s for s in re.split(r"[.!?\n]+", r["text"] or "") if WORDS.search(s)] for r in rows]
         self.answers = [np.array([self.number[w] for w in words_of(a[-1])], dtype=np.int32) if a else np.empty(0, dtype=np.int32) for a in answers]
 
@@ -126,7 +138,7 @@ class Weights:
 
     def __init__(self, items: Items, counts: np.ndarray, passages: int) -> None:
         keep = counts <= MAX_SHARE * max(passages, 1)
-        for w in items.words:
+        for w in items.queries:
             rare = np.unique(w)
             keep[rare[np.argsort(counts[rare], kind="stable")[:LEAST_TERMS]]] = True
         self.column = np.where(keep, np.cumsum(keep) - 1, -1).astype(np.int64)
@@ -144,7 +156,7 @@ class Weights:
         return passage[start], start, term, value.astype(np.float32), first
 
     def dense(self, words: list[np.ndarray]) -> np.ndarray:
-        """Unit-length vectors of whole items."""
+        """Unit-length vectors of items or their windows."""
         out = np.zeros((len(words), self.terms))
         for i, w in enumerate(words):
             own = self.column[w]
@@ -208,7 +220,7 @@ def latent_basis(texts: DataFrame, items: Items, weights: Weights) -> np.ndarray
     corpus = _summed(texts.mapInArrow(sketched, "block int, blob binary"), (terms, sketch))
     values, vectors = singular_vectors(corpus, random.astype(np.float64))
     good = vectors[:, values > 1e-6 * values[:1].sum()]
-    basis, sizes, _ = np.linalg.svd(np.hstack([weights.dense(items.words).T, good]), full_matrices=False)
+    basis, sizes, _ = np.linalg.svd(np.hstack([weights.dense(items.queries).T, good]), full_matrices=False)
     return np.ascontiguousarray(basis[:, sizes > 1e-9 * sizes[:1].sum()]).astype(np.float32)
 
 
@@ -260,7 +272,7 @@ def verdict(item: np.ndarray, answer: np.ndarray, text: np.ndarray, lo: int, hi:
 
 
 def leaks_of(texts: DataFrame, items: Items, weights: Weights, basis: np.ndarray, id_types: tuple[str, str]) -> DataFrame:
-    queries = weights.dense(items.words).astype(np.float32) @ basis
+    queries = weights.dense(items.queries).astype(np.float32) @ basis
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
     schema = f"doc_id {id_types[0]}, item_id {id_types[1]}, n_common bigint, n_item bigint, at_word bigint, cosine double"
     item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_types[1]]
@@ -274,7 +286,10 @@ def leaks_of(texts: DataFrame, items: Items, weights: Weights, basis: np.ndarray
                 product /= np.maximum(np.linalg.norm(product, axis=1, keepdims=True), 1e-12)
                 cosine = product @ queries.T
                 rows, cols = np.nonzero(cosine >= MIN_COSINE)
-                for p, i, c in zip(passage[lo + rows].tolist(), cols.tolist(), cosine[rows, cols].tolist(), strict=True):
+                owner, scores = items.owner[cols], cosine[rows, cols]
+                by = np.lexsort((-scores, owner, rows))  # the best query of each passage and item
+                by = by[np.r_[True, (np.diff(rows[by]) != 0) | (np.diff(owner[by]) != 0)]] if len(by) else by
+                for p, i, c in zip(passage[lo + rows[by]].tolist(), owner[by].tolist(), scores[by].tolist(), strict=True):
                     t = int(np.searchsorted(first, p, side="right")) - 1
                     if len(items.words[i]) == 0:
                         continue
@@ -293,7 +308,8 @@ def leaks_of(texts: DataFrame, items: Items, weights: Weights, basis: np.ndarray
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_common, n_item, at_word, cosine) of every leak."""
     types = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    total = benchmark.count()
+    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"(?U)\w+"))
+    total = benchmark.agg(F.sum(1 + F.when(n > 2 * STRIDE, F.ceil((n - 2 * STRIDE) / ITEM_STRIDE) + 1).otherwise(0))).first()[0] or 0
     blocks = max(1, -(-total // ITEMS_AT_ONCE))
     out = None
     for k in range(blocks):

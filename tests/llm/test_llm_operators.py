@@ -457,3 +457,15 @@ def test_clean_rows_stay_beside_leaking_rows_of_their_id(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     left = decontaminate.decontaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench)
     assert Counter(tuple(r) for r in left.collect()) == Counter(r for r in rows if item not in (r[1] or ""))
+
+
+@pytest.mark.parametrize("n", [97, 150, 226, 300, 1000])
+def test_long_items_are_found(spark, n):
+    rng = random.Random(n)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    item = text(n)
+    rows = [(0, item), (1, f"{text(61)} {item} {text(20)}"), (2, text(3000))] + [(10 + i, text(200)) for i in range(40)]
+    bench = spark.createDataFrame([(1, item), (2, text(30))], "item_id long, text string")
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["n_common"], r["n_item"]) for r in found} == {(0, 1, n, n), (1, 1, n, n)}
