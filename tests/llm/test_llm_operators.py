@@ -166,6 +166,64 @@ def test_language_accuracy(spark):
     assert held.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_presence_stays_inside_a_text():
+    texts = ["hello", "xyz", "", "ab", "é" * 40, "hello", "a b,c 1"]
+    together = language.presence(texts)
+    for i, t in enumerate(texts):
+        assert (together[i] == language.presence([t])[0]).all()
+        data = b" " + t.lower().encode().translate(language.PLAIN) + b"   "
+        grams = {data[i : i + n] for n in (1, 2, 3, 4) for i in range(len(data) - 3)}
+        assert together[i].sum() <= len(grams) and together[i].sum() > 0.95 * len(grams)
+
+
+def test_language_does_not_depend_on_neighbours(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.substring("text", 1, 40).alias("text"), "lang")
+    model = language.fitted(d)
+    told = lambda x: {(r["doc_id"], r["lang_pred"], r["score"]) for r in language.predicted(x, model).collect()}
+    once = told(d)
+    assert told(d.orderBy(F.desc("text"))) == told(d.repartition(7)) == told(d.unionAll(d).unionAll(d)) == told(d.orderBy("lang").repartitionByRange(13, "text")) == once
+    again = language.fitted(d.unionAll(d).repartition(3))
+    assert (again.landmarks == model.landmarks).all() and (again.weights == model.weights).all()
+
+
+def test_language_kernel_and_ridge():
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list(a)) for _ in range(60)) for a in ("abcd ", "cdef ", "efgh ") for _ in range(40)]
+    labels = np.repeat([0, 1, 2], 40)
+    bits = language.presence(texts)
+    model = language.Model(["x", "y", "z"], np.packbits(bits, axis=1), labels)
+    sets = [set(np.flatnonzero(b)) for b in bits]
+    at = np.unique(np.linspace(0, 119, min(language.LANDMARKS, 120)).astype(int))
+    k = np.array([[len(sets[i] & sets[j]) / np.sqrt(len(sets[i]) * len(sets[j])) for j in at] for i in range(120)])
+    # ridge regression in the landmark space, by its normal equations: (K'K + r K_mm) w + K'1 b = K'y, balanced languages
+    kmm, y = k[at], np.where(labels[:, None] == np.arange(3), 1.0, -1.0)
+    one = np.ones((120, 1))
+    left = np.block([[k.T @ k + language.RIDGE * kmm, k.T @ one], [one.T @ k, one.T @ one]])
+    solved = np.linalg.lstsq(left, np.vstack([k.T @ y, one.T @ y]), rcond=None)[0]
+    want = k @ solved[:-1] + solved[-1]
+    e = np.exp(language.SHARPNESS * (want - want.max(axis=1, keepdims=True)))
+    assert np.allclose(model.scores(bits, model.unpacked()), e / e.sum(axis=1, keepdims=True), atol=1e-3)
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "PER_LANGUAGE", 5)
+    monkeypatch.setattr(language, "SAMPLE", 12)
+    rows = [(i, f"text {i}", f"l{i % 3}") for i in range(300)] + [(None, "same", "l1")] * 50 + [(1, "same", "l3")] * 50
+    keys = language.sample_keys(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    n = Counter(r["lang"] for r in keys.collect())
+    assert set(n) == {"l0", "l1", "l2", "l3"} and max(n.values()) <= 3 and sum(n.values()) <= 12
+    many = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(40)], "doc_id long, text string, lang string")
+    held = {i for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert {r["lang"] for r in language.sample_keys(many).collect()} == {f"l{i}" for i in range(40) if i not in held}
+
+
+def test_language_without_letters(spark):
+    odd = ["²", "½", "①", "Ⅷ", "123 ,.", "٣", "_", "😀"]
+    rows = [(i, t, "en") for i, t in enumerate(odd)] + [(100 + i, f"word number {i}", "en") for i in range(20)] + [(200, "é", "fr")]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.language_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {got[i] for i in range(len(odd))} == {"und"} and got[200] != "und" and got[100] != "und"
+
+
 # 6
 
 
