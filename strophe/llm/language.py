@@ -36,6 +36,7 @@ SAMPLE = 8000
 RIDGE = 0.05
 SHARPNESS = 6.0
 PLACES = 9
+TASK_GROUPS = 16
 BLOCK_TEXTS, BLOCK_BYTES = 64, 1 << 20
 #: All ASCII but letters becomes a blank.
 PLAIN = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
@@ -136,8 +137,11 @@ def sample_keys(docs: DataFrame) -> DataFrame:
     keys = usable.select("lang", F.xxhash64("doc_id").alias("id_hash"), F.xxhash64("text").alias("text_hash"))
     languages = materialise(keys.select("lang").distinct(), "languages").count()
     each = max(1, min(PER_LANGUAGE, SAMPLE // max(1, languages)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("id_hash", "text_hash"))
-    return materialise(keys.withColumn("rank", rank).filter(F.col("rank") <= each).select("lang", "id_hash", "text_hash").distinct(), "sample-keys")
+    least = keys.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(TASK_GROUPS)))
+    for by in (["lang", "group"], ["lang"]):  # the least of each group of tasks, then of all: no task holds all tasks' rows
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("id_hash", "text_hash"))
+        least = least.withColumn("rank", rank).filter(F.col("rank") <= each).drop("rank")
+    return materialise(least.select("lang", "id_hash", "text_hash").distinct(), "sample-keys")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
