@@ -20,14 +20,53 @@ ABBREVIATIONS = [
 ]
 
 
-def _accents() -> tuple[str, str]:
-    """Accented letters whose base is one ASCII letter, from the Unicode tables, and those bases."""
-    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))) for c in range(0xC0, 0x250)]
-    good = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii() and d[0].isalpha() and all(map(unicodedata.combining, d[1:]))]
-    return "".join(c for c, _ in good), "".join(d for _, d in good)
+#: White space as Python's ``str`` methods see it.
+SPACE = r"[\x09-\x0d\x1c-\x20\x85\p{Z}]"
+NON_ASCII = r"[^\x00-\x7F]"
 
 
-ACCENTED, BASES = _accents()
+def _ranges(belongs) -> str:
+    """The characters for which ``belongs`` holds, as ranges of a pattern."""
+    found = [c for c in range(0x110000) if belongs(chr(c))]
+    starts = [c for i, c in enumerate(found) if not i or found[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(found) if i + 1 == len(found) or found[i + 1] != c + 1]
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True))
+
+
+#: Characters of a combining class other than 0.
+COMBINING = f"[{_ranges(unicodedata.combining)}]"
+#: What is neither letter nor number; letters newer than the JVM's own tables come from Python's.
+NON_WORD = rf"(?s)(?:(?![\p{{L}}\p{{N}}]|[\p{{Cn}}&&[{_ranges(str.isalnum)}]]).)+"
+
+
+def _icu(method: str, text: Column, flag: bool) -> Column:
+    """A static method of the ICU library that Spark ships, so normal forms need no Python worker."""
+    owner, name = method.rsplit(".", 1)
+    return F.java_method(F.lit(f"com.ibm.icu.{owner}"), F.lit(name), text, F.lit(flag))
+
+
+def _only_beyond_ascii(text: Column, changed: Column, otherwise: Column | None = None) -> Column:
+    return F.when(text.rlike(NON_ASCII), changed).otherwise(text if otherwise is None else otherwise)
+
+
+def composed(text: Column) -> Column:
+    """NFKC."""
+    return _only_beyond_ascii(text, _icu("text.Normalizer.compose", text, True))
+
+
+def decomposed(text: Column) -> Column:
+    """NFKD."""
+    return _only_beyond_ascii(text, _icu("text.Normalizer.decompose", text, True))
+
+
+def without_accents(text: Column) -> Column:
+    """NFKD without characters of a combining class."""
+    return _only_beyond_ascii(text, F.regexp_replace(decomposed(text), COMBINING, ""))
+
+
+def casefolded(text: Column) -> Column:
+    """Full case folding."""
+    return _only_beyond_ascii(text, _icu("lang.UCharacter.foldCase", text, True), F.lower(text))
 
 
 def plain(text: Column) -> Column:
@@ -36,18 +75,16 @@ def plain(text: Column) -> Column:
     return F.replace(swapped, F.lit("…"), F.lit("..."))
 
 
-def without_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED, BASES)
-
-
 def match_tokens(word: Column) -> Column:
     """The tokens by which a word is matched: parts between dashes and slashes, folded, letters and digits only.
 
-    A number of up to three digits pasted after a word and its punctuation is a footnote and goes first.
+    A number of up to three digits pasted after a word and its punctuation is a footnote and goes first.  Normal forms
+    (NFKC, then NFKD without marks, then case folding) are those of the Unicode tables, over all letters.
     """
-    bare = F.regexp_replace(plain(word), r"(\p{L}[.,;:!?\"')\]])\d{1,3}$", "$1")
-    fold = lambda p: F.regexp_replace(F.replace(F.lower(without_accents(F.replace(p, F.lit("'"), F.lit("")))), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]+", "")
-    return F.filter(F.transform(F.split(bare, r"[-/]+"), fold), lambda t: t != "")
+    bare = F.regexp_replace(plain(composed(word)), r"(\p{L}[.,;:!?\"')\]])\p{Nd}{1,3}$", "$1")
+    parts = F.split(casefolded(F.replace(without_accents(bare), F.lit("'"), F.lit(""))), r"[-/]+")
+    word_only = lambda p: _only_beyond_ascii(p, F.regexp_replace(p, NON_WORD, ""), F.regexp_replace(p, "[^A-Za-z0-9]+", ""))
+    return F.filter(F.transform(parts, word_only), lambda t: t != "")
 
 
 def norm(text: Column) -> Column:
@@ -128,33 +165,53 @@ def clean_quote(text: Column) -> Column:
     return F.regexp_replace(bare, f"^{marks}+|{marks}+$", "")
 
 
-#: Private characters: a link inside a text being put together, and parentheses that stay.
-LINK, KEPT_OPEN, KEPT_CLOSE, NEW_OPEN, NEW_CLOSE = "\ue000", "\ue001", "\ue002", "\ue005", "\ue006"
+#: Private characters: a link inside a text being put together, parentheses that stay, and marks of the round at work.
+LINK, KEPT_OPEN, KEPT_CLOSE, NEW_OPEN, NEW_CLOSE, GONE = "\ue000", "\ue001", "\ue002", "\ue005", "\ue006", "\ue007"
+
+
+def nesting(text: Column) -> Column:
+    """How deep brackets nest at most; a closing one that closes nothing counts for nothing."""
+    marks = F.split(F.regexp_replace(text, r"[^()\[\]]+", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(a: Column, c: Column) -> Column:
+        now = F.when(c.isin("(", "["), a["now"] + 1).when(c.isin(")", "]"), F.greatest(a["now"] - 1, F.lit(0))).otherwise(a["now"])
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.when(text.rlike(r"[(\[]"), F.aggregate(marks, start, step, lambda a: a["most"])).otherwise(0)
+
+
+def _settle_innermost(text: Column) -> Column:
+    """One round: innermost groups that cite go, other parentheses are masked, other brackets open up.
+
+    What a dropped group was in waits for the next round, as the mark it leaves counts as a bracket in this one.
+    """
+    inner = rf"[^()\[\]{GONE}]*"
+    cites = rf"(?:{inner}[{LINK}\p{{Nd}}]{inner}|{SPACE}*[sS][eE][eE](?![\p{{L}}\p{{N}}_]){inner})"
+    text = F.regexp_replace(text, rf"\({cites}\)|\[{cites}\]|\[{inner}[.!?]{SPACE}*\]", GONE)
+    text = F.regexp_replace(text, rf"\(({inner})\)", f"{NEW_OPEN}$1{NEW_CLOSE}")
+    text = F.regexp_replace(text, rf"\[([^()\[\]{GONE}{NEW_OPEN}{NEW_CLOSE}]*)\]", "$1")
+    return F.translate(text, NEW_OPEN + NEW_CLOSE + GONE, KEPT_OPEN + KEPT_CLOSE)
 
 
-def drop_citations(text: Column, depth: int = 3) -> Column:
-    """Drop groups that cite, innermost first, to a nesting of ``depth``; spoken parentheses stay, spoken brackets open up.
+def drop_citations(text: Column) -> Column:
+    """Drop groups that cite, innermost first, at any nesting; spoken parentheses stay, spoken brackets open up.
 
-    A group cites if it holds a link or a digit, starts with "see", or is a bracketed sentence.  Each round drops until
-    no innermost group cites, then settles the innermost ones; what they were in waits for the next round.
+    A group cites if it holds a link or a digit, starts with "see", or is a bracketed sentence.  Each round settles one
+    level of nesting, so a text needs as many rounds as its brackets nest.
     """
-    cites = rf"(?:[^()\[\]]*[{LINK}\d][^()\[\]]*|\s*[sS][eE][eE]\b[^()\[\]]*)"
-    for _ in range(depth):
-        for _ in range(depth):
-            text = F.regexp_replace(text, rf"\({cites}\)|\[{cites}\]|\[[^()\[\]]*[.!?]\s*\]", "")
-        text = F.regexp_replace(text, r"\(([^()\[\]]*)\)", f"{NEW_OPEN}$1{NEW_CLOSE}")
-        text = F.regexp_replace(text, rf"\[([^()\[\]{NEW_OPEN}{NEW_CLOSE}]*)\]", "$1")
-        text = F.translate(text, NEW_OPEN + NEW_CLOSE, KEPT_OPEN + KEPT_CLOSE)
-    return F.translate(text, KEPT_OPEN + KEPT_CLOSE, "()")
+    depth = nesting(text)
+    rounds = F.aggregate(F.sequence(F.lit(1), depth), text, lambda t, _: _settle_innermost(t))
+    return F.translate(F.when(depth > 0, rounds).otherwise(text), KEPT_OPEN + KEPT_CLOSE, "()")
 
 
 def clean_block(text: Column) -> Column:
-    spaced = F.trim(F.regexp_replace(F.translate(drop_citations(text), LINK, ""), r"\s+", " "))
-    return F.regexp_replace(spaced, r"\s+([.,;:!?])", "$1")
+    spaced = F.trim(F.regexp_replace(F.translate(drop_citations(text), LINK, ""), f"{SPACE}+", " "))
+    return F.regexp_replace(spaced, r" +([.,;:!?])", "$1")
 
 
 def slug(text: Column, most: int = 32) -> Column:
-    folded = F.lower(F.regexp_replace(without_accents(text), r"[^\x00-\x7F]", ""))
+    folded = F.lower(F.regexp_replace(decomposed(text), NON_ASCII, ""))
     dashed = F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.coalesce(F.nullif(F.regexp_replace(F.substring(dashed, 1, most), "-+$", ""), F.lit("")), F.lit("input"))
 

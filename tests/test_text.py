@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions import text as T
 from strophe.operators import sentences as S
-from strophe.sources import pages, quotes
+from strophe.sources import quotes
 
 
 def one(spark, make, *values):
@@ -46,14 +46,6 @@ def test_pause_and_length(spark):
 @pytest.mark.parametrize("text,out", [("a (b) c [d] e (see f) [g h.] (i 2) [j (k, 1982), 9] l .", "a (b) c d e l."), ("a (b c", "a (b c"), ("x ) y [", "x ) y [")])
 def test_citations(spark, text, out):
     assert one(spark, T.clean_block, text) == out
-    assert pages.clean(text) == out
-
-
-def test_page_blocks():
-    html = "<nav>no</nav><article class='talk x'><h1>no</h1><p>One <a href='#'>two</a>.<sup>1</sup></p><div>Three<br>four</div></article><p>out</p>"
-    assert pages.blocks_of(html, "talk") == ["One two.", "Three", "four"]
-    assert pages.blocks_of(None) == []
-
 
 def test_quote_files(spark):
     df = spark.createDataFrame([(1, "- “One  two”\n2. three\n\n"), (2, "a b\nc\n\n* d e")], "f int, text string")
