@@ -20,6 +20,11 @@ ABBREVIATIONS = [
 ]
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once; a plain alias would be inlined wherever it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 #: White space as Python's ``str`` methods see it.
 SPACE = r"[\x09-\x0d\x1c-\x20\x85\p{Z}]"
 NON_ASCII = r"[^\x00-\x7F]"
@@ -112,7 +117,8 @@ def ends_sentence(word: Column, following: Column) -> Column:
     stem = F.regexp_replace(F.substring(core, F.lit(1), F.length(core) - 1), f"^{_strip(OPENERS)}+", "")
     first = first_letter(following)
     return (
-        F.when(core.rlike(r"[?!]$"), True)
+        F.when(~word.rlike(rf"[.?!…]{_strip(CLOSERS)}*$"), False)  # most words are done here
+        .when(core.rlike(r"[?!]$"), True)
         .when(core.rlike(r"(\.\.\.|…)$"), following.isNull() | first.rlike(r"\p{Lu}"))
         .when(~core.rlike(r"\.$"), False)
         .when(stem.rlike(r"^\p{L}$"), False)

@@ -5,40 +5,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.functions.text import ends_sentence, has_word_chars, looks_hard_wrapped
+from strophe.functions.text import ends_sentence, has_word_chars, let, looks_hard_wrapped
 
 from .intervals import island_ids
 
 
+def _line_words(tokens: Column, after: Column) -> Column:
+    """The words of a line, (word, ends, sentence in the line from 0), in time linear in its length.
+
+    A token without a letter or digit joins the word before it on the line, or the word after if none is before or that
+    one ends a sentence; marks that would join a word that isn't there go.
+    """
+
+    def joined(real: Column) -> Column:
+        size = F.size(real)
+        ends = F.transform(real, lambda i: ends_sentence(F.get(tokens, i), F.coalesce(F.get(tokens, i + 1), after)))
+
+        def words(closed: Column) -> Column:
+            opens = lambda k: (k == 0) | F.get(closed, k - 1)
+            first = lambda i, k: F.when(opens(k), F.coalesce(F.get(real, k - 1) + 1, F.lit(0))).otherwise(i)
+            last = lambda i, k: F.when(F.get(closed, k), i).otherwise(F.coalesce(F.get(real, k + 1), F.size(tokens)) - 1)
+            text = lambda i, k: F.when(first(i, k) == last(i, k), F.get(tokens, i)).otherwise(F.array_join(F.slice(tokens, first(i, k) + 1, last(i, k) - first(i, k) + 1), " "))
+            made = F.transform(real, lambda i, k: F.struct(text(i, k).alias("word"), F.get(closed, k).alias("ends")))
+            return let(made, lambda ws: let(stops(closed), lambda cuts: numbered(ws, cuts)))
+
+        def stops(closed: Column) -> Column:
+            """Where the sentences of the line stop: after each word that ends one, and after the last word."""
+            places = F.transform(closed, lambda e, k: F.when(e | (k == size - 1), k + 1))
+            return F.filter(places, lambda k: k.isNotNull())
+
+        def numbered(ws: Column, cuts: Column) -> Column:
+            since = lambda j: F.coalesce(F.get(cuts, j - 1), F.lit(0))
+            part = lambda stop, j: F.transform(F.slice(ws, since(j) + 1, stop - since(j)), lambda w: F.struct(w["word"].alias("word"), w["ends"].alias("ends"), j.alias("sentence")))
+            return F.flatten(F.transform(cuts, part))
+
+        return let(ends, words)
+
+    places = F.filter(F.transform(tokens, lambda t, i: F.when(has_word_chars(t), i)), lambda i: i.isNotNull())
+    return let(places, joined)
+
+
 def official_words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, word, line, sentence): the words of each text with 1-based lines and sentence numbers from 0.
 
     A line break ends a sentence unless the text looks wrapped at a fixed width; then a blank line does.  Tokens
     without a letter or digit join the word before them on the line, or the word after if that one begins a sentence.
+    Marks, words and sentences are settled inside each line; windows then run over lines, not words.
     """
     even = F.replace(F.replace(F.regexp_replace(text, "^﻿", ""), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    lines = docs.filter(F.col(text).isNotNull()).select(key, looks_hard_wrapped(even).alias("wrapped"), F.posexplode(F.split(even, "\n", -1)).alias("line", "t"))
-    in_text = Window.partitionBy(key).orderBy("line")
+    texts = docs.filter(F.col(text).isNotNull()).select(key, even.alias("__text"))
+    whole = texts.select(key, looks_hard_wrapped(F.col("__text")).alias("wrapped"), F.split("__text", "\n", -1).alias("__lines"))
     tokens_of = F.filter(F.split(F.col("t"), r"\s+"), lambda x: x != "")
-    lines = lines.withColumn("ts", tokens_of).withColumn("blanks", F.sum(F.when(F.size("ts") == 0, 1).otherwise(0)).over(in_text))
-    lines = lines.withColumn("after", F.when(F.col("wrapped"), F.get(F.lead("ts").over(in_text), F.lit(0))))
-    tokens = lines.select(key, "wrapped", "line", "blanks", "after", "ts", F.posexplode("ts").alias("i", "tok"))
-    following = F.coalesce(F.get("ts", F.col("i") + 1), F.col("after"))
-    tokens = tokens.select(key, "wrapped", "line", "blanks", "i", "tok", following.alias("next")).withColumn("is_word", has_word_chars(F.col("tok")))
-    tokens = tokens.withColumn("ends", F.col("is_word") & ends_sentence(F.col("tok"), F.col("next")))
-    # a mark belongs to word number r of its line, or to r + 1 where r is 0 or ends a sentence
-    line = Window.partitionBy(key, "line").orderBy("i")
-    tokens = tokens.withColumn("r", F.sum(F.when(F.col("is_word"), 1).otherwise(0)).over(line)).withColumn("closed", F.last(F.when(F.col("is_word"), F.col("ends")), ignorenulls=True).over(line))
-    owner = F.when(F.col("is_word") | ~F.coalesce("closed", F.lit(True)), F.col("r")).otherwise(F.col("r") + 1)
-    words = tokens.withColumn("owner", owner).groupBy(key, "line", "owner").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "tok"))), lambda x: x["tok"]), " ").alias("word"),
-        F.bool_or("is_word").alias("real"), F.bool_or("ends").alias("ends"), F.first("wrapped").alias("wrapped"), F.first("blanks").alias("blanks"),
-    ).filter("real")
-    order = Window.partitionBy(key).orderBy("line", "owner")
-    prior = words.withColumn("p_ends", F.lag("ends").over(order)).withColumn("p_line", F.lag("line").over(order)).withColumn("p_blanks", F.lag("blanks").over(order))
-    new = F.col("p_ends") | F.when(F.col("wrapped"), F.col("blanks") > F.col("p_blanks")).otherwise(F.col("line") != F.col("p_line"))
-    numbered = island_ids(prior, [key], ["line", "owner"], new, "sentence")
-    return numbered.select(key, (F.row_number().over(order) - 1).alias("pos"), "word", (F.col("line") + 1).alias("line"), (F.col("sentence") - 1).alias("sentence"))
+    lines = whole.select(key, "wrapped", F.posexplode("__lines").alias("line", "t")).select(key, "wrapped", "line", tokens_of.alias("ts"))
+    order = Window.partitionBy(key).orderBy("line")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("blanks", F.sum(F.when(F.size("ts") == 0, 1).otherwise(0)).over(order)).withColumn("after", F.when(F.col("wrapped"), F.get(F.lead("ts").over(order), F.lit(0))))
+    made = lines.select(key, "wrapped", "line", "blanks", _line_words(F.col("ts"), F.col("after")).alias("ws")).filter(F.size("ws") > 0)
+    last = F.element_at("ws", -1)
+    fresh = F.lag(last["ends"]).over(order) | F.when(F.col("wrapped"), F.col("blanks") > F.lag("blanks").over(order)).otherwise(True)
+    # a line opens a sentence or goes on with that of the line before; the sentences inside it follow
+    opened = made.withColumn("opens", F.when(F.coalesce(fresh, F.lit(True)), 1).otherwise(0)).withColumn("n", F.size("ws")).withColumn("more", last["sentence"])
+    first = F.coalesce(F.sum(F.col("opens") + F.col("more")).over(before), F.lit(0)) + F.col("opens") - 1
+    placed = opened.select(key, "line", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"), first.alias("first"), "ws")
+    words = placed.select(key, "line", "at", "first", F.posexplode("ws").alias("k", "w"))
+    return words.select(key, (F.col("at") + F.col("k")).alias("pos"), "w.word", (F.col("line") + 1).alias("line"), (F.col("first") + F.col("w.sentence")).alias("sentence"))
 
 
 def timed_sentences(words: DataFrame, key: str, pause: float, order: str = "pos") -> DataFrame:

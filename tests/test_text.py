@@ -55,3 +55,32 @@ def test_quote_files(spark):
 def test_similarity(spark):
     df = spark.createDataFrame([(["a", "b", "c"], ["a", "x", "c"]), ([], []), (["a"], [])], "a array<string>, b array<string>")
     assert [r[0] for r in df.select(F.round(T.similarity(F.col("a"), F.col("b")), 4)).collect()] == [0.6667, 1.0, 0.0]
+
+
+def test_official_words_of_long_texts(spark):
+    """Marks, sentence ends and numbering by a plain walk, over many lines and one very long line."""
+    rng = __import__("random").Random(2)
+    parts = ["word", "end.", "-", "“", "(so", "why?", "M.", "12", "…", "e.g.", "wait...", "Then", "and", "!"]
+    texts = ["\n".join(" ".join(rng.choice(parts) for _ in range(rng.randint(0, 6))) for _ in range(20_000)), " ".join(rng.choice(parts) for _ in range(100_000)), "", " - \n\n!", None]
+    rows = S.official_words(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["pos"])):
+        got.setdefault(r["doc_id"], []).append((r["pos"], r["word"], r["line"], r["sentence"]))
+    pairs = spark.createDataFrame([(a, b) for a in parts for b in [*parts, None]], "a string, b string")
+    ends = {(r["a"], r["b"]): r["e"] for r in pairs.select("a", "b", T.ends_sentence(F.col("a"), F.col("b")).alias("e")).collect()}
+    real = {p: any(c.isalnum() for c in p) for p in parts}
+    for doc, text in enumerate(texts[:4]):
+        want, sentence, new = [], -1, True
+        for n, line in enumerate(text.split("\n"), 1):
+            tokens, held, open_word, new = line.split(), [], None, True
+            for i, t in enumerate(tokens):
+                if real[t]:
+                    sentence += new
+                    want.append([len(want), " ".join([*held, t]), n, sentence])
+                    new = ends[t, tokens[i + 1] if i + 1 < len(tokens) else None]
+                    held, open_word = [], not new
+                elif open_word:
+                    want[-1][1] += f" {t}"
+                else:
+                    held.append(t)
+        assert got.get(doc, []) == [tuple(w) for w in want]
