@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words lie between spaces and U+0009 to U+000D.
@@ -72,6 +72,17 @@ def if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def ranks(values: DataFrame, column: str) -> DataFrame:
+    """(column, rank): distinct values numbered from 0 in order, nulls first; ranges are sorted and counted on their own."""
+    ordered = values.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
+    seq = materialise(ordered.withColumn("__seq", F.monotonically_increasing_id()), "ranks")
+    part = F.shiftrightunsigned("__seq", 33)
+    sizes = seq.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return seq.withColumn("__part", part).join(F.broadcast(offsets), "__part").select(column, (F.col("__before") + F.col("__seq").bitwiseAND((1 << 33) - 1)).alias("rank"))
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once; a plain alias would be inlined into every lambda that uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

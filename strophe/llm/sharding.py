@@ -7,9 +7,12 @@ node and bucket of the leading bits of a 63-bit key (31 bits of coordinate, 32 b
 ties), the bucket that holds the middle is opened with the next bits, and so on; only per-bucket sums move,
 and each node keeps one row.  No step sorts or gathers the rows of a node.
 
-Dimensions: id, size, source and language (leading bytes as a number).  Defined cases: null text has
-size 1 and checksum 0; null ids, sources and languages have coordinate 0; equal rows are told apart by the
-number they get when the metadata is written; an empty table gives an empty result; other columns pass.
+Dimensions: id, size, and the ranks of source and language among their values.  Ties are broken by a hash of
+id, text, source and language; rows equal in all of these are numbered, so neither file splits nor cores nor the order
+of rows matter: a rerun gives the same shards and slots.
+
+Defined cases: null text has size 1 and checksum 0; null ids have coordinate 0; null sources and languages come first;
+equal rows are told apart by their numbers alone; an empty table gives an empty result; other columns pass.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import if_small, materialise, n_bytes
+from .common import if_small, materialise, n_bytes, ranks
 
 DIMS = ("d_id", "d_size", "d_source", "d_lang")
 STEP_BITS = 21
@@ -27,20 +30,37 @@ KEY_BITS = 63
 SLOT_ROWS = 20_000
 
 
-def _as_number(text: Column) -> Column:
-    return F.conv(F.rpad(F.hex(F.substring(F.coalesce(text, F.lit("")), 1, 6).cast("binary")), 24, "0").substr(1, 12), 16, 10).cast("double")
+def _ranked(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the rank of a column's value as a coordinate."""
+    known = materialise(ranks(rows, column).withColumnsRenamed({column: "__v", "rank": name}), "shard-ranks")
+    return rows.join(if_small(known), rows[column].eqNullSafe(known["__v"]), "left").drop("__v").withColumn(name, F.col(name).cast("double"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``tie``: a hash that tells all rows apart; rows equal in ``same`` are numbered, each split of the table on its own."""
+    split = F.shiftrightunsigned("rid", 33)
+    counts = rows.groupBy("same", split.alias("split")).agg(F.count("*").alias("n"))
+    by_same = Window.partitionBy("same")  # a row per split of the table
+    before = F.sum("n").over(by_same.orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    repeated = counts.withColumn("all", F.sum("n").over(by_same)).withColumn("before", F.coalesce(before, F.lit(0))).filter("all > 1")
+    repeated = materialise(repeated.select("same", "split", "before"), "shard-repeats")
+    marked = rows.withColumn("split", split).join(if_small(repeated), ["same", "split"], "left")
+    inside = F.row_number().over(Window.partitionBy("same", "split").orderBy("rid")) - 1
+    again = marked.filter("before IS NOT NULL").withColumn("number", F.col("before") + inside)
+    every = marked.filter("before IS NULL").withColumn("number", F.lit(0).cast("long")).unionByName(again)
+    return every.withColumn("tie", F.xxhash64("same", "number")).drop("same", "split", "before", "number", "rid")
 
 
 def metadata(docs: DataFrame) -> DataFrame:
-    """The metadata of every row, without texts, written once."""
+    """The metadata of every row, without texts, written once; all rows are in the root node."""
     size = n_bytes(F.col("text")) + 1
-    return materialise(
-        docs.select(
-            F.monotonically_increasing_id().alias("rid"), "doc_id", size.alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("double").alias("d_id"),
-            size.cast("double").alias("d_size"), _as_number(F.col("source")).alias("d_source"), _as_number(F.col("lang")).alias("d_lang"),
-        ),
-        "shard-meta",
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("rid"), "doc_id", size.alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
+        F.coalesce(F.col("doc_id"), F.lit(0)).cast("double").alias("d_id"), size.cast("double").alias("d_size"), "source", "lang", F.xxhash64("doc_id", F.xxhash64("text"), "source", "lang").alias("same"),
     )
+    rows = _numbered(materialise(rows, "shard-rows"))
+    rows = _ranked(_ranked(rows, "source", "d_source"), "lang", "d_lang")
+    return materialise(rows.drop("source", "lang").withColumn("node", F.lit(0)), "shard-meta")
 
 
 def _widest(nodes: DataFrame) -> DataFrame:
@@ -54,7 +74,7 @@ def _key(cut: Column) -> Column:
     """31 bits of the coordinate inside the node's range, then 32 bits of hash."""
     at = F.element_at(F.array(*DIMS), 1 - cut["i"])
     coordinate = F.coalesce(F.floor(F.try_divide(at - cut["lo"], cut["hi"] - cut["lo"]) * ((1 << 31) - 1)), F.lit(0)).cast("long")
-    return F.shiftleft(coordinate, 32) + F.pmod(F.xxhash64("doc_id", "rid"), F.lit(1 << 32))
+    return F.shiftleft(coordinate, 32) + F.pmod("tie", F.lit(1 << 32))
 
 
 def kd_leaves(meta: DataFrame, leaves: int) -> DataFrame:
@@ -63,7 +83,8 @@ def kd_leaves(meta: DataFrame, leaves: int) -> DataFrame:
     A node for k leaves gives floor(k / 2) of k parts of its weight to the left.
     """
     spans = meta.agg(*((F.max(d) - F.min(d)).alias(f"all_{d}") for d in DIMS)).first()
-    placed = meta.withColumn("node", F.lit(0)).withColumn("k", F.lit(leaves))
+    own = [c for c in meta.columns if c != "node"]
+    placed = meta.withColumn("k", F.lit(leaves))
     for _ in range(math.ceil(math.log2(leaves)) if leaves > 1 else 0):
         ends = [f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("min", F.min), ("max", F.max))]
         stats = placed.filter("k > 1").groupBy("node", "k").agg(F.sum("size").alias("weight"), *ends)
@@ -82,9 +103,9 @@ def kd_leaves(meta: DataFrame, leaves: int) -> DataFrame:
         half = F.floor(F.col("k") / 2).cast("int")
         split = F.col("__n").isNotNull()
         placed = materialise(
-            rows.select(*meta.columns, F.when(right, F.col("node") + half).otherwise(F.col("node")).alias("node"), F.when(right, F.col("k") - half).when(split, half).otherwise(F.col("k")).alias("k")), "shard-level"
+            rows.select(*own, F.when(right, F.col("node") + half).otherwise(F.col("node")).alias("node"), F.when(right, F.col("k") - half).when(split, half).otherwise(F.col("k")).alias("k")), "shard-level"
         )
-    return placed.select(*meta.columns, F.col("node").alias("shard"))
+    return placed.select(*own, F.col("node").alias("shard"))
 
 
 def _middle(counts: DataFrame) -> DataFrame:
@@ -106,16 +127,15 @@ def _middle(counts: DataFrame) -> DataFrame:
 
 def with_slots(placed: DataFrame) -> DataFrame:
     """``placed`` with ``slot``, gapless from 0 in each shard: ranges of ids are counted, offset and numbered on their own."""
-    placed = placed.withColumn("__h", F.xxhash64("doc_id", "rid"))
     counts = placed.groupBy("shard").agg(F.count("*").alias("__rows")).withColumn("__parts", F.ceil(F.col("__rows") / SLOT_ROWS))
     counts = materialise(counts, "shard-counts")
-    dealt = placed.join(if_small(counts), "shard").withColumn("__part", F.pmod("__h", F.col("__parts")))
+    dealt = placed.join(if_small(counts), "shard").withColumn("__part", F.pmod(F.shiftrightunsigned("tie", 32), F.col("__parts")))
     sizes = dealt.groupBy("shard", "__part").agg(F.count("*").alias("__c"))
     before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialise(sizes.select("shard", "__part", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before")), "shard-offsets")
-    number = F.row_number().over(Window.partitionBy("shard", "__part").orderBy("__h", "rid"))
+    number = F.row_number().over(Window.partitionBy("shard", "__part").orderBy("tie"))
     numbered = dealt.withColumn("__i", number)
-    return numbered.join(if_small(offsets), ["shard", "__part"]).select(*placed.drop("__h").columns, (F.col("__before") + F.col("__i") - 1).cast("long").alias("slot"))
+    return numbered.join(if_small(offsets), ["shard", "__part"]).select(*placed.columns, (F.col("__before") + F.col("__i") - 1).cast("long").alias("slot"))
 
 
 def shard_rows(docs: DataFrame, leaves: int = 8) -> DataFrame:
@@ -128,3 +148,8 @@ def leaves_for(docs: DataFrame, target_bytes: int) -> int:
     """How many leaves reach the target bytes."""
     total = docs.agg(F.sum(n_bytes(F.col("text")) + 1)).first()[0] or 0
     return max(1, math.ceil(total / target_bytes))
+
+
+def shards_of_bytes(docs: DataFrame, target_bytes: int) -> DataFrame:
+    """Like :func:`shard_rows`, split until leaves reach the target bytes."""
+    return shard_rows(docs, leaves_for(docs, target_bytes))

@@ -2,15 +2,18 @@
 
 Texts are dealt by ranges of ids, sorted, encoded and written; so files and stripes follow in id order, a
 reader of some ids skips by file, stripe and row-index statistics and by Bloom filter, and stripes can be read
-in parallel.  The encoder cuts ordinary texts as the tokenizer does and remembers pieces; a new piece
-goes through the tokenizer's own model, and a text with anything out of the ordinary through the whole tokenizer.
+in parallel.  Any tokenizers file does.  Where a file declares the normaliser and the cut that ``KNOWN`` states, the
+encoder cuts ordinary texts so itself and remembers pieces: a new piece goes through the file's own model, and a text
+with anything out of the ordinary through the whole tokenizer.  With any other file every text does.
 
-Defined cases: null text is empty and has the end id alone; null ids sort first; rows of equal id are in
-the order of their texts, null first; an empty table gives an empty table; other columns are ignored.
+Defined cases: null text is empty and has the end id alone; null ids sort first; rows of equal id are in the order of
+the first ``PREFIX`` characters of their texts (null first), then of their hashes, so one id can span many files; an
+empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,12 +27,34 @@ from .common import buckets_for, if_small, materialise, new_path, shuffle_files_
 
 END_ID = 1
 FILE_BYTES = 24 << 20
+#: Files grow rather than become more than this.
+MOST_FILES = 50_000
+PREFIX = 64
 ROWS_AT_ONCE_BYTES = 16 << 20
 #: How this tokenizer cuts lower-case Latin-1 text (its own pattern; fixed value).
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 #: Latin-1 characters that are control characters, white space to one library only, or letters and numbers outside the ranges above.
 ODD = bytes([*range(0x09), *range(0x0E, 0x20), *range(0x7F, 0xA1), 0xAA, 0xAD, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE])
 PIECES_KEPT = 400_000
+#: What a file must declare for its texts to be cut here (fixed values of its format).
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+}
+
+
+def cuts_as_here(declared: dict) -> bool:
+    """Does a tokenizers file, as a dictionary, cut ordinary texts as :data:`PIECES` does?"""
+    model = declared["model"]
+    marked = all(t["content"].startswith("<|") and not t["normalized"] for t in declared["added_tokens"])
+    return marked and model["type"] == "BPE" and not model.get("dropout") and all(declared.get(k) == v for k, v in KNOWN.items())
 
 
 def ordinary(text: str) -> bool:
@@ -48,6 +73,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        self.cuts = cuts_as_here(json.loads(self.whole.to_str()))
         self.model = self.whole.model
         self.mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.young: dict[str, bytes] = {}
@@ -65,7 +91,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not ordinary(text):
+        if not self.cuts or not ordinary(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         pieces = PIECES.findall(text.lower())
         out = [*map(self.young.get, pieces)]
@@ -108,9 +134,12 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
 def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     """Write the ids of all texts as ORC in id order; ``seq`` numbers rows in that order (file in the high bits)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = buckets_for(total_bytes(rows), FILE_BYTES, 4)
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    out = encoded(ordered, tokenizer).withColumn("seq", F.monotonically_increasing_id())
+    parts = min(MOST_FILES, buckets_for(total_bytes(rows), FILE_BYTES, 4))
+    # the last keys split an id of many rows; only rows of equal id and text can change places
+    keys = {"__prefix": F.substring("text", 1, PREFIX), "__hash": F.xxhash64("text"), "__row": F.monotonically_increasing_id()}
+    order = ["doc_id", *keys]
+    ordered = rows.withColumns(keys).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    out = encoded(ordered.select("doc_id", "text"), tokenizer).withColumn("seq", F.monotonically_increasing_id())
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20)}
     with shuffle_files_dropped(docs.sparkSession):
         out.write.options(**options).orc(path)

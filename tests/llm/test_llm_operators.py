@@ -51,11 +51,55 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == x.ids, text
 
 
-def test_lookup_prunes(spark, docs, tmp_path):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer_gives_its_own_ids(name, tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    rng = random.Random(2)
+    parts = ["The", " the ", "ß", "Ünï", "’s", "'LL", "1", "23", "½", "\n\n", "日本", "\x00", "<|endoftext|>", "a\u0301"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 15))) for _ in range(400)]
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    changed = Tokenizer.from_file(public_tokenizers.path(name))
+    changed.normalizer = normalizers.NFKC()  # no lower case
+    changed.save(str(tmp_path / "changed.json"))
+    for path, want in ((public_tokenizers.path(name), whole), (str(tmp_path / "changed.json"), changed)):
+        own = tokens.Encoder(path)
+        assert own.cuts == (name == "word_bpe_49k.json" and want is whole)
+        for t in texts:
+            assert np.frombuffer(own.encode(t), dtype="<u4").tolist() == want.encode(t, add_special_tokens=False).ids
+
+
+def test_one_id_spans_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "FILE_BYTES", 2000)
+    same = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    other = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("x"), F.col("id")).alias("text"))
     path = f"file://{tmp_path}/tok"
-    tokens.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), path)
-    found = tokens.lookup(spark, path, [3, 5])
-    assert {r["doc_id"] for r in found.collect()} == {3, 5}
+    tokens.write_tokens(same.unionAll(other), public_tokenizers.path("word_bpe_49k.json"), path)
+    files = tokens.read_tokens(spark, path).groupBy(F.input_file_name().alias("f")).count().collect()
+    assert len(files) > 15 and max(r["count"] for r in files) < 1500
+
+
+def test_files_carry_indexes(spark, docs, tmp_path, monkeypatch):
+    """Run lengths, row groups and Bloom filters as the files' own metadata has them, and a filter that prunes."""
+    path = f"file://{tmp_path}/tok"
+    many = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id")).alias("text"))
+    tokens.write_tokens(many, public_tokenizers.path("word_bpe_49k.json"), path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    spans, rows = [], 0
+    for f in sorted(p for p in tmp_path.rglob("part-*.orc")):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000 and reader.getStripes().size() >= 1
+        footer = reader.rows().readStripeFooter(reader.getStripes().get(0))
+        kinds = [s.getKind().toString() for s in footer.getStreamsList()]
+        assert "ROW_INDEX" in kinds and "BLOOM_FILTER_UTF8" in kinds
+        encodings = [c.getKind().toString() for c in footer.getColumnsList()]
+        assert encodings.count("DIRECT_V2") >= 3  # integers and list lengths run-length encoded
+        told = reader.getStatistics()[1]
+        spans.append((told.getMinimum(), told.getMaximum()))
+        rows += reader.getNumberOfRows()
+    assert rows == 12_000 and len(spans) >= 4 and all(a[1] < b[0] for a, b in zip(sorted(spans), sorted(spans)[1:]))
+    found = tokens.lookup(spark, path, [3, 11_005])
+    assert {r["doc_id"] for r in found.collect()} == {3, 11_005}
     assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString().replace("PushedFilters: [IsNotNull(doc_id), In", "PushedFilters: [In")
 
 
@@ -112,6 +156,48 @@ def test_shards_are_even_with_ties(spark):
     assert len(sizes) == 8 and max(r["s"] for r in sizes) - min(r["s"] for r in sizes) <= 20
 
 
+def shard_set(df):
+    return Counter(map(tuple, df.collect()))
+
+
+def test_shards_do_not_depend_on_file_splits(spark, docs):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    once = shard_set(sharding.shard_rows(d))
+    assert shard_set(sharding.shard_rows(d.repartition(5))) == shard_set(sharding.shard_rows(d.orderBy(F.desc("text")).repartition(3, "lang"))) == once
+    assert shard_set(sharding.shard_rows(docs)) == shard_set(sharding.shard_rows(docs.repartition(7)))
+
+
+def test_shards_follow_the_tree(spark):
+    """Nodes split by hand: the widest dimension, rows in the order of its coordinate, half the bytes to the left."""
+    rows = [(i, "x" * (10 + i * 7 % 50), f"source_{i % 23}", "ab"[i % 2]) for i in range(400)]
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), 4).collect()}
+    at = {k: sorted({r[k] for r in rows}) for k in (2, 3)}
+    spot = {r[0]: (r[0], len(r[1]) + 1, at[2].index(r[2]), at[3].index(r[3])) for r in rows}
+    whole = [max(x) - min(x) for x in zip(*spot.values())]
+
+    def split(ids, k, first):
+        if k == 1:
+            assert {got[i] for i in ids} == {first}
+            return
+        spans = [(max(x) - min(x)) / w for x, w in zip(zip(*(spot[i] for i in ids)), whole)]
+        d = spans.index(max(spans))
+        left = [i for i in ids if got[i] < first + k // 2]
+        right = [i for i in ids if got[i] >= first + k // 2]
+        assert max(spot[i][d] for i in left) <= min(spot[i][d] for i in right)
+        size = lambda x: sum(spot[i][1] for i in x)
+        assert abs(size(left) - size(ids) * (k // 2) / k) <= max(spot[i][1] for i in ids)
+        split(left, k // 2, first)
+        split(right, k - k // 2, first + k // 2)
+
+    split(list(spot), 4, 0)
+
+
+def test_shards_of_target_bytes(spark):
+    d = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("y" * 99).alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"))
+    sizes = sharding.shards_of_bytes(d, 9_500).groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    assert len(sizes) == 11 and max(r["s"] for r in sizes) <= 9_500 and sharding.leaves_for(d.limit(0), 10) == 1
+
+
 # 4
 
 
