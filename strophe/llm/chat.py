@@ -1,32 +1,31 @@
 """Chat formatting with mappings chosen by schema fingerprints.
 
-A record layout is known by its fingerprint: the SHA-256 of its sorted nested field paths.  ``MAPPINGS``
-declares, per fingerprint, the SQL expression that gives the canonical turns (array of role, text) of a
-record, so prompt, instruction and message layouts go through one template.  Typed tables are
-fingerprinted from their schema, JSON records row by row from their own paths.
+A record layout is known by its fingerprint: the SHA-256 of its sorted nested field paths, of those that some
+layout uses (``id``, ``source`` and the like play no part).  ``LAYOUTS`` declares for each what ``from_json`` needs to
+read it and the SQL expression of its canonical turns (array of role, text), so prompt, instruction and message
+layouts go through one template.  Typed tables are fingerprinted from their schema, JSON records row by row from
+their own paths, at any depth.
 
-Template: ``<s>role[INST]text</s>`` for each turn.  Roles and texts are escaped first (``\\`` as ``\\\\``,
+Template: ``<s>role[INST]text</s>`` for each turn.  Roles and texts are escaped (``\\`` as ``\\\\``,
 ``<`` as ``\\l``, ``[`` as ``\\b``), so no control string can occur inside them, and ``unescaped`` gives
 them back exactly.  The loss mask holds code-point spans over assistant texts.
 
 Only DataFrame functions are used.  Defined cases: null role or text is empty; turns sort by (turn, role,
 text), nulls first, so ties and repeated rows stay, in a fixed order; a null conversation id is a
-conversation of its own; a record of an unknown layout raises; an empty table gives an empty result; other
-columns are ignored.  One conversation becomes one row, as its digest needs all its text in order: its
+conversation of its own; a typed table of an unknown layout raises; a JSON record of an unknown layout (or null, or
+no JSON) has no turns, is listed by ``rejected`` and counted by ``reject_counts``; an empty table gives an empty result;
+other columns are ignored.  One conversation becomes one row, as its digest needs all its text in order: its
 size is what one task must hold.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import let
-
 OPEN, HEAD, CLOSE = "<s>", "[INST]", "</s>"
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -42,65 +41,101 @@ def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-#: Field paths of a layout, and the SQL expression of its turns.
+def _pair(user: str, assistant: str) -> str:
+    return f"array(struct('user' as role, {user} as text), struct('assistant' as role, {assistant} as text))"
+
+
+#: Field paths of a layout, the columns of its records, and the SQL expression of the turns of a record ``r``.
 LAYOUTS = {
-    "turn_rows": (["role", "text", "turn"], None),
-    "messages": (["messages[].content", "messages[].role"], "transform(messages, m -> struct(m.role as role, m.content as text))"),
-    "from_value": (["conversations[].from", "conversations[].value"], "transform(conversations, m -> struct(case m.`from` when 'human' then 'user' when 'gpt' then 'assistant' else m.`from` end as role, m.value as text))"),
-    "prompt_completion": (["completion", "prompt"], "array(struct('user' as role, prompt as text), struct('assistant' as role, completion as text))"),
-    "question_answer": (["answer", "question"], "array(struct('user' as role, question as text), struct('assistant' as role, answer as text))"),
-    "instruction": (["input", "instruction", "output"], "array(struct('user' as role, concat_ws('\\n\\n', nullif(instruction, ''), nullif(input, '')) as text), struct('assistant' as role, output as text))"),
-    "instruction_only": (["instruction", "output"], "array(struct('user' as role, instruction as text), struct('assistant' as role, output as text))"),
+    "turn_rows": (["role", "text", "turn"], None, None),
+    "messages": (["messages[].content", "messages[].role"], "messages array<struct<role string, content string>>", "transform(r.messages, m -> struct(m.role as role, m.content as text))"),
+    "message_parts": (
+        ["messages[].content[].text", "messages[].content[].type", "messages[].role"],
+        "messages array<struct<role string, content array<struct<type string, text string>>>>",
+        "transform(r.messages, m -> struct(m.role as role, array_join(transform(m.content, c -> c.text), '') as text))",
+    ),
+    "no_messages": (["messages[]"], "messages array<string>", f"cast(array() as {TURNS})"),
+    "from_value": (
+        ["conversations[].from", "conversations[].value"],
+        "conversations array<struct<`from` string, value string>>",
+        "transform(r.conversations, m -> struct(case m.`from` when 'human' then 'user' when 'gpt' then 'assistant' else m.`from` end as role, m.value as text))",
+    ),
+    "prompt_completion": (["completion", "prompt"], "prompt string, completion string", _pair("r.prompt", "r.completion")),
+    "question_answer": (["answer", "question"], "question string, answer string", _pair("r.question", "r.answer")),
+    "instruction": (["input", "instruction", "output"], "instruction string, input string, output string", _pair("concat_ws('\\n\\n', nullif(r.instruction, ''), nullif(r.input, ''))", "r.output")),
+    "instruction_only": (["instruction", "output"], "instruction string, output string", _pair("r.instruction", "r.output")),
 }
-MAPPINGS = {fingerprint(paths): (name, turns) for name, (paths, turns) in LAYOUTS.items()}
-#: What from_json needs to read a JSON record of each layout.
-JSON_SCHEMAS = {
-    "messages": "messages array<struct<role string, content string>>", "from_value": "conversations array<struct<`from` string, value string>>", "prompt_completion": "prompt string, completion string",
-    "question_answer": "question string, answer string", "instruction": "instruction string, input string, output string", "instruction_only": "instruction string, output string",
-}
+#: By fingerprint: name, columns and turns.
+MAPPINGS = {fingerprint(paths): (name, columns, turns) for name, (paths, columns, turns) in LAYOUTS.items()}
+USED_PATHS = sorted({p for paths, _, _ in LAYOUTS.values() for p in paths})
 
 
 def layout_of(df: DataFrame, *ids: str) -> tuple[str, str | None]:
     """Name and mapping of a table's layout; ``ids`` are not part of a record."""
     paths = field_paths(T.StructType([f for f in df.schema.fields if f.name not in ids]))
-    found = MAPPINGS.get(fingerprint(paths))
+    found = MAPPINGS.get(fingerprint([p for p in paths if p in USED_PATHS]))
     if not found:
         raise ValueError(f"no mapping for a layout with the fields {sorted(paths)}")
-    return found
+    return found[0], found[2]
 
 
-def json_fingerprint(record: Column) -> Column:
-    """The fingerprint of a JSON record: its own schema, types dropped, as sorted paths, hashed."""
+def json_paths(record: Column) -> Column:
+    """The nested field paths of a JSON record, sorted; null for what is no JSON.
+
+    Spark prints the record's schema (``OBJECT<a: ARRAY<OBJECT<b: STRING>>>``, odd names in backticks); one pass over its
+    tokens keeps the paths of the open objects as a stack.
+    """
     shape = F.schema_of_variant(F.try_parse_json(record))
-    flat = F.regexp_replace(shape, r": (?!OBJECT<|ARRAY<)[A-Z]+(\([0-9,]+\))?", "")
-    inner = F.regexp_extract(flat, r"^OBJECT<(\w+): ARRAY<OBJECT<(.*)>>>$", 0) != ""
-    fields = F.split(F.when(inner, F.regexp_extract(flat, r"OBJECT<(\w+): ARRAY<OBJECT<(.*)>>>", 2)).otherwise(F.regexp_extract(flat, r"^OBJECT<(.*)>$", 1)), ", ")
-    named = F.when(inner, F.transform(fields, lambda x: F.concat(F.regexp_extract(flat, r"OBJECT<(\w+)", 1), F.lit("[]."), x))).otherwise(fields)
-    return F.sha2(F.array_join(F.sort_array(named), "\n"), 256)
+    tokens = F.regexp_extract_all(shape, F.lit(r"(`(?:[^`]|``)*`|[A-Za-z0-9_]+(?:\([0-9, ]+\))?|[<>:,])"), 1)
+    pairs = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), F.coalesce(F.get(tokens, i + 1), F.lit("")).alias("then")))
+    start = F.struct(F.array(F.lit("")).alias("open"), F.lit("").alias("at"), F.array().cast("array<string>").alias("paths"))
+
+    def step(a: Column, e: Column) -> Column:
+        state = lambda open_, at, paths: F.struct(open_.alias("open"), at.alias("at"), paths.alias("paths"))
+        token, top = e["t"], F.element_at(a["open"], -1)
+        named = e["then"] == ":"
+        plain = F.replace(F.regexp_replace(token, "^`|`$", ""), F.lit("``"), F.lit("`"))
+        below = F.concat(top, F.when(top == "", "").otherwise("."), plain)
+        nested, inside = e["then"] == "<", F.concat(a["at"], F.lit("[]"))
+        push = lambda path: F.concat(a["open"], F.array(path))
+        return (
+            F.when(named, state(a["open"], below, a["paths"]))
+            .when(token.isin("<", ":", ","), a)
+            .when(token == ">", state(F.slice(a["open"], 1, F.size(a["open"]) - 1), a["at"], a["paths"]))
+            .when(nested & (token == "OBJECT"), state(push(a["at"]), a["at"], a["paths"]))
+            .when(nested, state(push(inside), inside, a["paths"]))
+            .otherwise(state(a["open"], a["at"], F.concat(a["paths"], F.array(a["at"]))))
+        )
+
+    return F.when(shape.isNotNull(), F.array_sort(F.aggregate(pairs, start, step, lambda a: a["paths"])))
+
+
+def json_fingerprint(paths: Column) -> Column:
+    """The fingerprint of a record from its paths: those that some layout uses."""
+    used = F.array(*map(F.lit, USED_PATHS))
+    return F.sha2(F.array_join(F.filter(paths, lambda p: F.array_contains(used, p)), "\n"), 256)
 
 
 def json_turns(records: DataFrame, column: str = "record") -> DataFrame:
-    """Canonical turns of heterogeneous JSON records, each by the mapping that its fingerprint selects."""
-    known = records.withColumn("__print", json_fingerprint(F.col(column)))
-    turns = F.lit(None).cast(TURNS)
-    for print_, (name, mapping) in MAPPINGS.items():
-        if name in JSON_SCHEMAS:
-            parsed = F.from_json(F.col(column), JSON_SCHEMAS[name])
-            turns = F.when(F.col("__print") == print_, let(parsed, partial(_mapped, name))).otherwise(turns)
-    return known.withColumn("turns", turns).withColumn("layout", F.create_map(*(F.lit(x) for p, (n, _) in MAPPINGS.items() for x in (p, n)))[F.col("__print")]).drop("__print")
-
-
-def _mapped(name: str, r: Column) -> Column:
-    """The mapping of a layout over a parsed record."""
-    turn = lambda role, text: F.struct((F.lit(role) if isinstance(role, str) else role).alias("role"), text.alias("text"))
-    if name == "messages":
-        return F.transform(r["messages"], lambda m: turn(m["role"], m["content"]))
-    if name == "from_value":
-        role = lambda x: F.when(x == "human", "user").when(x == "gpt", "assistant").otherwise(x)
-        return F.transform(r["conversations"], lambda m: turn(role(m["from"]), m["value"]))
-    a, b = {"prompt_completion": ("prompt", "completion"), "question_answer": ("question", "answer")}.get(name, ("instruction", "output"))
-    first = F.concat_ws("\n\n", F.nullif(r["instruction"], F.lit("")), F.nullif(r["input"], F.lit(""))) if name == "instruction" else r[a]
-    return F.array(turn("user", first), turn("assistant", r[b]))
+    """Adds ``paths``, ``layout`` and ``turns`` of heterogeneous JSON records, each by the mapping that its fingerprint selects."""
+    known = records.withColumn("paths", json_paths(F.col(column))).withColumn("__print", json_fingerprint(F.col("paths")))
+    turns, layout = F.lit(None).cast(TURNS), F.lit(None).cast("string")
+    for print_, (name, columns, mapping) in MAPPINGS.items():
+        if columns:
+            mine = F.col("__print") == print_
+            turns = F.when(mine, F.expr(f"element_at(transform(array(from_json(`{column}`, '{columns}')), r -> {mapping}), 1)").cast(TURNS)).otherwise(turns)
+            layout = F.when(mine, name).otherwise(layout)
+    return known.withColumn("turns", turns).withColumn("layout", layout).drop("__print")
+
+
+def rejected(mapped: DataFrame) -> DataFrame:
+    """The records of :func:`json_turns` that no mapping fits."""
+    return mapped.filter("layout IS NULL").drop("layout", "turns")
+
+
+def reject_counts(mapped: DataFrame) -> DataFrame:
+    """(paths, n): how many records of each unknown layout there are; null paths are no JSON."""
+    return rejected(mapped).groupBy("paths").agg(F.count("*").alias("n"))
 
 
 def escaped(text: Column) -> Column:
@@ -115,27 +150,37 @@ def unescaped(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, r"\\\\", -1), piece), "\\")
 
 
+def _exploded(rows: DataFrame, id_col: str, turns: Column) -> DataFrame:
+    return rows.select(id_col, F.posexplode(turns).alias("turn", "t")).select(id_col, F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
+
+
 def turn_rows(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Rows (id, turn, role, text) of any known layout."""
+    """Rows (id, turn, role, text) of a table of any known layout."""
     _, mapping = layout_of(df, id_col)
     if mapping is None:
-        return df.select(id_col, "turn", "role", "text")
-    return df.select(id_col, F.posexplode(F.expr(mapping)).alias("turn", "t")).select(id_col, F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
+        return df.select(id_col, F.col("turn").cast("long").alias("turn"), "role", "text")
+    return _exploded(df, id_col, F.expr(f"element_at(transform(array(struct(*)), r -> {mapping}), 1)"))
+
+
+def json_turn_rows(records: DataFrame, id_col: str = "conv_id", column: str = "record") -> DataFrame:
+    """Rows (id, turn, role, text) of the JSON records that a mapping fits."""
+    return _exploded(json_turns(records, column).filter("layout IS NOT NULL"), id_col, F.col("turns"))
 
 
 def formatted(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """One row per conversation: the formatted text and the loss mask (half-open code-point spans)."""
-    role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
-    head = F.concat(F.lit(OPEN), escaped(role), F.lit(HEAD))
-    shown = turns.select(id_col, "turn", role.alias("role"), head.alias("head"), escaped(text).alias("body"))
-    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "body", "head")))
-    whole = shown.groupBy(id_col).agg(rows.alias("t"))
+    role, text = (F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text"))
+    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    whole = turns.select(F.col(id_col), "turn", role, text).groupBy(id_col).agg(rows.alias("t"))
+    shown = lambda r: F.struct(r["role"].alias("role"), F.concat(F.lit(OPEN), escaped(r["role"]), F.lit(HEAD)).alias("head"), escaped(r["text"]).alias("body"))
+    whole = whole.withColumn("t", F.transform("t", shown))
     end = lambda r: F.length(r["head"]) + F.length(r["body"]) + len(CLOSE)
+    lengths = F.transform("t", lambda r: F.struct((r["role"] == "assistant").alias("told"), F.length(r["head"]).alias("head"), end(r).alias("all")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("mask"))
-    span = lambda a, r: F.array(F.struct((a["at"] + F.length(r["head"])).alias("start"), (a["at"] + F.length(r["head"]) + F.length(r["body"])).alias("stop")))
-    step = lambda a, r: F.struct((a["at"] + end(r)).alias("at"), F.when(r["role"] == "assistant", F.concat(a["mask"], span(a, r))).otherwise(a["mask"]).alias("mask"))
+    span = lambda a, n: F.array(F.struct((a["at"] + n["head"]).alias("start"), (a["at"] + n["all"] - len(CLOSE)).alias("stop")))
+    step = lambda a, n: F.struct((a["at"] + n["all"]).alias("at"), F.when(n["told"], F.concat(a["mask"], span(a, n))).otherwise(a["mask"]).alias("mask"))
     joined = F.array_join(F.transform("t", lambda r: F.concat(r["head"], r["body"], F.lit(CLOSE))), "")
-    return whole.select(id_col, joined.alias("formatted"), F.aggregate("t", start, step, lambda a: a["mask"]).alias("loss_mask"))
+    return whole.select(id_col, joined.alias("formatted"), F.aggregate(lengths, start, step, lambda a: a["mask"]).alias("loss_mask"))
 
 
 def parsed(text: Column) -> Column:

@@ -21,11 +21,15 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_index(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+#: Conversation -1 is a JSON record of another layout than the table, and holds control strings.
+PROBE = """{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}"""
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation -1 holds control strings; the formatted table is written and read back."""
-    probe = spark.sql("SELECT -1L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
-    turns = chat.turn_rows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")).unionByName(probe)
-    return chat.digests(materialise(chat.formatted(turns), "chat"))
+    """Table rows and a JSON record, each by the mapping its fingerprint selects; the formatted table is written and read back."""
+    probe = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(PROBE).alias("record"))
+    table_turns = chat.turn_rows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return chat.digests(materialise(chat.formatted(table_turns.unionByName(chat.json_turn_rows(probe))), "chat"))
 
 
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import random
 import re
 import zlib
@@ -124,16 +125,58 @@ def test_chat_round_trip(spark):
 
 
 def test_layouts(spark):
-    records = ['{"messages": [{"role": "user", "content": "hi"}]}', '{"prompt": "p", "completion": "c"}', '{"instruction": "i", "input": "n", "output": "o"}', '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}', '{"other": 1}', "not json", None]
-    got = chat.json_turns(spark.createDataFrame([(r,) for r in records], "record string")).collect()
-    assert [r["layout"] for r in got] == ["messages", "prompt_completion", "instruction", "from_value", None, None, None]
-    assert [[(t["role"], t["text"]) for t in r["turns"]] for r in got if r["turns"]] == [[("user", "hi")], [("user", "p"), ("assistant", "c")], [("user", "i\n\nn"), ("assistant", "o")], [("user", "q"), ("assistant", "a")]]
-    typed = spark.createDataFrame([(1, [("user", "hi")])], "conv_id long, messages array<struct<role string, content string>>")
+    records = [
+        ('{"messages": [{"role": "user", "content": "hi"}]}', "messages", [("user", "hi")]),
+        ('{"id": 7, "meta": {"a b": [1], "c,d": {"e": null}}, "messages": [{"content": "hi", "role": "user", "n": 1}, {"role": null, "content": null}]}', "messages", [("user", "hi"), (None, None)]),
+        ('{"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}]}', "message_parts", [("user", "ab")]),
+        ('{"messages": []}', "no_messages", []),
+        ('{"prompt": "p", "completion": "c", "source": "x"}', "prompt_completion", [("user", "p"), ("assistant", "c")]),
+        ('{"question": "q", "answer": null}', "question_answer", [("user", "q"), ("assistant", None)]),
+        ('{"instruction": "i", "input": "n", "output": "o"}', "instruction", [("user", "i\n\nn"), ("assistant", "o")]),
+        ('{"output": "o", "instruction": "i"}', "instruction_only", [("user", "i"), ("assistant", "o")]),
+        ('{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}', "from_value", [("user", "q"), ("assistant", "a")]),
+        ('{"other": 1}', None, None), ('{"prompt": "p", "messages": [{"role": "user", "content": "x"}]}', None, None), ("not json", None, None), ("[1, 2]", None, None), ("{}", None, None), (None, None, None), ("not json", None, None),
+    ]
+    mapped = chat.json_turns(spark.createDataFrame([(i, r) for i, (r, _, _) in enumerate(records)], "conv_id long, record string")).cache()
+    got = mapped.orderBy("conv_id").collect()
+    assert [r["layout"] for r in got] == [x for _, x, _ in records]
+    assert [r["turns"] and [tuple(t) for t in r["turns"]] for r in got] == [x for _, _, x in records]
+    assert chat.rejected(mapped).count() == 7 and {str(r["paths"]): r["n"] for r in chat.reject_counts(mapped).collect()}["None"] == 3
+    typed = spark.createDataFrame([(1, [("user", "hi")], "x")], "conv_id long, messages array<struct<role string, content string>>, source string")
     assert [tuple(r) for r in chat.turn_rows(typed).collect()] == [(1, 0, "user", "hi")]
     with pytest.raises(ValueError):
         chat.turn_rows(spark.createDataFrame([(1, 2)], "conv_id long, strange int"))
 
 
+def test_json_paths_at_any_depth(spark):
+    def plain(v, at=""):
+        if isinstance(v, dict):
+            return {p for k, x in v.items() for p in plain(x, f"{at}.{k}" if at else k)}
+        return {p for x in v for p in plain(x, f"{at}[]")} or {f"{at}[]"} if isinstance(v, list) else {at}
+
+    rng = random.Random(4)
+
+    def record(depth):
+        kind = rng.random()
+        if depth and kind < 0.5:
+            return {rng.choice(["a", "OBJECT", "b c", "d,e", "f:g", "<h>", "i`j", "1", "ARRAY"]): record(depth - 1) for _ in range(rng.randint(1, 3))}
+        if depth and kind < 0.7:
+            inner = record(depth - 1)
+            return [inner, inner]
+        return rng.choice([1, 2.5, "x", True, None, "2020-01-01", 10**25])
+
+    records = [{"k": record(5)} for _ in range(300)]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "i int, record string")
+    got = {r["i"]: set(r["p"]) for r in df.select("i", chat.json_paths(F.col("record")).alias("p")).collect()}
+    assert got == {i: plain(r) for i, r in enumerate(records)}
+
+
+def test_turn_ties_sort_by_text(spark):
+    rows = [(1, 0, "user", "["), (1, 0, "user", "<"), (1, 0, "user", "\\"), (1, 0, "user", "a")]
+    out = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select(chat.parsed(F.col("formatted")).alias("t")).first()
+    assert [t["text"] for t in out["t"]] == ["<", "[", "\\", "a"]
+
+
 # 3
 
 
