@@ -9,7 +9,7 @@ order, meet in one merge by binary search, and a token over a boundary goes by a
 * ``split``: to each section the share of its bytes.
 
 Defined cases: null and empty texts have one empty section without tokens; a final line break ends the last
-section and opens no other; ids play no part, so repeated rows and null ids each come back; an empty table gives an
+section and opens no other; ids of any type play no part, so repeated rows and null ids each come back; an empty table gives an
 empty result; other columns are ignored.  Texts with very long runs without a break are encoded whole as well.
 """
 
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SCHEMA = "doc_id bigint, section bigint, start_char bigint, n_chars bigint, n_tokens double, n_crossing bigint"
+SCHEMA = "section bigint, start_char bigint, n_chars bigint, n_tokens double, n_crossing bigint"
 
 
 class Encoder:
@@ -103,4 +103,4 @@ def section_tokens(docs: DataFrame, ranks: str, pattern: str, rule: str = "major
                 row, section, at, chars, counts, touched = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *map(pa.array, (section, at, chars, counts, touched))], names=["doc_id", "section", "start_char", "n_chars", "n_tokens", "n_crossing"])
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {SCHEMA}")

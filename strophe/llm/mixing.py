@@ -10,7 +10,7 @@ source is rounded to the nearer end, so a source misses its target by half a doc
 
 Draws are hashes of ids and the seed, chunks sort by hash, so reruns agree.  Only DataFrame functions are
 used.  Defined cases: null or blank text has size 0 and takes nothing; a null source is a source of its own,
-last in order; documents of equal id and length are interchangeable; an
+last in order; chunks sort by hash of id and text, then by size, so only rows equal in both are interchangeable; an
 empty table gives an empty result; other columns pass through :func:`mixed`.
 """
 
@@ -56,7 +56,7 @@ def _draw(*parts: Column) -> Column:
 
 def _fold(chunk: Column) -> Column:
     """One pass over a chunk, sorted: ``live`` is the fractional document (or none), ``done`` the decided ones."""
-    item = "struct<h:bigint,rid:bigint,s:bigint,p:double>"
+    item = "struct<h:bigint,s:bigint,rid:bigint,p:double>"
     start = F.struct(F.lit(None).cast(item).alias("live"), F.array().cast("array<struct<rid:bigint,bit:int>>").alias("done"))
 
     def moved(a: Column, b: Column) -> Column:
@@ -70,7 +70,7 @@ def _fold(chunk: Column) -> Column:
 
     def step(acc: Column, b: Column) -> Column:
         a = acc["live"]
-        with_p = lambda x, p: F.struct(x["h"].alias("h"), x["rid"].alias("rid"), x["s"].alias("s"), p.alias("p"))
+        with_p = lambda x, p: F.struct(x["h"].alias("h"), x["s"].alias("s"), x["rid"].alias("rid"), p.alias("p"))
         open_ = lambda p: (p > 0) & (p < 1)
         decided = lambda x, p: F.struct(x["rid"].alias("rid"), p.cast("int").alias("bit"))
 
@@ -99,7 +99,7 @@ def taken_copies(sized: DataFrame, name: str = "mix") -> DataFrame:
     while most:
         hashed = level.join(if_small(sources), level["__source"].eqNullSafe(sources["__source"])).select("rid", level["__source"], "s", "p", "__n", F.xxhash64(F.lit(depth + SEED), "h").alias("h"))
         chunk = F.pmod(F.shiftrightunsigned(F.col("h"), 20), F.ceil(F.col("__n") / CHUNK))
-        folded = hashed.groupBy("__source", chunk.alias("c")).agg(_fold(F.array_sort(F.collect_list(F.struct("h", "rid", "s", "p")))).alias("f"))
+        folded = hashed.groupBy("__source", chunk.alias("c")).agg(_fold(F.array_sort(F.collect_list(F.struct("h", "s", "rid", "p")))).alias("f"))
         folded = materialise(folded.select("__source", "f.live", "f.done"), f"{name}-level")
         bits.append(folded.select(F.explode("done").alias("d")).select("d.*"))
         last = most <= CHUNK
@@ -117,7 +117,7 @@ def taken_copies(sized: DataFrame, name: str = "mix") -> DataFrame:
 
 
 def _hash() -> Column:
-    return F.xxhash64(F.lit(SEED), "doc_id", F.length(F.coalesce("text", F.lit("")))).alias("h")
+    return F.xxhash64(F.lit(SEED), "doc_id", F.xxhash64("text")).alias("h")
 
 
 def sized(docs: DataFrame) -> DataFrame:

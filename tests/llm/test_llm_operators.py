@@ -392,6 +392,13 @@ def test_mix(docs, rows, nothing):
     assert mixed.columns == docs.columns and sum(len(words(r["text"])) for r in mixed.collect()) == sum(r["taken"] for r in got)
 
 
+def test_mix_does_not_depend_on_file_splits(spark):
+    rows = [(None, "a b " * (i % 3) + "x" * (i % 4), "s") for i in range(200)] + [(3, "one two three", "s")] * 40
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    once, again = (Counter((r["text"], r["n"]) for r in mixing.mixed(x).groupBy("text").agg(F.count("*").alias("n")).collect()) for x in (d.repartition(3), d.orderBy(F.desc("text")).repartition(7)))
+    assert once == again
+
+
 def test_pivot_is_unbiased(spark):
     hits = Counter()
     base = mixing.SEED
@@ -487,6 +494,57 @@ def test_attribution(docs, rows, nothing):
     assert attribution.section_tokens(nothing, path, pattern).count() == 0
 
 
+def spans_of(whole, text):
+    """Byte spans of the tokens of a text, from the library's own character offsets where they are exact, else by tokens' bytes."""
+    inverse = {c: b for b, c in byte_letters().items()}
+    ids = whole.encode(text, add_special_tokens=False).ids
+    at, out = 0, []
+    for i in ids:
+        n = len([inverse[c] for c in whole.id_to_token(i)])
+        out.append((at, at + n))
+        at += n
+    return out
+
+
+def byte_letters():
+    """The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+@pytest.mark.parametrize("rule", ["majority", "start", "split"])
+def test_attribution_by_section(spark, rule):
+    """Every section's tokens, characters and crossings against a count byte by byte."""
+    from tokenizers import Tokenizer
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole.encode_special_tokens = True
+    rng = random.Random(6)
+    parts = ["word", " the", "\n", "\n\n", "  ", "é", "日本", "😀", "\r\n", "\t", ".", "\n\n\n  x"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(120)] + ["", None, "\n", "\n\n", "a\n", "x" * 5000]
+    table = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").withColumn("section", F.lit("clash"))
+    got = {(r["doc_id"], r["section"]): (r["start_char"], r["n_chars"], round(r["n_tokens"], 9), r["n_crossing"]) for r in attribution.section_tokens(table, path, pattern, rule).collect()}
+    want = {}
+    for d, text in enumerate(t or "" for t in texts):
+        lines = text.split("\n")
+        sections = [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] or len(lines) == 1 else [])
+        owner = [k for k, x in enumerate(sections) for _ in x.encode()]
+        tokens_, crossing = Counter(), Counter()
+        for a, b in spans_of(whole, text):
+            held = Counter(owner[a:b])
+            to = {"majority": min(held, key=lambda k: (-held[k], k)), "start": owner[a]}.get(rule)
+            for k in held if rule == "split" else [to]:
+                tokens_[k] += held[k] / (b - a) if rule == "split" else 1
+                crossing[k] += len(held) > 1
+        at = 0
+        for k, x in enumerate(sections):
+            want[f"d{d}", k] = (at, len(x), round(float(tokens_[k]), 9), crossing[k])
+            at += len(x)
+    assert got == want
+
+
 def test_attribution_rules():
     starts, ends = np.array([0, 4, 6]), np.array([3, 7, 10])  # the token 3..7 covers 1, 2 and 1 bytes
     assert attribution.attributed(ends, starts, 10)[0].tolist() == [1, 1, 1]
