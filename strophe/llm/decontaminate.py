@@ -1,21 +1,24 @@
 """Benchmark decontamination by latent semantic retrieval, then common-subsequence and answer checks.
 
-1. Texts become sequences of benchmark word numbers, once (other words can't match; they keep their places).
+1. Texts become sequences of benchmark word numbers, once for all items (other words can't match; they keep their places).
 2. Passages are windows of ``2 * STRIDE`` words at every ``STRIDE``; document frequencies of the benchmark's words
    over all passages give TF-IDF weights.  Words in more than ``MAX_SHARE`` of passages weigh nothing, but each
    item keeps its ``LEAST_TERMS`` rarest.
 3. A randomised SVD of the passage matrix in one pass: every task adds up its part of ``A'(A R)`` for a random
-   ``R``, from which the Nystroem form gives singular values and right singular vectors; the range is completed
-   by the items' own vectors, so no item is lost by truncation.
-4. Passages and items meet in the latent space: cosine of ``MIN_COSINE`` or more makes a candidate.  An item longer
-   than a passage also comes as overlapping windows of a passage's length, any of which makes it a candidate.
+   ``R``, the parts add up by a tree, and the Nystroem form gives the right singular vectors.
+4. Passages and items meet in the latent space: cosine of ``MIN_COSINE`` or more makes a candidate.  The space of an item is
+   spanned by the singular vectors and the item itself, so truncation loses no item, and a cosine depends on the
+   passage, the item and the corpus, never on the items beside it.  An item longer than a passage also comes as
+   overlapping windows of a passage's length, any of which makes it a candidate.
 5. A candidate is a leak if a window of the text holds, in order, ``MIN_COMMON`` of the item's words, and also
    ``MIN_ANSWER`` of its last sentence (its answer) unless ``SURE_COMMON`` of all words are there.
 
-Items are taken in blocks of ``ITEMS_AT_ONCE``, which bounds every matrix; statistics cover all documents.
+The corpus is numbered once and read three times, whatever the number of items; items meet a batch of passages in
+blocks of ``ITEMS_AT_ONCE``, which bounds the matrices and changes no result.  The benchmark itself is sent to every
+task: one of more than ``MOST_ITEM_BYTES`` is refused (split it and join the leaks).
 
 Defined cases: null, empty and blank texts have no words and no leaks; an item without words matches
-nothing; repeated rows give the same leaks once; a null doc_id or item_id is carried as any value; either table
+nothing; repeated rows give the same leaks once; ids of any type and null ids are carried as any value; either table
 may be empty; other columns pass through :func:`decontaminated`.
 """
 
@@ -26,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop_table, if_small, materialise
 
 WORDS = re.compile(r"\w+")
 STRIDE = 48
@@ -41,9 +45,11 @@ MIN_COMMON = 0.6
 SURE_COMMON = 0.85
 MIN_ANSWER = 0.5
 ITEMS_AT_ONCE = 500
+MOST_ITEM_BYTES = 64 << 20
 #: Items longer than a passage are also sought by windows of a passage's length at this stride.
 ITEM_STRIDE = STRIDE // 2
 TERM_BLOCK = 512
+TASK_GROUPS = 64
 
 
 def item_windows(words: np.ndarray) -> list[np.ndarray]:
@@ -57,17 +63,17 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Items:
-    """A block of benchmark items: words by number, item sequences and answers."""
-
-    def __init__(self, rows: list) -> None:
-        self.ids = [r["item_id"] for r in rows]
-        texts = [words_of(r["text"]) for r in rows]
-        self.number = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
-        self.words = [np.array([self.number[w] for w in t], dtype=np.int32) for t in texts]
-        windows = [(w, i) for i, t in enumerate(self.words) for w in item_windows(t)]
-        self.queries = [*self.words, *(w for w, _ in windows)]
-        self.owner = np.array([*range(len(self.words)), *(i for _, i in windows)], dtype=np.int64)
-        answers = [[s for s in re.split(r"[.!?\n]+", r["text"] or "") if WORDS.search(s)] for r in rows]
+    """The benchmark: words by number, item sequences, answers, and the queries that seek them."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        split = [words_of(t) for t in texts]
+        self.number = {w: i for i, w in enumerate(dict.fromkeys(w for t in split for w in t))}
+        self.words = [np.array([self.number[w] for w in t], dtype=np.int32) for t in split]
+        # items without words seek nothing; the windows of a long item stand beside it, so a block holds near all of them
+        queries = [(w, i) for i, t in enumerate(self.words) if len(t) for w in [t, *item_windows(t)]]
+        self.queries = [w for w, _ in queries]
+        self.owner = np.array([i for _, i in queries], dtype=np.int64)
+        answers = [[s for s in re.split(r"[.!?\n]+", t or "") if WORDS.search(s)] for t in texts]
         self.answers = [np.array([self.number[w] for w in words_of(a[-1])], dtype=np.int32) if a else np.empty(0, dtype=np.int32) for a in answers]
 
 
@@ -155,14 +161,12 @@ class Weights:
             value = value / np.repeat(norm, np.diff(np.r_[start, len(passage)]))
         return passage[start], start, term, value.astype(np.float32), first
 
-    def dense(self, words: list[np.ndarray]) -> np.ndarray:
-        """Unit-length vectors of items or their windows."""
-        out = np.zeros((len(words), self.terms))
-        for i, w in enumerate(words):
-            own = self.column[w]
-            np.add.at(out[i], own[own >= 0], 1)
-        out *= self.idf
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-30)
+    def vector(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and unit-length weights of an item or a window of one."""
+        own = self.column[words]
+        term, count = np.unique(own[own >= 0], return_counts=True)
+        value = count * self.idf[term]
+        return term, value / max(float(np.linalg.norm(value)), 1e-30)
 
 
 ROWS_AT_ONCE = 1 << 13
@@ -178,31 +182,35 @@ def _projected(start: np.ndarray, term: np.ndarray, value: np.ndarray, basis: np
 
 
 def _summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    """Add up partial matrices by block of rows, then gather the sum."""
+    """Add up partial matrices by block of rows: those of each group of tasks first, then the groups' sums."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, block = None, 0
+        total, key = None, None
         for batch in batches:
-            for b, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            for *k, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "group", "blob")), strict=True):
                 x = np.frombuffer(blob)
-                total, block = (x.copy() if total is None else total + x), b
-        yield pa.RecordBatch.from_arrays([pa.array([block] * (total is not None), type=pa.int32()), pa.array([total.tobytes()] if total is not None else [], type=pa.binary())], names=["block", "blob"])
+                total, key = (x.copy() if total is None else total + x), k
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], type=pa.int32()) for x in key] + [pa.array([total.tobytes()])], names=["block", "group", "blob"])
 
+    schema = "block int, group int, blob binary"
     out = np.zeros(shape)
-    for r in parts.groupBy("block").applyInArrow(add, "block int, blob binary").collect():
+    for r in parts.groupBy("block", "group").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).collect():
         x = np.frombuffer(r["blob"]).reshape(-1, shape[1])
         out[r["block"] * TERM_BLOCK : r["block"] * TERM_BLOCK + len(x)] = x
     return out
 
 
-def latent_basis(texts: DataFrame, items: Items, weights: Weights) -> np.ndarray:
-    """Right singular vectors (terms by components) of the passages, in a range that holds every item."""
+def latent_basis(texts: DataFrame, weights: Weights) -> np.ndarray:
+    """Right singular vectors (terms by components) of the passages."""
     terms, sketch = weights.terms, min(SKETCH, weights.terms)
     random = np.random.default_rng(7).standard_normal((terms, sketch)).astype(np.float32)
 
     def emit(matrix: np.ndarray) -> pa.RecordBatch:
-        blocks = range(0, len(matrix), TERM_BLOCK)
-        return pa.RecordBatch.from_arrays([pa.array([b // TERM_BLOCK for b in blocks], type=pa.int32()), pa.array([matrix[b : b + TERM_BLOCK].tobytes() for b in blocks], type=pa.binary())], names=["block", "blob"])
+        some = [b for b in range(0, len(matrix), TERM_BLOCK) if matrix[b : b + TERM_BLOCK].any()]
+        group = TaskContext.get().partitionId() % TASK_GROUPS
+        blobs = pa.array([matrix[b : b + TERM_BLOCK].tobytes() for b in some], type=pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([b // TERM_BLOCK for b in some], type=pa.int32()), pa.array([group] * len(some), type=pa.int32()), blobs], names=["block", "group", "blob"])
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((terms, sketch))
@@ -217,11 +225,36 @@ def latent_basis(texts: DataFrame, items: Items, weights: Weights) -> np.ndarray
                 total[term[a:b][by][cut]] += np.add.reduceat(product[row[by]] * value[a:b][by][:, None], cut, axis=0)
         yield emit(total)
 
-    corpus = _summed(texts.mapInArrow(sketched, "block int, blob binary"), (terms, sketch))
+    corpus = _summed(texts.mapInArrow(sketched, "block int, group int, blob binary"), (terms, sketch))
     values, vectors = singular_vectors(corpus, random.astype(np.float64))
-    good = vectors[:, values > 1e-6 * values[:1].sum()]
-    basis, sizes, _ = np.linalg.svd(np.hstack([weights.dense(items.queries).T, good]), full_matrices=False)
-    return np.ascontiguousarray(basis[:, sizes > 1e-9 * sizes[:1].sum()]).astype(np.float32)
+    return np.ascontiguousarray(vectors[:, values > 1e-6 * values[:1].sum()]).astype(np.float32)
+
+
+class Space:
+    """The latent spaces of all queries: the shared singular vectors, and of each query what lies outside them."""
+
+    def __init__(self, items: Items, weights: Weights, basis: np.ndarray) -> None:
+        self.basis, self.terms = basis, weights.terms
+        self.vectors = [weights.vector(w) for w in items.queries]
+        self.inside = np.array([v.astype(np.float32) @ basis[t] for t, v in self.vectors], dtype=np.float32).reshape(len(self.vectors), basis.shape[1])
+        self.outside = np.maximum(1 - np.einsum("ij,ij->i", self.inside, self.inside, dtype=np.float64), 0).astype(np.float32)
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        """The first query of each block, and the block as columns."""
+        for lo in range(0, len(self.vectors), ITEMS_AT_ONCE):
+            some = self.vectors[lo : lo + ITEMS_AT_ONCE]
+            out = np.zeros((self.terms, len(some)), dtype=np.float32)
+            for i, (term, value) in enumerate(some):
+                out[term, i] = value
+            yield lo, out
+
+    def cosines(self, lo: int, projected: np.ndarray, product: np.ndarray) -> np.ndarray:
+        """Cosines of passages (their projections, and their products with a block of queries) with the queries."""
+        own = slice(lo, lo + product.shape[1])
+        beside = product - projected @ self.inside[own].T  # what a passage shares with the query outside the vectors
+        beside *= beside / np.maximum(self.outside[own], 1e-6) * (self.outside[own] > 1e-6)
+        length = np.einsum("ij,ij->i", projected, projected)[:, None] + beside
+        return product / np.sqrt(np.maximum(length, 1e-12))
 
 
 def singular_vectors(sketch: np.ndarray, random: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,62 +304,60 @@ def verdict(item: np.ndarray, answer: np.ndarray, text: np.ndarray, lo: int, hi:
     return best, at, best >= SURE_COMMON * n or best >= MIN_COMMON * n and told
 
 
-def leaks_of(texts: DataFrame, items: Items, weights: Weights, basis: np.ndarray, id_types: tuple[str, str]) -> DataFrame:
-    queries = weights.dense(items.queries).astype(np.float32) @ basis
-    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
-    schema = f"doc_id {id_types[0]}, item_id {id_types[1]}, n_common bigint, n_item bigint, at_word bigint, cosine double"
-    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_types[1]]
+def leaks_of(texts: DataFrame, items: Items, weights: Weights, space: Space) -> DataFrame:
+    """(doc_id, item, n_common, n_item, at_word, cosine) of every leak; ``item`` numbers the benchmark's rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, ids in _batches(batches):
-            found = []
-            passage, start, term, value, first = weights.rows(ids)
-            best: dict[tuple[int, int], tuple] = {}
-            for lo, _, product in _projected(start, term, value, basis):
-                product /= np.maximum(np.linalg.norm(product, axis=1, keepdims=True), 1e-12)
-                cosine = product @ queries.T
+    def candidates(ids: list[np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
+        """Text, place of the passage, item and cosine."""
+        passage, start, term, value, first = weights.rows(ids)
+        for at, columns in space.blocks():
+            both = np.hstack([space.basis, columns])
+            for lo, _, product in _projected(start, term, value, both):
+                k = space.basis.shape[1]
+                cosine = space.cosines(at, product[:, :k], product[:, k:])
                 rows, cols = np.nonzero(cosine >= MIN_COSINE)
-                owner, scores = items.owner[cols], cosine[rows, cols]
+                owner, scores = items.owner[at + cols], cosine[rows, cols]
                 by = np.lexsort((-scores, owner, rows))  # the best query of each passage and item
                 by = by[np.r_[True, (np.diff(rows[by]) != 0) | (np.diff(owner[by]) != 0)]] if len(by) else by
                 for p, i, c in zip(passage[lo + rows[by]].tolist(), owner[by].tolist(), scores[by].tolist(), strict=True):
                     t = int(np.searchsorted(first, p, side="right")) - 1
-                    if len(items.words[i]) == 0:
-                        continue
-                    at = (p - int(first[t])) * STRIDE
-                    common, where, leak = verdict(items.words[i], items.answers[i], ids[t], at, at + 2 * STRIDE)
-                    if leak and (common, c) > best.get((t, i), (0, 0.0))[:2]:
-                        best[t, i] = (common, c, where)
-            found = [(t, i, *v) for (t, i), v in best.items()]
-            columns = [doc_ids.take(pa.array([f[0] for f in found], type=pa.int64())), pa.array([items.ids[f[1]] for f in found], type=item_type)]
-            numbers = [pa.array([int(x) for x in xs], type=pa.int64()) for xs in ([f[2] for f in found], [len(items.words[f[1]]) for f in found], [f[4] for f in found])]
-            yield pa.RecordBatch.from_arrays([*columns, *numbers, pa.array([float(f[3]) for f in found], type=pa.float64())], names=["doc_id", "item_id", "n_common", "n_item", "at_word", "cosine"])
+                    yield t, (p - int(first[t])) * STRIDE, i, min(c, 1.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, ids in _batches(batches):
+            best: dict[tuple[int, int], tuple] = {}
+            for t, at, i, c in candidates(ids):
+                common, where, leak = verdict(items.words[i], items.answers[i], ids[t], at, at + 2 * STRIDE)
+                if leak and (common, c) > best.get((t, i), (0, 0.0))[:2]:
+                    best[t, i] = (common, c, where)
+            found = [(t, i, common, len(items.words[i]), where, c) for (t, i), (common, c, where) in best.items()]
+            columns = [*zip(*found, strict=True)] if found else [[]] * 6
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(columns[0], type=pa.int64())), *(pa.array(list(x), type=k) for x, k in zip(columns[1:], kinds, strict=True))], names=["doc_id", "item", "n_common", "n_item", "at_word", "cosine"])
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, item int, n_common bigint, n_item bigint, at_word bigint, cosine double")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_common, n_item, at_word, cosine) of every leak."""
-    types = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"(?U)\w+"))
-    total = benchmark.agg(F.sum(1 + F.when(n > 2 * STRIDE, F.ceil((n - 2 * STRIDE) / ITEM_STRIDE) + 1).otherwise(0))).first()[0] or 0
-    blocks = max(1, -(-total // ITEMS_AT_ONCE))
-    out = None
-    for k in range(blocks):
-        mine = benchmark.select("item_id", "text").distinct()
-        mine = mine.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else mine
-        items = Items(sorted(mine.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or "")))
-        if not items.number:
-            continue
-        texts = materialise(numbered(docs, items.number), "numbered")
-        counts, passages = passage_counts(texts, len(items.number))
-        weights = Weights(items, counts, passages)
-        found = materialise(leaks_of(texts, items, weights, latent_basis(texts, items, weights), types), "leaks")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], f"doc_id {types[0]}, item_id {types[1]}, n_common bigint, n_item bigint, at_word bigint, cosine double")
+    spark = docs.sparkSession
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_ITEM_BYTES:
+        raise ValueError(f"a benchmark of {size} bytes is over the bound of {MOST_ITEM_BYTES}")
+    rows = benchmark.select("item_id", "text").distinct().orderBy("text", "item_id").collect()
+    items = Items([r["text"] for r in rows])
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    if not items.number:
+        return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {kind}, n_common bigint, n_item bigint, at_word bigint, cosine double")
+    texts = materialise(numbered(docs, items.number), "numbered")
+    weights = Weights(items, *passage_counts(texts, len(items.number)))
+    space = Space(items, weights, latent_basis(texts, weights))
+    found = materialise(leaks_of(texts, items, weights, space), "leaks")
+    drop_table(texts)
+    named = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(rows)], f"item int, item_id {kind}")
     keys = ("doc_id", "item_id")
-    return out.groupBy(*keys).agg(F.max(F.struct("n_common", "cosine", "n_item", "at_word")).alias("b")).select(*keys, "b.n_common", "b.n_item", "b.at_word", "b.cosine")
+    best = found.join(F.broadcast(named), "item").groupBy(*keys).agg(F.max(F.struct("n_common", "cosine", "n_item", "at_word")).alias("b"))
+    return best.select(*keys, "b.n_common", "b.n_item", "b.at_word", "b.cosine")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -335,5 +366,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     base = materialise(docs.select(F.struct(*names).alias("__row"), F.monotonically_increasing_id().alias("rid")), "leak-docs")
     found = leaks(base.select(F.col("rid").alias("doc_id"), F.col("__row.text").alias("text")), benchmark)
     bad = materialise(found.select(F.col("doc_id").alias("rid")).distinct(), "leaky")
-    small = bad.limit(1_000_001).count() <= 1_000_000
-    return base.join(F.broadcast(bad) if small else bad, "rid", "left_anti").select("__row.*")
+    return base.join(if_small(bad, 1_000_000), "rid", "left_anti").select("__row.*")

@@ -714,3 +714,77 @@ def test_long_items_are_found(spark, n):
     bench = spark.createDataFrame([(1, item), (2, text(30))], "item_id long, text string")
     found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert {(r["doc_id"], r["item_id"], r["n_common"], r["n_item"]) for r in found} == {(0, 1, n, n), (1, 1, n, n)}
+
+
+def made_up(rng, n_words=4000):
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n_words)]
+    weights = [1 / (i + 3) for i in range(n_words)]
+    return lambda n: " ".join(rng.choices(vocabulary, weights, k=n))
+
+
+def test_leaks_of_many_items_against_all_pairs(spark):
+    """Over 500 items, short and long, verbatim and paraphrased: every pair that the checks accept, found or counted as missed."""
+    rng = random.Random(21)
+    text = made_up(rng)
+    items = [(i, f"{text(rng.choice([12, 20, 40, 90, 150, 260]))}. {text(8)}") for i in range(620)]
+
+    def told(x, kind):
+        ws = x.split()
+        return " ".join(w if kind == "verbatim" or rng.random() > 0.15 else text(1) for w in ws)
+
+    planted = {2 * i: (i, ("verbatim", "paraphrase")[i % 2]) for i in range(0, 620, 2)} | {2 * i + 1: (i, "verbatim") for i in range(0, 620, 31)}
+    rows = [(d, f"{text(60)} {told(items[i][1], kind)} {text(50)}") for d, (i, kind) in planted.items()] + [(10_000 + i, text(200)) for i in range(150)]
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    known = decontaminate.Items([x for _, x in items])
+    want = set()
+    for d, t in rows:
+        ids = np.array([known.number.get(w, -1) for w in decontaminate.words_of(t)], dtype=np.int32)
+        have = Counter(ids.tolist())
+        for i, w in enumerate(known.words):
+            if sum(min(n, have[x]) for x, n in Counter(w.tolist()).items()) >= decontaminate.MIN_COMMON * len(w) and decontaminate.verdict(w, known.answers[i], ids, 0, len(ids))[2]:
+                want.add((d, i))
+    sure = {(d, i) for d, (i, kind) in planted.items() if kind == "verbatim"}
+    told_ = {(d, i) for d, (i, kind) in planted.items() if kind == "paraphrase"}
+    assert sure <= found and len(told_ & found) >= 0.9 * len(told_ & want) and len(found & want) >= 0.9 * len(want)
+    assert not {d for d, _ in found if d >= 10_000} - {d for d, _ in want}
+
+
+def test_cosines_do_not_depend_on_blocks(monkeypatch):
+    rng = random.Random(4)
+    text = made_up(rng, 500)
+    items = decontaminate.Items([text(rng.choice([5, 30, 120])) for _ in range(40)])
+    passages = [np.array([items.number.get(w, -1) for w in text(300).split()], dtype=np.int32) for _ in range(30)]
+    weights = decontaminate.Weights(items, np.arange(len(items.number)) % 7 + 1, 10_000)
+    _, start, term, value, _ = weights.rows(passages)
+    basis = np.linalg.qr(np.random.default_rng(1).standard_normal((weights.terms, 16)))[0].astype(np.float32)
+    space = decontaminate.Space(items, weights, basis)
+    rows = np.zeros((len(start), weights.terms), dtype=np.float32)
+    rows[np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(term)])), term] = value
+    told = []
+    for n in (1, 7, 1000):
+        monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", n)
+        told.append(np.hstack([space.cosines(lo, rows @ basis, rows @ q) for lo, q in space.blocks()]))
+    assert np.allclose(told[0], told[1], atol=1e-5) and np.allclose(told[0], told[2], atol=1e-5)
+    for j, (t, v) in enumerate(space.vectors):  # by hand: project on the vectors and the query, then take the cosine
+        q = np.zeros(weights.terms)
+        q[t] = v
+        span = np.linalg.qr(np.hstack([basis, q[:, None]]))[0]
+        inside = rows @ span @ span.T
+        assert np.allclose(told[0][:, j], inside @ q / np.maximum(np.linalg.norm(inside, axis=1), 1e-9), atol=2e-3)
+
+
+@pytest.mark.parametrize("kind,ids", [("string", ["", "b", None]), ("decimal(9,2)", [None, 1, 2]), ("date", [None, None, None]), ("array<int>", [[1], [], None])])
+def test_odd_item_ids_and_clashing_columns(spark, kind, ids):
+    import decimal
+
+    text = made_up(random.Random(8))
+    items = [text(30) for _ in ids]
+    bench = spark.createDataFrame([(decimal.Decimal(i) if kind.startswith("dec") and i else i, x) for i, x in zip(ids, items, strict=True)], f"item_id {kind}, text string")
+    table = spark.createDataFrame([(f"d{k}", f"{text(40)} {x}", k) for k, x in enumerate(items)] + [(None, text(90), 9)], "doc_id string, text string, item int")
+    for c in ("item_id", "cosine", "rid", "ids", "n_common"):
+        table = table.withColumn(c, F.lit("clash"))
+    found = decontaminate.leaks(table, bench)
+    assert found.columns == ["doc_id", "item_id", "n_common", "n_item", "at_word", "cosine"]
+    assert sorted((r["doc_id"], str(r["item_id"])) for r in found.collect()) == sorted((f"d{k}", str(r["item_id"])) for k, x in enumerate(items) for r in bench.collect() if r["text"] == x)
+    left = decontaminate.decontaminated(table, bench)
+    assert left.columns == table.columns and [r["item"] for r in left.collect()] == [9]
