@@ -8,13 +8,20 @@ maximal run of starts with one anchor: the text from the first start to ``LENGTH
 Equal strings have equal anchors, so all their entries meet in one group, and nothing is lost.
 
 * Documents are dealt into buckets by id.  Each bucket first sends only its anchors (32 bits of each, by
-  part) and gets back a bit for each: does another document have it?  Only entries of such anchors go on.
+  part) and gets back those that another document has too; only entries of such anchors go on.  Entries of a
+  crowded anchor (``CROWDED`` entries or more) are split: each of their starts becomes an entry of its own, whose
+  anchor is the hash of its whole string, so no group grows with the corpus.
 * Each bucket sorts its entries by (anchor, text).  Entries with equal text are settled in the run: all but the
   smallest id go; so a passage of any number of copies leaves each run once.  Runs are front-coded (length of
   the prefix shared with the entry before, then the rest) and dealt out by anchor.
-* Each group merges its runs with a loser tree whose nodes keep the prefix length shared with the last winner:
-  unequal lengths decide without a look at the texts, equal ones compare from there on, so no known prefix is
-  compared again.  Neighbours of equal anchor then have the first document of each ``LENGTH``-byte string.
+* Runs merge in levels of at most ``FAN_IN`` runs into one, each level dealing its run to at most as many places;
+  so a task meets a fixed number of runs and the number of blobs grows with the input alone.  Each merge is a loser
+  tree whose nodes keep the prefix length shared with the last winner: unequal lengths decide without a look at the
+  texts, equal ones compare from there on, so no known prefix is compared again.
+* The merged order and its common prefixes decide.  An entry whose prefix shared with the one before is its whole text
+  repeats it.  Texts of one anchor then hand their suffixes on: a suffix inside the prefix shared with the text before is
+  the same node as there, the others are sorted, and neighbours sharing ``LENGTH`` bytes are one node.  The
+  least id of each node is the document that keeps the string.
 * The starts found go back to the documents as spans, packed by document bucket.
 
 Only exact bytes decide.  Defined cases: null text is empty; texts under ``LENGTH`` bytes lose nothing; a
@@ -33,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, materialise, n_bytes, total_bytes
+from .common import buckets_for, drop_table, materialise, n_bytes, total_bytes
 
 LENGTH = 50
 GRAM = 18
@@ -43,6 +50,8 @@ PIECE = 2 << 20
 PART_BYTES = 24 << 20
 SHORT_BYTES = 64 << 20
 BUCKET_BYTES = 12 << 20
+FAN_IN = 64
+CROWDED = 20_000
 BASE = 0x9E3779B97F4A7C15 | 1
 
 ENTRY = np.dtype([("anchor", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("starts", "<u2"), ("shared", "<u2")])
@@ -133,6 +142,35 @@ def unpacked(blob: bytes, parts: int) -> tuple[int, list[bytes]]:
     return int(head[0]), [data[e - n : e] for e, n in zip(ends, head[1:], strict=True)]
 
 
+Columns = tuple[np.ndarray, ...]
+
+
+def sorted_run(joined: bytes, ids: list[int], columns: Columns) -> tuple[Columns, np.ndarray, np.ndarray]:
+    """Entries (anchor, doc, at, starts, place) in the order of anchor, text and document, the prefix each shares with the
+    one before under its anchor, and which stay: the first of equal texts and those of the same id."""
+    by = np.argsort(columns[0], kind="stable")
+    anchor, doc, at, starts, place = (x[by] for x in columns)
+    shared = np.zeros(len(anchor), dtype=np.uint16)
+    keep = np.ones(len(anchor), dtype=bool)
+    rank = np.arange(len(anchor))
+    twin = np.zeros(len(anchor) + 1, dtype=bool)
+    twin[1:-1] = anchor[1:] == anchor[:-1]
+    size = starts + (LENGTH - 1)
+    for lo, hi in zip(np.flatnonzero(~twin[:-1] & twin[1:]).tolist(), np.flatnonzero(twin[:-1] & ~twin[1:]).tolist(), strict=True):
+        own = slice(lo, hi + 1)
+        strings = sorted((joined[p : p + n], d, i) for i, p, n, d in zip(range(lo, hi + 1), place[own].tolist(), size[own].tolist(), doc[own].tolist(), strict=True))
+        last, owner = b"", None
+        for slot, (s, d, i) in enumerate(strings, lo):
+            rank[slot] = i
+            if s == last and ids[d] != owner:
+                keep[i] = False
+                continue
+            shared[i] = shared_prefix(last, s)
+            if s != last:
+                last, owner = s, ids[d]
+    return tuple(x[rank] for x in (anchor, doc, at, starts, place)), shared[rank], keep[rank]
+
+
 class Bucket:
     """The entries of the documents of a bucket as one sorted run, those with equal text settled.
 
@@ -145,72 +183,96 @@ class Bucket:
         self.docs = docs = np.empty(len(ids), dtype=DOC)
         docs["id"], docs["bucket"] = ids[order], bucket
         docs["text"] = [xxhash.xxh64_intdigest(t) for t in texts]
-        joined = b"".join(texts)
-        self.buffer = np.frombuffer(joined, dtype=np.uint8)
-        anchor, doc, at, starts, place = entries_of(self.buffer, np.cumsum([len(t) for t in texts], dtype=np.int64))
-        by = np.argsort(anchor, kind="stable")
-        anchor, doc, at, starts, place = (x[by] for x in (anchor, doc, at, starts, place))
-        size = starts + (LENGTH - 1)
-        shared = np.zeros(len(anchor), dtype=np.uint16)
-        keep = np.ones(len(anchor), dtype=bool)
-        rank = np.arange(len(anchor))
-        twin = np.zeros(len(anchor) + 1, dtype=bool)
-        twin[1:-1] = anchor[1:] == anchor[:-1]
-        owners = docs["id"].tolist()
-        for lo, hi in zip(np.flatnonzero(~twin[:-1] & twin[1:]).tolist(), np.flatnonzero(twin[:-1] & ~twin[1:]).tolist(), strict=True):
-            own = slice(lo, hi + 1)
-            strings = sorted((joined[p : p + n], d, i) for i, p, n, d in zip(range(lo, hi + 1), place[own].tolist(), size[own].tolist(), doc[own].tolist(), strict=True))
-            last, owner = b"", None
-            for slot, (s, d, i) in enumerate(strings, lo):
-                rank[slot] = i
-                if s == last and owners[d] != owner:
-                    keep[i] = False
-                    continue
-                shared[i] = shared_prefix(last, s)
-                if s != last:
-                    last, owner = s, owners[d]
-        anchor, doc, at, starts, place, size, shared, keep = (x[rank] for x in (anchor, doc, at, starts, place, size, shared, keep))
-        gone = ~keep
-        spans = np.empty(int(gone.sum()), dtype=SPAN)
-        spans["id"], spans["text"], spans["start"], spans["stop"] = docs["id"][doc[gone]], docs["text"][doc[gone]], at[gone], at[gone] + size[gone]
-        self.spans = merged_spans(spans)
-        self.anchor, self.doc, self.at, self.starts, self.place, self.size, self.shared = (x[keep] for x in (anchor, doc, at, starts, place, size, shared))
-
-    def short_anchors(self, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """By part: 32 bits of each anchor, sorted, and whether two documents here have it."""
-        part, short = short_of(self.anchor, parts)
+        self.ids = docs["id"].tolist()
+        self.joined = b"".join(texts)
+        self.buffer = np.frombuffer(self.joined, dtype=np.uint8)
+        found = entries_of(self.buffer, np.cumsum([len(t) for t in texts], dtype=np.int64))
+        self.found: list[np.ndarray] = []
+        self.run, self.shared = self._settled(found)
+
+    def _settled(self, found: Columns) -> tuple[Columns, np.ndarray]:
+        """What stays of some entries, sorted; what goes becomes spans."""
+        columns, shared, keep = sorted_run(self.joined, self.ids, found)
+        _, doc, at, starts, _ = (x[~keep] for x in columns)
+        spans = np.empty(len(doc), dtype=SPAN)
+        spans["id"], spans["text"], spans["start"], spans["stop"] = self.docs["id"][doc], self.docs["text"][doc], at, at + starts + (LENGTH - 1)
+        self.found.append(spans)
+        return tuple(x[keep] for x in columns), shared[keep]
+
+    def short_anchors(self, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """By part: 32 bits of each anchor, sorted, whether two documents here have it, and how many entries."""
+        part, short = short_of(self.run[0], parts)
         key = part << np.int64(32) | short
         order = np.argsort(key, kind="stable")
-        key, doc = key[order], self.doc[order]
+        key, doc = key[order], self.run[1][order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
         if not len(first):
             return
         both = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first)
+        counts = np.diff(np.r_[first, len(key)]).astype(np.uint32)
         key = key[first]
         ends = np.searchsorted(key >> 32, np.arange(parts + 1))
         for p in np.flatnonzero(np.diff(ends)):
             own = slice(ends[p], ends[p + 1])
-            yield int(p), (key[own] & 0xFFFFFFFF).astype(np.uint32), both[own]
-
-    def blobs(self, wanted: dict[int, np.ndarray], short_parts: int, parts: int) -> Iterator[tuple[int, bytes]]:
-        """The settled spans, and the front-coded entries of wanted anchors by part."""
-        if len(self.spans):
-            bucket = int(self.docs["bucket"][0])
-            yield parts + bucket, packed(SPANS, np.int32(bucket).tobytes(), self.spans.tobytes(), b"")
-        key = [np.int64(p) << 32 | short.astype(np.int64) for p, short in wanted.items()]
-        part, short = short_of(self.anchor, short_parts)
-        mine = np.flatnonzero(np.isin(part << np.int64(32) | short, np.concatenate(key))) if key else np.empty(0, dtype=np.int64)
-        part = ((self.anchor[mine] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)).astype(np.int64) % parts
-        by = np.argsort(part, kind="stable")
-        ends = np.searchsorted(part[by], np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(ends)):
-            i = mine[by[ends[p] : ends[p + 1]]]
-            used, local = np.unique(self.doc[i], return_inverse=True)
-            entries = np.empty(len(i), dtype=ENTRY)
-            entries["anchor"], entries["doc"], entries["at"], entries["starts"], entries["shared"] = self.anchor[i], local, self.at[i], self.starts[i], self.shared[i]
-            n = self.size[i] - self.shared[i]
-            index = np.arange(n.sum()) + np.repeat(self.place[i] + self.shared[i] - (np.cumsum(n) - n), n)
-            yield int(p), packed(RUN, self.docs[used].tobytes(), entries.tobytes(), self.buffer[index].tobytes())
+            yield int(p), (key[own] & 0xFFFFFFFF).astype(np.uint32), both[own], counts[own]
+
+    def _split(self, mine: np.ndarray) -> tuple[Columns, np.ndarray]:
+        """Each start of some entries as an entry of its own, anchored by its whole string."""
+        _, doc, at, starts, place = (x[mine] for x in self.run)
+        step = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
+        doc, at, place = np.repeat(doc, starts), np.repeat(at, starts) + step, np.repeat(place, starts) + step
+        anchor = np.array([xxhash.xxh64_intdigest(self.joined[i : i + LENGTH]) for i in place.tolist()], dtype=np.uint64)
+        return self._settled((anchor, doc, at, np.ones(len(at), dtype=np.int64), place))
+
+    def blobs(self, wanted: dict[int, tuple[np.ndarray, np.ndarray]], short_parts: int, levels: Levels) -> Iterator[tuple[int, bytes]]:
+        """The settled spans, and the front-coded entries of wanted anchors by place."""
+        keys = [np.int64(p) << 32 | short.astype(np.int64) for p, (short, _) in wanted.items()]
+        crowded = [k[hot] for k, (_, hot) in zip(keys, wanted.values(), strict=True)]
+        part, short = short_of(self.run[0], short_parts)
+        key = part << np.int64(32) | short
+        asked = np.isin(key, np.concatenate(keys)) if keys else np.zeros(len(key), dtype=bool)
+        hot = np.isin(key, np.concatenate(crowded)) & asked if keys else asked
+        sides = [(tuple(x[asked & ~hot] for x in self.run), self.shared[asked & ~hot])]
+        if hot.any():
+            sides.append(self._split(np.flatnonzero(hot)))
+        if len(spans := merged_spans(np.concatenate(self.found))):
+            yield span_key(int(self.docs["bucket"][0])), packed(SPANS, spans.tobytes())
+        for (anchor, doc, at, starts, place), shared in sides:
+            digit = levels.digit(anchor, 0)
+            by = np.argsort(digit, kind="stable")
+            ends = np.searchsorted(digit[by], np.arange(levels.deal + 1))
+            for p in np.flatnonzero(np.diff(ends)):
+                i = by[ends[p] : ends[p + 1]]
+                used, local = np.unique(doc[i], return_inverse=True)
+                entries = np.empty(len(i), dtype=ENTRY)
+                entries["anchor"], entries["doc"], entries["at"], entries["starts"], entries["shared"] = anchor[i], local, at[i], starts[i], shared[i]
+                n = starts[i] + (LENGTH - 1) - shared[i]
+                index = np.arange(n.sum()) + np.repeat(place[i] + shared[i] - (np.cumsum(n) - n), n)
+                yield levels.key(int(p), int(self.docs["bucket"][0]), 0), packed(RUN, self.docs[used].tobytes(), entries.tobytes(), self.buffer[index].tobytes())
+
+
+class Levels:
+    """How runs come together: ``depth`` levels, each merging ``fan`` runs and dealing to ``deal`` places."""
+
+    def __init__(self, buckets: int, parts: int) -> None:
+        self.depth = 1
+        while FAN_IN**self.depth < buckets:
+            self.depth += 1
+        root = lambda n: next(k for k in range(1, n + 1) if k**self.depth >= n)
+        self.fan, self.deal = root(buckets), root(parts)
+
+    def digit(self, anchor: np.ndarray, level: int) -> np.ndarray:
+        """To which place of a level entries go, by their anchors."""
+        route = ((anchor * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)).astype(np.int64)
+        return route // self.deal**level % self.deal
+
+    def key(self, place: int, bucket: int, level: int) -> int:
+        """The group of a run: the places taken so far, and which runs are merged together."""
+        return place << 32 | bucket // self.fan ** (level + 1)
+
+
+def span_key(bucket: int) -> int:
+    return -1 - bucket
 
 
 def short_of(anchor: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -254,8 +316,11 @@ class Run:
             last = now
 
 
-def merge(runs: list[Iterator[tuple[bytes, int, int, int, int]]]) -> Iterator[tuple[int, tuple]]:
-    """(run, entry) in key order, from a loser tree that keeps, at each node, the loser and its prefix shared with the winner."""
+def merge(runs: list[Iterator[tuple[bytes, int, int, int, int]]]) -> Iterator[tuple[int, tuple, int]]:
+    """(run, entry, prefix shared with the entry before) in key order.
+
+    The loser tree keeps, at each node, the loser and its prefix shared with the winner.
+    """
     k = len(runs)
     heads: list[tuple | None] = [next(r, None) for r in runs]
 
@@ -278,9 +343,9 @@ def merge(runs: list[Iterator[tuple[bytes, int, int, int, int]]]) -> Iterator[tu
     for node in range(k - 1, 0, -1):
         w, lw, x, lx = duel(winner[2 * node], known[2 * node], winner[2 * node + 1], known[2 * node + 1])
         winner[node], known[node], losers[node], prefix[node] = w, lw, x, lx
-    top = winner[1] if k > 1 else 0
+    top, shared = (winner[1] if k > 1 else 0), 0
     while heads[top] is not None:
-        yield top, heads[top]
+        yield top, heads[top], shared
         heads[top] = entry = next(runs[top], None)
         now, shared = top, entry[1] if entry else 0
         node = (top + k) >> 1
@@ -291,72 +356,137 @@ def merge(runs: list[Iterator[tuple[bytes, int, int, int, int]]]) -> Iterator[tu
         top = now
 
 
-def settle(group: list[tuple[bytes, int, int, int, int, int]], out: list[tuple[int, int, int, int]]) -> None:
-    """Spans (run, doc, start, stop) of one anchor's entries (key, id, run, doc, place, starts), in key order."""
-    least = group[0][1]
-    if all(e[1] == least for e in group):
-        return
-    owner: dict[bytes, int] = {}
-    for key, id_, *_ in group:
-        if owner.get(key, id_) >= id_:
-            owner[key] = id_
-    if len(owner) == 1:
-        least = owner[group[0][0]]
-        out += [(run, doc, at, at + starts + LENGTH - 1) for _, id_, run, doc, at, starts in group if id_ > least]
+Member = tuple[int, int, int, int, int]
+
+
+def equal_texts(runs: list[Run], wanted: np.ndarray) -> Iterator[tuple[bytes, int, list[Member]]]:
+    """(key, prefix shared with the key before, members) of each distinct key in order; members are (id, run, doc, place, starts)."""
+    ids = [r.docs["id"].tolist() for r in runs]
+    key, since, members = b"", 0, []
+    for run, (now, _, doc, at, starts), shared in merge([r.only(wanted) for r in runs]):
+        if members and shared == len(now) == len(key):
+            members.append((ids[run][doc], run, doc, at, starts))
+            continue
+        if members:
+            yield key, since, members
+        key, since, members = now, shared, [(ids[run][doc], run, doc, at, starts)]
+    if members:
+        yield key, since, members
+
+
+def keepers(group: list[tuple[bytes, int, list[Member]]]) -> list[list[int]]:
+    """For each text of an anchor, in order, the least id that has the string at each of its starts."""
+    nodes: list[list[int]] = []
+    fresh: list[tuple[bytes, int]] = []
+    total = 0
+    for key, since, _ in group:
+        known = max(0, since - 8 - LENGTH + 1) if nodes else 0
+        own = nodes[-1][:known] if known else []
+        for i in range(8 + len(own), len(key) - LENGTH + 1):
+            fresh.append((key[i : i + LENGTH], total))
+            own.append(total)
+            total += 1
+        nodes.append(own)
+    fresh.sort()
+    same = [0] * total
+    before, first = b"", 0
+    for string, node in fresh:
+        if string != before:
+            before, first = string, node
+        same[node] = first
+    least: dict[int, int] = {}
+    nodes = [[same[n] for n in own] for own in nodes]
+    for own, (_, _, members) in zip(nodes, group, strict=True):
+        id_ = min(members)[0]
+        for n in own:
+            if least.get(n, id_) >= id_:
+                least[n] = id_
+    return [[least[n] for n in own] for own in nodes]
+
+
+def spans_of(group: list[tuple[bytes, int, list[Member]]], out: list[tuple[int, int, int, int]]) -> None:
+    """Spans (run, doc, start, stop) of one anchor's entries that another document keeps."""
+    if len(group) == 1:
+        members = group[0][2]
+        least = min(members)[0]
+        out += [(run, doc, at, at + starts + LENGTH - 1) for id_, run, doc, at, starts in members if id_ > least]
         return
-    first: dict[bytes, int] = {}
-    for key, id_ in owner.items():
-        for i in range(8, len(key) - LENGTH + 1):
-            w = key[i : i + LENGTH]
-            if first.get(w, id_) >= id_:
-                first[w] = id_
-    cached: tuple[bytes, list[int]] = (b"", [])
-    for key, id_, run, doc, at, starts in group:
-        if key != cached[0]:
-            cached = key, [first[key[i : i + LENGTH]] for i in range(8, len(key) - LENGTH + 1)]
-        begin = None
-        for i, owner_id in enumerate(cached[1]):
-            if owner_id < id_:
-                if begin is None:
-                    begin = i
-            elif begin is not None:
-                out.append((run, doc, at + begin, at + i - 1 + LENGTH))
-                begin = None
-        if begin is not None:
-            out.append((run, doc, at + begin, at + starts - 1 + LENGTH))
-
-
-def settled(blobs: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-    """Merge the runs of one part: spans by document bucket."""
-    runs: list[Run] = []
-    for blob in blobs:
-        kind, (a, b, c) = unpacked(blob, 3)
-        if kind == SPANS:
-            yield int(np.frombuffer(a, dtype=np.int32)[0]), np.frombuffer(b, dtype=SPAN)
-        else:
-            runs.append(Run(a, b, c))
-    if not runs:
+    least = min(m[0] for _, _, members in group for m in members)
+    if all(m[0] == least for _, _, members in group for m in members):
         return
-    every = np.sort(np.concatenate([r.entries["anchor"] for r in runs]))
-    wanted = np.unique(every[1:][every[1:] == every[:-1]])
-    del every
-    ids = [r.docs["id"].tolist() for r in runs]
-    out: list[tuple[int, int, int, int]] = []
-    group: list[tuple[bytes, int, int, int, int, int]] = []
-    for run, (key, _, doc, at, starts) in merge([r.only(wanted) for r in runs]):
-        if group and group[-1][0][:8] != key[:8]:
-            settle(group, out)
-            group = []
-        group.append((key, ids[run][doc], run, doc, at, starts))
-    if group:
-        settle(group, out)
+    for owners, (_, _, members) in zip(keepers(group), group, strict=True):
+        for id_, run, doc, at, _ in members:
+            begin = None
+            for i, owner in enumerate(owners):
+                if owner < id_:
+                    begin = i if begin is None else begin
+                elif begin is not None:
+                    out.append((run, doc, at + begin, at + i - 1 + LENGTH))
+                    begin = None
+            if begin is not None:
+                out.append((run, doc, at + begin, at + len(owners) - 1 + LENGTH))
+
+
+def packed_spans(runs: list[Run], out: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, bytes]]:
+    """Spans by the key of their document bucket."""
     if out:
         run, doc, start, stop = np.array(out, dtype=np.int64).T
         offset = np.cumsum([0, *(len(r.docs) for r in runs)])
         docs = np.concatenate([r.docs for r in runs])[offset[run] + doc]
         spans = np.empty(len(run), dtype=SPAN)
         spans["id"], spans["text"], spans["start"], spans["stop"] = docs["id"], docs["text"], start, stop
-        yield from by_bucket(spans, docs["bucket"])
+        for bucket, some in by_bucket(spans, docs["bucket"]):
+            yield span_key(bucket), packed(SPANS, some.tobytes())
+
+
+def opened(blobs: list[bytes]) -> list[Run]:
+    return [Run(*unpacked(blob, 3)[1]) for blob in blobs]
+
+
+def decided(blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """The last merge of a place: spans of all strings that a document of smaller id has."""
+    runs = opened(blobs)
+    every = np.sort(np.concatenate([r.entries["anchor"] for r in runs]))
+    wanted = np.unique(every[1:][every[1:] == every[:-1]])
+    del every
+    out: list[tuple[int, int, int, int]] = []
+    group: list[tuple[bytes, int, list[Member]]] = []
+    for entry in equal_texts(runs, wanted):
+        if group and entry[1] < 8:
+            spans_of(group, out)
+            group = []
+        group.append(entry)
+    if group:
+        spans_of(group, out)
+    yield from packed_spans(runs, out)
+
+
+def joined_runs(blobs: list[bytes], place: int, level: int, levels: Levels) -> Iterator[tuple[int, bytes]]:
+    """A merge before the last: one run for each next place, of equal texts those of the least id, and spans of the others."""
+    runs = opened(blobs)
+    offset = np.cumsum([0, *(len(r.docs) for r in runs)]).tolist()
+    docs = np.concatenate([r.docs for r in runs])
+    out: list[tuple[int, int, int, int]] = []
+    rows: list[tuple[int, int, int, int, int]] = []
+    tails: list[bytes] = []
+    for key, since, members in equal_texts(runs, np.unique(np.concatenate([r.entries["anchor"] for r in runs]))):
+        least, shared = min(members)[0], max(0, since - 8)
+        for id_, run, doc, at, starts in members:
+            if id_ > least:
+                out.append((run, doc, at, at + starts + LENGTH - 1))
+                continue
+            rows.append((int.from_bytes(key[:8], "big"), offset[run] + doc, at, starts, shared))
+            tails.append(key[8 + shared :])
+            shared = len(key) - 8
+    yield from packed_spans(runs, out)
+    entries = np.array(rows, dtype=ENTRY)
+    digit = levels.digit(entries["anchor"], level)
+    for p in np.unique(digit).tolist():
+        i = np.flatnonzero(digit == p)
+        used, local = np.unique(entries["doc"][i], return_inverse=True)
+        mine = entries[i]
+        mine["doc"] = local
+        yield levels.key(place * levels.deal + p, int(docs["bucket"][0]), level), packed(RUN, docs[used].tobytes(), mine.tobytes(), b"".join(tails[x] for x in i.tolist()))
 
 
 def _bucket_of(batches: Iterator[pa.RecordBatch]) -> Bucket | None:
@@ -369,53 +499,85 @@ def _bucket_of(batches: Iterator[pa.RecordBatch]) -> Bucket | None:
     return Bucket(np.concatenate(ids), texts, bucket) if ids else None
 
 
-def _rows(names: tuple[str, ...], *columns: list) -> pa.RecordBatch:
-    kinds = {"blob": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(c, type=kinds.get(n, pa.int32())) for n, c in zip(names, columns, strict=True)], names=list(names))
+def _rows(**columns: list) -> pa.RecordBatch:
+    kinds = {"blob": pa.binary(), "place": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(c, type=kinds.get(n, pa.int32())) for n, c in columns.items()], names=[*columns])
+
+
+def _compressed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
 
 def shared_anchors(dealt: DataFrame, parts: int) -> DataFrame:
-    """(bucket, part, blob): the short anchors of each bucket that another document has too."""
+    """(bucket, part, blob): the short anchors of each bucket that another document has too, and which are crowded."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if bucket := _bucket_of(batches):
-            made = [(p, packed(int(bucket.docs["bucket"][0]), short.tobytes(), np.packbits(both).tobytes())) for p, short, both in bucket.short_anchors(parts)]
-            yield _rows(("part", "blob"), [p for p, _ in made], [b for _, b in made])
+            made = [(p, packed(int(bucket.docs["bucket"][0]), short.tobytes(), np.packbits(both).tobytes(), counts.tobytes())) for p, short, both, counts in bucket.short_anchors(parts)]
+            yield _rows(part=[p for p, _ in made], blob=[b for _, b in made])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, found = 0, []
         for batch in batches:
             for p, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                bucket, (short, both) = unpacked(blob, 2)
+                bucket, (short, both, counts) = unpacked(blob, 3)
                 short = np.frombuffer(short, dtype=np.uint32)
                 part = p
-                found.append((bucket, short, np.unpackbits(np.frombuffer(both, dtype=np.uint8))[: len(short)].astype(bool)))
-        every = np.sort(np.concatenate([x for _, x, _ in found])) if found else np.empty(0, dtype=np.uint32)
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        rows = [(b, x[both | np.isin(x, twice, assume_unique=True)]) for b, x, both in found]
-        rows = [(b, x) for b, x in rows if len(x)]
-        yield _rows(("bucket", "part", "blob"), [b for b, _ in rows], [part] * len(rows), [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for _, x in rows])
+                found.append((bucket, short, np.unpackbits(np.frombuffer(both, dtype=np.uint8))[: len(short)].astype(bool), np.frombuffer(counts, dtype=np.uint32)))
+        if not found:
+            return
+        every = np.concatenate([x for _, x, _, _ in found])
+        by = np.argsort(every, kind="stable")
+        every = every[by]
+        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        twice = every[first[np.diff(np.r_[first, len(every)]) > 1]]
+        crowded = every[first[np.add.reduceat(np.concatenate([c for *_, c in found])[by].astype(np.int64), first) >= CROWDED]]
+        rows = [(b, x[both | np.isin(x, twice, assume_unique=True)]) for b, x, both, _ in found]
+        rows = [(b, _compressed(packed_keys(x, np.isin(x, crowded, assume_unique=True)))) for b, x in rows if len(x)]
+        yield _rows(bucket=[b for b, _ in rows], part=[part] * len(rows), blob=[x for _, x in rows])
 
     return dealt.groupBy("bucket").applyInArrow(send, "part int, blob binary").groupBy("part").applyInArrow(meet, "bucket int, part int, blob binary")
 
 
-def repeated_spans(dealt: DataFrame, shared: DataFrame, short_parts: int, parts: int) -> DataFrame:
+def packed_keys(short: np.ndarray, hot: np.ndarray) -> bytes:
+    return short.tobytes() + np.packbits(hot).tobytes()
+
+
+def unpacked_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Four bytes a key, then a bit each: n keys take 4n + ceil(n / 8) bytes."""
+    n = (8 * len(data)) // 33
+    return np.frombuffer(data[: 4 * n], dtype=np.uint32), np.unpackbits(np.frombuffer(data[4 * n :], dtype=np.uint8))[:n].astype(bool)
+
+
+def repeated_spans(dealt: DataFrame, shared: DataFrame, short_parts: int, levels: Levels) -> DataFrame:
     """(bucket, blob) of the spans to remove."""
+    schema = "place bigint, blob binary"
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         bucket = _bucket_of(iter(left.to_batches()))
         made = []
         if bucket:
-            wanted = {p: np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint32) for p, b in zip(right.column("part").to_pylist(), right.column("blob").to_pylist(), strict=True)}
-            made = [*bucket.blobs(wanted, short_parts, parts)]
-        return pa.Table.from_batches([_rows(("part", "blob"), [p for p, _ in made], [b for _, b in made])])
+            wanted = {p: unpacked_keys(zstandard.ZstdDecompressor().decompress(b)) for p, b in zip(right.column("part").to_pylist(), right.column("blob").to_pylist(), strict=True)}
+            made = [*bucket.blobs(wanted, short_parts, levels)]
+        return pa.Table.from_batches([_rows(place=[p for p, _ in made], blob=[b for _, b in made])])
+
+    def step(level: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            place, blobs = -1, []
+            for batch in batches:
+                place = batch.column("place")[0].as_py() if batch.num_rows else place
+                blobs += batch.column("blob").to_pylist()
+            if not blobs:
+                return
+            made = [(place, b) for b in blobs] if place < 0 else [*(decided(blobs) if level == levels.depth else joined_runs(blobs, place >> 32, level, levels))]
+            yield _rows(place=[p for p, _ in made], blob=[b for _, b in made])
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [*settled([b for batch in batches for b in batch.column("blob").to_pylist()])]
-        yield _rows(("bucket", "blob"), [b for b, _ in found], [zstandard.ZstdCompressor(level=1).compress(s.tobytes()) for _, s in found])
+        return run
 
-    sent = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(send, "part int, blob binary")
-    return sent.groupBy("part").applyInArrow(reduce, "bucket int, blob binary")
+    rows = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(send, schema)
+    for level in range(1, levels.depth + 1):
+        rows = rows.groupBy("place").applyInArrow(step(level), schema)
+    return rows.select((-1 - F.col("place")).cast("int").alias("bucket"), "blob")
 
 
 SCHEMA = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary"
@@ -428,10 +590,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     long_enough = dealt.filter((n_bytes(F.col("text")) >= LENGTH) & F.col("doc_id").isNotNull())
     shared = materialise(shared_anchors(long_enough, short_parts), "anchors")
-    spans = materialise(repeated_spans(long_enough, shared, short_parts, parts), "spans")
+    spans = materialise(repeated_spans(long_enough, shared, short_parts, Levels(buckets, parts)), "spans")
+    drop_table(shared)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        raw = b"".join(zstandard.ZstdDecompressor().decompress(b) for b in right.column("blob").to_pylist())
+        raw = b"".join(unpacked(b, 1)[1][0] for b in right.column("blob").to_pylist())
         found = merged_spans(np.frombuffer(raw, dtype=SPAN))
         by: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for id_, text, start, stop in found.tolist():

@@ -600,7 +600,63 @@ def test_merge_keeps_order():
                 yield key, substrings.shared_prefix(last, key), 0, 0, 0
                 last = key
 
-        assert [e[0] for _, e in substrings.merge([coded(r) for r in runs])] == sorted(x for r in runs for x in r)
+        got = [(e[0], shared) for _, e, shared in substrings.merge([coded(r) for r in runs])]
+        want = sorted(x for r in runs for x in r)
+        assert got == [(x, substrings.shared_prefix(y, x)) for x, y in zip(want, [b"", *want])]
+
+
+def by_hand(rows, buckets, fan, parts, crowded, monkeypatch):
+    """The stages of the operator in this process, with any number of levels."""
+    monkeypatch.setattr(substrings, "FAN_IN", fan)
+    monkeypatch.setattr(substrings, "CROWDED", crowded)
+    levels = substrings.Levels(buckets, parts)
+    made = []
+    for b in range(buckets):
+        mine = [(i, t.encode()) for i, t in rows if i is not None and t and len(t.encode()) >= 50 and i % buckets == b]
+        if mine:
+            made.append(substrings.Bucket(np.array([i for i, _ in mine]), [t for _, t in mine], b))
+    counts = Counter()
+    for b in made:
+        for p, short, _, n in b.short_anchors(2):
+            counts.update(dict(zip([(p, x) for x in short.tolist()], n.tolist())))
+    groups = defaultdict(list)
+    for b in made:
+        wanted = {p: (short, np.array([counts[p, x] >= crowded for x in short.tolist()])) for p, short, _, _ in b.short_anchors(2)}
+        for key, blob in b.blobs(wanted, 2, levels):
+            groups[key].append(blob)
+    for level in range(1, levels.depth + 1):
+        after = defaultdict(list)
+        for key, blobs in groups.items():
+            assert key < 0 or len(blobs) <= 2 * fan  # an ordinary and a split run of each
+            for k, blob in [(key, x) for x in blobs] if key < 0 else substrings.decided(blobs) if level == levels.depth else substrings.joined_runs(blobs, key >> 32, level, levels):
+                after[k].append(blob)
+        groups = after
+    spans = np.concatenate([np.empty(0, dtype=substrings.SPAN), *(np.frombuffer(substrings.unpacked(x, 1)[1][0], dtype=substrings.SPAN) for blobs in groups.values() for x in blobs)])
+    return levels.depth, Counter((int(r["id"]), int(r["text"]), int(r["start"]), int(r["stop"])) for r in substrings.merged_spans(spans))
+
+
+@pytest.mark.parametrize("buckets,fan,parts,crowded", [(1, 64, 1, 10**9), (7, 64, 3, 10**9), (9, 3, 4, 10**9), (20, 3, 5, 10**9), (20, 3, 9, 5), (7, 2, 3, 1), (5, 64, 2, 2)])
+def test_levels_and_crowded_anchors(rows, buckets, fan, parts, crowded, monkeypatch):
+    rng = random.Random(13)
+    sentence = made_up(rng, 300)
+    line = sentence(14)
+    mine = [(r[0], r[1]) for r in rows if r[1] is None or len(r[1]) < 20_000] + [(200 + i, f"{sentence(6)} {line} {sentence(6)}" * (1 + i % 2)) for i in range(60)] + [(300, "ab" * 300), (301, "ab" * 200 + "x" + "ab" * 90)]
+    depth, got = by_hand(mine, buckets, fan, parts, crowded, monkeypatch)
+    assert depth == max(1, int(np.ceil(np.log(buckets) / np.log(fan) - 1e-9)))
+    want = Counter()
+    first = {}
+    docs = [(i, (t or "").encode()) for i, t in mine if i is not None]
+    for i, t in docs:
+        for k in range(len(t) - 49):
+            first[t[k : k + 50]] = min(first.get(t[k : k + 50], i), i)
+    for i, t in set(docs):
+        gone = np.zeros(len(t) + 2, dtype=np.int8)
+        for k in range(len(t) - 49):
+            if first[t[k : k + 50]] < i:
+                gone[k + 1 : k + 51] = 1
+        edges = np.flatnonzero(np.diff(gone))
+        want.update((i, xxhash.xxh64_intdigest(t), int(a), int(b)) for a, b in zip(edges[::2], edges[1::2]))
+    assert got == want
 
 
 # 10
