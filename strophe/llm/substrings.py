@@ -51,6 +51,7 @@ PART_BYTES = 24 << 20
 SHORT_BYTES = 64 << 20
 BUCKET_BYTES = 12 << 20
 FAN_IN = 64
+LEAST_LEVELS = 2
 CROWDED = 20_000
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -248,14 +249,17 @@ class Bucket:
                 entries["anchor"], entries["doc"], entries["at"], entries["starts"], entries["shared"] = anchor[i], local, at[i], starts[i], shared[i]
                 n = starts[i] + (LENGTH - 1) - shared[i]
                 index = np.arange(n.sum()) + np.repeat(place[i] + shared[i] - (np.cumsum(n) - n), n)
-                yield levels.key(int(p), int(self.docs["bucket"][0]), 0), packed(RUN, self.docs[used].tobytes(), entries.tobytes(), self.buffer[index].tobytes())
+                yield levels.key(int(p), int(self.docs["bucket"][0]), 0), packed(RUN, self.docs[used].tobytes(), coded(entries), self.buffer[index].tobytes())
 
 
 class Levels:
-    """How runs come together: ``depth`` levels, each merging ``fan`` runs and dealing to ``deal`` places."""
+    """How runs come together: ``depth`` levels, each merging ``fan`` runs and dealing to ``deal`` places.
+
+    Small inputs take as many levels as ones of ``FAN_IN ** LEAST_LEVELS`` buckets, so work per byte is alike for both.
+    """
 
     def __init__(self, buckets: int, parts: int) -> None:
-        self.depth = 1
+        self.depth = LEAST_LEVELS
         while FAN_IN**self.depth < buckets:
             self.depth += 1
         root = lambda n: next(k for k in range(1, n + 1) if k**self.depth >= n)
@@ -289,11 +293,25 @@ def by_bucket(spans: np.ndarray, buckets: np.ndarray) -> Iterator[tuple[int, np.
         yield int(buckets[lo]), merged_spans(spans[lo:hi])
 
 
+def coded(entries: np.ndarray) -> bytes:
+    """Anchors, which ascend, as steps; then all bytes by their place in an entry: like beside like packs better."""
+    steps = entries.copy()
+    steps["anchor"][1:] -= entries["anchor"][:-1]
+    return np.frombuffer(steps.tobytes(), dtype=np.uint8).reshape(len(entries), ENTRY.itemsize).T.tobytes()
+
+
+def decoded(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(ENTRY.itemsize, len(data) // ENTRY.itemsize)
+    entries = np.frombuffer(planes.T.tobytes(), dtype=ENTRY).copy()
+    entries["anchor"] = np.cumsum(entries["anchor"], dtype=np.uint64)
+    return entries
+
+
 class Run:
     """Decodes the entries of a front-coded run whose anchors are wanted, one at a time."""
 
     def __init__(self, docs: bytes, entries: bytes, tails: bytes) -> None:
-        self.docs, self.entries, self.tails = np.frombuffer(docs, dtype=DOC), np.frombuffer(entries, dtype=ENTRY), tails
+        self.docs, self.entries, self.tails = np.frombuffer(docs, dtype=DOC), decoded(entries), tails
 
     def only(self, wanted: np.ndarray) -> Iterator[tuple[bytes, int, int, int, int]]:
         """(anchor and text as one key, prefix shared with the entry before, document, place, starts)."""
@@ -486,7 +504,7 @@ def joined_runs(blobs: list[bytes], place: int, level: int, levels: Levels) -> I
         used, local = np.unique(entries["doc"][i], return_inverse=True)
         mine = entries[i]
         mine["doc"] = local
-        yield levels.key(place * levels.deal + p, int(docs["bucket"][0]), level), packed(RUN, docs[used].tobytes(), mine.tobytes(), b"".join(tails[x] for x in i.tolist()))
+        yield levels.key(place * levels.deal + p, int(docs["bucket"][0]), level), packed(RUN, docs[used].tobytes(), coded(mine), b"".join(tails[x] for x in i.tolist()))
 
 
 def _bucket_of(batches: Iterator[pa.RecordBatch]) -> Bucket | None:

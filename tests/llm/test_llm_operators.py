@@ -642,7 +642,7 @@ def test_levels_and_crowded_anchors(rows, buckets, fan, parts, crowded, monkeypa
     line = sentence(14)
     mine = [(r[0], r[1]) for r in rows if r[1] is None or len(r[1]) < 20_000] + [(200 + i, f"{sentence(6)} {line} {sentence(6)}" * (1 + i % 2)) for i in range(60)] + [(300, "ab" * 300), (301, "ab" * 200 + "x" + "ab" * 90)]
     depth, got = by_hand(mine, buckets, fan, parts, crowded, monkeypatch)
-    assert depth == max(1, int(np.ceil(np.log(buckets) / np.log(fan) - 1e-9)))
+    assert depth == max(substrings.LEAST_LEVELS, int(np.ceil(np.log(buckets) / np.log(fan) - 1e-9)))
     want = Counter()
     first = {}
     docs = [(i, (t or "").encode()) for i, t in mine if i is not None]
