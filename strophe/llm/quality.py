@@ -4,7 +4,9 @@ Every document gets counts (words, symbols, repeated lines and windows).  For ea
 the distribution of each ratio is kept as a log-bucket quantile sketch (counts per bucket whose bounds
 grow by ``GAMMA``, so quantiles have 1 % relative error).  Such sketches merge by adding counts, in any
 order, with the same result; small groups use the merged sketch of their language, then of everything.
-The fences (quartile plus or minus ``REACH`` times the spread) then join back to the documents.
+The fences (quartile plus or minus ``REACH`` times the spread) then join back to the documents.  No cutoff is fixed:
+the spread is the distance of the quartiles, or where they agree (most texts have no symbol and no repeated line) the
+share that one event makes in a short text of the group, its size being the lower quartile from the sketch of sizes.
 
 Only DataFrame functions are used.  Defined cases: a null or blank text has no words and fails the base
 rule; null languages and sources are groups of their own; repeated rows count each; an empty table gives
@@ -25,10 +27,11 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 GAMMA = 1.02
-REACH = 3.0
+REACH = 7.0
 MIN_GROUP = 64
-#: Ratio: (least spread that counts, is there a lower fence).
-RATIOS = {"word_length": (0.75, True), "symbols": (0.01, False), "dup_lines": (0.2, False), "repeats": (0.1, False), "capitals": (0.05, False)}
+#: Ratio: (size that it is a share of, how much of it one event is, is there a lower fence).
+RATIOS = {"word_length": (None, 0, True), "symbols": ("chars", 1, False), "dup_lines": ("lines", 1, False), "repeats": ("words", 2 * WINDOW, False), "capitals": ("chars", 1, False)}
+SIZES = {"chars": "word_chars", "lines": "n_lines", "words": "n_words"}
 SYMBOLS = "#*$%&|<>"
 
 
@@ -84,8 +87,9 @@ def _keys() -> list[Column]:
 
 
 def sketches(counted: DataFrame, name: str = "__counts") -> DataFrame:
-    """One row per language, source, ratio and bucket: the mergeable quantile sketches of documents past the base rule."""
-    values = F.array(*(F.struct(F.lit(k).alias("ratio"), v.alias("v")) for k, v in _ratios(F.col(name)).items()))
+    """One row per language, source, ratio (or size) and bucket: the mergeable quantile sketches of documents past the base rule."""
+    sizes = {k: F.col(f"{name}.{c}").cast("double") for k, c in SIZES.items()}
+    values = F.array(*(F.struct(F.lit(k).alias("ratio"), v.alias("v")) for k, v in (_ratios(F.col(name)) | sizes).items()))
     rows = counted.filter(~F.col(f"{name}.base_failed")).select(*_keys(), F.explode(values).alias("r"))
     bucket = F.when(F.col("r.v") > 0, F.ceil(F.log(F.col("r.v")) / F.log(F.lit(GAMMA)))).otherwise(-100_000).cast("int")
     return rows.groupBy("__lang", "__source", F.col("r.ratio").alias("ratio"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
@@ -112,12 +116,16 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     overall = named(quartiles(merged(sketch)), "c_")
     both = own.join(by_lang, ["__lang", "ratio"]).join(overall, "ratio")
     pick = lambda q: F.when(F.col("a_docs") >= MIN_GROUP, F.col(f"a_{q}")).when(F.col("b_docs") >= MIN_GROUP, F.col(f"b_{q}")).otherwise(F.col(f"c_{q}"))
-    slack = F.create_map(*(F.lit(x) for k, (least, _) in RATIOS.items() for x in (k, least)))[F.col("ratio")]
-    spread = F.greatest(F.col("q3") - F.col("q1"), slack)
-    low = F.when(F.col("ratio").isin(*(k for k, (_, lower) in RATIOS.items() if lower)), F.col("q1") - REACH * spread).otherwise(-1.0)
-    fenced = both.select("__lang", "__source", "ratio", pick("q1").alias("q1"), pick("q3").alias("q3")).select("__lang", "__source", "ratio", low.alias("low"), (F.col("q3") + REACH * spread).alias("high"))
-    ends = [F.max(F.when(F.col("ratio") == k, F.col(e))).alias(f"__{e}_{k}") for k in RATIOS for e in ("low", "high")]
-    return fenced.groupBy("__lang", "__source").agg(*ends)
+    quartile = lambda k, q: F.max(F.when(F.col("ratio") == k, F.col(q)))
+    wide = both.select("__lang", "__source", "ratio", pick("q1").alias("q1"), pick("q3").alias("q3")).groupBy("__lang", "__source")
+    wide = wide.agg(*(quartile(k, q).alias(f"{q}_{k}") for k in (*RATIOS, *SIZES) for q in ("q1", "q3")))
+
+    def ends(k: str, size: str | None, event: int, lower: bool) -> tuple[Column, Column]:
+        low, high = F.col(f"q1_{k}"), F.col(f"q3_{k}")
+        spread = F.greatest(high - low, event / F.col(f"q1_{size}")) if size else high - low
+        return (low - REACH * spread if lower else F.lit(-1.0)).alias(f"__low_{k}"), (high + REACH * spread).alias(f"__high_{k}")
+
+    return wide.select("__lang", "__source", *(e for k, how in RATIOS.items() for e in ends(k, *how)))
 
 
 def judged(counted: DataFrame, name: str = "__counts") -> DataFrame:

@@ -13,18 +13,20 @@ c2 AS (SELECT rid, doc_id, coalesce('=' || lang, '') AS kl, coalesce('=' || sour
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::BIGINT AS caps,
   len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n_repeat_words FROM c1),
 c AS (SELECT * EXCLUDE (wc), coalesce(wc, 0) AS word_chars, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c2),
+r(ratio, size, event, low) AS (VALUES ('word_length', NULL, 0, true), ('symbols', 'chars', 1, false), ('dup_lines', 'lines', 1, false), ('repeats', 'words', 16, false), ('capitals', 'chars', 1, false)),
 v AS (SELECT rid, kl, ks, base_failed, unnest([
-  {{'ratio': 'word_length', 'v': word_chars / nullif(n_words, 0)::DOUBLE, 'slack': 0.75, 'low': true}}, {{'ratio': 'symbols', 'v': n_symbols / nullif(word_chars, 0)::DOUBLE, 'slack': 0.01, 'low': false}},
-  {{'ratio': 'dup_lines', 'v': n_dup_lines / nullif(n_lines, 0)::DOUBLE, 'slack': 0.2, 'low': false}}, {{'ratio': 'repeats', 'v': n_repeat_words / nullif(n_words, 0)::DOUBLE, 'slack': 0.1, 'low': false}},
-  {{'ratio': 'capitals', 'v': caps / nullif(word_chars, 0)::DOUBLE, 'slack': 0.05, 'low': false}}]) AS r FROM c),
-s AS (SELECT kl, ks, r.ratio AS ratio, any_value(r.slack)::DOUBLE AS slack, any_value(r.low) AS low, CASE WHEN r.v > 0 THEN ceil(ln(r.v) / ln(1.02))::INT ELSE -100000 END AS b, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
+  {{'ratio': 'word_length', 'v': word_chars / nullif(n_words, 0)::DOUBLE}}, {{'ratio': 'symbols', 'v': n_symbols / nullif(word_chars, 0)::DOUBLE}}, {{'ratio': 'dup_lines', 'v': n_dup_lines / nullif(n_lines, 0)::DOUBLE}},
+  {{'ratio': 'repeats', 'v': n_repeat_words / nullif(n_words, 0)::DOUBLE}}, {{'ratio': 'capitals', 'v': caps / nullif(word_chars, 0)::DOUBLE}},
+  {{'ratio': 'chars', 'v': word_chars::DOUBLE}}, {{'ratio': 'lines', 'v': n_lines::DOUBLE}}, {{'ratio': 'words', 'v': n_words::DOUBLE}}]) AS r FROM c),
+s AS (SELECT kl, ks, r.ratio AS ratio, CASE WHEN r.v > 0 THEN ceil(ln(r.v) / ln(1.02))::INT ELSE -100000 END AS b, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
 lv AS (SELECT 2 AS lv, kl, ks, ratio, b, n FROM s UNION ALL SELECT 1, kl, NULL, ratio, b, sum(n) FROM s GROUP BY ALL UNION ALL SELECT 0, NULL, NULL, ratio, b, sum(n) FROM s GROUP BY ALL),
 run AS (SELECT *, sum(n) OVER (PARTITION BY lv, kl, ks, ratio ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lv, kl, ks, ratio) AS docs, CASE WHEN b = -100000 THEN 0.0::DOUBLE ELSE 2 * pow(1.02::DOUBLE, b) / (1.02::DOUBLE + 1) END AS val FROM lv),
 q AS (SELECT lv, kl, ks, ratio, max(docs) AS docs, min(CASE WHEN upto > floor((docs - 1) / 4.0) THEN val END) AS q1, min(CASE WHEN upto > floor((docs - 1) * 3 / 4.0) THEN val END) AS q3 FROM run GROUP BY ALL),
-g AS (SELECT kl, ks, ratio, any_value(slack) AS slack, any_value(low) AS low FROM s GROUP BY ALL),
+g AS (SELECT DISTINCT kl, ks, ratio FROM s),
 p AS (SELECT g.*, CASE WHEN a.docs >= 64 THEN a.q1 WHEN l.docs >= 64 THEN l.q1 ELSE t.q1 END AS q1, CASE WHEN a.docs >= 64 THEN a.q3 WHEN l.docs >= 64 THEN l.q3 ELSE t.q3 END AS q3
   FROM g JOIN q a ON a.lv = 2 AND a.kl = g.kl AND a.ks = g.ks AND a.ratio = g.ratio JOIN q l ON l.lv = 1 AND l.kl = g.kl AND l.ratio = g.ratio JOIN q t ON t.lv = 0 AND t.ratio = g.ratio),
-f AS (SELECT kl, ks, ratio, CASE WHEN low THEN q1 - 3 * greatest(q3 - q1, slack) ELSE -1 END AS lo, q3 + 3 * greatest(q3 - q1, slack) AS hi FROM p),
+w AS (SELECT p.kl, p.ks, p.ratio, p.q1, p.q3, r.low, greatest(p.q3 - p.q1, coalesce(r.event / z.q1, 0.0::DOUBLE)) AS spread FROM p JOIN r ON r.ratio = p.ratio LEFT JOIN p z ON z.kl = p.kl AND z.ks = p.ks AND z.ratio = r.size),
+f AS (SELECT kl, ks, ratio, CASE WHEN low THEN q1 - 7 * spread ELSE -1 END AS lo, q3 + 7 * spread AS hi FROM w),
 ok AS (SELECT v.rid, bool_and(v.r.v >= f.lo AND v.r.v <= f.hi) AS good FROM v JOIN f ON v.kl = f.kl AND v.ks = f.ks AND v.r.ratio = f.ratio GROUP BY v.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(good, false) AS kept FROM c LEFT JOIN ok USING (rid)
 """
