@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="strophe-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -44,14 +44,37 @@ def shuffle_files_dropped(spark: SparkSession):
         spark.conf.set(CLEANUP, before)
 
 
+#: Paths of the tables made since each open :func:`scratch` began.
+_SCRATCH: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strophe/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/strophe/{name}-{uuid.uuid4().hex}"
+    for made in _SCRATCH:
+        made.append(path)
+    return path
+
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables made inside are deleted at the end: for results that have been written elsewhere by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            delete(spark, path)
+
+
+def materialise(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, lost executors cost nothing done before."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     with shuffle_files_dropped(spark):
         df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -59,12 +82,9 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table that :func:`materialise` wrote and nobody reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/strophe/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(df.sparkSession, folder)
 
 
 def if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

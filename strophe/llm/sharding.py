@@ -48,14 +48,14 @@ def _numbered(rows: DataFrame) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("same", "split").orderBy("rid")) - 1
     again = marked.filter("before IS NOT NULL").withColumn("number", F.col("before") + inside)
     every = marked.filter("before IS NULL").withColumn("number", F.lit(0).cast("long")).unionByName(again)
-    return every.withColumn("tie", F.xxhash64("same", "number")).drop("same", "split", "before", "number", "rid")
+    return every.withColumn("tie", F.xxhash64("same", "number")).drop("same", "split", "before", "number")
 
 
-def metadata(docs: DataFrame) -> DataFrame:
-    """The metadata of every row, without texts, written once; all rows are in the root node."""
+def metadata(docs: DataFrame, rid: Column | None = None) -> DataFrame:
+    """The metadata of every row, without texts, written once; all rows are in the root node.  ``rid`` numbers the rows."""
     size = n_bytes(F.col("text")) + 1
     rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"), "doc_id", size.alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
+        (F.monotonically_increasing_id() if rid is None else rid).alias("rid"), "doc_id", size.alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
         F.coalesce(F.col("doc_id"), F.lit(0)).cast("double").alias("d_id"), size.cast("double").alias("d_size"), "source", "lang", F.xxhash64("doc_id", F.xxhash64("text"), "source", "lang").alias("same"),
     )
     rows = _numbered(materialise(rows, "shard-rows"))
@@ -144,6 +144,20 @@ def shard_rows(docs: DataFrame, leaves: int = 8) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def sharded(docs: DataFrame, leaves: int = 8) -> DataFrame:
+    """The rows of ``docs`` with ``shard`` and ``slot``, which replace columns of these names."""
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+    base = materialise(docs.select(F.struct(*own).alias("__row"), F.monotonically_increasing_id().alias("rid")), "shard-docs")
+    fields = [F.col(f"__row.{c}").alias(c) for c in ("doc_id", "text", "source", "lang")]
+    placed = with_slots(kd_leaves(metadata(base.select(*fields, "rid"), F.col("rid")), leaves))
+    return base.join(placed.select("rid", F.col("shard").cast("int").alias("shard"), "slot"), "rid").select("__row.*", "shard", "slot")
+
+
+def write_shards(rows: DataFrame, path: str) -> None:
+    """One folder per shard, its rows in files in the order of their slots."""
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+
+
 def leaves_for(docs: DataFrame, target_bytes: int) -> int:
     """How many leaves reach the target bytes."""
     total = docs.agg(F.sum(n_bytes(F.col("text")) + 1)).first()[0] or 0
