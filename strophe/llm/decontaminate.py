@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, if_small, materialise
+from .common import drop_table, if_small, materialise, new_path, scratch
 
 WORDS = re.compile(r"\w+")
 STRIDE = 48
@@ -364,6 +364,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no leak, with all their columns; by row, as ids can be null or repeat."""
     names = [F.col(f"`{c}`") for c in docs.columns]
     base = materialise(docs.select(F.struct(*names).alias("__row"), F.monotonically_increasing_id().alias("rid")), "leak-docs")
-    found = leaks(base.select(F.col("rid").alias("doc_id"), F.col("__row.text").alias("text")), benchmark)
-    bad = materialise(found.select(F.col("doc_id").alias("rid")).distinct(), "leaky")
+    path = new_path(docs.sparkSession, "leaky")
+    with scratch(docs.sparkSession):
+        found = leaks(base.select(F.col("rid").alias("doc_id"), F.col("__row.text").alias("text")), benchmark)
+        bad = materialise(found.select(F.col("doc_id").alias("rid")).distinct(), "leaky", path=path)
     return base.join(if_small(bad, 1_000_000), "rid", "left_anti").select("__row.*")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import if_small, materialise, n_words
+from .common import if_small, materialise, n_words, new_path, scratch
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -141,5 +141,8 @@ def _mix(rows: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns."""
     base = materialise(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.monotonically_increasing_id().alias("rid"), n_words(F.col("text")).alias("size"), F.col("source").alias("__source"), _hash()), "mix-docs")
-    copies = _mix(base.drop("__row")).filter("copies > 0").select("rid", "copies")
+    # folds and levels are many small tables: they go, and the copies stay
+    path = new_path(docs.sparkSession, "mix-copies")
+    with scratch(docs.sparkSession):
+        copies = materialise(_mix(base.drop("__row")).filter("copies > 0").select("rid", "copies"), "mix-copies", path=path)
     return base.join(copies, "rid").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

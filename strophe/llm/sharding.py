@@ -2,10 +2,10 @@
 
 A node of the tree is a set of documents; it is split along the dimension in which it is widest (its
 range over the range of all documents) at the weighted median, until every leaf holds its share of the
-bytes.  All nodes of a level are split at once.  The median is found by narrowing: rows are counted per
-node and bucket of the leading bits of a 63-bit key (31 bits of coordinate, 32 bits of hash against
-ties), the bucket that holds the middle is opened with the next bits, and so on; only per-bucket sums move,
-and each node keeps one row.  No step sorts or gathers the rows of a node.
+bytes.  All nodes of a level are split at once.  The median is found by narrowing: bytes are summed per
+node and value of the leading bits of a 63-bit key (31 bits of coordinate, 32 bits of hash against
+ties), the value that holds the middle is opened with the next bits, and so on; only these sums move,
+``MOST_COUNTS`` of them at most.  No step sorts or gathers the rows of a node.
 
 Dimensions: id, size, and the ranks of source and language among their values.  Ties are broken by a hash of
 id, text, source and language; rows equal in all of these are numbered, so neither file splits nor cores nor the order
@@ -19,14 +19,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import if_small, materialise, n_bytes, ranks
+from .common import drop_table, if_small, materialise, n_bytes, new_path, ranks, scratch
 
 DIMS = ("d_id", "d_size", "d_source", "d_lang")
-STEP_BITS = 21
 KEY_BITS = 63
+MOST_COUNTS = 1 << 17
 SLOT_ROWS = 20_000
 
 
@@ -63,66 +64,74 @@ def metadata(docs: DataFrame, rid: Column | None = None) -> DataFrame:
     return materialise(rows.drop("source", "lang").withColumn("node", F.lit(0)), "shard-meta")
 
 
-def _widest(nodes: DataFrame) -> DataFrame:
-    """Adds the split dimension of each node with its range there."""
-    wide = lambda d: F.try_divide(F.col(f"max_{d}") - F.col(f"min_{d}"), F.col(f"all_{d}"))
-    best = F.greatest(*(F.struct(F.coalesce(wide(d), F.lit(0.0)).alias("w"), F.lit(-i).alias("i"), F.col(f"min_{d}").alias("lo"), F.col(f"max_{d}").alias("hi")) for i, d in enumerate(DIMS)))
-    return nodes.withColumn("__cut", best)
+def _by_node(values: dict[int, float], leaves: int, kind: type) -> Column:
+    """The value of a row's node, from an array in the plan: nodes are no more than leaves."""
+    every = np.zeros(leaves, dtype=kind)
+    for node, value in values.items():
+        every[node] = value
+    return F.element_at(F.lit(every), F.col("node") + 1)
 
 
-def _key(cut: Column) -> Column:
+def _key(dim: Column, lo: Column, hi: Column) -> Column:
     """31 bits of the coordinate inside the node's range, then 32 bits of hash."""
-    at = F.element_at(F.array(*DIMS), 1 - cut["i"])
-    coordinate = F.coalesce(F.floor(F.try_divide(at - cut["lo"], cut["hi"] - cut["lo"]) * ((1 << 31) - 1)), F.lit(0)).cast("long")
+    at = F.element_at(F.array(*DIMS), dim)
+    coordinate = F.coalesce(F.floor(F.try_divide(at - lo, hi - lo) * ((1 << 31) - 1)), F.lit(0)).cast("long")
     return F.shiftleft(coordinate, 32) + F.pmod("tie", F.lit(1 << 32))
 
 
-def kd_leaves(meta: DataFrame, leaves: int) -> DataFrame:
-    """``meta`` with ``shard``: leaves numbered from 0 in tree order, near equal in size.
+def _medians(rows: DataFrame, key: Column, goals: dict[int, float], leaves: int) -> dict[int, int]:
+    """Per node the key at which the running size reaches the goal, by narrowing.
 
-    A node for k leaves gives floor(k / 2) of k parts of its weight to the left.
+    Each step counts bytes per node and value of the next bits, so few that all nodes' counts are ``MOST_COUNTS`` at most.
     """
-    spans = meta.agg(*((F.max(d) - F.min(d)).alias(f"all_{d}") for d in DIMS)).first()
-    own = [c for c in meta.columns if c != "node"]
-    placed = meta.withColumn("k", F.lit(leaves))
-    for _ in range(math.ceil(math.log2(leaves)) if leaves > 1 else 0):
-        ends = [f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("min", F.min), ("max", F.max))]
-        stats = placed.filter("k > 1").groupBy("node", "k").agg(F.sum("size").alias("weight"), *ends)
-        stats = _widest(stats.withColumns({f"all_{d}": F.lit(spans[f"all_{d}"]) for d in DIMS}))
-        goal = F.col("weight") * F.floor(F.col("k") / 2) / F.col("k")
-        nodes = materialise(stats.select(F.col("node").alias("__n"), "__cut", goal.alias("goal"), F.lit(0).cast("long").alias("prefix"), F.lit(0.0).alias("below")), "shard-nodes")
-        for shift in range(KEY_BITS - STEP_BITS, -1, -STEP_BITS):
-            rows = placed.join(if_small(nodes), placed["node"] == nodes["__n"]).withColumn("__key", _key(F.col("__cut")))
-            inside = rows.filter(F.shiftrightunsigned("__key", shift + STEP_BITS) == F.col("prefix")) if shift + STEP_BITS < KEY_BITS else rows
-            counts = inside.groupBy("__n", F.shiftrightunsigned("__key", shift).alias("b")).agg(F.sum("size").alias("w"))
-            hit = _middle(counts.join(if_small(nodes.select("__n", "goal", "below")), "__n"))
-            nodes = materialise(nodes.drop("prefix", "below").join(hit, "__n"), "shard-nodes")
-        last = nodes.withColumnRenamed("prefix", "__median").drop("goal", "below")
-        rows = placed.join(if_small(last), placed["node"] == last["__n"], "left")
-        right = F.col("__n").isNotNull() & (_key(F.col("__cut")) > F.col("__median"))
-        half = F.floor(F.col("k") / 2).cast("int")
-        split = F.col("__n").isNotNull()
-        placed = materialise(
-            rows.select(*own, F.when(right, F.col("node") + half).otherwise(F.col("node")).alias("node"), F.when(right, F.col("k") - half).when(split, half).otherwise(F.col("k")).alias("k")), "shard-level"
-        )
-    return placed.select(*own, F.col("node").alias("shard"))
+    found, below, left = dict.fromkeys(goals, 0), dict.fromkeys(goals, 0), KEY_BITS
+    bits = max(1, int(math.log2(MOST_COUNTS / max(1, len(goals)))))
+    while left:
+        step = min(bits, left)
+        inside = rows if left == KEY_BITS else rows.filter(F.shiftrightunsigned(key, left) == _by_node(found, leaves, np.int64))
+        place = F.shiftrightunsigned(key, left - step).bitwiseAND((1 << step) - 1)
+        counts: dict[int, list[tuple[int, int]]] = {}
+        for r in inside.groupBy("node", place.alias("b")).agg(F.sum("size").alias("w")).collect():
+            counts.setdefault(r["node"], []).append((r["b"], r["w"]))
+        for node, buckets in counts.items():
+            buckets.sort()
+            for b, w in buckets:
+                if below[node] + w >= goals[node] or b == buckets[-1][0]:
+                    found[node] = found[node] << step | b
+                    break
+                below[node] += w
+        left -= step
+    return found
 
 
-def _middle(counts: DataFrame) -> DataFrame:
-    """Per node the bucket where the running weight reaches the goal, and the weight below it.
+def kd_leaves(meta: DataFrame, leaves: int) -> DataFrame:
+    """``meta`` with ``shard``: leaves numbered from 0 in tree order, near equal in size.
 
-    The running sum goes over blocks of buckets first, so no window holds more than a block or the list of blocks.
+    A node is known by its first leaf; one for k leaves gives floor(k / 2) of k parts of its weight to the left.  What the
+    driver holds is bounded by the number of leaves, never by rows.
     """
-    block = F.shiftrightunsigned("b", 10)
-    blocks = counts.groupBy("__n", block.alias("blk")).agg(F.sum("w").alias("bw"), F.first("goal").alias("goal"), F.first("below").alias("below"))
-    upto = Window.partitionBy("__n").orderBy("blk")
-    run = blocks.withColumn("end", F.col("below") + F.sum("bw").over(upto))
-    reached = (F.col("end") >= F.col("goal")) | (F.col("blk") == F.max("blk").over(Window.partitionBy("__n")))
-    chosen = run.withColumn("__r", reached).filter("__r").groupBy("__n").agg(F.min("blk").alias("blk"), F.min_by(F.col("end") - F.col("bw"), "blk").alias("base"))
-    fine = counts.withColumn("blk", block).join(chosen, ["__n", "blk"])
-    at = fine.withColumn("end", F.col("base") + F.sum("w").over(Window.partitionBy("__n").orderBy("b")))
-    at = at.withColumn("__r", (F.col("end") >= F.col("goal")) | (F.col("b") == F.max("b").over(Window.partitionBy("__n"))))
-    return at.filter("__r").groupBy("__n").agg(F.min("b").alias("prefix"), F.min_by(F.col("end") - F.col("w"), "b").alias("below"))
+    own = [c for c in meta.columns if c != "node"]
+    spans = meta.agg(*((F.max(d) - F.min(d)).alias(d) for d in DIMS)).first()
+    placed, todo = meta, {0: leaves}
+    while todo := {n: k for n, k in todo.items() if k > 1}:
+        ends = [f(d).alias(f"{name}_{d}") for d in DIMS for name, f in (("min", F.min), ("max", F.max))]
+        active = placed.filter(_by_node(dict.fromkeys(todo, 1), leaves, np.int32) == 1)
+        nodes = {r["node"]: r for r in active.groupBy("node").agg(F.sum("size").alias("weight"), *ends).collect()}
+        if not nodes:
+            break
+        wide = lambda r, d: (r[f"max_{d}"] - r[f"min_{d}"]) / spans[d] if spans[d] else 0.0
+        cut = {n: max(range(len(DIMS)), key=lambda i: (wide(r, DIMS[i]), -i)) for n, r in nodes.items()}
+        low, high = ({n: r[f"{end}_{DIMS[cut[n]]}"] for n, r in nodes.items()} for end in ("min", "max"))
+        key = _key(_by_node({n: i + 1 for n, i in cut.items()} | {n: 1 for n in range(leaves) if n not in cut}, leaves, np.int32), _by_node(low, leaves, np.float64), _by_node(high, leaves, np.float64))
+        medians = _medians(active, key, {n: r["weight"] * (todo[n] // 2) / todo[n] for n, r in nodes.items()}, leaves)
+        half = {n: todo[n] // 2 for n in nodes}
+        right = (_by_node(half, leaves, np.int32) > 0) & (key > _by_node(medians, leaves, np.int64))
+        moved = placed.select(*own, F.when(right, F.col("node") + _by_node(half, leaves, np.int32)).otherwise(F.col("node")).alias("node"))
+        before, placed = placed, materialise(moved, "shard-level")
+        if before is not meta:
+            drop_table(before)
+        todo = {m: k for n in nodes for m, k in ((n, half[n]), (n + half[n], todo[n] - half[n]))}
+    return placed.select(*own, F.col("node").alias("shard"))
 
 
 def with_slots(placed: DataFrame) -> DataFrame:
@@ -149,8 +158,11 @@ def sharded(docs: DataFrame, leaves: int = 8) -> DataFrame:
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
     base = materialise(docs.select(F.struct(*own).alias("__row"), F.monotonically_increasing_id().alias("rid")), "shard-docs")
     fields = [F.col(f"__row.{c}").alias(c) for c in ("doc_id", "text", "source", "lang")]
-    placed = with_slots(kd_leaves(metadata(base.select(*fields, "rid"), F.col("rid")), leaves))
-    return base.join(placed.select("rid", F.col("shard").cast("int").alias("shard"), "slot"), "rid").select("__row.*", "shard", "slot")
+    path = new_path(docs.sparkSession, "shard-slots")
+    with scratch(docs.sparkSession):  # the levels of the tree go, and the slots stay
+        placed = with_slots(kd_leaves(metadata(base.select(*fields, "rid"), F.col("rid")), leaves))
+        placed = materialise(placed.select("rid", F.col("shard").cast("int").alias("shard"), "slot"), "shard-slots", path=path)
+    return base.join(placed, "rid").select("__row.*", "shard", "slot")
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
