@@ -162,7 +162,7 @@ def sharded(docs: DataFrame, leaves: int = 8) -> DataFrame:
     with scratch(docs.sparkSession):  # the levels of the tree go, and the slots stay
         placed = with_slots(kd_leaves(metadata(base.select(*fields, "rid"), F.col("rid")), leaves))
         placed = materialise(placed.select("rid", F.col("shard").cast("int").alias("shard"), "slot"), "shard-slots", path=path)
-    return base.join(placed, "rid").select("__row.*", "shard", "slot")
+    return base.join(placed.hint("merge"), "rid").select("__row.*", "shard", "slot")  # a row of each document: never broadcast
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
