@@ -30,11 +30,11 @@ def merged(df: DataFrame, keys: list[str], start: str, end: str, *also: Column)
 
 
 def gaps(df: DataFrame, keys: list[str], start: str, end: str, total: DataFrame, total_col: str) -> DataFrame:
-    """(keys, lo, hi) between neighbouring intervals, with the part before the first and after the last."""
-    by = Window.partitionBy(*keys).orderBy(start, end)
-    inner = df.select(*keys, F.coalesce(F.lag(end).over(by), F.lit(0)).alias("lo"), F.col(start).alias("hi"))
-    tail = total.join(df.groupBy(*keys).agg(F.max_by(end, F.struct(start, end)).alias("lo")), keys, "left").select(*keys, F.coalesce("lo", F.lit(0)).alias("lo"), F.col(total_col).alias("hi"))
-    return inner.unionByName(tail)
+    """(keys, lo, hi): the stretches of [0, total] that no interval covers; intervals may overlap and nest."""
+    before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    inner = df.select(*keys, F.coalesce(F.max(end).over(before), F.lit(0)).alias("lo"), F.col(start).alias("hi"))
+    tail = total.join(df.groupBy(*keys).agg(F.max(end).alias("lo")), keys, "left").select(*keys, F.coalesce("lo", F.lit(0)).alias("lo"), F.col(total_col).alias("hi"))
+    return inner.unionByName(tail).filter("hi > lo")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], width: float) -> DataFrame:

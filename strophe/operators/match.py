@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophe.functions.text import similarity
 
-SLACK, LEAST = 0.2, 0.8
+SLACK, LEAST, EDGE_BONUS = 0.2, 0.8, 0.01
 
 
 def candidate_windows(texts: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -29,19 +29,44 @@ def candidate_windows(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     return met.filter(opening).select("doc", "quote", "q", "slack", "start", F.slice("window", F.lit(1), F.size("q") + F.col("slack")).alias("window"))
 
 
+def shared_tokens(a: Column, b: Column) -> Column:
+    """Tokens in common, each as often as both have it: no common subsequence is longer."""
+    times = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
+    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, t: n + F.least(times(a, t), times(b, t)))
+
+
 def found_quotes(texts: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(doc, quote, start, length, score): the best window of each quote in each text, at ``LEAST`` similarity or more; the earliest, then shortest, on ties.
+    """(doc, quote, start, length, score, occurrences): where each quote is in each text, at ``LEAST`` similarity or more.
 
-    A cheap bound prunes first: windows must share at least ``LEAST`` of their tokens as sets.
+    The most similar windows win; those that begin or end with a sentence (token places ``starts`` and ``ends`` of a text, if
+    it has these columns) win ties.  Of equal windows that don't overlap, ``occurrence`` of a quote (if it has that
+    column; 1 is the first, -1 the last) picks one, the first by default; with fewer there is no place, only their number.
+    Windows are pruned first if they share too few tokens for the least similarity at any length.
     """
     windows = candidate_windows(texts, quotes)
-    shared = F.size(F.array_intersect("window", "q"))
-    hopeful = windows.filter(shared >= F.size(F.array_distinct("q")) * 0.6)
+    needed = LEAST / 2 * (2 * F.size("q") - F.col("slack"))
+    hopeful = windows.filter(shared_tokens(F.col("q"), F.col("window")) >= needed - 1e-9)
     lengths = F.filter(F.sequence(F.greatest(F.lit(1), F.size("q") - F.col("slack")), F.size("q") + F.col("slack")), lambda n: n <= F.size("window"))
     tried = hopeful.select("doc", "quote", "q", "start", "window", F.explode(lengths).alias("length"))
-    scored = tried.withColumn("score", similarity(F.col("q"), F.slice("window", F.lit(1), F.col("length")))).filter(F.col("score") >= LEAST)
-    best = F.row_number().over(Window.partitionBy("doc", "quote").orderBy(F.col("score").desc(), "start", "length"))
-    return scored.withColumn("__r", best).filter("__r = 1").select("doc", "quote", "start", "length", "score")
+    scored = tried.withColumn("score", similarity(F.col("q"), F.slice("window", F.lit(1), F.col("length")))).filter(F.col("score") >= LEAST).drop("q", "window")
+    edges = F.lit(0)
+    if {"starts", "ends"} <= set(texts.columns):
+        scored = scored.join(texts.select("doc", "starts", "ends"), "doc")
+        edges = F.array_contains("starts", F.col("start")).cast("int") + F.array_contains("ends", F.col("start") + F.col("length")).cast("int")
+    scored = scored.withColumn("total", F.col("score") + EDGE_BONUS * edges)
+    top = F.max("total").over(Window.partitionBy("doc", "quote"))
+    equal = scored.withColumn("top", top).filter(F.col("total") >= F.col("top") - 1e-9)
+    spans = F.array_sort(F.collect_list(F.struct("start", (-F.col("total")).alias("less"), "length", "score")))
+    apart = F.aggregate(
+        spans, F.array().cast("array<struct<start:int,less:double,length:int,score:double>>"),
+        lambda kept, s: F.when((F.size(kept) == 0) | (s["start"] >= F.element_at(kept, -1)["start"] + F.element_at(kept, -1)["length"]), F.concat(kept, F.array(s))).otherwise(kept),
+    )
+    found = equal.groupBy("doc", "quote").agg(apart.alias("kept"))
+    asked = F.lit(None).cast("int")
+    if "occurrence" in quotes.columns:
+        found, asked = found.join(quotes.select("quote", "occurrence"), "quote"), F.col("occurrence")
+    place = F.try_element_at("kept", F.coalesce(asked, F.lit(1)).cast("int"))
+    return found.select("doc", "quote", place["start"].alias("start"), place["length"].alias("length"), place["score"].alias("score"), F.size("kept").alias("occurrences"))
 
 
 def quote_sentences(matches: DataFrame, sentences: DataFrame) -> DataFrame:

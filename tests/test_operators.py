@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strophe.operators import align as A
 from strophe.operators import intervals as I
+from strophe.operators import match as M
 from strophe.operators import select as C
 from strophe.plans.cache import Stages, fingerprint
 
@@ -35,6 +36,48 @@ def test_common_pairs_are_longest():
         assert len(pairs) == _lcs(a, b)
 
 
+def plain_quotes(words, quote, starts, ends, occurrence):
+    """Every window of every length, by the longest common subsequence."""
+    n, slack = len(quote), max(1, round(len(quote) * 0.2))
+    sim = lambda a, b: 2 * _lcs(a, b) / (len(a) + len(b))
+    spans = []
+    for s in range(len(words)):
+        if words[s] == quote[0] or sim(quote[:3], words[s : s + 3]) >= 0.5:
+            for size in range(max(1, n - slack), n + slack + 1):
+                if s + size <= len(words) and sim(quote, words[s : s + size]) >= 0.8:
+                    spans.append((sim(quote, words[s : s + size]) + 0.01 * ((s in starts) + (s + size in ends)), s, size))
+    top = max((x[0] for x in spans), default=0)
+    apart = []
+    for score, s, size in sorted((x for x in spans if x[0] >= top - 1e-9), key=lambda x: (x[1], -x[0], x[2])):
+        if not apart or s >= sum(apart[-1]):
+            apart.append((s, size))
+    at = {None: 0, -1: -1}.get(occurrence, (occurrence or 0) - 1)
+    return (*(apart[at] if -len(apart) <= at < len(apart) else (None, None)), len(apart)) if apart else None
+
+
+def test_quotes_against_every_window(spark):
+    rng = random.Random(12)
+    texts = [[rng.choice("abcdefgh") if rng.random() < 0.6 else "no" for _ in range(rng.randint(0, 60))] for _ in range(25)]
+    quotes = [(texts[i % 25][k : k + m] or ["zz"], rng.choice([None, None, 1, 2, -1])) for i in range(40) for k, m in [(rng.randint(0, 30), rng.randint(1, 16))]]
+    quotes = [([w if rng.random() < 0.9 else "x" for w in q], o) for q, o in quotes] + [(["no"] * 14 + ["a", "b", "c"], None)]
+    texts.append(["no"] * 14 + ["a", "x", "y", "z"])
+    edges = [(sorted(rng.sample(range(61), 6)), sorted(rng.sample(range(61), 6))) for _ in texts]
+    docs = spark.createDataFrame([(i, t, *e) for i, (t, e) in enumerate(zip(texts, edges))], "doc long, tokens array<string>, starts array<int>, ends array<int>")
+    asked = spark.createDataFrame([(i, q, o) for i, (q, o) in enumerate(quotes)], "quote long, q array<string>, occurrence int")
+    got = {(r["doc"], r["quote"]): (r["start"], r["length"], r["occurrences"]) for r in M.found_quotes(docs, asked).collect()}
+    want = {(i, j): plain_quotes(t, q, *edges[i], o) for i, t in enumerate(texts) for j, (q, o) in enumerate(quotes)}
+    assert got == {k: v for k, v in want.items() if v} and got[25, 40][2] == 1
+    bare = {(r["doc"], r["quote"]): (r["start"], r["length"], r["occurrences"]) for r in M.found_quotes(docs.drop("starts", "ends"), asked.drop("occurrence")).collect()}
+    assert bare == {k: v for i, t in enumerate(texts) for j, (q, _) in enumerate(quotes) if (v := plain_quotes(t, q, (), (), None)) for k in [(i, j)]}
+
+
+def test_gaps_of_nested_intervals(spark):
+    rows = [(1, 10, 90), (1, 20, 30), (1, 25, 95), (1, 97, 99), (2, 0, 5), (2, 5, 7)]
+    totals = spark.createDataFrame([(1, 120), (2, 7), (3, 4)], "k int, total int")
+    found = I.gaps(spark.createDataFrame(rows, "k int, s int, e int"), ["k"], "s", "e", totals, "total").collect()
+    assert sorted(map(tuple, found)) == [(1, 0, 10), (1, 95, 97), (1, 99, 120), (3, 0, 4)]
+
+
 def test_solid_needs_three():
     link = lambda i, j: A.Link(range(i, i + 1), range(j, j + 1), True)
     assert A.solid([link(0, 0), link(1, 1), link(3, 3)]) == []
