@@ -145,4 +145,4 @@ def mixed(docs: DataFrame) -> DataFrame:
     path = new_path(docs.sparkSession, "mix-copies")
     with scratch(docs.sparkSession):
         copies = materialise(_mix(base.drop("__row")).filter("copies > 0").select("rid", "copies"), "mix-copies", path=path)
-    return base.join(copies, "rid").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
+    return base.join(copies.hint("merge"), "rid").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import if_small, let, materialise, words
+from .common import drop_table, if_small, let, materialise, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -128,25 +128,42 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return wide.select("__lang", "__source", *(e for k, how in RATIOS.items() for e in ends(k, *how)))
 
 
-def judged(counted: DataFrame, name: str = "__counts") -> DataFrame:
-    """``counted`` (materialised) with ``__kept``: past the base rule and inside every fence of its group."""
-    fences = materialise(thresholds(sketches(counted, name)), "fences")
-    keyed = counted.select("*", *_keys())
-    joined = keyed.join(if_small(fences), ["__lang", "__source"], "left")
+def fences_of(counted: DataFrame, name: str = "__counts") -> DataFrame:
+    """The fences of every language and source, written; a row per group."""
+    return materialise(thresholds(sketches(counted, name)), "fences")
+
+
+def judged(counted: DataFrame, fences: DataFrame, name: str = "__counts") -> tuple[DataFrame, Column]:
+    """``counted`` beside its fences, and the verdict: past the base rule and inside every fence of its group."""
+    joined = counted.select("*", *_keys()).join(if_small(fences), ["__lang", "__source"], "left")
     inside = F.lit(True)
     for k, v in _ratios(F.col(name)).items():
         inside = inside & (v >= F.col(f"__low_{k}")) & (v <= F.col(f"__high_{k}"))
-    return joined.withColumn("__kept", ~F.col(f"{name}.base_failed") & F.coalesce(inside, F.lit(False)))
+    return joined, F.coalesce(~F.col(f"{name}.base_failed") & inside, F.lit(False))
+
+
+def _written_counts(docs: DataFrame) -> DataFrame:
+    """Counts of every document, without texts."""
+    return materialise(with_counts(docs.select("doc_id", "text", "lang", "source")).drop("text"), "counts")
 
 
 def quality_rows(docs: DataFrame) -> DataFrame:
     """Counts and verdict of every document, without texts."""
-    counted = materialise(with_counts(docs.select("doc_id", "text", "lang", "source")).drop("text"), "counts")
+    counted = _written_counts(docs)
+    joined, kept = judged(counted, fences_of(counted))
     c = F.col("__counts")
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    return judged(counted).select("doc_id", *(c[f].alias(f) for f in fields), F.col("__kept").alias("kept"))
+    return joined.select("doc_id", *(c[f].alias(f) for f in fields), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    return judged(materialise(with_counts(docs), "counted")).filter("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    Counts are made twice, for the fences and for the verdict, so no copy of the texts is written.
+    """
+    counted = _written_counts(docs)
+    fences = fences_of(counted)
+    drop_table(counted)
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "text", "lang", "source")
+    joined, kept = judged(with_counts(own).drop("text"), fences)
+    return joined.filter(kept).select("__row.*")
