@@ -1,5 +1,7 @@
 """Literal cases of word forms, sentence ends, segmentation, citations and quotes."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,7 +61,7 @@ def test_similarity(spark):
 
 def test_official_words_of_long_texts(spark):
     """Marks, sentence ends and numbering by a plain walk, over many lines and one very long line."""
-    rng = __import__("random").Random(2)
+    rng = random.Random(2)
     parts = ["word", "end.", "-", "“", "(so", "why?", "M.", "12", "…", "e.g.", "wait...", "Then", "and", "!"]
     texts = ["\n".join(" ".join(rng.choice(parts) for _ in range(rng.randint(0, 6))) for _ in range(20_000)), " ".join(rng.choice(parts) for _ in range(100_000)), "", " - \n\n!", None]
     rows = S.official_words(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
