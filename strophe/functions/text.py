@@ -25,6 +25,23 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def one_decimal(x: Column) -> Column:
+    """A double with one decimal, rounded by its exact binary value (half to even), as C and Python print it.
+
+    ``20 * x`` as an exact sum of two doubles tells on which side of the nearest half tenth the value lies.
+    """
+
+    def text(v: Column) -> Column:
+        high = 134_217_729.0 * v - (134_217_729.0 * v - v)
+        product = v * 20.0
+        odd = 2.0 * F.floor(product / 2.0) + 1.0
+        side = (product - odd) + ((high * 20.0 - product) + (v - high) * 20.0)
+        tenths = F.when(side > 0, (odd + 1) / 2).when(side < 0, (odd - 1) / 2).otherwise(F.bround(odd / 2)).cast("long")
+        return let(tenths, lambda t: F.concat(F.floor(t / 10).cast("string"), F.lit("."), F.pmod(t, F.lit(10)).cast("string")))
+
+    return F.concat(F.when(x < 0, "-").otherwise(""), let(F.abs(x.cast("double")), text))
+
+
 #: White space as Python's ``str`` methods see it.
 SPACE = r"[\x09-\x0d\x1c-\x20\x85\p{Z}]"
 NON_ASCII = r"[^\x00-\x7F]"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strophe.functions.text import one_decimal
+
 
 def totals(entries: DataFrame, key: str, usd: str) -> DataFrame:
     """Sum per ``key`` and the grand total under the name total."""
@@ -30,7 +32,7 @@ def units_text(value: Column) -> Column:
 
 def bytes_text(size: Column) -> Column:
     """B, KB, MB or GB by thousands."""
-    scaled = lambda k, unit: F.format_string(f"%.1f {unit}", size / float(10**k))
+    scaled = lambda k, unit: F.concat(one_decimal(size / float(10**k)), F.lit(f" {unit}"))
     return F.when(size < 1000, F.format_string("%d B", size)).when(size < 10**6, scaled(3, "KB")).when(size < 10**9, scaled(6, "MB")).otherwise(scaled(9, "GB"))
 
 
