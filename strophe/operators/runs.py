@@ -11,7 +11,7 @@ from .timeline import cycle_length, energy_bounds, placed
 
 # Limits of styles, words of voices, seconds past the last bar, decibels of endings, words of plans.
 MOST_STYLES, MOST_STYLE_CHARS, MOST_PLAN_STYLES, MOST_CHORDS = 4, 80, 50, 8
-VOICE_WORDS = r"(?i)\b(vocals?|vocalists?|voices?|sing|singing|singers?|sung|lyrics?|choirs?|choral|chants?|chanting|spoken|speech|narrat\w*|raps?|rapping|humming|whisper\w*)\b"
+VOICES = r"vocals?|vocalists?|voices?|sing|singing|singers?|sung|lyrics?|choirs?|choral|chants?|chanting|spoken|speech|narrat[\p{L}\p{N}_]*|raps?|rapping|humming|whisper[\p{L}\p{N}_]*"
 SONG_TAIL_S = 2.0
 DEAD_LU, ABRUPT_DB, SETTLED_DB, SILENT_DB = 25.0, 20.0, 50.0, -80.0
 TEMPO_SLACK, KEY_COST, OTHER_KEY_COST, DEAD_COST = 0.005, {"same": 0.0, "relative": 0.15}, 0.3, 0.5
@@ -45,7 +45,8 @@ def probed(data: Column) -> Column:
 
 def style_faults(styles: Column) -> Column:
     """Struct of what is wrong with extra styles: too many of them, how many are too long, the voice words they hold."""
-    voiced = F.filter(F.transform(styles, lambda s: F.lower(F.regexp_extract(s, VOICE_WORDS, 1))), lambda w: w != "")
+    word = rf"(?i)(?<![\p{{L}}\p{{N}}_])({VOICES})(?![\p{{L}}\p{{N}}_])"
+    voiced = F.filter(F.transform(styles, lambda s: F.lower(F.regexp_extract(s, word, 1))), lambda w: w != "")
     return F.struct((F.size(styles) > MOST_STYLES).alias("many"), F.size(F.filter(styles, lambda s: F.length(s) > MOST_STYLE_CHARS)).alias("long"), voiced.alias("voiced"))
 
 
@@ -183,9 +184,9 @@ def part_line(role: Column, bars: Column, clips: Column, alone: Column, styles:
 
 def deduped(styles: Column, most: int = MOST_PLAN_STYLES) -> Column:
     """Trimmed styles, the first of those that differ only by case or blanks, at most ``most``."""
+    first = lambda clean, low: F.slice(F.filter(clean, lambda s, i: F.array_position(low, F.lower(s)) == i + 1), F.lit(1), F.lit(most))
     clean = F.filter(F.transform(styles, lambda s: F.trim(s)), lambda s: s != "")
-    low = F.transform(clean, lambda s: F.lower(s))
-    return F.slice(F.filter(clean, lambda s, i: F.array_position(low, F.lower(s)) == i + 1), F.lit(1), F.lit(most))
+    return let(clean, lambda xs: let(F.transform(xs, lambda s: F.lower(s)), lambda low: first(xs, low)))
 
 
 def shape_words(shape: Column) -> Column:
@@ -195,10 +196,11 @@ def shape_words(shape: Column) -> Column:
 
 def chord_words(chords: Column, speech: Column) -> Column:
     """Chords as words: neighbours that repeat collapse, then the shortest cycle, eight names at most."""
-    names = F.filter(chords, lambda c, i: (i == 0) | (c != F.get(chords, i - 1)))
-    cycle = F.slice(names, F.lit(1), F.least(cycle_length(names), F.lit(MOST_CHORDS)))
-    text = lambda head: F.array(F.concat(F.lit(head), F.array_join(cycle, " - ")))
-    return F.when(F.size(names) == 0, F.array().cast("array<string>")).when(F.size(cycle) == 1, text("harmony resting on ")).when(speech, text("slow chord changes ")).otherwise(text("chord progression "))
+    text = lambda head, cycle: F.array(F.concat(F.lit(head), F.array_join(cycle, " - ")))
+    words = lambda cycle: F.when(F.size(cycle) == 1, text("harmony resting on ", cycle)).when(speech, text("slow chord changes ", cycle)).otherwise(text("chord progression ", cycle))
+    once = lambda names: let(F.slice(names, F.lit(1), F.least(cycle_length(names), F.lit(MOST_CHORDS))), words)
+    none = F.array().cast("array<string>")
+    return let(chords, lambda cs: let(F.filter(cs, lambda c, i: (i == 0) | (c != F.get(cs, i - 1))), lambda names: F.when(F.size(names) == 0, none).otherwise(once(names))))
 
 
 def passage_gains(passages: DataFrame, margin: float, most_cut: float) -> DataFrame:

@@ -32,7 +32,7 @@ def s11_probes(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", "p.duration_s", "p.has_video", "p.codec", "p.sample_rate", "p.bit_rate")
 
 
-_VOICES = R.VOICE_WORDS.replace("(?i)", "")
+_VOICES = rf"(^|[^\p{{L}}\p{{N}}_])({R.VOICES})([^\p{{L}}\p{{N}}_]|$)"
 
 
 @query(rf"""WITH s AS (SELECT doc_id, list_filter(string_split(text, '. '), lambda x: true) AS st FROM documents WHERE text IS NOT NULL)
