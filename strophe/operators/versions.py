@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .select import problems, scheduled
+
 
 def required_for(clips: DataFrame, quotes: DataFrame, keys: list[str]) -> DataFrame:
     """Adds quote: the first required quote (by pos) with exactly a clip's range [start, end]; null if there is none."""
@@ -12,8 +14,8 @@ def required_for(clips: DataFrame, quotes: DataFrame, keys: list[str]) -> DataFr
     return clips.join(first, [*keys, "start", "end"], "left")
 
 
-def with_required(clips: DataFrame, quotes: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, clip, start, end, score, role, added): the clips, and one for each required quote whose range none of them has.
+def with_required(clips: DataFrame, quotes: DataFrame, keys: list[str], also: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, clip, start, end, score, role, added, also): the clips, and one for each required quote whose range none of them has.
 
     An added clip has the quote's id, or id + ``r`` where a clip has that already, score 1 and the quote's role, or ``build``.
     """
@@ -21,8 +23,38 @@ def with_required(clips: DataFrame, quotes: DataFrame, keys: list[str]) -> DataF
     taken = clips.select(*keys, F.col("clip").alias("quote")).distinct().withColumn("__taken", F.lit(True))
     missing = quotes.join(ranges, [*keys, "start", "end"], "left_anti").join(taken, [*keys, "quote"], "left")
     name = F.when(F.col("__taken"), F.concat("quote", F.lit("r"))).otherwise(F.col("quote"))
-    new = missing.select(*keys, name.alias("clip"), "start", "end", F.lit(1.0).alias("score"), F.coalesce("role", F.lit("build")).alias("role"), F.lit(True).alias("added"))
-    return clips.select(*keys, "clip", "start", "end", F.col("score").cast("double").alias("score"), "role", F.lit(False).alias("added")).unionByName(new)
+    new = missing.select(*keys, name.alias("clip"), "start", "end", F.lit(1.0).alias("score"), F.coalesce("role", F.lit("build")).alias("role"), F.lit(True).alias("added"), *also)
+    return clips.select(*keys, "clip", "start", "end", F.col("score").cast("double").alias("score"), "role", F.lit(False).alias("added"), *also).unionByName(new)
+
+
+def finalized(clips: DataFrame, quotes: DataFrame, order: DataFrame, low: float, high: float, most: int, budget: float) -> DataFrame:
+    """(sel, clip, start, end, score, added, time_pos, play_pos): the usable part of a selection, in time and in playing order.
+
+    Clips are (sel, pos, clip, start, end, score, seconds, role), quotes (sel, quote, pos, start, end, seconds, role), order (sel, at, clip).
+    Ids with an invalid clip go; scores are clamped to [0, 1]; missing quotes come in; overlaps, count and seconds are settled by score,
+    quotes first.  The suggested order counts; added quotes play before the first clip of it that is later in the talk, and what it
+    leaves out comes last, by score.
+    """
+    key = ["sel"]
+    known = required_for(clips, quotes, key).withColumn("required", F.col("quote").isNotNull())
+    bad = problems(known, low, high, float("inf"), 0, 2**31 - 1).filter("kind in ('duplicate', 'range', 'duration')").select("sel", "clip").distinct()
+    good = known.join(bad, ["sel", "clip"], "left_anti").withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")))
+    late = quotes.withColumn("pos", F.col("pos") + 1_000_000)  # after the clips, as they are added after them
+    whole = with_required(good, late, key, ("pos", "seconds"))
+    must = required_for(whole, late, key).withColumn("required", F.col("quote").isNotNull()).drop("quote")
+    kept = must.join(scheduled(must, most, budget), ["sel", "clip"])
+    first = order.groupBy("sel", "clip").agg(F.min("at").alias("__at"))
+    kept = kept.join(first, ["sel", "clip"], "left")
+    later = F.min("__at").over(Window.partitionBy("sel").orderBy("start").rangeBetween(1, Window.unboundedFollowing))
+    end = F.lit(2**31 - 1)
+    unlisted = F.col("__at").isNull()
+    place = F.struct(
+        F.when(~unlisted, F.col("__at")).when(F.col("added"), F.coalesce(later, end - 1)).otherwise(end).alias("a"),
+        F.when(unlisted, 0).otherwise(1).alias("b"), F.when(unlisted & ~F.col("added"), -F.col("score")).otherwise(0.0).alias("c"), F.col("start").alias("d"),
+    )
+    by = Window.partitionBy("sel")
+    ranked = kept.withColumn("__p", place).withColumn("time_pos", F.row_number().over(by.orderBy("start")))
+    return ranked.select("sel", "clip", "start", "end", "score", "added", "time_pos", F.row_number().over(by.orderBy("__p")).alias("play_pos"))
 
 
 def version_problems(clips: DataFrame, asked: DataFrame, versions: DataFrame, order: DataFrame, key: str) -> DataFrame:

@@ -129,6 +129,26 @@ def g3_required_clips(spark: SparkSession, d: str) -> DataFrame:
     return V.with_required(clips(spark, d).withColumn("role", F.lit("drop")), _quotes(spark, d), ["sel"])
 
 
+@query(f"""WITH {_CLIPS}, qs AS (SELECT sel, 'q' || pos AS quote, pos, (start + pos % 2)::INT AS start, (stop + pos % 2)::INT AS stop, seconds FROM clips WHERE required AND stop >= start),
+  kn AS (SELECT c.* EXCLUDE required, EXISTS (SELECT 1 FROM qs WHERE qs.sel = c.sel AND qs.start = c.start AND qs.stop = c.stop) AS q FROM clips c),
+  j AS (SELECT *, row_number() OVER (PARTITION BY sel, clip ORDER BY pos) > 1 OR stop < start OR (NOT q AND seconds NOT BETWEEN 3 AND 40) AS bad FROM kn),
+  g AS (SELECT sel, pos, clip, start, stop, greatest(0.0, least(1.0, score))::DOUBLE AS score, seconds, q, false AS added FROM j WHERE NOT EXISTS (SELECT 1 FROM j b WHERE b.bad AND b.sel = j.sel AND b.clip = j.clip)),
+  al AS (SELECT * FROM g UNION ALL SELECT sel, pos + 1000000, quote, start, stop, 1.0, seconds, true, true FROM qs WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.sel = qs.sel AND g.start = qs.start AND g.stop = qs.stop)),
+  l AS (SELECT sel, list({{'clip': clip, 'start': start, 'stop': stop, 'seconds': seconds, 'q': q}} ORDER BY NOT q, -score, pos) AS xs FROM al GROUP BY sel),
+  k AS (SELECT sel, list_reduce(list_transform(xs, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: x[1].start <= y.stop AND y.start <= x[1].stop)) > 0 THEN acc ELSE list_concat(acc, x) END) AS ks FROM l),
+  r AS (SELECT sel, unnest(ks) AS k, generate_subscripts(ks, 1) AS rank FROM k), s AS (SELECT *, sum(k.seconds) OVER (PARTITION BY sel ORDER BY rank) AS t FROM r),
+  kp AS (SELECT al.* FROM al JOIN s ON s.sel = al.sel AND s.k.clip = al.clip WHERE rank <= 4 AND t <= 90 OR k.q), od AS (SELECT sel, clip, min(pos * 7 % 10) AS spot FROM clips WHERE pos % 4 > 0 GROUP BY ALL),
+  o AS (SELECT kp.*, od.spot, (SELECT min(d.spot) FROM kp b JOIN od d ON d.sel = b.sel AND d.clip = b.clip WHERE b.sel = kp.sel AND b.start > kp.start) AS later FROM kp LEFT JOIN od ON od.sel = kp.sel AND od.clip = kp.clip)
+  SELECT sel, clip, start, stop AS "end", score, added, row_number() OVER (PARTITION BY sel ORDER BY start)::INT AS time_pos,
+    row_number() OVER (PARTITION BY sel ORDER BY CASE WHEN spot IS NOT NULL THEN spot WHEN added THEN coalesce(later, 1000000) ELSE 1000001 END, spot IS NOT NULL, CASE WHEN spot IS NULL AND NOT added THEN -score ELSE 0 END, start)::INT AS play_pos FROM o""")
+def g1_finalized_selections(spark: SparkSession, d: str) -> DataFrame:
+    """Selections with required passages, some of them missing, and a suggested order that leaves some clips out."""
+    rows = clips(spark, d)
+    quotes = rows.filter(F.col("required") & (F.col("end") >= F.col("start"))).select("sel", F.concat(F.lit("q"), "pos").alias("quote"), "pos", (F.col("start") + F.col("pos") % 2).alias("start"), (F.col("end") + F.col("pos") % 2).alias("end"), "seconds", F.lit(None).cast("string").alias("role"))
+    order = rows.filter("pos % 4 > 0").select("sel", (F.col("pos") * 7 % 10).alias("at"), "clip")
+    return V.finalized(rows.drop("required").withColumn("role", F.lit("drop")), quotes, order, 3, 40, 4, 90.0)
+
+
 _ANSWER = """an AS (SELECT DISTINCT l_orderkey AS sel FROM lineitem), ak AS (SELECT sel, unnest(['short', 'full', 'long']) AS length FROM an), od AS (SELECT l_orderkey AS sel, ['short', 'full', 'long'][l_suppkey % 3 + 1] AS length, (l_quantity::INT % 2)::INT AS v, 'c' || (l_partkey % 11) AS clip FROM lineitem),
   vs AS (SELECT DISTINCT sel, length, v FROM od), gv AS (SELECT sel, length, count(*) AS c, min(v) AS v FROM vs GROUP BY ALL), nm AS (SELECT od.* FROM od JOIN gv USING (sel, length, v))"""
 

@@ -171,3 +171,18 @@ def test_styles(spark):
     ).first()
     assert (one.f.many, one.f.long, one.f.voiced) == (True, 1, ["choir", "narrated"])
     assert (one.d, one.c, one.rest, one.none) == (["Calm", "Warm"], ["slow chord changes Am - F"], ["harmony resting on Am"], [])
+
+
+def test_finalized_selection(spark):
+    clips = spark.createDataFrame(
+        [(1, 0, "c1", 1, 3, 0.9, 10.0), (1, 1, "c2", 2, 5, 0.8, 10.0), (1, 2, "c3", 7, 8, 1.4, 10.0), (1, 3, "c4", 20, 21, 0.9, 10.0), (1, 4, "c4", 24, 25, 0.9, 10.0), (1, 5, "c5", 13, 14, 0.3, 10.0), (1, 6, "c6", 16, 15, 0.9, 10.0), (1, 7, "c7", 30, 31, 0.9, 99.0)],
+        "sel int, pos int, clip string, start int, end int, score double, seconds double",
+    ).withColumn("role", F.lit("drop"))
+    quotes = spark.createDataFrame([(1, "q0", 0, 5, 6, 99.0, None), (1, "q1", 1, 10, 11, 10.0, "hook"), (1, "c3", 2, 7, 8, 10.0, None)], "sel int, quote string, pos int, start int, end int, seconds double, role string")
+    order = spark.createDataFrame([(1, 0, "c3"), (1, 1, "c1"), (1, 2, "c3"), (1, 3, "c2")], "sel int, at int, clip string")
+    got = V.finalized(clips, quotes, order, 3, 40, 9, 900.0).collect()
+    assert [r.clip for r in sorted(got, key=lambda r: r.time_pos)] == ["c1", "q0", "c3", "q1", "c5"]
+    assert [r.clip for r in sorted(got, key=lambda r: r.play_pos)] == ["q0", "c3", "c1", "q1", "c5"]
+    assert {r.clip: r.score for r in got}["c3"] == 1.0 and {r.clip for r in got if r.added} == {"q0", "q1"}
+    few = V.finalized(clips, quotes, order, 3, 40, 4, 900.0).collect()
+    assert {r.clip for r in few} == {"q0", "q1", "c3", "c1"}  # the least score goes first, required ones stay
