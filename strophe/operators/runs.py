@@ -235,3 +235,28 @@ def take_score(error: Column, tolerance: Column, relation: Column, correlation:
     tempo = 0.4 * F.least(F.lit(1.0), excess / F.greatest(tolerance - TEMPO_SLACK, F.lit(1e-9)))
     key = F.when(relation == "same", KEY_COST["same"]).when(relation == "relative", KEY_COST["relative"]).otherwise(OTHER_KEY_COST)
     return F.round(1.0 - tempo - key - 0.3 * (1 - F.greatest(F.lit(0.0), F.coalesce(correlation, F.lit(0.0)))) - DEAD_COST * dead_share, 3)
+
+
+def preset_problems(arcs: DataFrame, roles: DataFrame) -> DataFrame:
+    """(preset, kind, role): an arc without speech, roles it uses that the preset lacks, and bars that a part can't have.
+
+    Arcs are (preset, pos, role, bars), roles (preset, role, bars, silent); the speech role has neither bars nor silence of its own.
+    """
+    none = F.lit(None).cast("string")
+    speech = F.col("role") == "speech_bed"
+    mute = arcs.groupBy("preset").agg(F.bool_or(speech).alias("s")).filter("not s").select("preset", F.lit("no speech").alias("kind"), none.alias("role"))
+    unknown = arcs.select("preset", "role").distinct().join(roles.select("preset", "role"), ["preset", "role"], "left_anti").select("preset", F.lit("unknown").alias("kind"), "role")
+    bars = arcs.filter(F.col("bars").isNotNull() & (speech | ~F.col("bars").between(1, 64))).select("preset", F.lit("bars").alias("kind"), "role").distinct()
+    own = roles.filter(speech).select("preset", F.explode(F.array_compact(F.array(F.when(F.col("bars").isNotNull(), "speech bars"), F.when(F.col("silent"), "silent speech")))).alias("kind"), "role")
+    return mute.unionByName(unknown).unionByName(bars).unionByName(own)
+
+
+def anchor_takes(wanted: DataFrame, takes: DataFrame, backend: str) -> DataFrame:
+    """(song, take, song_id): the anchor's take a song is conditioned on: the one it was made with, else the chosen one.
+
+    Wanted are (song, made_with, chosen), takes (song, take, archived, backend, song_id).  A take in place comes before its archived
+    copy; takes of another backend, or without an id, don't count.
+    """
+    number = wanted.select("song", F.coalesce("made_with", "chosen").alias("take")).filter("take is not null")
+    found = takes.groupBy("song", "take").agg(F.min_by(F.struct("backend", "song_id"), F.struct("archived", "song_id", "backend")).alias("t"))
+    return number.join(found, ["song", "take"]).filter((F.col("t.backend") == backend) & F.col("t.song_id").isNotNull()).select("song", "take", "t.song_id")

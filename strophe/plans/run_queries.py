@@ -222,3 +222,25 @@ def p11_kept_clips(spark: SparkSession, d: str) -> DataFrame:
     """Clips in playback order, those of the order that are kept."""
     order = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("sel"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("p_partkey"))
     return order.join(load(spark, d, "part").filter("p_size % 2 = 0").select("p_partkey", "p_name"), "p_partkey").select("sel", "pos", "p_name")
+
+
+@query(f"""WITH {SECTIONS}, a AS (SELECT song AS preset, role, CASE WHEN n % 3 = 0 THEN bars * 5 END AS bars FROM sections), r AS (SELECT DISTINCT song AS preset, role, CASE WHEN song % 5 = 0 THEN 4 END AS bars, song % 7 = 0 AS silent FROM sections WHERE (song + length(role)) % 4 > 0)
+  SELECT preset, 'no speech' AS kind, NULL AS role FROM a GROUP BY preset HAVING NOT bool_or(role = 'speech_bed') UNION ALL SELECT DISTINCT preset, 'unknown', role FROM a WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.preset = a.preset AND r.role = a.role)
+  UNION ALL SELECT DISTINCT preset, 'bars', role FROM a WHERE bars IS NOT NULL AND (role = 'speech_bed' OR bars NOT BETWEEN 1 AND 64)
+  UNION ALL SELECT preset, 'speech bars', role FROM r WHERE role = 'speech_bed' AND bars IS NOT NULL UNION ALL SELECT preset, 'silent speech', role FROM r WHERE role = 'speech_bed' AND silent""")
+def p10_preset_problems(spark: SparkSession, d: str) -> DataFrame:
+    rows = sections(spark, d).withColumnRenamed("song", "preset")
+    arcs = rows.select("preset", F.col("n").alias("pos"), "role", F.when(F.col("n") % 3 == 0, F.col("bars") * 5).alias("bars"))
+    roles = rows.filter((F.col("preset") + F.length("role")) % 4 > 0).select("preset", "role").distinct()
+    return R.preset_problems(arcs, roles.withColumn("bars", F.when(F.col("preset") % 5 == 0, 4)).withColumn("silent", F.col("preset") % 7 == 0))
+
+
+@query("""WITH t AS (SELECT l_orderkey AS song, l_linenumber AS take, l_suppkey % 2 = 1 AS archived, CASE WHEN l_partkey % 5 > 0 THEN 'paid' ELSE 'stub' END AS backend, CASE WHEN l_quantity % 4 > 0 THEN 'id' || l_partkey END AS song_id FROM lineitem),
+  f AS (SELECT song, take, backend, song_id FROM (SELECT *, row_number() OVER (PARTITION BY song, take ORDER BY archived, song_id NULLS FIRST, backend) AS k FROM t) WHERE k = 1),
+  w AS (SELECT o_orderkey AS song, coalesce(CASE WHEN o_custkey % 3 = 0 THEN 2 END, CASE WHEN o_custkey % 4 > 0 THEN 1 END) AS take FROM orders)
+  SELECT w.song, w.take::INT AS take, song_id FROM w JOIN f ON f.song = w.song AND f.take = w.take WHERE backend = 'paid' AND song_id IS NOT NULL""")
+def j24_anchor_takes(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("o_custkey")
+    wanted = load(spark, d, "orders").select(F.col("o_orderkey").alias("song"), F.when(c % 3 == 0, 2).alias("made_with"), F.when(c % 4 > 0, 1).alias("chosen"))
+    takes = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("song"), F.col("l_linenumber").cast("int").alias("take"), (F.col("l_suppkey") % 2 == 1).alias("archived"), F.when(F.col("l_partkey") % 5 > 0, "paid").otherwise("stub").alias("backend"), F.when(F.col("l_quantity") % 4 > 0, F.concat(F.lit("id"), "l_partkey")).alias("song_id"))
+    return R.anchor_takes(wanted, takes, "paid")
