@@ -1,8 +1,9 @@
 """Near-duplicates by the exact Jaccard similarity of word shingles, without a lossy candidate search.
 
-Two sets of similarity s or more share one of the first ``n - ceil(s n) + 1`` elements of each, in any fixed order
+Two sets of similarity s or more share k of the first ``n - ceil(s n) + k`` elements of each, in any fixed order
 of all shingles (prefix filter).  The order puts shingles that are common in a sample last and breaks ties by hash;
-it decides how many candidates there are, never the result.  Prefixes meet by shingle:
+it decides how many candidates there are, never the result.  k grows with the set (:func:`needed`): long texts of
+one language meet at some shingle by chance, hardly at several.  Prefixes meet by shingle:
 
 1. Each goes to the smallest and to the largest set of about its size there and to two by chance (stars); what
    holds is linked.
@@ -12,6 +13,10 @@ it decides how many candidates there are, never the result.  Prefixes meet by sh
 So a large group of near copies costs a few comparisons a member, and no pair of two components is left out.
 Candidates are verified on whole sets.  Equal sets are one node.
 
+The share of places at which texts meet grows with the table, so every place is sent with what prunes a pair there,
+and places and sets to verify travel in rounds of at most ``1 / ROUNDS`` of the texts' bytes: the disk used at once is
+a fixed multiple of the input.
+
 Defined cases: null, empty and blank texts have the empty set and are copies of each other; texts of fewer words
 than a shingle are one shingle; a null id is kept only where all ids of its component are null; an empty table
 gives an empty result; other columns pass.
@@ -27,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, drop_table, materialise
+from .common import buckets_for, drop_table, materialise, materialise_all, total_bytes
 from .graph import components
 from .simhash import _mixed, hashes_of
 
@@ -39,8 +44,14 @@ COMMON_KEPT = 100_000
 PART_BYTES = 32 << 20
 PAIRS_AT_ONCE = 1 << 18
 PARITY_BITS = 512
-ENTRY = np.dtype([("shingle", "<u8"), ("node", "<i8"), ("n", "<u4"), ("at", "<u4")])
-WIDE = np.dtype([*ENTRY.descr, ("group", "<i8"), ("parity", "<u8", (PARITY_BITS // 64,))])
+#: What is sent at once is at most the texts' bytes divided by this, and at least ROUND_BYTES.
+ROUNDS = 2
+ROUND_BYTES = 256 << 20
+#: A set must share one more place of its prefix for each so many elements, up to MOST_NEEDED.
+PLACE_EACH = 250
+MOST_NEEDED = 8
+ENTRY = np.dtype([("shingle", "<u8"), ("node", "<i8"), ("n", "<u4"), ("at", "<u4"), ("group", "<i8"), ("parity", "<u8", (PARITY_BITS // 64,))])
+PAIRS = "a bigint, b bigint, times bigint, needed bigint, size bigint"
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -48,8 +59,13 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.frombuffer(hashes_of(text, shingle), dtype=">u8").astype("<u8"))
 
 
+def needed(n):
+    """How many places of their prefixes two sets must share, by the size of the smaller one."""
+    return 1 + np.minimum(n // PLACE_EACH, MOST_NEEDED - 1)
+
+
 def prefix_length(n: int, similar: int = SIMILAR) -> int:
-    return n + 1 + -similar * n // 100 if n else 0
+    return min(n, n + int(needed(n)) + -similar * n // 100) if n else 0
 
 
 def parity(own: np.ndarray) -> bytes:
@@ -100,38 +116,49 @@ def with_prefixes(base: DataFrame, common: tuple[np.ndarray, np.ndarray], shingl
     return base.select("rid", "doc_id", "text").mapInArrow(run, f"rid bigint, doc_id {dict(base.dtypes)['doc_id']}, key binary, n bigint, prefix binary, parity binary")
 
 
-def _possible(entries: np.ndarray, a: np.ndarray, b: np.ndarray, similar: int) -> np.ndarray:
-    """Can two entries of one shingle, if it is the first that they share, have enough in common?"""
+def _pairs(entries: np.ndarray, a: np.ndarray, b: np.ndarray, similar: int) -> np.ndarray:
+    """Distinct pairs (a, b, times, needed, size) of entries that meet at a shingle: left out are those whose places, if they
+    are among the first that they share, leave too few in common, and those whose parity sketches are too far apart."""
     na, nb = entries["n"][a].astype(np.int64), entries["n"][b].astype(np.int64)
-    most = np.minimum(na - entries["at"][a], nb - entries["at"][b])
-    return (100 + similar) * most >= similar * (na + nb)
-
-
-def star_pairs(entries: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
+    most = np.minimum(na - entries["at"][a], nb - entries["at"][b]) + needed(np.minimum(na, nb)) - 1
+    good = ((100 + similar) * most >= similar * (na + nb)) & (entries["node"][a] != entries["node"][b])
+    a, b, size = a[good], b[good], (na + nb)[good]
+    apart = np.bitwise_count(entries["parity"][a] ^ entries["parity"][b]).sum(axis=1, dtype=np.int64)
+    good = (100 + similar) * apart <= (100 - similar) * size
+    a, b = a[good], b[good]
+    x, y = entries["node"][a], entries["node"][b]
+    pairs, first, times = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1, return_index=True, return_counts=True)
+    na, nb = entries["n"][a[first]].astype(np.int64), entries["n"][b[first]].astype(np.int64)
+    return np.stack([*pairs, times, needed(np.minimum(na, nb)), na + nb])
+
+
+def star_pairs(entries: np.ndarray, similar: int = SIMILAR) -> Iterator[np.ndarray]:
     """Pairs of each entry with the first and the last at its shingle, by size, within reach of one another, and
-    with its neighbours in an order by chance that is another at every shingle."""
-    out = []
+    with its neighbours in an order by chance that is another at every shingle; a pair counts once at a shingle."""
+    at_a, at_b = [], []
     for sign in (1, -1):
-        e = entries[np.lexsort((sign * entries["node"], sign * entries["n"].astype(np.int64), entries["shingle"]))]
-        first = np.flatnonzero(np.r_[True, e["shingle"][1:] != e["shingle"][:-1]])
-        head, bound = np.arange(len(e)), np.r_[first[1:], len(e)]
-        for lo, hi in zip(first[bound - first > 1].tolist(), bound[bound - first > 1].tolist(), strict=True):
-            sizes = e["n"][lo:hi].astype(np.int64) * sign
+        order = np.lexsort((sign * entries["node"], sign * entries["n"].astype(np.int64), entries["shingle"]))
+        shingle, n = entries["shingle"][order], entries["n"][order].astype(np.int64) * sign
+        first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]]) if len(order) else np.empty(0, dtype=np.int64)
+        head, bound = np.arange(len(order)), np.r_[first[1:], len(order)]
+        for lo, hi in zip(first[bound - first > 1].tolist(), bound[bound - first > 1].tolist(), strict=True) if len(order) else ():
+            sizes = n[lo:hi]
             at = 0
             while at < hi - lo:  # a new star where sizes leave the reach of the last
                 limit = sizes[at] * 100 // similar if sign > 0 else sizes[at] * similar // 100
                 to = max(at + 1, int(np.searchsorted(sizes, limit, side="right")))
                 head[lo + at : lo + to] = lo + at
                 at = to
-        own = np.flatnonzero(head != np.arange(len(e)))
-        own = own[_possible(e, head[own], own, similar)]
-        x, y = e["node"][head[own]], e["node"][own]
-        out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
-    e = entries[np.lexsort((_mixed(entries["node"].astype(np.uint64) ^ entries["shingle"]), entries["shingle"]))]
-    a = np.flatnonzero(e["shingle"][1:] == e["shingle"][:-1])
-    a = a[_possible(e, a, a + 1, similar)]
-    out.append(np.stack([np.minimum(e["node"][a], e["node"][a + 1]), np.maximum(e["node"][a], e["node"][a + 1])]))
-    return np.unique(np.concatenate(out, axis=1), axis=1)
+        own = np.flatnonzero(head != np.arange(len(order)))
+        at_a.append(order[head[own]])
+        at_b.append(order[own])
+    order = np.lexsort((_mixed(entries["node"].astype(np.uint64) ^ entries["shingle"]), entries["shingle"]))
+    next_to = np.flatnonzero(entries["shingle"][order[1:]] == entries["shingle"][order[:-1]])
+    at_a.append(order[next_to])
+    at_b.append(order[next_to + 1])
+    a, b = np.concatenate(at_a), np.concatenate(at_b)
+    a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    yield _pairs(entries, a, b, similar)
 
 
 def cross_pairs(entries: np.ndarray, similar: int = SIMILAR) -> Iterator[np.ndarray]:
@@ -153,74 +180,57 @@ def cross_pairs(entries: np.ndarray, similar: int = SIMILAR) -> Iterator[np.ndar
         own = some[at:to]
         a = np.repeat(own, n[own])
         b = np.arange(len(a)) - np.repeat(np.cumsum(n[own]) - n[own], n[own]) + np.repeat(begin[own], n[own])
-        good = _possible(e, a, b, similar)
-        a, b = a[good], b[good]
-        apart = np.bitwise_count(e["parity"][a] ^ e["parity"][b]).sum(axis=1, dtype=np.int64)
-        good = (100 + similar) * apart <= (100 - similar) * (e["n"][a].astype(np.int64) + e["n"][b])
-        x, y = e["node"][a[good]], e["node"][b[good]]
-        yield np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+        yield _pairs(e, a, b, similar)
         at = to
 
 
-def candidates(nodes: DataFrame, stars: bool, similar: int) -> DataFrame:
-    """Distinct pairs (a, b, -1) of nodes that meet at a shingle; ``stars`` come with (a, a, at) for each place of a
-    prefix at which a node meets another.
+def candidates(nodes: DataFrame, stars: bool, similar: int, limit: int) -> DataFrame:
+    """Distinct pairs (a, b, size), a < b, of nodes (node, n, prefix, parity, group) that share as many places as they need.
 
-    Nodes are (node, n, prefix), for the pairs beside the stars also (group, parity, met): only the places ``met`` are sent.
+    Places travel in rounds by their shingle, at most about ``limit`` bytes in each.
     """
-    kind = ENTRY if stars else WIDE
-    sent = F.length("prefix") / 8 if stars else F.size("met")
-    parts = buckets_for(int(nodes.agg(F.sum(sent)).first()[0] or 0) * kind.itemsize, PART_BYTES, 8)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prefixes = [np.frombuffer(b, dtype="<u8") for b in batch.column("prefix").to_pylist()]
-            places = [np.arange(len(p)) for p in prefixes] if stars else [np.array(x, dtype=np.int64) for x in batch.column("met").to_pylist()]
-            lengths = np.array([len(x) for x in places], dtype=np.int64)
-            entries = np.empty(int(lengths.sum()), dtype=kind)
-            if len(entries):
-                entries["shingle"] = np.concatenate([p[x] for p, x in zip(prefixes, places, strict=True)])
-                entries["at"] = np.concatenate(places)
-            for name in ("node", "n") if stars else ("node", "n", "group"):
-                entries[name] = np.repeat(batch.column(name).to_numpy(), lengths)
-            if not stars:
-                entries["parity"] = np.repeat(np.frombuffer(b"".join(batch.column("parity").to_pylist()), dtype="<u8").reshape(-1, PARITY_BITS // 64), lengths, axis=0)
-            part = (_mixed(entries["shingle"]) % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            entries, part = entries[order], part[order]
-            ends = np.searchsorted(part, np.arange(parts + 1))
-            full = np.flatnonzero(np.diff(ends))
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([entries[ends[p] : ends[p + 1]].tobytes() for p in full], type=pa.binary())], names=["part", "blob"])
+    total = int(nodes.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0) * ENTRY.itemsize
+    parts = buckets_for(total, PART_BYTES, 8)
+    step = -(-parts // buckets_for(total, limit, 1))
+
+    def deal(lo: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                blobs = batch.column("prefix").to_pylist()
+                lengths = np.array([len(b) // 8 for b in blobs], dtype=np.int64)
+                shingles = np.frombuffer(b"".join(blobs), dtype="<u8")
+                part = (_mixed(shingles) % np.uint64(parts)).astype(np.int32)
+                own = np.flatnonzero((part >= lo) & (part < lo + step))
+                own = own[np.argsort(part[own], kind="stable")]
+                row = np.repeat(np.arange(len(lengths)), lengths)[own]
+                entries = np.empty(len(own), dtype=ENTRY)
+                entries["shingle"], entries["at"] = shingles[own], own - (np.cumsum(lengths) - lengths)[row]
+                for name in ("node", "n", "group"):
+                    entries[name] = batch.column(name).to_numpy()[row]
+                entries["parity"] = np.frombuffer(b"".join(batch.column("parity").to_pylist()), dtype="<u8").reshape(-1, PARITY_BITS // 64)[row]
+                ends = np.searchsorted(part[own], np.arange(lo, lo + step + 1))
+                full = np.flatnonzero(np.diff(ends))
+                yield pa.RecordBatch.from_arrays([pa.array((lo + full).astype(np.int32)), pa.array([entries[ends[p] : ends[p + 1]].tobytes() for p in full], type=pa.binary())], names=["part", "blob"])
+
+        return run
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries = np.frombuffer(b"".join(x for batch in batches for x in batch.column("blob").to_pylist()), dtype=kind)
+        entries = np.frombuffer(b"".join(x for batch in batches for x in batch.column("blob").to_pylist()), dtype=ENTRY)
         _, back, count = np.unique(entries["shingle"], return_inverse=True, return_counts=True)
         entries = entries[count[back] > 1]
-        if stars:
-            yield pa.RecordBatch.from_arrays([pa.array(entries["node"]), pa.array(entries["node"]), pa.array(entries["at"].astype(np.int32))], names=["a", "b", "at"])
-        for pairs in [star_pairs(entries, similar)] if stars else cross_pairs(entries, similar):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.full(pairs.shape[1], -1, dtype=np.int32))], names=["a", "b", "at"])
+        for pairs in (star_pairs if stars else cross_pairs)(entries, similar):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b", "times", "needed", "size"])
 
-    columns = ["node", "n", "prefix"] if stars else ["node", "n", "prefix", "group", "parity", "met"]
-    return nodes.select(*columns).mapInArrow(deal, "part int, blob binary").groupBy("part").applyInArrow(meet, "a bigint, b bigint, at int").distinct()
+    sent = nodes.select("node", "n", "prefix", "parity", "group")
+    met = materialise_all((sent.mapInArrow(deal(lo), "part int, blob binary").groupBy("part").applyInArrow(meet, PAIRS) for lo in range(0, parts, step)), "near-met")
+    enough = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("needed").alias("needed"), F.max("size").alias("size"))
+    pairs = materialise(enough.filter("times >= needed").select("a", "b", "size"), "near-pairs")
+    drop_table(met)
+    return pairs
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and parity sketches do not prove them too far apart."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u8").reshape(-1, PARITY_BITS // 64) for c in ("parity_a", "parity_b"))
-            size = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            good = (100 + similar) * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (100 - similar) * size
-            yield batch.select(["a", "b"]).filter(pa.array(good))
-
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"parity_{s}")).hint("shuffle_hash")
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(check, "a bigint, b bigint")
-
-
-def verified(pairs: DataFrame, base: DataFrame, shingle: int, similar: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike, written; the sets go."""
+def verified(pairs: DataFrame, base: DataFrame, shingle: int, similar: int, limit: int) -> DataFrame:
+    """The pairs (a, b, size) whose whole sets are alike, written as (a, b); sets travel in rounds of about ``limit`` bytes and go."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,37 +241,45 @@ def verified(pairs: DataFrame, base: DataFrame, shingle: int, similar: int) -> D
             good = [alike(np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8"), similar) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, type=pa.bool_()))
 
-    met = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    known = materialise(base.select("rid", "text").join(met.hint("merge"), "rid", "left_semi").mapInArrow(sets, "rid bigint, own binary"), "near-sets")
-    side = lambda s: known.select(F.col("rid").alias(s), F.col("own").alias(f"set_{s}")).hint("merge")  # noqa: E731 (sets of unknown total size are never broadcast)
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    links = materialise(both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a bigint, b bigint"), "near-links")
-    drop_table(known)
-    return links
+    rounds = buckets_for(int(pairs.agg(F.sum("size")).first()[0] or 0) * 8, limit, 1)
+
+    def links() -> Iterator[DataFrame]:
+        for i in range(rounds):
+            some = pairs.filter(F.pmod(F.xxhash64("a"), F.lit(rounds)) == i).select("a", "b")
+            met = some.select(F.col("a").alias("rid")).union(some.select("b")).distinct()
+            known = materialise(base.select("rid", "text").join(met.hint("merge"), "rid", "left_semi").mapInArrow(sets, "rid bigint, own binary"), "near-sets")
+            side = lambda s: known.select(F.col("rid").alias(s), F.col("own").alias(f"set_{s}")).hint("merge")  # noqa: B023, E731 (sets of unknown total size are never broadcast)
+            both = some.join(side("b"), "b").join(side("a"), "a")
+            yield both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a bigint, b bigint")
+            drop_table(known)
+
+    return materialise_all(links(), "near-links")
 
 
-def roots(base: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
+def roots(base: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR, limit: int | None = None) -> DataFrame:
     """(rid, doc_id, root) of (rid, doc_id, text): rows of one root are connected by pairs of the least similarity.
 
-    Only the result stays written: what a step needed goes as soon as the steps after it have run.
+    Only the result stays written: what a step needed goes as soon as the steps after it have run.  ``limit``: bytes
+    that a round sends, by default a share of the texts'.
     """
+    limit = limit or max(ROUND_BYTES, total_bytes(base) // ROUNDS)
     made = materialise(with_prefixes(base, common_shingles(base, shingle), shingle, similar), "near-prefixes")
     rows = materialise(made.select("rid", "doc_id", "key"), "near-rows")
     keys = materialise(rows.groupBy("key").agg(F.min("rid").alias("node")), "near-keys")
     first = keys.select(F.col("node").alias("rid")).hint("merge")
     nodes = materialise(made.filter("n > 0").join(first, "rid", "left_semi").select(F.col("rid").alias("node"), "n", "prefix", "parity"), "near-nodes")
     drop_table(made)
-    met = materialise(candidates(nodes, True, similar), "near-stars")
-    stars = met.filter("a <> b").select("a", "b")
-    likely = materialise(plausible(stars, nodes, similar), "near-likely")
-    first = verified(likely, base, shingle, similar)
+    likely = candidates(nodes.withColumn("group", F.col("node")), True, similar, limit)
+    first = verified(likely, base, shingle, similar, limit)
     held = materialise(components(first), "near-held")
-    places = met.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.collect_list("at").alias("met"))  # within a prefix
-    grouped = nodes.join(places.hint("merge"), "node").join(held.hint("merge"), "node", "left").select("node", "n", "prefix", F.coalesce("component", "node").alias("group"), "parity", "met")
-    rest = materialise(candidates(grouped, False, similar).select("a", "b").join(likely, ["a", "b"], "left_anti"), "near-rest")
-    for done in (nodes, met, held, likely):
+    grouped = nodes.join(held.hint("merge"), "node", "left").select("node", "n", "prefix", "parity", F.coalesce("component", "node").alias("group"))
+    grouped = materialise(grouped, "near-grouped")
+    drop_table(nodes)
+    met = candidates(grouped, False, similar, limit)
+    rest = materialise(met.join(likely.select("a", "b"), ["a", "b"], "left_anti"), "near-rest")
+    for done in (grouped, met, held, likely):
         drop_table(done)
-    second = verified(rest, base, shingle, similar)
+    second = verified(rest, base, shingle, similar, limit)
     held = materialise(components(first.union(second)), "near-held")
     rooted = keys.join(held, "node", "left").select("key", F.coalesce("component", "node").alias("root"))
     found = materialise(rows.join(rooted, "key").select("rid", "doc_id", "root"), "near-roots")

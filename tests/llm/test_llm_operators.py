@@ -740,6 +740,23 @@ def test_near_duplicates_by_shingles(spark, docs, nothing):
     assert neardup.deduplicated(docs).columns == docs.columns
 
 
+def test_near_duplicates_of_few_words(spark, monkeypatch):
+    """Long texts of a small vocabulary meet at many shingles: few pairs are verified, in whatever rounds, and no link goes."""
+    from strophe.llm import neardup
+
+    rng = random.Random(8)
+    plain = [[rng.choice("abcdefghijkl") for _ in range(rng.randint(1200, 1500))] for _ in range(50)]
+    near = [[*words[:20], "new", *words[21:]] for words in plain[:5]]
+    table = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(plain + near)], "doc_id long, text string")
+    sent, kept = [], neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, *rest: (sent.append(pairs.count()), kept(pairs, *rest))[1])
+    base = table.withColumn("rid", F.col("doc_id"))
+    found = {r["rid"]: r["root"] for r in neardup.roots(base, limit=16 << 20).collect()}
+    assert found == {i: i - 50 if i >= 50 else i for i in range(55)}
+    assert sum(sent) <= 10  # one place in common made 610 of them
+    assert found == {r["rid"]: r["root"] for r in neardup.roots(base, limit=1 << 17).collect()}
+
+
 def test_encoder_equals_the_tokenizer_on_every_byte():
     from tokenizers import Tokenizer
 
