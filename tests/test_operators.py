@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strophe.operators import align as A
@@ -55,6 +56,30 @@ def plain_quotes(words, quote, starts, ends, occurrence):
     return (*(apart[at] if -len(apart) <= at < len(apart) else (None, None)), len(apart)) if apart else None
 
 
+def test_quote_places_by_rare_tokens(spark):
+    """Common openings alone bring no place; lengths of common subsequences are those of the plain table."""
+    rng = random.Random(4)
+    quotes = [["the", "of", *(f"r{i}x{k}" for k in range(12))] for i in range(30)]
+    keys = M.Keys(quotes, [3] * 30)
+    number = {t: i for i, t in enumerate(keys.vocabulary.to_pylist())}
+    text = np.array([number.get(t, len(number)) for t in ["the", "of", "and"] * 500 + quotes[7][:11] + ["so"] * 3], dtype=np.int32)
+    quote, start = keys.places(text)
+    assert set(quote.tolist()) == {7} and 1500 in start.tolist() and len(start) < 30  # of 30 x 1,500 that open alike
+    for _ in range(50):
+        q, w = (np.array([rng.randrange(5) for _ in range(rng.randint(1, 80))]) for _ in range(2))
+        row, lengths = [0] * (len(q) + 1), []
+        for t in w:
+            row = [0, *row[1:]]
+            above = [0] * (len(q) + 1) if not lengths else last
+            for i, u in enumerate(q, 1):
+                row[i] = above[i - 1] + 1 if u == t else max(above[i], row[i - 1])
+            last = list(row)
+            lengths.append(row[-1])
+        assert M.common_lengths(q, w) == lengths
+    texts = spark.createDataFrame([(1, ["a", "b"]), (2, None)], "doc long, tokens array<string>")
+    assert M.found_quotes(texts, spark.createDataFrame([], "quote long, q array<string>")).count() == 0
+
+
 def test_quotes_against_every_window(spark):
     rng = random.Random(12)
     texts = [[rng.choice("abcdefgh") if rng.random() < 0.6 else "no" for _ in range(rng.randint(0, 60))] for _ in range(25)]
