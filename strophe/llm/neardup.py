@@ -1,12 +1,13 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles, without a lossy candidate search.
+"""Near-duplicates by SimHash over word shingles, checked by exact Jaccard similarity; what SimHash leaves out is found exactly.
 
-Two sets of similarity s or more share k of the first ``n - ceil(s n) + k`` elements of each, in any fixed order
+Candidates come first from the operator of ``simhash``: fingerprints over the same shingles, covering-code anchors, links
+within its threshold.  At a similarity of 0.8 many pairs lie farther apart, so prefixes find all others.  Two sets of similarity s or more share k of the first ``n - ceil(s n) + k`` elements of each, in any fixed order
 of all shingles (prefix filter).  The order puts shingles that are common in a sample last and breaks ties by hash;
 it decides how many candidates there are, never the result.  k grows with the set (:func:`needed`): long texts of
 one language meet at some shingle by chance, hardly at several.  Prefixes meet by shingle:
 
 1. Each goes to the smallest and to the largest set of about its size there and to two by chance (stars); what
-   holds is linked.
+   holds, and what holds of SimHash's links, is linked.
 2. All pairs at a shingle that the links of step 1 do not hold together already are compared, unless their sizes or
    parity sketches prove that they are too far apart.
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import buckets_for, drop_table, materialise, materialise_all, total_bytes
 from .graph import components
-from .simhash import _mixed, hashes_of
+from .simhash import _mixed, hashes_of, linked_in_rounds, majority
 
 SHINGLE = 5
 #: Least similarity, in percent.
@@ -56,7 +57,11 @@ PAIRS = "a bigint, b bigint, times bigint, needed bigint, size bigint"
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of the shingles of a text, ascending."""
-    return np.unique(np.frombuffer(hashes_of(text, shingle), dtype=">u8").astype("<u8"))
+    return distinct(hashes_of(text, shingle))
+
+
+def distinct(hashes: bytes) -> np.ndarray:
+    return np.unique(np.frombuffer(hashes, dtype=">u8").astype("<u8"))
 
 
 def needed(n):
@@ -96,14 +101,16 @@ def common_shingles(base: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
 
 
 def with_prefixes(base: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int, similar: int) -> DataFrame:
-    """(rid, doc_id, key, n, prefix, parity) of (rid, doc_id, text): equal sets have equal keys."""
+    """(rid, doc_id, key, n, prefix, parity, fp) of (rid, doc_id, text): equal sets have equal keys, fp is the fingerprint."""
     known, often = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, prefixes, parities = [], [], [], []
+            keys, sizes, prefixes, parities, prints = [], [], [], [], []
             for text in batch.column(2):
-                own = shingle_set(text.as_py(), shingle)
+                hashes = hashes_of(text.as_py(), shingle)
+                prints.append(majority(hashes))
+                own = distinct(hashes)
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
                 parities.append(parity(own))
@@ -111,9 +118,9 @@ def with_prefixes(base: DataFrame, common: tuple[np.ndarray, np.ndarray], shingl
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     own = own[np.argsort(np.where(known[at] == own, often[at], 0), kind="stable")]
                 prefixes.append(own[: prefix_length(len(own), similar)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, type=pa.binary()), pa.array(sizes, type=pa.int64()), pa.array(prefixes, type=pa.binary()), pa.array(parities, type=pa.binary())], names=["rid", "doc_id", "key", "n", "prefix", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, type=pa.binary()), pa.array(sizes, type=pa.int64()), pa.array(prefixes, type=pa.binary()), pa.array(parities, type=pa.binary()), pa.array(np.frombuffer(b"".join(prints), dtype=">i8").astype(np.int64))], names=["rid", "doc_id", "key", "n", "prefix", "parity", "fp"])
 
-    return base.select("rid", "doc_id", "text").mapInArrow(run, f"rid bigint, doc_id {dict(base.dtypes)['doc_id']}, key binary, n bigint, prefix binary, parity binary")
+    return base.select("rid", "doc_id", "text").mapInArrow(run, f"rid bigint, doc_id {dict(base.dtypes)['doc_id']}, key binary, n bigint, prefix binary, parity binary, fp bigint")
 
 
 def _pairs(entries: np.ndarray, a: np.ndarray, b: np.ndarray, similar: int) -> np.ndarray:
@@ -229,6 +236,20 @@ def candidates(nodes: DataFrame, stars: bool, similar: int, limit: int) -> DataF
     return pairs
 
 
+def print_pairs(nodes: DataFrame, limit: int) -> DataFrame:
+    """Pairs (a, b, size), a < b, of nodes (node, n, fp): each fingerprint's least node with its others, and across SimHash's links."""
+    firsts = materialise(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("f")).select("fp", "f.node", "f.n"), "near-prints")
+    edges = materialise_all(linked_in_rounds(firsts.select("fp"), limit), "near-edges").distinct()
+    side = lambda s: firsts.select(F.col("fp").alias(f"fp_{s}"), F.col("node").alias(s), F.col("n").alias(f"n_{s}")).hint("merge")
+    across = edges.join(side("a"), "fp_a").join(side("b"), "fp_b").select("a", "b", "n_a", "n_b")
+    own = nodes.select(F.col("fp").alias("fp_a"), F.col("node").alias("b"), F.col("n").alias("n_b")).join(side("a"), "fp_a").filter("a <> b").select("a", "b", "n_a", "n_b")
+    pairs = across.unionByName(own).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("n_a") + F.col("n_b")).alias("size"))
+    found = materialise(pairs.distinct(), "near-printed")
+    drop_table(firsts)
+    drop_table(edges)
+    return found
+
+
 def verified(pairs: DataFrame, base: DataFrame, shingle: int, similar: int, limit: int) -> DataFrame:
     """The pairs (a, b, size) whose whole sets are alike, written as (a, b); sets travel in rounds of about ``limit`` bytes and go."""
 
@@ -267,9 +288,13 @@ def roots(base: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR, limit
     rows = materialise(made.select("rid", "doc_id", "key"), "near-rows")
     keys = materialise(rows.groupBy("key").agg(F.min("rid").alias("node")), "near-keys")
     first = keys.select(F.col("node").alias("rid")).hint("merge")
-    nodes = materialise(made.filter("n > 0").join(first, "rid", "left_semi").select(F.col("rid").alias("node"), "n", "prefix", "parity"), "near-nodes")
+    nodes = materialise(made.filter("n > 0").join(first, "rid", "left_semi").select(F.col("rid").alias("node"), "n", "prefix", "parity", "fp"), "near-nodes")
     drop_table(made)
-    likely = candidates(nodes.withColumn("group", F.col("node")), True, similar, limit)
+    printed = print_pairs(nodes.select("node", "n", "fp"), limit)
+    starred = candidates(nodes.withColumn("group", F.col("node")), True, similar, limit)
+    likely = materialise(printed.unionByName(starred).distinct(), "near-likely")
+    drop_table(printed)
+    drop_table(starred)
     first = verified(likely, base, shingle, similar, limit)
     held = materialise(components(first), "near-held")
     grouped = nodes.join(held.hint("merge"), "node", "left").select("node", "n", "prefix", "parity", F.coalesce("component", "node").alias("group"))

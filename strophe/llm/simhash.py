@@ -17,6 +17,7 @@ through :func:`deduplicated`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -53,9 +54,14 @@ def hashes_of(text: str | None, shingle: int = SHINGLE) -> bytes:
     return b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])])
 
 
-def fingerprint(text: str | None) -> bytes:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
     """Fingerprint as 8 bytes, big-endian; bit i is set if more than half of the hashes have it."""
-    digests = np.frombuffer(hashes_of(text), dtype=np.uint8).reshape(-1, 8)
+    return majority(hashes_of(text, shingle))
+
+
+def majority(hashes: bytes) -> bytes:
+    """The fingerprint of the digests that :func:`hashes_of` gives."""
+    digests = np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(digests), 1 << 15):
         ones += np.unpackbits(digests[at : at + (1 << 15)], axis=1).sum(axis=0, dtype=np.int32)
@@ -171,25 +177,38 @@ def links_at(entries: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int,
 
 def linked(prints: DataFrame) -> DataFrame:
     """Edges (fp_a, fp_b) among the distinct fingerprints ``prints`` (one long column fp) that keep every component together."""
-    masks = _masks(RADIUS + HALF_THRESHOLD)
-    parts = buckets_for(prints.count() * 2 * masks.shape[1] * ENTRY.itemsize, PART_BYTES, 8)
+    return reduce(DataFrame.unionByName, linked_in_rounds(prints))
 
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            entries = _replicas(batch.column(0).to_numpy(), masks)
-            part = (_mixed(entries["anchor"]) % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            entries, part = entries[order], part[order]
-            ends = np.searchsorted(part, np.arange(parts + 1))
-            full = np.flatnonzero(np.diff(ends))
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([entries[ends[p] : ends[p + 1]].tobytes() for p in full], type=pa.binary())], names=["part", "blob"])
+
+def linked_in_rounds(prints: DataFrame, limit: int | None = None) -> list[DataFrame]:
+    """The edges of :func:`linked` by anchors: each table sends at most about ``limit`` bytes; without one there is one table."""
+    masks = _masks(RADIUS + HALF_THRESHOLD)
+    total = prints.count() * 2 * masks.shape[1] * ENTRY.itemsize
+    parts = buckets_for(total, PART_BYTES, 8)
+    step = -(-parts // (buckets_for(total, limit, 1) if limit else 1))
+
+    def replicate(lo: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                entries = _replicas(batch.column(0).to_numpy(), masks)
+                part = (_mixed(entries["anchor"]) % np.uint64(parts)).astype(np.int32)
+                if step < parts:
+                    own = (part >= lo) & (part < lo + step)
+                    entries, part = entries[own], part[own]
+                order = np.argsort(part, kind="stable")
+                entries, part = entries[order], part[order]
+                ends = np.searchsorted(part, np.arange(lo, lo + step + 1))
+                full = np.flatnonzero(np.diff(ends))
+                yield pa.RecordBatch.from_arrays([pa.array((lo + full).astype(np.int32)), pa.array([entries[ends[p] : ends[p + 1]].tobytes() for p in full], type=pa.binary())], names=["part", "blob"])
+
+        return run
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [np.frombuffer(x, dtype=ENTRY) for batch in batches for x in batch.column("blob").to_pylist()]
         kept = links_at(np.concatenate(blobs)) if blobs else []
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], type=pa.int64()), pa.array([y for _, y in kept], type=pa.int64())], names=["fp_a", "fp_b"])
 
-    return prints.mapInArrow(replicate, "part int, blob binary").groupBy("part").applyInArrow(compare, "fp_a bigint, fp_b bigint")
+    return [prints.mapInArrow(replicate(lo), "part int, blob binary").groupBy("part").applyInArrow(compare, "fp_a bigint, fp_b bigint") for lo in range(0, parts, step)]
 
 
 def fingerprint_components(printed: DataFrame) -> DataFrame:

@@ -740,6 +740,24 @@ def test_near_duplicates_by_shingles(spark, docs, nothing):
     assert neardup.deduplicated(docs).columns == docs.columns
 
 
+def test_near_duplicates_come_through_simhash(spark):
+    """The pairs of the stage's first step are the fingerprints' links, over its own shingles, in any number of rounds."""
+    from strophe.llm import neardup
+
+    rng = random.Random(3)
+    plain = [[f"w{rng.randrange(4000)}" for _ in range(300)] for _ in range(12)]
+    texts = [" ".join(w) for w in plain] + [" ".join([*w[:9], f"n{i}", *w[10:]]) for i, w in enumerate(plain)]
+    prints = [int.from_bytes(simhash.fingerprint(t, neardup.SHINGLE), signed=True) for t in texts]
+    sizes = [len(neardup.shingle_set(t)) for t in texts]
+    base = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "rid long, doc_id long, text string")
+    made = neardup.with_prefixes(base, neardup.common_shingles(base, neardup.SHINGLE), neardup.SHINGLE, neardup.SIMILAR)
+    assert {r["rid"]: r["fp"] for r in made.collect()} == dict(enumerate(prints))
+    nodes = spark.createDataFrame(list(zip(range(24), sizes, prints, strict=True)), "node long, n long, fp long")
+    near = {(i, j, sizes[i] + sizes[j]) for i in range(24) for j in range(i + 1, 24) if (prints[i] ^ prints[j]).bit_count() <= simhash.THRESHOLD}
+    for limit in (1 << 30, 1 << 16):
+        assert {tuple(r) for r in neardup.print_pairs(nodes, limit).collect()} == near and len(near) >= 6
+
+
 def test_near_duplicates_of_few_words(spark, monkeypatch):
     """Long texts of a small vocabulary meet at many shingles: few pairs are verified, in whatever rounds, and no link goes."""
     from strophe.llm import neardup
