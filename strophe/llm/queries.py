@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, chat, decontaminate, language, mixing, quality, sharding, simhash, substrings, tokens
+from . import attribution, chat, decontaminate, language, manifest, mixing, pieces, quality, sharding, simhash, substrings, tokens, trie
 from .common import materialise, table
 from .sql import ORACLE
 
@@ -69,9 +69,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.proofs(table(spark, sf_dir, "documents"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    out = pieces.decoded(pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie_nodes(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_orc, op2_chat_format, op3_kd_shards, op4_quality_rules, op5_language_id, op6_mix_sources, op7_simhash, op8_token_attribution, op9_substring_dedup, op10_decontaminate)
+    for f in (op1_token_orc, op2_chat_format, op3_kd_shards, op4_quality_rules, op5_language_id, op6_mix_sources, op7_simhash, op8_token_attribution, op9_substring_dedup, op10_decontaminate, op11_merkle_manifest, op12_sentencepiece, op13_prefix_trie)
 }
 
 __all__ = ["ORACLE", "QUERIES"]

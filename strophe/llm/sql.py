@@ -43,3 +43,59 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   (sum(n) + 13 * count(*))::BIGINT AS formatted_chars FROM e GROUP BY conv_id
 """
 ORACLE["op2_chat_format"] = OP2
+
+#: CRC-32 of a text's bytes, unsigned, by the usual table of 256 remainders (polynomial EDB88320).
+_CRC = """
+crc_bits AS (SELECT b, 0 AS k, b::BIGINT AS v FROM range(256) r(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc_bits WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY b) AS crc_t FROM crc_bits WHERE k = 8)"""
+
+
+def _crc(text: str) -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, crc_t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value})::VARCHAR || ':' || {value}, '-')"
+
+
+_LEAF = " || ".join(_field(f) for f in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR"))
+
+#: Trees by recursion from level to level; sources are 's' trees, and the tree of their roots is 'r'.
+ORACLE["op11_merkle_manifest"] = f"""
+WITH RECURSIVE {_CRC},
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS tree, sha256({_LEAF} || {_field('text')}) AS leaf,
+  sha256({_LEAF} || {_field("CASE WHEN coalesce(" + _crc("doc_id::VARCHAR") + ", 1) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")}) AS changed FROM documents, crc_table),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d),
+s AS (SELECT tree, 0 AS level, pos, leaf AS h, n FROM l
+  UNION ALL SELECT tree, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 2) // 3 FROM s WHERE n > 1 GROUP BY tree, level, pos // 3),
+sub AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM s WHERE n = 1),
+r AS (SELECT 1000 AS level, pos, h, n FROM sub
+  UNION ALL SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 2) // 3 FROM r WHERE n > 1 GROUP BY level, pos // 3),
+up AS (SELECT rid, tree, level, pos, changed AS h, '' AS proof FROM (SELECT *, 0 AS level FROM l)
+  UNION ALL SELECT u.rid, u.tree, u.level + 1, u.pos // 3, sha256(string_agg(CASE WHEN s.pos = u.pos THEN u.h ELSE s.h END, '' ORDER BY s.pos)), any_value(u.proof) || coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos <> u.pos), '')
+    FROM up u JOIN s ON s.tree = u.tree AND s.level = u.level AND s.pos // 3 = u.pos // 3 AND s.n > 1 GROUP BY u.rid, u.tree, u.level, u.pos // 3),
+of_tree AS (SELECT rid, max_by(h, level) AS h, max_by(proof, level) AS proof, any_value(tree) AS tree FROM up GROUP BY rid),
+top AS (SELECT rid, 1000 AS level, sub.pos, of_tree.h, proof FROM of_tree JOIN sub USING (tree)
+  UNION ALL SELECT u.rid, u.level + 1, u.pos // 3, sha256(string_agg(CASE WHEN r.pos = u.pos THEN u.h ELSE r.h END, '' ORDER BY r.pos)), any_value(u.proof) || coalesce(string_agg(r.h, '' ORDER BY r.pos) FILTER (r.pos <> u.pos), '')
+    FROM top u JOIN r ON r.level = u.level AND r.pos // 3 = u.pos // 3 AND r.n > 1 GROUP BY u.rid, u.level, u.pos // 3),
+folded AS (SELECT rid, max_by(h, level) AS folded_root, max_by(proof, level) AS proof FROM top GROUP BY rid),
+root AS (SELECT h AS root FROM r WHERE n = 1)
+SELECT doc_id, leaf, sub.h AS subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified FROM l JOIN folded USING (rid) JOIN sub USING (tree), root
+"""
+
+#: Nodes by their whole prefixes: every sequence adds to each of its prefixes.
+ORACLE["op13_prefix_trie"] = f"""
+WITH RECURSIVE {_CRC},
+t AS (SELECT conv_id, turn, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS d, strlen(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(d ORDER BY turn NULLS FIRST, d) AS ds, list(b ORDER BY turn NULLS FIRST, d) AS bs, {_crc("conv_id::VARCHAR")} % 9 AS h FROM t, crc_table GROUP BY conv_id, crc_t),
+s AS (SELECT c.conv_id, coalesce(o.ds[:c.h], []) || c.ds[c.h + 1:] AS ds, coalesce(o.bs[:c.h], []) || c.bs[c.h + 1:] AS bs FROM c LEFT JOIN c o ON o.conv_id = c.conv_id - c.conv_id % 5),
+p AS (SELECT conv_id, unnest(range(0, len(ds) + 1)) AS depth, ds, bs FROM s),
+n AS (SELECT depth, ds[:depth] AS k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bs[depth]) AS b, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(ds) = depth), '')) AS ends_sha256 FROM p GROUP BY ALL),
+w AS (SELECT n.*, u.conv_id AS parent_conv_id, coalesce(k.kids, 0) AS kids FROM n LEFT JOIN n u ON u.depth = n.depth - 1 AND u.k = n.k[:n.depth - 1]
+  LEFT JOIN (SELECT depth - 1 AS depth, k[:depth - 1] AS k, count(*) AS kids FROM n WHERE depth > 0 GROUP BY ALL) k ON k.depth = n.depth AND k.k = n.k),
+o AS (SELECT unnest(range(0, depth + 1)) AS d, k, (kids = 0)::BIGINT AS leaf, coalesce((n_convs - 1) * b, 0) AS saved FROM w),
+a AS (SELECT d AS depth, k[:d] AS k, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM o GROUP BY ALL)
+SELECT w.conv_id, w.depth, w.parent_conv_id, w.n_convs, w.kids AS n_children, a.n_leaves, a.saved_tokens, w.ends_sha256 FROM w JOIN a ON a.depth = w.depth AND a.k = w.k
+"""
