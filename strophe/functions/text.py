@@ -109,10 +109,26 @@ def match_tokens(word: Column) -> Column:
     return F.filter(F.transform(parts, word_only), lambda t: t != "")
 
 
+#: Stands for white space between words while their normal forms are made: it is no letter and composes with nothing.
+BETWEEN = "\ue00a"
+FOOTNOTE = r"(\p{L}[.,;:!?\"')\]])\p{Nd}{1,3}(?=[\x85\u2028\u2029]?(?:BETWEEN|$))".replace("BETWEEN", BETWEEN)
+
+
 def norm(text: Column) -> Column:
-    """All match tokens of a text, joined by spaces."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.array_join(F.flatten(F.transform(words, match_tokens)), " ")
+    """All match tokens of a text, joined by spaces: :func:`match_tokens` of every word, each step once over the whole text.
+
+    White space is what separates words, so spaces that a normal form makes inside one go like any other mark.  Texts
+    in ASCII need three patterns.
+    """
+    joined = lambda t, odd: F.trim(F.regexp_replace(F.regexp_replace(t, odd, ""), "[-/ ]+", " "))
+    bare = F.regexp_replace(text, r"([A-Za-z][.,;:!?\"')\]])[0-9]{1,3}(?=\s|$)", "$1")
+    ascii_only = joined(F.regexp_replace(F.lower(bare), r"\s+", " "), "[^a-z0-9/ -]+")
+    marked = F.regexp_replace(text, r"\s+", BETWEEN)
+    without = F.regexp_replace(plain(composed(marked)), FOOTNOTE, "$1")
+    folded = casefolded(F.replace(without_accents(without), F.lit("'"), F.lit("")))
+    kept = NON_WORD.replace("(?:(?!", f"(?:(?![-/{BETWEEN}])(?!", 1)
+    beyond = joined(F.replace(F.regexp_replace(folded, kept, ""), F.lit(BETWEEN), F.lit(" ")), "(?!)")
+    return F.when(text.rlike(NON_ASCII), beyond).otherwise(ascii_only)
 
 
 def has_word_chars(text: Column) -> Column:

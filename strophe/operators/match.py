@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 SLACK, LEAST, EDGE_BONUS = 0.2, 0.8, 0.01
 CELLS = 1 << 25
+#: Quotes are searched in blocks that the driver hands out: no more bytes of tokens than this.
+MOST_QUOTE_BYTES = 64 << 20
 #: Stand for no token in openings that are shorter than three.
 PAST_QUOTE, PAST_TEXT = -2, -3
 
@@ -100,10 +102,14 @@ def scored_windows(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     """(doc, quote, start, length, score): windows of ``LEAST`` similarity or more that open with the quote's first token, or share two
     of three opening tokens in order.
 
-    The quotes come to the driver; each block of them, of at most ``CELLS`` quotes times tokens, is one pass over the texts.
+    The quotes come to the driver, ``MOST_QUOTE_BYTES`` of them at most, else this raises; each block of them, of at most
+    ``CELLS`` quotes times tokens, is one pass over the texts.
     """
     slack = F.greatest(F.lit(1), F.bround(F.size("q") * SLACK).cast("int"))
     known = quotes.filter("size(q) > 0").select("quote", "q", slack.alias("slack"))
+    held = known.agg(F.sum(F.octet_length(F.array_join("q", " ")) + 16)).first()[0] or 0
+    if held > MOST_QUOTE_BYTES:
+        raise ValueError(f"{held} bytes of quotes; search them in parts of {MOST_QUOTE_BYTES} at most")
     asked = known.toArrow().combine_chunks()
     lists, slacks = asked.column("q").to_pylist(), asked.column("slack").to_pylist()
     kinds = dict(texts.dtypes) | dict(known.dtypes)

@@ -106,16 +106,3 @@ def quietest_point(df: DataFrame, stream: str, i: str, level: str, boundary: str
     away = F.greatest(F.lit(0), F.col("first") - F.col("__b"), F.col("__b") - F.col("last"))
     point = F.least(F.greatest(F.col("__b"), F.col("first")), F.col("last"))
     return runs.groupBy(stream).agg(F.min_by(F.struct(point.alias("point"), F.col("first"), F.col("last")), F.struct(away, "first")).alias("p")).select(stream, "p.*")
-
-
-def limiter(df: DataFrame, stream: str, i: str, need: str, window: int, recover: float) -> DataFrame:
-    """Look-ahead limiter on per-block needs: minimum ahead, mean behind, then a release that is a true recurrence (one fold per stream)."""
-    by = Window.partitionBy(stream).orderBy(i)
-    ahead = df.withColumn("__a", F.min(need).over(by.rowsBetween(0, window)))
-    first = F.first("__a").over(by)
-    held = F.sum("__a").over(by.rowsBetween(-window, 0)) + first * F.greatest(F.lit(0), window + 1 - F.row_number().over(by))
-    capped = ahead.withColumn("__cap", F.least(held / (window + 1), F.col(need)))
-    series = capped.groupBy(stream).agg(F.array_sort(F.collect_list(F.struct(i, "__cap"))).alias("s"))
-    step = lambda acc, x: F.concat(acc, F.array(F.least(x["__cap"], F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(1.0)) * (1 - recover) + recover)))
-    folded = series.select(stream, F.col(f"s.{i}").alias("is"), F.aggregate("s", F.array().cast("array<double>"), step).alias("g"))
-    return folded.select(stream, F.explode(F.arrays_zip("is", "g")).alias("z")).select(stream, F.col("z.is").alias(i), F.col("z.g").alias("gain"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scan import each_block, exclusive_scan
+
 # Tonic names, scales, key profiles (Krumhansl and Kessler), chord priors and moves.
 TONICS = {
     "major": ["C", "Db", "D", "Eb", "E", "F", "F#", "G", "Ab", "A", "Bb", "B"],
@@ -19,8 +22,8 @@ PROFILES = {
 }
 LETTERS = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
 DEGREE_PRIOR = {
-    "major": [0.3, 0.05, 0.05, 0.2, 0.2, 0.15, 0.0],
-    "minor": [0.3, 0.0, 0.1, 0.15, 0.1, 0.2, 0.15],
+    "major": {1: 0.3, 2: 0.05, 3: 0.05, 4: 0.2, 5: 0.2, 6: 0.15, 7: 0.0},
+    "minor": {1: 0.3, 2: 0.0, 3: 0.1, 4: 0.15, 5: 0.1, 6: 0.2, 7: 0.15},
 }
 MOVES = {
     "major": [(1, 4), (1, 5), (1, 6), (4, 5), (4, 1), (5, 1), (5, 6), (6, 4), (2, 5), (6, 2), (3, 6), (4, 2)],
@@ -120,36 +123,85 @@ def bar_weights(notes: DataFrame, key: str, start: str, beats: str, pc: str) ->
     return bars.groupBy(key, "bar", pc).agg(F.sum(over).alias("w"))
 
 
-def chords(weights: DataFrame, key: str, bar: str, w12: str, mode: str, tonic: int) -> DataFrame:
-    """(key, degrees): the best chord per bar by dynamic programming over the seven triads of a key.
+def chord_rows(bars: DataFrame, key: str, bar: str, w12: str, mode: str, tonic: int, block: int = 4096) -> DataFrame:
+    """(key, bar, degree): the best chord per bar over the seven triads of a key (``bar`` counts from 0 in its key).
 
-    State after each bar: per chord its score and the path there; the first of equal scores wins.
+    The best score up to a bar is a max-plus product of its bars' matrices, so blocks of bars are scanned in both
+    directions: forward for the scores that a block begins with, backward for the chord that its last bar leads to.
+    Time grows with the bars; a song is as many tasks as it has blocks.  The first of equal scores wins; beyond the first
+    block scores are sums in another order, equal up to rounding.
     """
     table = triads(mode, tonic)
     prior, moves = DEGREE_PRIOR[mode], set(MOVES[mode])
+    step = np.array([[(MOVE_BONUS if (p, d) in moves else 0.0) + (STAY_BONUS if p == d else 0.0) for d, _ in table] for p, _ in table])
+    kind = dict(bars.dtypes)[key]
+
+    def emissions(first_bar: int, ws: list) -> np.ndarray:
+        w = np.array([np.asarray(x, float) for x in ws])
+        total = np.array([sum(x) for x in w.tolist()])
+        fit = np.stack([w[:, pcs[0]] * (1 + ROOT_BONUS) + w[:, pcs[1]] + w[:, pcs[2]] for _, pcs in table], axis=1)
+        out = np.where(total[:, None] > 0, fit / np.where(total > 0, total, 1.0)[:, None], 0.0) + [prior[d] for d, _ in table]
+        if first_bar == 0:
+            out[0] += [FIRST_BONUS if d == 1 else 0.0 for d, _ in table]
+        return out
+
+    def product(columns: dict) -> list[float]:
+        """Best score from each chord before the block to each chord at its end; in a song's first block there is none before."""
+        e = emissions(columns[bar][0], columns[w12])
+        m = np.where(np.eye(7, dtype=bool), 0.0, -np.inf)
+        for i, x in enumerate(e):
+            m = np.repeat(x[None, :], 7, axis=0) if i == 0 and columns[bar][0] == 0 else (m[:, :, None] + step[None]).max(axis=1) + x
+        return m.ravel().tolist()
+
+    def pointers(columns: dict, before: list | None) -> tuple[np.ndarray, np.ndarray]:
+        e = emissions(columns[bar][0], columns[w12])
+        score = None if before is None else np.asarray(before).reshape(7, 7).max(axis=0)
+        back = np.zeros((len(e), 7), dtype=int)
+        for i, x in enumerate(e):
+            if score is None:
+                score = x
+                continue
+            ways = score[:, None] + step
+            back[i] = ways.argmax(axis=0)
+            score = ways.max(axis=0) + x
+        return back, score
+
+    def traced(back: np.ndarray, last: int) -> list[int]:
+        """States of the block's bars, and that of the bar before it."""
+        path = [last]
+        for row in back[::-1]:
+            path.append(int(row[path[-1]]))
+        return path[::-1]
+
+    maxplus = lambda a, b: (np.asarray(a).reshape(7, 7)[:, :, None] + np.asarray(b).reshape(7, 7)[None]).max(axis=1).ravel()
+    rows = bars.select(key, bar, w12).withColumn("block", F.floor(F.col(bar) / block))
+    maps = each_block(rows, [key, "block"], bar, lambda c, _: [(c[key][0], c["block"][0], product(c))], f"{key} {kind}, block bigint, value array<double>")
+    before = exclusive_scan(maps, key, "block", "value", maxplus)
+
+    def to_back(columns: dict, carried: list | None) -> list[tuple]:
+        back, score = pointers(columns, carried)
+        lead = [float(traced(back, k)[0]) for k in range(7)]
+        return [(columns[key][0], columns["block"][0], lead, int(np.argmax(score)))]
+
+    leads = each_block(rows, [key, "block"], bar, to_back, f"{key} {kind}, block bigint, value array<double>, top bigint", before)
+    ends = leads.groupBy(key).agg(F.max("block").alias("n"), F.max_by("top", "block").alias("top"))
+    turned = leads.join(ends.select(key, "n"), key).select(key, (F.col("n") - F.col("block")).alias("block"), "value")
+    after = exclusive_scan(turned, key, "block", "value", lambda a, b: np.asarray(b)[np.asarray(a).astype(int)])
+    last = after.join(ends, key).select(key, (F.col("n") - F.col("block")).alias("block"), F.coalesce(F.get("before", F.col("top")), F.col("top").cast("double")).cast("double").alias("state"))
+    both = before.join(last, [key, "block"]).select(key, "block", F.struct("before", "state").alias("before"))
+
+    def to_rows(columns: dict, carried) -> list[tuple]:
+        back, _ = pointers(columns, carried["before"])
+        return [(columns[key][0], b, table[k][0]) for b, k in zip(columns[bar], traced(back, int(carried["state"]))[1:], strict=True)]
+
+    return each_block(rows, [key, "block"], bar, to_rows, f"{key} {kind}, {bar} bigint, degree int", both)
 
-    def emission(w: Column, k: int, first: bool) -> Column:
-        degree, pcs = table[k]
-        total = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
-        fit = sum((F.get(w, F.lit(p)) for p in pcs[1:]), F.get(w, F.lit(pcs[0])) * (1 + ROOT_BONUS)) / total
-        return F.when(total > 0, fit).otherwise(0.0) + prior[degree - 1] + (FIRST_BONUS if first and degree == 1 else 0.0)
-
-    def state(score: Column, path: Column) -> Column:
-        return F.struct(score.cast("double").alias("s"), path.cast("array<int>").alias("p"))
-
-    def step(acc: Column, w: Column) -> Column:
-        nexts = []
-        for k, (degree, _) in enumerate(table):
-            options = [F.struct((acc[j]["s"] + (MOVE_BONUS if (table[j][0], degree) in moves else 0.0) + (STAY_BONUS if j == k else 0.0)).alias("s"), F.lit(-j).alias("j")) for j in range(7)]
-            best = F.greatest(*options)
-            nexts.append(state(best["s"] + emission(w, k, False), F.concat(F.get(acc, -best["j"])["p"], F.array(F.lit(degree)))))
-        return F.array(*nexts)
-
-    bars = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(bar, w12))).alias("b")).select(key, F.col(f"b.{w12}").alias("ws"))
-    begin = F.array(*(state(emission(F.get("ws", F.lit(0)), k, True), F.array(F.lit(table[k][0]))) for k in range(7)))
-    end = F.aggregate(F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 1, F.lit(0))), begin, step)
-    ranked = F.array_max(F.transform(end, lambda x, i: F.struct(x["s"].alias("s"), (-i).alias("i"), x["p"].alias("p"))))
-    return bars.select(key, ranked["p"].alias("degrees"))
+
+def chords(weights: DataFrame, key: str, bar: str, w12: str, mode: str, tonic: int) -> DataFrame:
+    """(key, degrees): the best chords of each key's bars in one array, ``bar`` being any order."""
+    numbered = weights.withColumn("__n", (F.row_number().over(Window.partitionBy(key).orderBy(bar)) - 1).cast("bigint"))
+    rows = chord_rows(numbered, key, "__n", w12, mode, tonic)
+    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "degree"))), lambda x: x["degree"]).alias("degrees"))
 
 
 def midi_of(hz: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strophe.operators import intervals as I
 from strophe.operators import ledger as L
 from strophe.operators import series as S
+from strophe.operators import signals as G
 from strophe.tables import FRAMES, TALK_WORDS, frames, load, talk_words
 
 from .registry import query
@@ -139,7 +140,7 @@ def c6_quietest_point(spark: SparkSession, d: str) -> DataFrame:
   SELECT stream, generate_subscripts(gs, 1) - 1 AS i, round(unnest(gs), 6) AS gain FROM g""")
 def r4_limiter(spark: SparkSession, d: str) -> DataFrame:
     need = frames(spark, d).withColumn("need", F.least(F.lit(1.0), 100.0 / F.greatest("v", F.lit(1e-9))))
-    return S.limiter(need, "stream", "i", "need", 3, 0.1).select("stream", F.col("i").cast("long").alias("i"), F.round("gain", 6).alias("gain"))
+    return G.limiter(need, "stream", "i", "need", 3, 0.1).select("stream", F.col("i").cast("long").alias("i"), F.round("gain", 6).alias("gain"))
 
 
 _SPEECH = "SELECT conv_id AS talk_id, (turn * 9000 + 400)::BIGINT AS s, (turn * 9000 + 400 + length(text) * 12)::BIGINT AS e FROM conversations WHERE text IS NOT NULL"

@@ -93,7 +93,7 @@ def a8_bar_weights(spark: SparkSession, d: str) -> DataFrame:
 
 def _viterbi_sql() -> str:
     table, prior, moves = H.triads("minor", 9), H.DEGREE_PRIOR["minor"], set(H.MOVES["minor"])
-    em = lambda k: f"coalesce((w[{table[k][1][0] + 1}] * 1.3 + w[{table[k][1][1] + 1}] + w[{table[k][1][2] + 1}]) / nullif(list_sum(w), 0), 0) + {prior[k]}"
+    em = lambda k: f"coalesce((w[{table[k][1][0] + 1}] * 1.3 + w[{table[k][1][1] + 1}] + w[{table[k][1][2] + 1}]) / nullif(list_sum(w), 0), 0) + {prior[k + 1]}"
     steps = []
     for k in range(7):
         bonus = [(0.15 if (j + 1, k + 1) in moves else 0.0) + (0.05 if j == k else 0.0) for j in range(7)]

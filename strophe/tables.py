@@ -68,3 +68,15 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 FRAMES = """frames AS (
   SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value AS v,
     CASE WHEN event_id % 7 <> 0 THEN round(48 + fmod(value, 30.0), 3) END AS midi, round(-60 + fmod(value, 60.0), 3) AS db FROM events)"""
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stream, i, v): orders as four streams of samples, loud and quiet by turns; the order key gives the place, without a sort."""
+    key = F.col("o_orderkey")
+    level = F.when(F.pmod(F.floor(key / 2400), F.lit(3)) == 0, 0.9).otherwise(0.2)
+    v = (F.pmod(F.col("o_totalprice"), F.lit(2000.0)) - 1000) / 1000 * level
+    return load(spark, sf_dir, "orders").select(F.pmod(key, F.lit(4)).alias("stream"), F.floor(key / 4).alias("i"), F.round(v, 6).alias("v"))
+
+
+SAMPLES = """samples AS (
+  SELECT o_orderkey % 4 AS stream, o_orderkey // 4 AS i, round((fmod(o_totalprice, 2000.0) - 1000) / 1000 * CASE WHEN o_orderkey // 2400 % 3 = 0 THEN 0.9 ELSE 0.2 END, 6) AS v FROM orders)"""

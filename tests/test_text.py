@@ -86,3 +86,16 @@ def test_official_words_of_long_texts(spark):
                 else:
                     held.append(t)
         assert got.get(doc, []) == [tuple(w) for w in want]
+
+
+def test_norm_is_the_tokens_of_each_word(spark):
+    """The whole-text form against the tokens word by word, over words with marks, footnotes, odd spaces and letters of many kinds."""
+    rng = random.Random(12)
+    parts = ["eight-year-old", "Savior.12", "Savior.1234", "U.S.", "—", "don’t", "x/y", "ﬁ", "ǅ", "ß", "İ", "é", "é", "日本", "a b", "½", "①", "́a", "…12", "’s.1", "ſ", "٣", "a.٣", "(b)2", " ", "q r", "-", "''", "\x1c", "\x85", "Ω.9", "x,7"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "", "\n", "\t ", "\r\n", "\x0b"]) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    texts += ["", " ", None, "plain words, only.3 here", "A-b/c don't.12\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    words = F.filter(F.split("t", r"\s+"), lambda w: w != "")
+    each = F.array_join(F.flatten(F.transform(words, T.match_tokens)), " ")
+    odd = df.select("t", T.norm(F.col("t")).alias("n"), each.alias("e")).filter(~F.col("n").eqNullSafe(F.col("e"))).collect()
+    assert not odd, odd[:3]
