@@ -6,8 +6,11 @@ sentences) is windows and aggregates again.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import isqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +18,6 @@ from pyspark.sql import functions as F
 from .intervals import island_ids
 
 SOLID = 3
-MOST_CELLS = 250_000
 FUZZY, UNSPOKEN_RUN, LINE_SHARE, OWN_SENTENCE, LEAST_COVERAGE = 0.6, 3, 0.25, 4, 0.2
 
 
@@ -33,66 +35,128 @@ def indel(a: str, b: str) -> float:
     return 2 * row.bit_count() / (len(a) + len(b))
 
 
+def _rows_back(first, step, n: int) -> Iterator:
+    """Rows n down to 1 of a table whose row k comes from row k - 1: about two times the root of n are held at once."""
+    every = isqrt(n) + 1
+    held, row = {0: first}, first
+    for k in range(1, n + 1):
+        row = step(row, k)
+        if k % every == 0:
+            held[k] = row
+    for start in range((n - 1) // every * every, -1, -every):
+        block = [held[start]]
+        for k in range(start + 1, min(n, start + every) + 1):
+            block.append(step(block[-1], k))
+        yield from reversed(block[1:])
+
+
 def common_pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence as index pairs, by greedy furthest-reaching paths (time grows with the differences)."""
-    lo = 0
-    while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
+    """A longest common subsequence as index pairs.
+
+    Rows of bits over ``a`` (Hyyro), one for each token of ``b``: a zero bit is a place where the common length grows.  On the way
+    back a token of ``a`` goes where its bit is set, and one of ``b`` where the row before has the same growth.
+    """
+    lo, hi = 0, 0
+    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
-    x0, y0 = a[lo:], b[lo:]
-    n, m = len(x0), len(y0)
-    reach, trail = {1: 0}, []
-    for d in range(n + m + 1):
-        trail.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            x = reach.get(k + 1, -1) if k == -d or k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1) else reach[k - 1] + 1
-            y = x - k
-            while x < n and y < m and x0[x] == y0[y]:
-                x, y = x + 1, y + 1
-            reach[k] = x
-            if x >= n and y >= m:
-                break
-        else:
-            continue
-        break
-    pairs: list[tuple[int, int]] = []
-    x, y = n, m
-    for d in range(len(trail) - 1, -1, -1):
-        v, k = trail[d], x - y
-        from_k = k + 1 if k == -d or k != d and v.get(k - 1, -1) < v.get(k + 1, -1) else k - 1
-        px = v.get(from_k, 0)
-        py = px - from_k
-        while x > max(px, 0) and y > max(py, 0):
-            x, y = x - 1, y - 1
-            pairs.append((lo + x, lo + y))
-        x, y = px, py
-    return [(i, i) for i in range(lo)] + pairs[::-1]
-
-
-def gap_pairs(o: list[str], a: list[str], threshold: float = FUZZY) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """Best in-order pairing of 1:1, 1:2 and 2:1 tokens by total similarity, as half-open ranges of both sides."""
+    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    masks: dict[str, int] = {}
+    for i, t in enumerate(x):
+        masks[t] = masks.get(t, 0) | 1 << i
+    full = (1 << len(x)) - 1
+
+    def step(row: int, k: int) -> int:
+        met = row & masks.get(y[k - 1], 0)
+        return (row + met | row - met) & full
+
+    pairs, col = [], len(x)
+    rows = _rows_back(full, step, len(y))
+    row = next(rows, full)
+    for k in range(len(y), 0, -1):
+        while col and row >> (col - 1) & 1:
+            col -= 1
+        if not col:
+            break
+        row = next(rows, full)
+        if k == 1 or row >> (col - 1) & 1:
+            col -= 1
+            pairs.append((lo + col, lo + k - 1))
+    return [(i, i) for i in range(lo)] + pairs[::-1] + [(len(a) - k, len(b) - k) for k in range(hi, 0, -1)]
+
+
+def alike(xs: list[str], ys: list[str], threshold: float) -> dict[str, list[tuple[str, float]]]:
+    """For each text of ``xs`` those of ``ys`` of the threshold's similarity or more; both lists are of different texts.
+
+    Lengths and counts of letters bound the similarity, so most pairs are not compared.
+    """
+    if not xs or not ys:
+        return {}
+    counts = lambda ts: np.array([np.bincount([ord(c) % 64 for c in t], minlength=64) for t in ts], dtype=np.int16)
+    nx, ny = np.array([len(t) for t in xs]), np.array([len(t) for t in ys])
+    cy, found = counts(ys), {}
+    for x, n, c in zip(xs, nx, counts(xs), strict=True):
+        near = np.flatnonzero(2 * np.minimum(n, ny) >= threshold * (n + ny))
+        near = near[2 * np.minimum(c, cy[near]).sum(axis=1) >= threshold * (n + ny[near]) - 1e-9]
+        met = [(ys[k], s) for k in near.tolist() if (s := indel(x, ys[k])) >= threshold]
+        if met:
+            found[x] = met
+    return found
+
+
+def gap_pairs(o: list[str], a: list[str], threshold: float = FUZZY, most_cells: int | None = None) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """Best in-order pairing of 1:1, 1:2 and 2:1 tokens by total similarity, as half-open ranges of both sides.
+
+    Exact at any length: a row of the table is a running maximum over few similar pairs, and only some rows are held.  With
+    ``most_cells``, larger gaps have no pairs.
+    """
     n, m = len(o), len(a)
-    if not n or not m or n * m > MOST_CELLS:
+    if not n or not m or most_cells is not None and n * m > most_cells:
         return []
-    moves = ((1, 1), (1, 2), (2, 1))
-    table: list[list[tuple[float, int, int]]] = []
-    for i in range(n + 1):
-        table.append([])
-        for j in range(m + 1):
-            best = (0.0, 0, 0) if i == j == 0 else (-1.0, 0, 0)
-            if i and table[i - 1][j][0] > best[0]:
-                best = (table[i - 1][j][0], 1, 0)
-            if j and table[i][j - 1][0] > best[0]:
-                best = (table[i][j - 1][0], 0, 1)
-            for di, dj in moves:
-                if i >= di and j >= dj and (s := indel("".join(o[i - di : i]), "".join(a[j - dj : j]))) >= threshold and table[i - di][j - dj][0] + s > best[0]:
-                    best = (table[i - di][j - dj][0] + s, di, dj)
-            table[i].append(best)
-    found, i, j = [], n, m
+    joined = lambda ts, k: ["".join(ts[i : i + k]) for i in range(len(ts) - k + 1)]
+    moves = []
+    for di, dj in ((1, 1), (1, 2), (2, 1)):
+        mine, theirs = joined(o, di), joined(a, dj)
+        places: dict[str, list[int]] = {}
+        for j, t in enumerate(theirs):
+            places.setdefault(t, []).append(j)
+        near = alike(sorted(set(mine)), sorted(places), threshold)
+        spots = {t: (np.array([j for y, _ in ys for j in places[y]]), np.array([s for y, s in ys for _ in places[y]])) for t, ys in near.items()}
+        moves.append((di, dj, mine, spots, {t: {y: s for y, s in ys} for t, ys in near.items()}, theirs))
+
+    def step(rows: tuple[np.ndarray, np.ndarray], i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows i - 1 and i from rows i - 2 and i - 1."""
+        older, last = rows
+        best = last.copy()
+        for di, dj, mine, spots, _, _ in moves:
+            if i >= di and (hit := spots.get(mine[i - di])):
+                at, s = hit
+                np.maximum.at(best, at + dj, (last if di == 1 else older)[at] + s)
+        return last, np.maximum.accumulate(best)
+
+    begin = (np.zeros(m + 1), np.zeros(m + 1))
+    back = _rows_back(begin, step, n)
+    (older, now), found, i, j = next(back), [], n, m
+    last = older
+    before = next(back, begin)[0] if n > 1 else begin[0]
     while i or j:
-        _, di, dj = table[i][j]
-        if di and dj:
-            found.append(((i - di, i), (j - dj, j)))
-        i, j = i - di, j - dj
+        best, how = -1.0, (0, 0)
+        if i and last[j] > best:
+            best, how = last[j], (1, 0)
+        if j and now[j - 1] > best:
+            best, how = now[j - 1], (0, 1)
+        for di, dj, mine, _, near, theirs in moves:
+            if i >= di and j >= dj and (s := near.get(mine[i - di], {}).get(theirs[j - dj])) is not None:
+                total = (last if di == 1 else before)[j - dj] + s
+                if total > best:
+                    best, how = total, (di, dj)
+        if how[0] and how[1]:
+            found.append(((i - how[0], i), (j - how[1], j)))
+        i, j = i - how[0], j - how[1]
+        for _ in range(how[0]):
+            now, last = last, before
+            before = next(back, begin)[0]
     return found[::-1]
 
 
