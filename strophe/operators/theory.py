@@ -104,7 +104,7 @@ def tempo(df: DataFrame, key: str, duration: str, onset: str, bpm: float, tolera
     return scored.groupBy(key).agg(F.min_by(F.struct("bpm", "cost"), best).alias("b")).select(key, "b.*")
 
 
-def quantized(df: DataFrame, key: str, i: str, start: str, end: str, bpm: float, grid: float) -> DataFrame:
+def quantized(df: DataFrame, key: str, i: str, start: str, end: str, bpm: float | Column, grid: float) -> DataFrame:
     """Notes on the grid, at least a step long; of notes with one start the longest (the first) stays; overlaps are cut."""
     beat = 60.0 / bpm
     on = lambda c: half_even(F.col(c) / beat / grid) * grid
