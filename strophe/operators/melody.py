@@ -1,7 +1,7 @@
 """Melodies of talks from their pitch segments, end to end: tuning, key, snapping, octave, tempo, grid and chords.
 
-Each step is an operator over all talks at once.  With ``stages``, every step is written once for the fingerprint of its inputs
-and parameters, so a change of one parameter makes only what depends on it.
+Each step is an operator over all talks at once and is written, so no step is made twice.  With ``stages``, every step is kept for the
+fingerprint of its inputs and parameters, so a change of one parameter makes only what depends on it.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strophe.plans.cache import Stages
+from strophe.storage import written
 
 from . import theory as H
 from .mixing import velocities
@@ -27,7 +28,7 @@ class Steps:
 
     def __call__(self, name: str, inputs: list[str], params: dict, make: Callable[[], DataFrame]) -> DataFrame:
         if self.stages is None:
-            return make()
+            return written(make(), name)
         df, self.prints[name], _ = self.stages.run(name, VERSION, {i: self.prints[i] for i in inputs}, params, make)
         return df
 

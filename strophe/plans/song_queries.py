@@ -18,13 +18,17 @@ _LETTER = "strpos('CDEFGAB', letter) - 1"
 _NAMES = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
 
-@query(f"""WITH k AS (SELECT mode, t::INT AS tonic, n AS nm, s FROM (SELECT 'major' AS mode, unnest(range(12)) AS t, unnest({_NAMES(H.TONICS['major'])}) AS n, {H.SCALES['major']} AS s UNION ALL SELECT 'minor', unnest(range(12)), unnest({_NAMES(H.TONICS['minor'])}), {H.SCALES['minor']})),
+@query(f"""WITH {FRAMES}, k AS (SELECT mode, t::INT AS tonic, n AS nm, s FROM (SELECT 'major' AS mode, unnest(range(12)) AS t, unnest({_NAMES(H.TONICS['major'])}) AS n, {H.SCALES['major']} AS s UNION ALL SELECT 'minor', unnest(range(12)), unnest({_NAMES(H.TONICS['minor'])}), {H.SCALES['minor']})),
   r AS (SELECT k.*, left(nm, 1) AS letter, unnest(range(12))::INT AS pc FROM k), a AS (SELECT *, list_position(s, (pc - tonic + 12) % 12) - 1 AS step FROM r),
-  b AS (SELECT *, ({_LETTER} + step) % 7 AS li FROM a), c AS (SELECT *, ((pc - [0, 2, 4, 5, 7, 9, 11][li + 1] + 18) % 12 - 6) AS off FROM b)
-  SELECT mode, tonic, pc, CASE WHEN step >= 0 THEN substr('CDEFGAB', li + 1, 1) || repeat('#', greatest(off, 0)) || repeat('b', greatest(-off, 0))
-    WHEN list_contains(CASE mode WHEN 'major' THEN {G.FLAT_KEYS['major']} ELSE {G.FLAT_KEYS['minor']} END, tonic) THEN {_NAMES(G.FLATS)}[pc + 1] ELSE {_NAMES(G.SHARPS)}[pc + 1] END AS note FROM c""")
+  b AS (SELECT *, ({_LETTER} + step) % 7 AS li FROM a), c AS (SELECT *, ((pc - [0, 2, 4, 5, 7, 9, 11][li + 1] + 18) % 12 - 6) AS off FROM b),
+  spelled AS (SELECT mode, tonic, pc, CASE WHEN step >= 0 THEN substr('CDEFGAB', li + 1, 1) || repeat('#', greatest(off, 0)) || repeat('b', greatest(-off, 0))
+    WHEN list_contains(CASE mode WHEN 'major' THEN {G.FLAT_KEYS['major']} ELSE {G.FLAT_KEYS['minor']} END, tonic) THEN {_NAMES(G.FLATS)}[pc + 1] ELSE {_NAMES(G.SHARPS)}[pc + 1] END AS note FROM c), heard AS (SELECT stream, CASE WHEN stream % 2 = 0 THEN 'minor' ELSE 'major' END AS mode, (stream % 12)::INT AS tonic, (round_even(midi, 0)::INT % 12)::INT AS pc, count(*) AS n FROM frames WHERE midi IS NOT NULL GROUP BY ALL)
+  SELECT stream, mode, tonic, pc, note, n FROM heard JOIN spelled USING (mode, tonic, pc)""")
 def f3_spelled_keys(spark: SparkSession, d: str) -> DataFrame:
-    return G.spelled_keys(spark)
+    """The pitch classes that each stream's voiced frames sound, spelled in the stream's key."""
+    key = [F.when(F.col("stream") % 2 == 0, "minor").otherwise("major").alias("mode"), (F.col("stream") % 12).cast("int").alias("tonic")]
+    heard = frames(spark, d).filter("midi IS NOT NULL").groupBy("stream", *key, (F.bround("midi").cast("int") % 12).alias("pc")).agg(F.count("*").alias("n"))
+    return heard.join(F.broadcast(G.spelled_keys(spark)), ["mode", "tonic", "pc"]).select("stream", "mode", "tonic", "pc", "note", "n")  # 288 notes
 
 
 @query("""SELECT p_partkey, 4.0::DOUBLE / CASE p_size % 3 WHEN 0 THEN 4 WHEN 1 THEN 8 ELSE 16 END AS beats, round(4 * 60.0 / (60 + p_size), 9) AS bar_s, round(greatest(0.0, least(p_retailprice / 100, p_size - 3.5)), 9) AS spoken_s,
