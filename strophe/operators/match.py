@@ -182,3 +182,23 @@ def quote_sentences(matches: DataFrame, sentences: DataFrame) -> DataFrame:
     end = F.col("start") + F.col("length")
     met = matches.join(sentences, "doc").filter((F.col("word_start") < end) & (F.col("word_end") > F.col("start")))
     return met.groupBy("doc", "quote").agg(F.min("sentence").alias("first_sentence"), F.max("sentence").alias("last_sentence"))
+
+
+def matched_quotes(quotes: DataFrame, found: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(doc, quote, first_sentence, last_sentence, score, refusal, other) of quotes (doc, quote, occurrence) in their own texts.
+
+    ``found`` is of :func:`found_quotes`, sentences as of :func:`quote_sentences`.  A quote is refused (``refusal``; else null) if its text
+    has it fewer times than ``occurrence`` says, if it is not found, or if no sentence holds it; of two quotes that follow on and
+    share sentences, the later one is ``shared`` with the ``other``.
+    """
+    places = quote_sentences(found, sentences)
+    met = quotes.select("doc", "quote", "occurrence").join(found, ["doc", "quote"], "left").join(places, ["doc", "quote"], "left")
+    fault = (
+        F.when(F.col("occurrence") > F.coalesce("occurrences", F.lit(0)), "occurrence").when(F.col("start").isNull(), "not found").when(F.col("first_sentence").isNull(), "outside")
+    )
+    told = met.withColumn("refusal", fault)
+    by = Window.partitionBy("doc").orderBy("first_sentence", "quote")  # the quotes asked of one text
+    good = told.filter("refusal IS NULL").withColumn("other", F.when(F.lag("last_sentence").over(by) >= F.col("first_sentence"), F.lag("quote").over(by)))
+    good = good.withColumn("refusal", F.when(F.col("other").isNotNull(), "shared"))
+    bad = told.filter("refusal IS NOT NULL").withColumn("other", F.lit(None).cast(dict(good.dtypes)["other"]))
+    return good.unionByName(bad).select("doc", "quote", "first_sentence", "last_sentence", "score", "refusal", "other")

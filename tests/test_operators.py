@@ -143,6 +143,19 @@ def test_quotes_against_every_window(spark):
     assert bare == {k: v for i, t in enumerate(texts) for j, (q, _) in enumerate(quotes) if (v := plain_quotes(t, q, (), (), None)) for k in [(i, j)]}
 
 
+def test_quotes_are_refused(spark):
+    """Not found, asked for too often, outside every sentence, and two that share a sentence."""
+    text = "a b c d e f g h i j k l m n o p a b c d x y z w".split()
+    sentences = spark.createDataFrame([(1, 0, 0, 4), (1, 1, 4, 9), (1, 2, 9, 12), (1, 3, 16, 20)], "doc long, sentence int, word_start int, word_end int")
+    quotes = [(1, 1, "a b c d", 2), (1, 2, "e f g h", None), (1, 3, "i j k l", None), (1, 4, "a b c d", 3), (1, 5, "q r s t", None), (1, 6, "m n o p", None), (1, 7, "b c d", -1)]
+    asked = spark.createDataFrame([(d, q, t.split(), o) for d, q, t, o in quotes], "doc long, quote long, q array<string>, occurrence int")
+    found = M.found_quotes(spark.createDataFrame([(1, text)], "doc long, tokens array<string>"), asked.drop("doc"))
+    got = {r["quote"]: (r["first_sentence"], r["last_sentence"], r["refusal"], r["other"]) for r in M.matched_quotes(asked, found, sentences).collect()}
+    assert got == {
+        1: (3, 3, None, None), 2: (1, 1, None, None), 3: (1, 2, "shared", 2), 4: (None, None, "occurrence", None), 5: (None, None, "not found", None), 6: (None, None, "outside", None), 7: (3, 3, "shared", 1),
+    }
+
+
 def test_gaps_of_nested_intervals(spark):
     rows = [(1, 10, 90), (1, 20, 30), (1, 25, 95), (1, 97, 99), (2, 0, 5), (2, 5, 7)]
     totals = spark.createDataFrame([(1, 120), (2, 7), (3, 4)], "k int, total int")
