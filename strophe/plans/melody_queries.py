@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strophe.functions.canonical import canonical_json, digest
 from strophe.operators import melody as M
 from strophe.sources import runs as R
 from strophe.tables import frames, load
@@ -56,3 +57,17 @@ def k8_migrated_runs(spark: SparkSession, d: str) -> DataFrame:
         "run_id", "from_version", F.col("run.schema_version").alias("version"), F.col("run.length").alias("length"), names("run.stages").alias("run_stages"), names("run.options").alias("run_options"),
         songs(lambda e: F.concat(e["key"], F.lit(":"), names(e["value"]["stages"]))).alias("song_stages"), songs(lambda e: names(e["value"]["options"])).alias("song_options"),
     )
+
+
+@query("""WITH p AS (SELECT p_partkey, '{"brand": "' || p_brand || '", "lengths": {"full": ' || p_size || ', "short": ' || p_size // 2 || '}, "name": "' || p_name || ' \\u00e9\\n", "styles": ["' || p_type || '", null], "tempo": {"auto": ' || CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END || ', "bpm": ' || (60 + p_size) || '.5}}' AS text FROM part)
+  SELECT p_partkey, text, sha256(text) AS digest FROM p""")
+def p18_preset_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as presets: the canonical text and digest that stages depend on."""
+    size = F.col("p_size")
+    preset = F.struct(
+        F.concat("p_name", F.lit(" é\n")).alias("name"), F.col("p_brand").alias("brand"), F.struct((60.5 + size).alias("bpm"), (size % 2 == 0).alias("auto")).alias("tempo"),
+        F.array("p_type", F.lit(None).cast("string")).alias("styles"), F.create_map(F.lit("short"), F.floor(size / 2), F.lit("full"), size.cast("long")).alias("lengths"),
+    )
+    rows = load(spark, d, "part").select("p_partkey", preset.alias("preset"))
+    kind = rows.schema["preset"].dataType
+    return rows.select("p_partkey", canonical_json(F.col("preset"), kind).alias("text"), digest(F.col("preset"), kind).alias("digest"))

@@ -1,11 +1,13 @@
 """Literal cases of word forms, sentence ends, segmentation, citations and quotes."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from strophe.functions import text as T
+from strophe.functions.canonical import canonical_json
 from strophe.operators import sentences as S
 from strophe.sources import quotes
 
@@ -99,3 +101,15 @@ def test_norm_is_the_tokens_of_each_word(spark):
     each = F.array_join(F.flatten(F.transform(words, T.match_tokens)), " ")
     odd = df.select("t", T.norm(F.col("t")).alias("n"), each.alias("e")).filter(~F.col("n").eqNullSafe(F.col("e"))).collect()
     assert not odd, odd[:3]
+
+
+def test_canonical_json(spark):
+    """The text that Python's json writes with sorted keys."""
+    schema = "v struct<b:string,a:array<struct<z:double,y:boolean>>,m:map<string,array<bigint>>,n:bigint>"
+    rows = [
+        {"b": "é \"q\" \\ \n\t\x01\x1b\x7f😀/", "a": [{"z": 0.5, "y": True}, {"z": 120.0, "y": None}, None], "m": {"zz": [1, 2], "aé": [], "a": None}, "n": -5},
+        {"b": "", "a": [], "m": {}, "n": None}, {"b": None, "a": None, "m": None, "n": 10**15},
+    ]
+    df = spark.createDataFrame([(r,) for r in rows], schema)
+    got = [r["t"] for r in df.select(canonical_json(F.col("v"), df.schema["v"].dataType).alias("t")).collect()]
+    assert got == [json.dumps(r, sort_keys=True) for r in rows]
