@@ -103,6 +103,11 @@ def test_prefix_table_equals_the_library(model):
         for _ in range(2000):
             text = "".join(rng.choice(parts) for _ in range(rng.randint(0, most)))
             assert model.encode(text) == model.model.encode(text), text
+    texts = ["", " ", "a b", "x\ny z", "no\n", "日本 語", " lead", "one two one two\n one"] * 3
+    assert model.encode_all(texts).to_pylist() == model.model.encode(texts)
+    assert model.encode_all([]).to_pylist() == [] and model.encode_all(["  two"]).to_pylist() == model.model.encode(["  two"])
+    plain = ["", "a b", "x\ny z", "no\n", "日本 語", "one two one two\none"] * 3
+    assert model.encode_all(plain).to_pylist() == model.model.encode(plain)
     for long in ("=" * 20_000, "x" * 20_001, " " * 9_999, "é\n" * 5_000):
         assert model.encode(long) == model.model.encode(long)
 
@@ -113,7 +118,7 @@ def test_what_is_remembered_is_bounded(model, monkeypatch):
     own = pieces.Pieces(MODEL)
     texts = [f"word{i} and w{i % 7}x more{i}" for i in range(300)]
     assert [own.encode(t) for t in texts] == model.model.encode(texts)
-    assert len(own.known) <= 10 and len(own.older) <= 10 and len(own.pairs) <= 10
+    assert len(own.known) <= 10 and len(own.older) <= 10 and sum(len(v[3]) for v in own.automaton.values()) <= 11
 
 
 def test_sentencepiece_round_trip(docs, rows, nothing, model):
@@ -122,6 +127,8 @@ def test_sentencepiece_round_trip(docs, rows, nothing, model):
     found = sorted(((r["doc_id"], r["text"], r["ids"], r["decoded"]) for r in got.collect()), key=str)
     ids = [model.model.encode(r[1] or "") for r in rows]
     assert found == sorted(((r[0], r[1], i, model.model.decode(i) if i else "") for r, i in zip(rows, ids, strict=True)), key=str)
+    both = pieces.round_trip(docs, MODEL)
+    assert both.columns == got.columns and sorted(((r["doc_id"], r["text"], r["ids"], r["decoded"]) for r in both.collect()), key=str) == found
     again = pieces.encoded(docs.withColumn("ids", F.lit("own")), MODEL)
     assert dict(again.dtypes)["ids"] == "array<int>" and again.columns.count("ids") == 1
     assert pieces.decoded(pieces.encoded(nothing, MODEL), MODEL).count() == 0
