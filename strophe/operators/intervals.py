@@ -57,3 +57,22 @@ def containing_join(points: DataFrame, spans: DataFrame, keys: list[str], at: st
     y = spans.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(span[0]) / width), F.floor(F.greatest(F.col(span[0]), F.col(span[1])) / width))))
     inside = (F.col(at) <= F.col(span[1])) if closed else (F.col(at) < F.col(span[1]))
     return x.join(y, [*keys, "__cell"]).filter((F.col(at) >= F.col(span[0])) & inside).drop("__cell")
+
+
+def repair_windows(holes: DataFrame, segments: DataFrame, keys: list[str], most: float, width: float = 60_000) -> DataFrame:
+    """(keys, gap_start, gap_end, speech, start, end): holes widened to the segments that touch them, overlaps merged.
+
+    Holes are (keys, lo, hi, speech), segments (keys, s, e, first, last) with the span of their words, null without any.  A segment whose words
+    span an edge of a hole moves that edge to its own, ``most`` away at most.  A merged window has the gap's start of the first,
+    the latest end and the sum of speech.
+    """
+    spoken = segments.filter("first IS NOT NULL")
+    wide = holes.select(*keys, "lo", "hi", (F.col("lo") - 1).alias("__a"), (F.col("hi") + 1).alias("__b"))
+    both = overlap_join(wide, spoken, keys, ("__a", "__b"), ("first", "last"), width)
+    touches = lambda edge: F.col(edge).between(F.col("first"), F.col("last"))
+    start = F.min(F.when(touches("lo") & (F.col("lo") - F.col("s") <= most), F.col("s"))).alias("__s")
+    end = F.max(F.when(touches("hi") & (F.col("e") - F.col("hi") <= most), F.col("e"))).alias("__e")
+    moved = holes.join(both.groupBy(*keys, "lo", "hi").agg(start, end), [*keys, "lo", "hi"], "left")
+    windows = moved.select(*keys, "lo", "hi", "speech", F.least("lo", "__s").alias("start"), F.greatest("hi", "__e").alias("end"))
+    out = merged(windows, keys, "start", "end", F.min_by("lo", F.struct("start", "lo")).alias("gap_start"), F.max("hi").alias("gap_end"), F.sum("speech").alias("speech"))
+    return out.select(*keys, "gap_start", "gap_end", "speech", "start", "end")

@@ -11,7 +11,7 @@ from strophe.operators import series as S
 from strophe.operators import signals as G
 from strophe.tables import FRAMES, TALK_WORDS, frames, load, talk_words
 
-from .registry import query
+from .registry import ORACLE, query
 
 
 @query("SELECT coalesce(l_returnflag, 'total') AS service, round(sum(l_extendedprice), 2) AS usd FROM lineitem GROUP BY ROLLUP (l_returnflag)")
@@ -159,6 +159,18 @@ def j17_find_holes(spark: SparkSession, d: str) -> DataFrame:
     return heard.filter("speech >= 200")
 
 
+@query(f"""WITH holes AS ({ORACLE['j17_find_holes']}), {TALK_WORDS}, g AS (SELECT talk_id, min(start_ms) - 100 AS s, max(end_ms) + 150 AS e, min(start_ms) AS first, max(end_ms) AS last FROM talk_words GROUP BY talk_id, pos // 12),
+  x AS (SELECT h.talk_id, lo, hi, any_value(speech) AS speech, min(CASE WHEN lo BETWEEN first AND last AND lo - s <= 4000 THEN s END) AS s, max(CASE WHEN hi BETWEEN first AND last AND e - hi <= 4000 THEN e END) AS e FROM holes h LEFT JOIN g ON g.talk_id = h.talk_id AND g.last >= lo AND g.first <= hi GROUP BY h.talk_id, lo, hi),
+  w AS (SELECT talk_id, lo, hi, speech, least(lo, s) AS s, greatest(hi, e) AS e FROM x), r AS (SELECT *, max(e) OVER (PARTITION BY talk_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w),
+  n AS (SELECT *, sum(CASE WHEN coalesce(s > reach, true) THEN 1 ELSE 0 END) OVER (PARTITION BY talk_id ORDER BY s, e) AS run FROM r)
+  SELECT talk_id, arg_min(lo, (s, lo)) AS gap_start, max(hi) AS gap_end, sum(speech)::BIGINT AS speech, min(s) AS start, max(e) AS "end" FROM n GROUP BY talk_id, run""")
+def j18_repair_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Holes with speech, widened to the runs of twelve words that touch them."""
+    words = talk_words(spark, d).groupBy("talk_id", F.floor(F.col("pos") / 12)).agg(F.min("start_ms").alias("first"), F.max("end_ms").alias("last"))
+    segments = words.select("talk_id", (F.col("first") - 100).alias("s"), (F.col("last") + 150).alias("e"), "first", "last")
+    return I.repair_windows(j17_find_holes(spark, d), segments, ["talk_id"], 4000, 8000)
+
+
 @query("""WITH w AS (SELECT user_id, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + (value * 2000)::BIGINT AS e FROM events), r AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w),
   g AS (SELECT *, sum(CASE WHEN coalesce(s > reach, true) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e) AS run FROM r) SELECT user_id, min(s) AS s, max(e) AS e, count(*) AS n FROM g GROUP BY user_id, run""")
 def j18_merged_windows(spark: SparkSession, d: str) -> DataFrame:

@@ -163,6 +163,14 @@ def test_gaps_of_nested_intervals(spark):
     assert sorted(map(tuple, found)) == [(1, 0, 10), (1, 95, 97), (1, 99, 120), (3, 0, 4)]
 
 
+def test_repair_windows_widen_and_merge(spark):
+    """Edges move to the segments that touch them, within the limit; overlaps merge; segments without words don't count."""
+    holes = spark.createDataFrame([(1, 100, 200, 30), (1, 215, 260, 9), (1, 900, 950, 5), (2, 0, 10, 1), (3, 50, 60, 2)], "k int, lo int, hi int, speech int")
+    segments = [(1, 60, 110, 70, 100), (1, 190, 220, 200, 215), (1, 100, 1500, 800, 900), (1, 940, 960, 950, 955), (2, 5, 40, None, None), (3, 0, 70, 51, 59)]
+    found = I.repair_windows(holes, spark.createDataFrame(segments, "k int, s int, e int, first int, last int"), ["k"], 100, 70).collect()
+    assert sorted(map(tuple, found)) == [(1, 100, 260, 39, 60, 260), (1, 900, 950, 5, 900, 960), (2, 0, 10, 1, 0, 10), (3, 50, 60, 2, 50, 60)]
+
+
 def test_solid_needs_three():
     link = lambda i, j: A.Link(range(i, i + 1), range(j, j + 1), True)
     assert A.solid([link(0, 0), link(1, 1), link(3, 3)]) == []
