@@ -341,37 +341,42 @@ def merge(runs: list[Iterator[tuple[bytes, int, int, int, int]]]) -> Iterator[tu
     """
     k = len(runs)
     heads: list[tuple | None] = [next(r, None) for r in runs]
-
-    def duel(a: int, la: int, b: int, lb: int) -> tuple[int, int, int, int]:
-        """Winner, its prefix, loser, its prefix; both prefixes are shared with the same earlier key."""
-        x, y = heads[a], heads[b]
-        if x is None or y is None:
-            return (b, lb, a, la) if x is None else (a, la, b, lb)
-        if la != lb:
-            return (a, la, b, lb) if la > lb else (b, lb, a, la)
-        p, q = x[0], y[0]
-        h = shared_prefix(p, q, la)
-        if (p[h:], a) <= (q[h:], b):
-            return a, la, b, h
-        return b, lb, a, h
-
     losers, prefix = [0] * k, [0] * k
     winner = [0] * k + list(range(k))
-    known = [0] * 2 * k
+    known = [0] * k + [0 if h else -1 for h in heads]  # of an exhausted run -1: it loses against all others
+
+    def before(a: int, b: int, h: int) -> bool:
+        """Whether ``a`` goes first; their keys share ``h`` bytes, no more."""
+        p, q = heads[a][0], heads[b][0]
+        if h < len(p) and h < len(q):
+            return p[h] < q[h]
+        return (len(p), a) < (len(q), b)
+
     for node in range(k - 1, 0, -1):
-        w, lw, x, lx = duel(winner[2 * node], known[2 * node], winner[2 * node + 1], known[2 * node + 1])
-        winner[node], known[node], losers[node], prefix[node] = w, lw, x, lx
+        a, b, la, lb = winner[2 * node], winner[2 * node + 1], known[2 * node], known[2 * node + 1]
+        if la == lb >= 0:
+            h = shared_prefix(heads[a][0], heads[b][0], la)
+            a, b, lb = (a, b, h) if before(a, b, h) else (b, a, h)
+        elif la < lb:
+            a, b, la, lb = b, a, lb, la
+        winner[node], known[node], losers[node], prefix[node] = a, la, b, lb
     top, shared = (winner[1] if k > 1 else 0), 0
     while heads[top] is not None:
         yield top, heads[top], shared
         heads[top] = entry = next(runs[top], None)
-        now, shared = top, entry[1] if entry else 0
+        shared = entry[1] if entry else -1
         node = (top + k) >> 1
         while node:
-            x, lx = losers[node], prefix[node]
-            now, shared, losers[node], prefix[node] = duel(now, shared, x, lx)
+            lx = prefix[node]
+            if shared < lx:
+                prefix[node], shared = shared, lx
+                top, losers[node] = losers[node], top
+            elif shared == lx >= 0:
+                x = losers[node]
+                prefix[node] = h = shared_prefix(heads[top][0], heads[x][0], lx)
+                if not before(top, x, h):
+                    top, losers[node] = x, top
             node >>= 1
-        top = now
 
 
 Member = tuple[int, int, int, int, int]
@@ -424,10 +429,17 @@ def keepers(group: list[tuple[bytes, int, list[Member]]]) -> list[list[int]]:
 
 def spans_of(group: list[tuple[bytes, int, list[Member]]], out: list[tuple[int, int, int, int]]) -> None:
     """Spans (run, doc, start, stop) of one anchor's entries that another document keeps."""
+    if len(group) == 2:
+        (p, _, _), (q, _, _) = group
+        # every string of a text has in it what lies between its last start and the end of its first string
+        if p[len(p) - LENGTH : 8 + LENGTH] not in q or q[len(q) - LENGTH : 8 + LENGTH] not in p:
+            spans_of(group[:1], out)
+            group = group[1:]
     if len(group) == 1:
         members = group[0][2]
-        least = min(members)[0]
-        out += [(run, doc, at, at + starts + LENGTH - 1) for id_, run, doc, at, starts in members if id_ > least]
+        if len(members) > 1:
+            least = min(members)[0]
+            out += [(run, doc, at, at + starts + LENGTH - 1) for id_, run, doc, at, starts in members if id_ > least]
         return
     least = min(m[0] for _, _, members in group for m in members)
     if all(m[0] == least for _, _, members in group for m in members):
@@ -487,7 +499,10 @@ def joined_runs(blobs: list[bytes], place: int, level: int, levels: Levels) -> I
     out: list[tuple[int, int, int, int]] = []
     rows: list[tuple[int, int, int, int, int]] = []
     tails: list[bytes] = []
-    for key, since, members in equal_texts(runs, np.unique(np.concatenate([r.entries["anchor"] for r in runs]))):
+    anchor = np.concatenate([r.entries["anchor"] for r in runs])
+    source = np.repeat(np.arange(len(runs)), [len(r.entries) for r in runs])
+    met, alone = anchors_met(anchor, source)
+    for key, since, members in equal_texts(runs, met):
         least, shared = min(members)[0], max(0, since - 8)
         for id_, run, doc, at, starts in members:
             if id_ > least:
@@ -497,14 +512,38 @@ def joined_runs(blobs: list[bytes], place: int, level: int, levels: Levels) -> I
             tails.append(key[8 + shared :])
             shared = len(key) - 8
     yield from packed_spans(runs, out)
-    entries = np.array(rows, dtype=ENTRY)
-    digit = levels.digit(entries["anchor"], level)
+    every = np.concatenate([r.entries for r in runs])
+    every["doc"] += np.array(offset[:-1], dtype=np.uint32)[source]
+    entries = np.concatenate([every[alone], np.array(rows, dtype=ENTRY)])
+    bytes_of = lambda e: e["starts"].astype(np.int64) + (LENGTH - 1) - e["shared"]
+    begin = np.concatenate([[0], np.cumsum(np.concatenate([bytes_of(every), bytes_of(entries[int(alone.sum()) :])]))])[:-1]
+    begin = np.concatenate([begin[: len(every)][alone], begin[len(every) :]])
+    buffer = np.frombuffer(b"".join([*(r.tails for r in runs), *tails]), dtype=np.uint8)
+    by = np.argsort(entries["anchor"], kind="stable")
+    digit = levels.digit(entries["anchor"][by], level)
     for p in np.unique(digit).tolist():
-        i = np.flatnonzero(digit == p)
+        i = by[digit == p]
         used, local = np.unique(entries["doc"][i], return_inverse=True)
         mine = entries[i]
         mine["doc"] = local
-        yield levels.key(place * levels.deal + p, int(docs["bucket"][0]), level), packed(RUN, docs[used].tobytes(), coded(mine), b"".join(tails[x] for x in i.tolist()))
+        n = bytes_of(mine)
+        index = np.arange(n.sum()) + np.repeat(begin[i] - (np.cumsum(n) - n), n)
+        yield levels.key(place * levels.deal + p, int(docs["bucket"][0]), level), packed(RUN, docs[used].tobytes(), coded(mine), buffer[index].tobytes())
+
+
+def anchors_met(anchor: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors that several runs have, ascending, and which entries have none of them; ``source`` ascends.
+
+    Entries of an anchor that only one run has are in order as they stand, and their prefixes hold: they are not merged again.
+    """
+    by = np.argsort(anchor, kind="stable")
+    ordered = anchor[by]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(by) else by
+    last = np.r_[first[1:], len(by)] - 1
+    several = source[by[first]] != source[by[last]]
+    alone = np.empty(len(by), dtype=bool)
+    alone[by] = np.repeat(~several, last - first + 1)
+    return ordered[first[several]], alone
 
 
 def _bucket_of(batches: Iterator[pa.RecordBatch]) -> Bucket | None:
