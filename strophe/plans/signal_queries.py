@@ -174,5 +174,5 @@ def z9_energy_curve(spark: SparkSession, d: str) -> DataFrame:
     by = Window.partitionBy("song").orderBy("n")
     upto = F.sum("bars").over(by)
     rows = sections(spark, d).select("song", "n", (upto - F.col("bars")).alias("a"), (upto - F.when(F.col("rest"), 1).otherwise(0)).alias("b"), F.col("energy").alias("energy_start"), F.coalesce(F.lead("energy").over(by), F.col("energy")).alias("energy_end"))
-    points = sections(spark, d).groupBy("song").agg(F.sum("bars").alias("t")).select("song", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") + 1)).alias("i"))
-    return C.energy_curve(points, rows, "song", "i", 64).select("song", "i", F.round("energy", 6).alias("energy"))
+    grids = sections(spark, d).groupBy("song").agg((F.sum("bars") + 2).alias("frames"))
+    return C.energy_curve(grids, rows, "song", "i", 64).select("song", "i", F.round("energy", 6).alias("energy"))

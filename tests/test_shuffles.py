@@ -1,5 +1,9 @@
 """What the plans of queries that open rows shuffle and broadcast, and their results on odd inputs."""
 
+import re
+
+import pytest
+
 from strophe.operators import cuts as C
 from strophe.plans import QUERIES
 
@@ -27,3 +31,12 @@ def test_stem_over_pieces_and_blocks(spark, monkeypatch):
     for song, clip, start in sorted(placed, key=lambda p: (p[2], p[1])):
         want.update({(song, start + i): x for i, x in samples[clip].items() if start + i < frames[song]})
     assert sorted(map(tuple, got.collect())) == sorted((s, i, x) for (s, i), x in want.items())
+
+
+EXCHANGES = {"z9_energy_curve": 2}
+
+
+@pytest.mark.parametrize("name", EXCHANGES)
+def test_opened_rows_are_not_dealt_again(spark, name):
+    plan = plan_of(QUERIES[name](spark, SMALL))
+    assert len(re.findall(r"(?<!Broadcast)Exchange hashpartitioning", plan)) <= EXCHANGES[name]
