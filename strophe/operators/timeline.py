@@ -30,11 +30,11 @@ def energy_bounds(sections: DataFrame, step: float = 0.25) -> DataFrame:
     return sections.withColumn("e_start", e).withColumn("e_end", end)
 
 
-def bar_energies(sections: DataFrame) -> DataFrame:
-    """(song, bar, energy): the mean energy of each bar."""
+def bar_energies(sections: DataFrame, *kept: str) -> DataFrame:
+    """(song, bar, energy): the mean energy of each bar; columns of the sections named in ``kept`` follow."""
     bounded = energy_bounds(placed(sections)).filter("bars > 0")
-    bars = bounded.select("song", "start_bar", "bars", "e_start", "e_end", F.explode(F.sequence(F.lit(0), F.col("bars") - 1)).alias("k"))
-    return bars.select("song", (F.col("start_bar") + F.col("k")).alias("bar"), (F.col("e_start") + (F.col("e_end") - F.col("e_start")) * (F.col("k") + 0.5) / F.col("bars")).alias("energy"))
+    bars = bounded.select("song", "start_bar", "bars", "e_start", "e_end", *kept, F.explode(F.sequence(F.lit(0), F.col("bars") - 1)).alias("k"))
+    return bars.select("song", (F.col("start_bar") + F.col("k")).alias("bar"), (F.col("e_start") + (F.col("e_end") - F.col("e_start")) * (F.col("k") + 0.5) / F.col("bars")).alias("energy"), *kept)
 
 
 def passages(sections: DataFrame) -> DataFrame:

@@ -135,6 +135,5 @@ def u2_contiguous_sets(spark: SparkSession, d: str) -> DataFrame:
   SELECT song, bar // 4 AS col, round(avg(e), 10) AS level, bool_or(speech) AS speech FROM b GROUP BY ALL""")
 def l10_timeline_strip(spark: SparkSession, d: str) -> DataFrame:
     rows = sections(spark, d)
-    at = L.placed(rows).filter("clip is not null").select("song", F.explode(F.sequence(F.col("start_bar"), F.col("start_bar") + F.col("bars") - 1)).alias("bar"), F.lit(True).alias("speech"))
-    bars = L.bar_energies(rows).join(at, ["song", "bar"], "left")
-    return bars.groupBy("song", F.floor(F.col("bar") / 4).alias("col")).agg(F.round(F.avg("energy"), 10).alias("level"), F.coalesce(F.bool_or("speech"), F.lit(False)).alias("speech"))
+    bars = L.bar_energies(rows.withColumn("speech", F.col("clip").isNotNull()), "speech")
+    return bars.groupBy("song", F.floor(F.col("bar") / 4).alias("col")).agg(F.round(F.avg("energy"), 10).alias("level"), F.bool_or("speech").alias("speech"))
