@@ -138,10 +138,12 @@ def late_entries(bars: DataFrame, most: int) -> DataFrame:
     ``bars`` is (song, n, quiet, quiet_before, bar, level); a section is late if its first bar is far under its median, by the
     first bar near the median, and no later than half the section.
     """
-    mid = bars.groupBy("song", "n").agg(F.median("level").alias("mid"), F.count("*").alias("n_bars"), F.min_by("level", "bar").alias("opens"), F.bool_or("quiet").alias("quiet"), F.bool_or("quiet_before").alias("before"))
+    mid = bars.groupBy("song", "n").agg(F.median("level").alias("mid"), F.count("*").alias("n_bars"), F.min_by("level", "bar").alias("opens"), F.bool_or("quiet").alias("quiet"), F.bool_or("quiet_before").alias("before"),
+        F.collect_list(F.when(F.col("bar") <= most, F.struct("bar", "level"))).alias("first"))
     slow = mid.filter(F.col("before") & ~F.col("quiet") & (F.col("opens") < F.col("mid") - LATE_DB))
-    late = bars.join(slow, ["song", "n"]).filter(F.col("level") >= F.col("mid") - ENTRY_DB).groupBy("song", "n", "n_bars").agg(F.min("bar").alias("late"))
-    return late.filter((F.col("late") <= most) & (2 * F.col("late") <= F.col("n_bars"))).select("song", "n", "late")
+    near = F.filter("first", lambda x: x["level"] >= F.col("mid") - ENTRY_DB)
+    late = slow.withColumn("late", F.array_min(F.transform(near, lambda x: x["bar"])))
+    return late.filter(2 * F.col("late") <= F.col("n_bars")).select("song", "n", "late")
 
 
 def arc_problems(parts: DataFrame, clips: DataFrame) -> DataFrame:
