@@ -41,13 +41,16 @@ def shifted(segments: Column, by: float) -> Column:
 
 
 def passage_gains(passages: DataFrame, song: str, at: DataFrame, ramp: int) -> DataFrame:
-    """(song, at, gain_db): the deepest of the eased gains of passages (start, end, gain_db) over points (song, at); 0 outside."""
+    """(song, at, gain_db): the deepest of the eased gains of passages (start, end, gain_db) over distinct points (song, at); 0 outside."""
     wide = passages.filter("gain_db < 0").withColumn("a", F.greatest(F.lit(0), F.col("start") - ramp)).withColumn("b", F.col("end") + ramp)
-    inside = containing_join(at, wide, [song], "at", ("a", "b"), max(1, 4 * ramp))
+    size = max(1, 4 * ramp)  # points and passages meet by song and bucket, and there they are grouped
+    touched = wide.filter("b > a").withColumn("__b", F.explode(F.sequence(F.floor(F.col("a") / size), F.floor((F.col("b") - 1) / size))))
+    met = at.select(song, "at", F.floor(F.col("at") / size).alias("__b")).join(touched, [song, "__b"], "left")
+    inside = (F.col("at") >= F.col("a")) & (F.col("at") < F.col("b"))
     down, up = (F.col("at") - (F.col("start") - ramp)) / ramp, (F.col("at") - F.col("end")) / ramp
     shape = F.when(down < 1, 0.5 - 0.5 * F.cos(math.pi * down)).when(up >= 0, 0.5 + 0.5 * F.cos(math.pi * up)).otherwise(1.0)
-    least = inside.groupBy(song, "at").agg(F.min(F.col("gain_db") * shape).alias("gain_db"))
-    return at.join(least, [song, "at"], "left").withColumn("gain_db", F.coalesce("gain_db", F.lit(0.0)))
+    least = met.groupBy(song, "__b", "at").agg(F.min(F.when(inside, F.col("gain_db") * shape)).alias("gain_db"))
+    return least.select(song, "at", F.coalesce("gain_db", F.lit(0.0)).alias("gain_db"))
 
 
 def audible_end(frames: DataFrame, stream: str, i: str, level: str, within: float) -> DataFrame:

@@ -33,7 +33,7 @@ def test_stem_over_pieces_and_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted((s, i, x) for (s, i), x in want.items())
 
 
-EXCHANGES = {"z9_energy_curve": 2, "l10_timeline_strip": 1, "w17_late_entries": 1}
+EXCHANGES = {"z9_energy_curve": 2, "l10_timeline_strip": 1, "w17_late_entries": 1, "w19_passage_curve": 2}
 
 
 @pytest.mark.parametrize("name", EXCHANGES)
