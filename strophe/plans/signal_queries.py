@@ -113,7 +113,7 @@ def _cut_sql(name: str, source: str, point: str) -> str:
 def c8_cut_quotes(spark: SparkSession, d: str) -> DataFrame:
     """The quietest stretches around the parts of quotes; no part starts before the one ahead has ended."""
     levels = C.sample_levels(samples(spark, d), "stream", "i", "v", 4, 1024)
-    cuts = C.cut_quotes(_parts(spark, d), levels, "quote", "stream", "i", 2, bucket=16)
+    cuts = C.cut_quotes(_parts(spark, d), levels, "quote", "stream", "i", 2, bucket=16, longest=32)
     return cuts.select("quote", "part", "start", F.round("start_db", 6).alias("start_db"), "end", F.round("end_db", 6).alias("end_db"))
 
 

@@ -33,10 +33,28 @@ def test_stem_over_pieces_and_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted((s, i, x) for (s, i), x in want.items())
 
 
-EXCHANGES = {"z9_energy_curve": 2, "l10_timeline_strip": 1, "w17_late_entries": 1, "w19_passage_curve": 2}
+EXCHANGES = {"z9_energy_curve": 2, "l10_timeline_strip": 1, "w17_late_entries": 1, "w19_passage_curve": 2, "c8_cut_quotes": 8}
 
 
 @pytest.mark.parametrize("name", EXCHANGES)
 def test_opened_rows_are_not_dealt_again(spark, name):
     plan = plan_of(QUERIES[name](spark, SMALL))
     assert len(re.findall(r"(?<!Broadcast)Exchange hashpartitioning", plan)) <= EXCHANGES[name]
+
+
+def test_paged_cuts_equal_those_by_buckets(spark, monkeypatch):
+    """Streams with gaps and without samples, searches over page edges, before the first sample, past the last, and empty ones."""
+    monkeypatch.setattr(C, "PAGE_BUCKETS", 1)
+    heard = [(s, i, float((i * i * 7 + s) % 5) / 3) for s in (0, 1) for i in range(100) if (i + s) % 11 and not 40 <= i < 60]
+    levels = spark.createDataFrame(heard, "stream long, i long, level double")
+    rows = []
+    for quote in range(12):
+        for part in range(6):
+            at = (quote * 13 + part * 17) % 115 - 6
+            rows.append((quote, part, quote % 3, at, at - quote % 5, at + part % 4, at + 4, at + 2 + part % 2, at + quote))
+    parts = spark.createDataFrame(rows, "quote long, part int, stream long, start_at long, start_lo long, start_hi long, end_at long, end_lo long, end_hi long")
+    cut = lambda **how: sorted(map(tuple, C.cut_quotes(parts, levels, "quote", "stream", "i", 2, bucket=16, **how).collect()))
+    want = cut()
+    assert len(want) > 20 and cut(longest=12) == want
+    with pytest.raises(Exception, match="longer than a page"):
+        C.cut_quotes(parts.withColumn("end_hi", parts.end_hi + 100), levels, "quote", "stream", "i", 2, bucket=16, longest=12).collect()
