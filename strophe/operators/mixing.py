@@ -61,6 +61,24 @@ def looped_notes(notes: DataFrame, spans: DataFrame, loop: int) -> DataFrame:
     return rows.filter("at < to_beat").select("song", "n", "at", F.least(F.col("beats"), F.col("to_beat") - F.col("at")).alias("beats"))
 
 
+def looped_counts(notes: DataFrame, spans: DataFrame, loop: int) -> DataFrame:
+    """(song, n, at, beats, notes): the rows of :func:`looped_notes` counted, for spans that are distinct by (song, n) and notes that start inside the loop (others raise).
+
+    The notes are counted before they are laid: only those that an end cuts to the same length still meet, and the first of them
+    has their number.  So no laid row is grouped.
+    """
+    own = notes.filter("start IS NOT NULL").groupBy("phrase", "start", F.coalesce("beats", F.lit(math.inf)).alias("beats")).agg(F.count("*").alias("__n"))
+    by = Window.partitionBy("phrase", "start").orderBy("beats")
+    own = own.withColumn("__before", F.lag("beats").over(by)).withColumn("__rest", F.sum("__n").over(by.rowsBetween(0, Window.unboundedFollowing)))
+    start = F.when((F.col("start") >= 0) & (F.col("start") < loop), F.col("start")).otherwise(F.raise_error(F.lit(f"a note starts outside the loop of {loop}")).cast("double"))
+    met = spans.join(own.withColumn("start", start), "phrase").filter("to_beat > from_beat")
+    times = F.ceil((F.col("to_beat") - F.col("from_beat")) / loop).cast("int")
+    rows = met.withColumn("k", F.explode(F.sequence(F.lit(0), times - 1))).withColumn("at", F.col("from_beat") + F.col("k") * loop + F.col("start"))
+    left = F.col("to_beat") - F.col("at")
+    first = rows.filter("at < to_beat").filter((F.col("beats") < left) | F.col("__before").isNull() | (F.col("__before") < left))
+    return first.select("song", "n", "at", F.least(F.col("beats"), left).alias("beats"), F.when(F.col("beats") < left, F.col("__n")).otherwise(F.col("__rest")).alias("notes"))
+
+
 def windowed_map(df: DataFrame, stream: str, i: str, window: int, context: int, fold: Callable[[Column], Column]) -> DataFrame:
     """(stream, block, value): ``fold`` over each window of rows with ``context`` rows on both sides, by copying rows to the windows they touch."""
     lo = F.greatest(F.lit(0), F.floor((F.col(i) - context) / window))

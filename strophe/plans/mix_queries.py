@@ -49,7 +49,7 @@ def l13_looped_notes(spark: SparkSession, d: str) -> DataFrame:
     at = TL.placed(sections(spark, d))
     spans = at.select("song", "n", (F.col("start_bar") * 4.0).alias("from_beat"), ((F.col("start_bar") + F.col("bars")) * 4.0).alias("to_beat"), (F.col("n") % 4).alias("phrase"))
     notes = spark.range(24).select((F.col("id") % 4).alias("phrase"), (F.col("id") % 13).cast("double").alias("start"), (F.col("id") % 3 + 1).cast("double").alias("beats"))
-    return X.looped_notes(notes, spans, 16).groupBy("song", "n", "at", "beats").agg(F.count("*").alias("notes"))
+    return X.looped_counts(notes, spans, 16)
 
 
 @query(f"""WITH {FRAMES}, l AS (SELECT *, max(i) OVER (PARTITION BY stream) // 16 AS last FROM frames), c AS (SELECT stream, i, unnest(range(greatest(0, (i - 4) // 16 - CASE WHEN i < 4 THEN 1 ELSE 0 END)::BIGINT, least((i + 4) // 16, last)::BIGINT + 1)) AS block FROM l)

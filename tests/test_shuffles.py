@@ -5,6 +5,7 @@ import re
 import pytest
 
 from strophe.operators import cuts as C
+from strophe.operators import mixing as X
 from strophe.plans import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -58,3 +59,15 @@ def test_paged_cuts_equal_those_by_buckets(spark, monkeypatch):
     assert len(want) > 20 and cut(longest=12) == want
     with pytest.raises(Exception, match="longer than a page"):
         C.cut_quotes(parts.withColumn("end_hi", parts.end_hi + 100), levels, "quote", "stream", "i", 2, bucket=16, longest=12).collect()
+
+
+def test_looped_notes_are_counted_before_they_are_laid(spark):
+    """Notes of one start cut to the same length meet; the plan groups no laid rows (they held gigabytes and were spilled)."""
+    notes = spark.createDataFrame([(0, s, b) for s in (0.0, 2.5, 3.0) for b in (1.0, 1.0, 2.0, 4.0, None)], "phrase int, start double, beats double")
+    spans = spark.createDataFrame([(1, n, 0, float(n), n + size) for n, size in enumerate((0.0, 0.5, 4.0, 6.0, 9.5))], "song long, n int, phrase int, from_beat double, to_beat double")
+    want = X.looped_notes(notes, spans, 4).groupBy("song", "n", "at", "beats").count()
+    got = X.looped_counts(notes, spans, 4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert not re.search(r"HashAggregate\(keys=\[song", plan_of(QUERIES["l13_looped_notes"](spark, SMALL)))
+    with pytest.raises(Exception, match="outside the loop"):
+        X.looped_counts(notes.withColumn("start", notes.start + 2), spans, 4).collect()
