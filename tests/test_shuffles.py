@@ -5,6 +5,7 @@ import re
 import pytest
 
 from strophe.operators import cuts as C
+from strophe.operators import match as M
 from strophe.operators import mixing as X
 from strophe.plans import QUERIES
 
@@ -71,3 +72,16 @@ def test_looped_notes_are_counted_before_they_are_laid(spark):
     assert not re.search(r"HashAggregate\(keys=\[song", plan_of(QUERIES["l13_looped_notes"](spark, SMALL)))
     with pytest.raises(Exception, match="outside the loop"):
         X.looped_counts(notes.withColumn("start", notes.start + 2), spans, 4).collect()
+
+
+def test_quotes_of_a_text_are_searched_in_it_alone(spark, monkeypatch):
+    """As the search of all quotes in all texts, kept to a quote's own; no quote comes to the driver, and blocks may be small."""
+    texts = [(n, [str((i * i + n) % 7) for i in range(n * 9)] or None) for n in range(6)]
+    docs = spark.createDataFrame(texts, "doc long, tokens array<string>")
+    rows = [(n, (n + k // 5) % 7, k, (["0", "1", "x"] if k == 3 else (t or ["1"])[k * 2 : k * 2 + k % 4 * 3]), k % 3 or None) for n, t in texts for k in range(6)]
+    quotes = spark.createDataFrame(rows, "own long, doc long, k int, q array<string>, occurrence int").selectExpr("doc", "struct(own, k) AS quote", "q", "occurrence")
+    want = M.found_quotes(docs, quotes.drop("doc")).join(quotes.select("doc", "quote"), ["doc", "quote"], "left_semi").collect()
+    monkeypatch.setattr(M, "MOST_QUOTE_BYTES", 0)
+    monkeypatch.setattr(M, "CELLS", 12)
+    got = M.found_quotes(docs, quotes).collect()
+    assert len(want) > 5 and sorted(map(str, got)) == sorted(map(str, want))
