@@ -1,9 +1,11 @@
 """What the plans of queries that open rows shuffle and broadcast, and their results on odd inputs."""
 
+import random
 import re
 
 import pytest
 
+from strophe.operators import align as A
 from strophe.operators import cuts as C
 from strophe.operators import match as M
 from strophe.operators import mixing as X
@@ -85,3 +87,25 @@ def test_quotes_of_a_text_are_searched_in_it_alone(spark, monkeypatch):
     monkeypatch.setattr(M, "CELLS", 12)
     got = M.found_quotes(docs, quotes).collect()
     assert len(want) > 5 and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_alignment_without_skipped_lines_links_once(monkeypatch):
+    """Few pairs are compared directly, with what counts of letters find; official words of a talk whose lines were all said are linked once."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(0, 5)))
+    for _ in range(200):
+        xs, ys = (sorted({word() for _ in range(rng.randint(1, 6))}) for _ in range(2))
+        few, gap = A.alike(xs, ys, 0.6), A.gap_pairs(xs[:1], ys[:1])
+        with monkeypatch.context() as m:
+            m.setattr(A, "FEW_PAIRS", 0)
+            assert A.alike(xs, ys, 0.6) == few
+            assert gap == [((0, 1), (0, 1))] * (A.indel(xs[0], ys[0]) >= A.FUZZY)
+    calls, links = [], A.links
+    monkeypatch.setattr(A, "links", lambda *x: calls.append(1) or links(*x))
+    words = [f"w{i}" for i in range(24)]
+    args = [(w, i) for i, w in enumerate(words)]
+    said = [(w, i * 1.0, i + 0.5) for w, i in args]
+    out, told = A.aligned(words, [i // 12 for i in range(24)], args, said, args, 24.0)
+    assert told["matched"] == 24 and len(calls) == 1
+    A.aligned([*words, *"xyz"], [i // 12 for i in range(27)], [*args, ("x", 24), ("y", 25), ("z", 26)], said, args, 24.0)
+    assert len(calls) == 3
