@@ -9,6 +9,7 @@ from strophe.operators import align as A
 from strophe.operators import cuts as C
 from strophe.operators import match as M
 from strophe.operators import mixing as X
+from strophe.operators import select as C2
 from strophe.plans import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -109,3 +110,12 @@ def test_alignment_without_skipped_lines_links_once(monkeypatch):
     assert told["matched"] == 24 and len(calls) == 1
     A.aligned([*words, *"xyz"], [i // 12 for i in range(27)], [*args, ("x", 24), ("y", 25), ("z", 26)], said, args, 24.0)
     assert len(calls) == 3
+
+
+def test_fits_go_by_plain_numbers(spark):
+    """A song is fitted on the numbers of its Arrow batch, not on nested pandas objects; songs that can't reach the span come nearest to it."""
+    parts = [(1, 1, 8, 0.5), (1, 2, 16, 0.1), (2, 1, 1, 0.3), (3, 1, 16, 0.9), (3, 2, 16, 0.2), (3, 3, 16, 0.4)]
+    df = C2.fitted(spark.createDataFrame(parts, "song long, n int, bars int, energy double"), "song", 24, 32)
+    assert "MapInArrow" in plan_of(df) and "MapInPandas" not in plan_of(df)
+    got = {r["song"]: (r["total"], r["choice"]) for r in df.collect()}
+    assert got[1] == (24, [8, 16]) and got[2] == (2, [2]) and got[3][0] in range(24, 33) and sum(got[3][1]) == got[3][0]
