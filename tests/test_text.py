@@ -2,6 +2,7 @@
 
 import json
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +114,15 @@ def test_canonical_json(spark):
     df = spark.createDataFrame([(r,) for r in rows], schema)
     got = [r["t"] for r in df.select(canonical_json(F.col("v"), df.schema["v"].dataType).alias("t")).collect()]
     assert got == [json.dumps(r, sort_keys=True) for r in rows]
+
+
+def test_norm_makes_each_form_once(spark):
+    """A form that a condition asks about is made again for it, and so are the steps before: only the text itself may be asked about."""
+    plan = spark.range(1).select(T.norm(F.col("id").cast("string")).alias("n"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(T.BETWEEN + ", 1") == 1 and plan.count("Normalizer") == 2 and plan.count("foldCase") == 1
+
+
+def test_combining_marks_are_those_of_the_tables(spark):
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    found = spark.createDataFrame([(c, chr(c)) for c in codes if c > 0x2FF and unicodedata.combining(chr(c)) or c % 97 == 0], "c int, t string").filter(F.col("t").rlike(f"^{T.COMBINING}$"))
+    assert {r.c for r in found.select("c").collect()} == {c for c in codes if unicodedata.combining(chr(c))}
