@@ -40,12 +40,13 @@ def scale_of(tonic: Column, mode: Column) -> Column:
 
 def melodies(
     segments: DataFrame, clips: DataFrame, bpm: float = 120.0, tolerance: float = 4.0, grid: float = 0.5, strength: float = 0.8, prefer: str = "minor", fallback: tuple[int, str] = (9, "minor"),
-    stages: Stages | None = None, source: str = "",
-) -> tuple[DataFrame, DataFrame, DataFrame]:
+    stages: Stages | None = None, source: str = "", harmony: bool = True,
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Talks (talk, tonic, mode, tuning, shift, bpm, cost), notes (talk, clip, i, start_beat, beats, midi, pitch, velocity) and chords (talk, clip, bar, degree).
 
     Segments are (talk, clip, i, start, end, pitch, level), times from the start of their clip; clips are (talk, clip, duration).  A talk
     whose pitches fit no key takes ``fallback``; a talk without segments has no melody, a clip without any has chords alone.
+    Who wants no chords says so (``harmony`` false: None instead), as each step is made at once.
     """
     spark, step = segments.sparkSession, Steps(stages, source)
     weighted = segments.withColumn("weight", F.col("end") - F.col("start"))
@@ -83,9 +84,10 @@ def melodies(
         held = F.map_from_entries(F.filter(F.collect_list(F.struct("step", "w")), lambda x: x["step"].isNotNull()))
         weights = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda p: F.coalesce(F.try_element_at(F.col("held"), p), F.lit(0.0)))
         rows = turned.groupBy("talk", "clip", "bar", "mode").agg(held.alias("held")).select(F.struct("talk", "clip").alias("key"), "bar", "mode", weights.alias("w"))
+        rows = written(rows, "melody-bars")  # read by each mode, which also asks for the longest
         found = [H.chord_rows(rows.filter(F.col("mode") == m), "key", "bar", "w", m, 0) for m in H.SCALES]
         return found[0].unionByName(found[1]).select("key.talk", "key.clip", "bar", "degree")
 
-    chords = step("melody-chords", ["melody-notes", "melody-keys"], {}, harmonised)
+    chords = step("melody-chords", ["melody-notes", "melody-keys"], {}, harmonised) if harmony else None
     talks = key.join(tuned, "talk").join(placed.groupBy("talk").agg(F.first("shift").alias("shift")), "talk").join(beats, "talk")
     return talks.select("talk", "tonic", "mode", "tuning", "shift", "bpm", "cost"), notes, chords

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -35,6 +36,18 @@ def with_halo(df: DataFrame, i: str, size: int, before: int, after: int) -> Data
     return spread.withColumn("block", F.col("__to.block")).withColumn("own", F.col("__to.own")).drop("__to")
 
 
+def key_starts(keys: pa.Array) -> np.ndarray:
+    """Where a run of equal keys begins; a key may be a struct."""
+    if pa.types.is_struct(keys.type):
+        fields = [key_starts(f) for f in keys.flatten()]
+        return np.unique(np.concatenate(fields)) if fields else np.zeros(min(1, len(keys)), dtype=np.int64)
+    if len(keys) < 2:
+        return np.zeros(len(keys), dtype=np.int64)
+    now, before = keys.slice(1), keys.slice(0, len(keys) - 1)
+    other = pc.or_(pc.fill_null(pc.not_equal(now, before), False), pc.xor(now.is_null(), before.is_null()))
+    return np.r_[0, np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1]
+
+
 def each_block(df: DataFrame, keys: list[str], order: str, run: Callable, schema: str, carried: DataFrame | None = None, arrays: bool = False) -> DataFrame:
     """``run(columns, before)`` for each block, its rows in order; gives rows of ``schema``.
 

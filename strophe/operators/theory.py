@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scan import each_block, exclusive_scan
+from .scan import each_block, exclusive_scan, key_starts
 
 # Tonic names, scales, key profiles (Krumhansl and Kessler), chord priors and moves.
 TONICS = {
@@ -126,7 +127,7 @@ def bar_weights(notes: DataFrame, key: str, start: str, beats: str, pc: str) ->
 def chord_rows(bars: DataFrame, key: str, bar: str, w12: str, mode: str, tonic: int, block: int = 4096) -> DataFrame:
     """(key, bar, degree): the best chord per bar over the seven triads of a key (``bar`` counts from 0 in its key).
 
-    The best score up to a bar is a max-plus product of its bars' matrices, so blocks of bars are scanned in both
+    Keys of at most a block of bars are decoded many at a time, bar by bar.  Of longer ones, the best score up to a bar is a max-plus product of its bars' matrices, so blocks of bars are scanned in both
     directions: forward for the scores that a block begins with, backward for the chord that its last bar leads to.
     Time grows with the bars; a song is as many tasks as it has blocks.  The first of equal scores wins; beyond the first
     block scores are sums in another order, equal up to rounding.
@@ -136,13 +137,17 @@ def chord_rows(bars: DataFrame, key: str, bar: str, w12: str, mode: str, tonic:
     step = np.array([[(MOVE_BONUS if (p, d) in moves else 0.0) + (STAY_BONUS if p == d else 0.0) for d, _ in table] for p, _ in table])
     kind = dict(bars.dtypes)[key]
 
-    def emissions(first_bar: int, ws: list) -> np.ndarray:
-        w = np.array([np.asarray(x, float) for x in ws])
+    def fits(w: np.ndarray) -> np.ndarray:
         total = np.array([sum(x) for x in w.tolist()])
         fit = np.stack([w[:, pcs[0]] * (1 + ROOT_BONUS) + w[:, pcs[1]] + w[:, pcs[2]] for _, pcs in table], axis=1)
-        out = np.where(total[:, None] > 0, fit / np.where(total > 0, total, 1.0)[:, None], 0.0) + [prior[d] for d, _ in table]
+        return np.where(total[:, None] > 0, fit / np.where(total > 0, total, 1.0)[:, None], 0.0) + [prior[d] for d, _ in table]
+
+    opening = np.array([FIRST_BONUS if d == 1 else 0.0 for d, _ in table])
+
+    def emissions(first_bar: int, ws: list) -> np.ndarray:
+        out = fits(np.array([np.asarray(x, float) for x in ws]))
         if first_bar == 0:
-            out[0] += [FIRST_BONUS if d == 1 else 0.0 for d, _ in table]
+            out[0] += opening
         return out
 
     def product(columns: dict) -> list[float]:
@@ -174,7 +179,50 @@ def chord_rows(bars: DataFrame, key: str, bar: str, w12: str, mode: str, tonic:
         return path[::-1]
 
     maxplus = lambda a, b: (np.asarray(a).reshape(7, 7)[:, :, None] + np.asarray(b).reshape(7, 7)[None]).max(axis=1).ravel()
-    rows = bars.select(key, bar, w12).withColumn("block", F.floor(F.col(bar) / block))
+    def decoded(whole: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
+        """Chords of all keys of a table, from the rows where they begin."""
+        flat = whole.column(w12).combine_chunks().flatten()
+        e = fits(flat.to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, 12))
+        e[begins[whole.column(bar).to_numpy()[begins] == 0]] += opening
+        n = np.diff(np.r_[begins, len(e)])
+        longest_first = np.argsort(-n, kind="stable")
+        at, n = begins[longest_first], n[longest_first]
+        live = [int(np.searchsorted(-n, -t, side="left")) for t in range(n[0])]  # keys with more than t bars come first
+        back, score = np.zeros((len(e), 7), dtype=np.int8), e[at]
+        for t in range(1, n[0]):
+            ways = score[: live[t], :, None] + step
+            back[at[: live[t]] + t] = ways.argmax(axis=1)
+            score[: live[t]] = ways.max(axis=1) + e[at[: live[t]] + t]
+        state, degree = score.argmax(axis=1), np.zeros(len(e), dtype=np.int32)
+        names = np.array([d for d, _ in table], dtype=np.int32)
+        for t in reversed(range(n[0])):
+            here = at[: live[t]] + t
+            degree[here] = names[state[: live[t]]]
+            state[: live[t]] = back[here, state[: live[t]]]
+        return pa.RecordBatch.from_arrays([whole.column(key).combine_chunks(), whole.column(bar).combine_chunks().cast(pa.int64()), pa.array(degree)], names=[key, bar, "degree"])
+
+    def at_once(batches):
+        held = None  # the rows of the last key, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seen = pa.Table.from_batches([batch]).select([key, bar, w12])
+            seen = pa.concat_tables([held, seen]).combine_chunks() if held is not None else seen
+            begins = key_starts(seen.column(key).combine_chunks())
+            if begins[-1]:
+                yield decoded(seen.slice(0, begins[-1]), begins[:-1])
+            held = seen.slice(begins[-1])
+        if held is not None:
+            yield decoded(held, np.zeros(1, dtype=np.int64))
+
+    rows = bars.select(key, bar, w12)
+    schema, own = f"{key} {kind}, {bar} bigint, degree int", Window.partitionBy(key).orderBy(bar).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    most = rows.agg(F.max(bar)).first()[0] or 0
+    if most < block:
+        return rows.repartition(key).sortWithinPartitions(key, bar).mapInArrow(at_once, schema)
+    topped = rows.withColumn("top", F.max(bar).over(own))
+    short = topped.filter(F.col("top") < block).drop("top").sortWithinPartitions(key, bar).mapInArrow(at_once, schema)
+    rows = topped.filter(F.col("top") >= block).drop("top").withColumn("block", F.floor(F.col(bar) / block))
     maps = each_block(rows, [key, "block"], bar, lambda c, _: [(c[key][0], c["block"][0], product(c))], f"{key} {kind}, block bigint, value array<double>")
     before = exclusive_scan(maps, key, "block", "value", maxplus)
 
@@ -194,7 +242,7 @@ def chord_rows(bars: DataFrame, key: str, bar: str, w12: str, mode: str, tonic:
         back, _ = pointers(columns, carried["before"])
         return [(columns[key][0], b, table[k][0]) for b, k in zip(columns[bar], traced(back, int(carried["state"]))[1:], strict=True)]
 
-    return each_block(rows, [key, "block"], bar, to_rows, f"{key} {kind}, {bar} bigint, degree int", both)
+    return each_block(rows, [key, "block"], bar, to_rows, schema, both).unionByName(short)
 
 
 def chords(weights: DataFrame, key: str, bar: str, w12: str, mode: str, tonic: int) -> DataFrame:

@@ -25,7 +25,7 @@ def pitch_segments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query()
 def l17_melodies(spark: SparkSession, d: str) -> DataFrame:
     """Notes with the key and tempo of their talk; a test holds the whole chain against plain Python."""
-    talks, notes, _ = M.melodies(*pitch_segments(spark, d))
+    talks, notes, _ = M.melodies(*pitch_segments(spark, d), harmony=False)
     return notes.join(talks.select("talk", "tonic", "mode", "bpm"), "talk")
 
 

@@ -127,3 +127,14 @@ def test_runs_of_two_versions(spark):
     assert got[3] == {"schema_version": 2, "length": "summary", "options": {"voice": "v"}, "stages": {"ingest": "a"}, "songs": {}}
     assert got[4] is got[5] is got[6] is got[7] is None
     assert {(r["from_version"], r["n"]) for r in runs.refusals(out).collect()} == {(7, 1), (None, 3)}
+
+
+def test_short_songs_are_decoded_at_once(spark):
+    """Songs within a block take one exchange and no scan, and have the chords that the scan over blocks gives; long ones beside them keep it."""
+    draw = random.Random(5)
+    rows = [({"talk": k % 3, "clip": k}, b, [float(draw.randint(0, 3)) for _ in range(12)]) for k in range(40) for b in range(1 + k * k % 11)]
+    bars = spark.createDataFrame(rows, "key struct<talk: int, clip: int>, bar bigint, w array<double>")
+    told = {block: sorted((r.key.talk, r.key.clip, r.bar, r.degree) for r in theory.chord_rows(bars, "key", "bar", "w", "major", 0, block).collect()) for block in (4096, 4, 1)}
+    assert len(told[4096]) == len(rows) and told[4096] == told[4] == told[1]
+    plan = theory.chord_rows(bars, "key", "bar", "w", "major", 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "Join" not in plan
