@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .select import problems, scheduled
+from strophe.storage import written
+
+from .select import judged, scheduled
 
 
 def required_for(clips: DataFrame, quotes: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,15 +35,16 @@ def finalized(clips: DataFrame, quotes: DataFrame, order: DataFrame, low: float,
     Clips are (sel, pos, clip, start, end, score, seconds, role), quotes (sel, quote, pos, start, end, seconds, role), order (sel, at, clip).
     Ids with an invalid clip go; scores are clamped to [0, 1]; missing quotes come in; overlaps, count and seconds are settled by score,
     quotes first.  The suggested order counts; added quotes play before the first clip of it that is later in the talk, and what it
-    leaves out comes last, by score.
+    leaves out comes last, by score.  What several steps read is written, so that it is made once.
     """
     key = ["sel"]
     known = required_for(clips, quotes, key).withColumn("required", F.col("quote").isNotNull())
-    bad = problems(known, low, high, float("inf"), 0, 2**31 - 1).filter("kind in ('duplicate', 'range', 'duration')").select("sel", "clip").distinct()
-    good = known.join(bad, ["sel", "clip"], "left_anti").withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")))
+    bad = F.max(F.col("kind").isNotNull()).over(Window.partitionBy("sel", "clip")) & F.col("sel").isNotNull() & F.col("clip").isNotNull()
+    good = judged(known, low, high).withColumn("__bad", bad).filter("not __bad").drop("__bad", "kind").withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")))
+    good, quotes = written(good, "selections-good"), written(quotes, "selections-quotes")
     late = quotes.withColumn("pos", F.col("pos") + 1_000_000)  # after the clips, as they are added after them
     whole = with_required(good, late, key, ("pos", "seconds"))
-    must = required_for(whole, late, key).withColumn("required", F.col("quote").isNotNull()).drop("quote")
+    must = written(required_for(whole, late, key).withColumn("required", F.col("quote").isNotNull()).drop("quote"), "selections")
     kept = must.join(scheduled(must, most, budget), ["sel", "clip"])
     first = order.groupBy("sel", "clip").agg(F.min("at").alias("__at"))
     kept = kept.join(first, ["sel", "clip"], "left")

@@ -9,6 +9,7 @@ from strophe.operators import building as B
 from strophe.operators import theory as H
 from strophe.operators import timeline as L
 from strophe.operators import versions as V
+from strophe.storage import written
 from strophe.tables import SECTIONS, TALK_WORDS, load, sections, talk_words
 
 from .registry import query
@@ -143,7 +144,7 @@ def g3_required_clips(spark: SparkSession, d: str) -> DataFrame:
     row_number() OVER (PARTITION BY sel ORDER BY CASE WHEN spot IS NOT NULL THEN spot WHEN added THEN coalesce(later, 1000000) ELSE 1000001 END, spot IS NOT NULL, CASE WHEN spot IS NULL AND NOT added THEN -score ELSE 0 END, start)::INT AS play_pos FROM o""")
 def g1_finalized_selections(spark: SparkSession, d: str) -> DataFrame:
     """Selections with required passages, some of them missing, and a suggested order that leaves some clips out."""
-    rows = clips(spark, d)
+    rows = written(clips(spark, d), "selection-clips")
     quotes = rows.filter(F.col("required") & (F.col("end") >= F.col("start"))).select("sel", F.concat(F.lit("q"), "pos").alias("quote"), "pos", (F.col("start") + F.col("pos") % 2).alias("start"), (F.col("end") + F.col("pos") % 2).alias("end"), "seconds", F.lit(None).cast("string").alias("role"))
     order = rows.filter("pos % 4 > 0").select("sel", (F.col("pos") * 7 % 10).alias("at"), "clip")
     return V.finalized(rows.drop("required").withColumn("role", F.lit("drop")), quotes, order, 3, 40, 4, 90.0)

@@ -119,3 +119,11 @@ def test_fits_go_by_plain_numbers(spark):
     assert "MapInArrow" in plan_of(df) and "MapInPandas" not in plan_of(df)
     got = {r["song"]: (r["total"], r["choice"]) for r in df.collect()}
     assert got[1] == (24, [8, 16]) and got[2] == (2, [2]) and got[3][0] in range(24, 33) and sum(got[3][1]) == got[3][0]
+
+
+def test_finalized_selections_make_their_clips_once(spark):
+    """The clips that several steps read are written: the plan of the rest numbers no line of an order again."""
+    from strophe.plans import QUERIES
+
+    plan = QUERIES["g1_finalized_selections"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and plan.count("Join") <= 3
