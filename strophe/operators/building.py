@@ -104,33 +104,33 @@ def arranged(sections: DataFrame, noted: DataFrame, bpm: float, layer_roles: tup
     clip); home (the last bar lands on the tonic).  The last music falls in a fade; otherwise it holds, and where it is a
     passage, so does a fall before it.
     """
-    w, role = in_song(), Window.partitionBy("song", "role")
+    w, role, whole = in_song(), Window.partitionBy("song", "role").orderBy("n"), Window.partitionBy("song")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("song")
     music = F.col("clip").isNull()
-    sounding = ~F.col("rest") & ~F.col("silent")
-    number, count = F.row_number().over(role.orderBy("n")), F.count("*").over(role)
-    occurrence = F.when(music & (count > 1), F.when(number == 1, "first").when(number == count, "last"))
-    heard = F.last("clip", ignorenulls=True).over(before)
-    passage = F.count("clip").over(before)
-    rows = placed(sections).withColumn("occurrence", occurrence).withColumn("__heard", heard).withColumn("__p", passage)
-    first = F.row_number().over(Window.partitionBy("song", "__p", music, F.col("silent")).orderBy("n")) == 1
-    rows = rows.withColumn("__answer", F.when(music & ~F.col("silent") & first, F.coalesce("__heard", "main")))
-    rows = rows.join(noted.select(F.col("clip").alias("__answer")).distinct().withColumn("__noted", F.lit(True)), "__answer", "left")
-    last = F.max(F.when(sounding, F.col("n"))).over(whole)
-    rows = rows.withColumn("__last", last)
-    rows = rows.withColumn("__before", F.max(F.when(sounding & music & (F.col("n") < F.col("__last")), F.col("n"))).over(whole))
-    rows = rows.withColumn("__spoken", F.max(F.when(F.col("n") == F.col("__last"), ~music)).over(whole))
-    ends, holds = F.col("n") == F.col("__last"), F.col("ending") != "fade"
+    sounding, asking = ~F.col("rest") & ~F.col("silent"), music & ~F.col("silent")
+    rows = placed(sections).withColumn("__heard", F.last("clip", ignorenulls=True).over(before))
+    # music that sounds before a section, and before the passage heard last: equal for the first music after it
+    rows = rows.withColumn("__m", F.coalesce(F.sum(F.when(asking, 1).otherwise(0)).over(before), F.lit(0)))
+    first = F.col("__m") == F.coalesce(F.last(F.when(~music, F.col("__m")), ignorenulls=True).over(before), F.lit(0))
+    rows = rows.withColumn("__answer", F.when(asking & first, F.coalesce("__heard", "main")))
+    # the role's sections around a section, and the song's last ones, come by one more sort
+    earlier, later = (f(F.lit(True)).over(role).isNotNull() for f in (F.lag, F.lead))
+    occurrence = F.when(music & ~earlier & later, "first").when(music & earlier & ~later, "last")
+    last = F.max(F.when(sounding, F.struct("n", (~music).alias("spoken")))).over(whole)
+    rows = rows.withColumn("occurrence", occurrence).withColumn("__last", last).withColumn("__before", F.max(F.when(sounding & music, F.col("n"))).over(whole))
+    ends, holds = F.col("n") == F.col("__last.n"), F.col("ending") != "fade"
     falls = F.col("shape") == "fall"
-    steady = holds & falls & (ends | (F.col("__spoken") & (F.col("n") == F.col("__before"))))
+    steady = holds & falls & (ends | (F.col("__last.spoken") & (F.col("n") == F.col("__before"))))
     shape = F.when(ends & ~holds, "fall").when(steady, "flat").otherwise(F.col("shape"))
     bar = 240.0 / bpm
-    return rows.select(
+    made = rows.select(
         "song", "n", "role", "bars", "start_bar", F.round(F.col("start_bar") * bar, 4).alias("start_s"), F.round(F.col("bars") * bar, 4).alias("seconds"), "occurrence",
-        F.when(music & F.col("role").isin(*layer_roles), F.col("__heard")).alias("replay"), F.when(F.col("__noted"), F.col("__answer")).alias("answers"),
-        shape.alias("shape"), F.coalesce(ends & holds, F.lit(False)).alias("home"),
+        F.when(music & F.col("role").isin(*layer_roles), F.col("__heard")).alias("replay"), "__answer", shape.alias("shape"), F.coalesce(ends & holds, F.lit(False)).alias("home"),
     )
+    # most sections answer nothing: the join deals those out by song, as one null key would bring them all to one task
+    known = noted.select(F.col("clip").alias("__clip")).distinct()
+    met = made.join(known, (F.coalesce("__answer", F.concat("song", F.lit(" answers none"))) == F.col("__clip")) & F.col("__answer").isNotNull(), "left")
+    return met.select(*made.columns[:9], F.when(F.col("__clip").isNotNull(), F.col("__answer")).alias("answers"), "shape", "home")
 
 
 def regenerated_pieces(chunks: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from strophe.operators import align as A
+from strophe.operators import building as B
 from strophe.operators import cuts as C
 from strophe.operators import match as M
 from strophe.operators import mixing as X
@@ -127,3 +129,50 @@ def test_finalized_selections_make_their_clips_once(spark):
 
     plan = QUERIES["g1_finalized_selections"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and plan.count("Join") <= 3
+
+
+def test_sections_without_answers_are_dealt_by_song(spark):
+    """Sections against a plain reading; where clips are too many to broadcast, those that answer nothing meet in no task, and songs are dealt once."""
+    rng, rows, want = random.Random(4), [], {}
+    noted = {"a", "main1", "main4"}
+    for song in range(60):
+        heard, asked, beds, main, ending = None, False, rng.random(), f"main{song % 5}", ("fade", "stop")[song % 2]
+        made = []
+        for n in range(1, rng.randint(2, 9)):
+            clip = rng.choice("abc") if rng.random() < beds / 2 else None
+            made.append((song, n, rng.choice(("drop", "build", "outro")), rng.randint(1, 4), clip, clip is None and rng.random() < 0.4, clip is not None and rng.random() < 0.5, rng.choice(("fall", "rise")), main, ending))
+        loud = [r for r in made if not r[5] and not r[6]]
+        music = [r[1] for r in loud if r[4] is None]
+        for r in made:
+            _, n, role, _, clip, silent, *_ = r
+            same = [x[1] for x in made if x[2] == role]
+            occurrence = {same[0]: "first", same[-1]: "last"}.get(n) if clip is None and len(same) > 1 else None
+            answer = None
+            if clip is None and not silent and not asked:
+                asked, answer = True, heard or main
+            replay = heard if clip is None and role == "drop" else None
+            if clip is not None:
+                heard, asked = clip, False
+            end, shape = bool(loud) and n == loud[-1][1], r[7]
+            if end and ending == "fade":
+                shape = "fall"
+            elif ending != "fade" and shape == "fall" and (end or loud and loud[-1][4] is not None and n in music[-1:]):
+                shape = "flat"
+            want[song, n] = (occurrence, replay, answer if answer in noted else None, shape, end and ending != "fade")
+        rows += made
+    sections = spark.createDataFrame(rows, "song long, n int, role string, bars int, clip string, silent boolean, rest boolean, shape string, main string, ending string")
+    known = spark.createDataFrame([(c,) for c in sorted(noted)] * 2, "clip string")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = B.arranged(sections, known, 120.0, ("drop",))
+        plan = plan_of(df)
+        got = {(r["song"], r["n"]): (r["occurrence"], r["replay"], r["answers"], r["shape"], r["home"]) for r in df.collect()}
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == want and sum(v[2] is not None for v in want.values()) > 20
+    assert plan.count("Exchange hashpartitioning(") == 3 and plan.count("Sort [") == 4 and max(sizes) < 0.6 * len(rows)
