@@ -133,6 +133,20 @@ def arranged(sections: DataFrame, noted: DataFrame, bpm: float, layer_roles: tup
     return met.select(*made.columns[:9], F.when(F.col("__clip").isNotNull(), F.col("__answer")).alias("answers"), "shape", "home")
 
 
+def joined_spans(spans: Column) -> Column:
+    """Ordered spans (a, b) with each under 3 s joined to the one before, or the next joined to it."""
+    brief = lambda x: x["b"] - x["a"] < MIN_CHUNK_MS
+    tip = lambda acc: F.try_element_at(acc, F.lit(-1))
+    grown = lambda acc, x: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(tip(acc)["a"].alias("a"), x["b"].alias("b"))))
+    step = lambda acc, x: F.when((F.size(acc) > 0) & (brief(x) | brief(tip(acc))), grown(acc, x)).otherwise(F.concat(acc, F.array(x)))
+    return F.aggregate(spans, F.slice(spans, F.lit(1), F.lit(0)), step)
+
+
+def _touched(short: Column, start: str, end: str) -> tuple[Column, Column]:
+    """What of a chunk is made again: all of it for a short range, else its part in the range."""
+    return F.when(short, F.col(start)).otherwise(F.greatest(start, "from_ms")), F.when(short, F.col(end)).otherwise(F.least(end, "to_ms"))
+
+
 def regenerated_pieces(chunks: DataFrame, ranges: DataFrame) -> DataFrame:
     """(song, piece, start_ms, end_ms): a range of a song along the borders of its chunks.
 
@@ -141,15 +155,9 @@ def regenerated_pieces(chunks: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     met = chunks.join(ranges, "song").withColumn("__short", F.col("to_ms") - F.col("from_ms") < MIN_CHUNK_MS)
     touched = met.filter((F.col("start_ms") < F.col("to_ms")) & (F.col("end_ms") > F.col("from_ms")))
-    a = F.when(F.col("__short"), F.col("start_ms")).otherwise(F.greatest("start_ms", "from_ms"))
-    b = F.when(F.col("__short"), F.col("end_ms")).otherwise(F.least("end_ms", "to_ms"))
+    a, b = _touched(F.col("__short"), "start_ms", "end_ms")
     lists = touched.select("song", a.alias("a"), b.alias("b")).filter("b > a").groupBy("song").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("xs"))
-    brief = lambda x: x["b"] - x["a"] < MIN_CHUNK_MS
-    tip = lambda acc: F.try_element_at(acc, F.lit(-1))
-    grown = lambda acc, x: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(tip(acc)["a"].alias("a"), x["b"].alias("b"))))
-    step = lambda acc, x: F.when((F.size(acc) > 0) & (brief(x) | brief(tip(acc))), grown(acc, x)).otherwise(F.concat(acc, F.array(x)))
-    merged = F.aggregate("xs", F.slice("xs", F.lit(1), F.lit(0)), step)
-    return lists.select("song", F.posexplode(merged).alias("piece", "x")).select("song", "piece", F.col("x.a").alias("start_ms"), F.col("x.b").alias("end_ms"))
+    return lists.select("song", F.posexplode(joined_spans(F.col("xs"))).alias("piece", "x")).select("song", "piece", F.col("x.a").alias("start_ms"), F.col("x.b").alias("end_ms"))
 
 
 def with_main_section(pieces: DataFrame, bounds: DataFrame, width: int = 30_000) -> DataFrame:
@@ -176,6 +184,37 @@ def inpaint_plan(pieces: DataFrame, totals: DataFrame) -> DataFrame:
     return kept.select("song", "x.*", F.lit(None).cast("int").alias("main_n")).unionByName(pieces.select("song", "start_ms", "end_ms", F.col("main_n").cast("int").alias("main_n")))
 
 
+def section_edits(bounds: DataFrame, chosen: Column) -> DataFrame:
+    """The inpaint plan that makes the ``chosen`` sections of each song again, along the borders of all its sections.
+
+    As regenerated_pieces, with_main_section and inpaint_plan on the sections of ``bounds`` (song, n, start_ms, end_ms, silent, rest), but
+    a song's range, length and pieces come from its own rows, so that the sections are made and dealt once and joined to nothing.
+    Only sections that meet the range are gathered.
+    """
+    whole = Window.partitionBy("song")
+    rows = bounds.filter("song is not null").select("song", "n", "start_ms", "end_ms", (~F.col("silent") & ~F.col("rest")).alias("__s"), chosen.alias("__c"))
+    mine = lambda f, c: f(F.when(F.col("__c"), F.col(c))).over(whole)
+    rows = rows.withColumn("total_ms", F.max("end_ms").over(whole)).withColumn("from_ms", mine(F.min, "start_ms")).withColumn("to_ms", mine(F.max, "end_ms"))
+    a, b = _touched(F.col("to_ms") - F.col("from_ms") < MIN_CHUNK_MS, "start_ms", "end_ms")
+    met = (F.col("end_ms") > F.col("start_ms")) & (F.col("start_ms") < F.col("to_ms")) & (F.col("end_ms") > F.col("from_ms")) & (b > a)
+    rows = rows.withColumn("__m", F.when(met, F.struct(a.alias("a"), b.alias("b"))))
+    rows = rows.withColumn("__lo", F.min("__m.a").over(whole)).withColumn("__hi", F.max("__m.b").over(whole))
+    near = rows.filter("end_ms > start_ms and start_ms < __hi and end_ms > __lo")
+    heard = F.when(F.col("__s"), F.struct("n", F.col("start_ms").alias("s"), F.col("end_ms").alias("e")))
+    songs = near.groupBy("song").agg(F.max("total_ms").alias("total_ms"), F.array_sort(F.collect_list("__m")).alias("xs"), F.collect_list(heard).alias("ys"))
+
+    def most(x: Column) -> Column:
+        both = F.filter("ys", lambda y: (x["a"] < y["e"]) & (y["s"] < x["b"]))
+        return -F.array_max(F.transform(both, lambda y: F.struct((F.least(x["b"], y["e"]) - F.greatest(x["a"], y["s"])).alias("ms"), (-y["n"]).alias("n"))))["n"]
+
+    piece = lambda x: F.struct(x["a"].alias("start_ms"), x["b"].alias("end_ms"), most(x).cast("int").alias("main_n"))
+    made = songs.select("song", "total_ms", F.filter(F.transform(joined_spans(F.col("xs")), piece), lambda p: p["main_n"].isNotNull()).alias("made"))
+    kept = lambda lo, hi: F.transform(kept_slices(lo, hi), lambda x: F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), F.lit(None).cast("int").alias("main_n")))
+    edges = F.array_min("made.start_ms"), F.array_max("made.end_ms")
+    plan = made.filter(F.size("made") > 0).select("song", F.explode(F.concat(kept(F.lit(0).cast("long"), edges[0]), kept(edges[1], F.col("total_ms")), "made")).alias("x"))
+    return plan.select("song", "x.*")
+
+
 def inpaint_problems(plan: DataFrame) -> DataFrame:
     """(song, chunks, too_many, bad_kept, bad_made): counts of slices outside 50 ms to 120 s and of made chunks outside 3 to 120 s."""
     ms = F.col("end_ms") - F.col("start_ms")

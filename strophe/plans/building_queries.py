@@ -90,11 +90,7 @@ _PIECES = f"""{_MS}, ch AS (SELECT song, start_ms AS a, end_ms AS b FROM ms WHER
 
 
 def _plan(spark: SparkSession, d: str) -> DataFrame:
-    bounds = L.bounds_ms(sections(spark, d), 120.0)
-    chunks = bounds.filter("end_ms > start_ms").select("song", "start_ms", "end_ms")
-    ranges = bounds.filter("n between 2 and 3").groupBy("song").agg(F.min("start_ms").alias("from_ms"), F.max("end_ms").alias("to_ms"))
-    pieces = B.with_main_section(B.regenerated_pieces(chunks, ranges), bounds)
-    return B.inpaint_plan(pieces, bounds.groupBy("song").agg(F.max("end_ms").alias("total_ms")))
+    return B.section_edits(L.bounds_ms(sections(spark, d), 120.0), F.col("n").between(2, 3))
 
 
 @query(f"WITH {_PIECES} SELECT song, start_ms, end_ms, main_n FROM pl")

@@ -176,3 +176,24 @@ def test_sections_without_answers_are_dealt_by_song(spark):
             spark.conf.set(k, v)
     assert got == want and sum(v[2] is not None for v in want.values()) > 20
     assert plan.count("Exchange hashpartitioning(") == 3 and plan.count("Sort [") == 4 and max(sizes) < 0.6 * len(rows)
+
+
+def test_edits_of_a_song_come_from_its_own_rows(spark):
+    """As the joined steps, over songs with short, missing, silent and resting ranges; sections are dealt once and joined to nothing."""
+    rng, rows = random.Random(9), []
+    for song in range(150):
+        at = 0
+        for n in range(1, rng.randint(2, 8)):
+            rest, size = rng.random() < 0.2, rng.choice((0, 500, 2_000, 2_999, 3_000, 9_000, 70_000, 300_000))
+            rows.append((song, n, at, at if rest else at + size, rng.random() < 0.2, rest))
+            at = rows[-1][3]
+    rows += [(None, 2, 0, 5_000, False, False), (500, 2, 0, 4_000, False, False), (500, 3, 3_500, 9_000, False, False), (500, 4, 1_000, 20_000, False, False), (501, 1, 0, 9_000, False, False)]
+    bounds = spark.createDataFrame(rows, "song long, n int, start_ms long, end_ms long, silent boolean, rest boolean")
+    chunks = bounds.filter("end_ms > start_ms").select("song", "start_ms", "end_ms")
+    ranges = bounds.filter("n between 2 and 3").groupBy("song").agg(F.min("start_ms").alias("from_ms"), F.max("end_ms").alias("to_ms"))
+    pieces = B.with_main_section(B.regenerated_pieces(chunks, ranges), bounds)
+    want = B.inpaint_plan(pieces, bounds.groupBy("song").agg(F.max("end_ms").alias("total_ms")))
+    got = B.section_edits(bounds, F.col("n").between(2, 3))
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 300
+    plan = plan_of(QUERIES["l7_inpaint_plan"](spark, SMALL))
+    assert "Join" not in plan and plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
