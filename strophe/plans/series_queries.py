@@ -149,9 +149,7 @@ _SPEECH = "SELECT conv_id AS talk_id, (turn * 9000 + 400)::BIGINT AS s, (turn *
 @query(f"""WITH {TALK_WORDS}, g AS (SELECT talk_id, coalesce(lag(end_ms) OVER (PARTITION BY talk_id ORDER BY start_ms), 0) AS lo, start_ms AS hi FROM talk_words UNION ALL SELECT talk_id, max(end_ms), max(end_ms) + 5000 FROM talk_words GROUP BY talk_id)
   SELECT g.talk_id, lo, hi, sum(least(hi, e) - greatest(lo, s))::BIGINT AS speech FROM g JOIN ({_SPEECH}) s ON s.talk_id = g.talk_id AND s.s < g.hi AND g.lo < s.e WHERE hi - lo >= 500 GROUP BY ALL HAVING sum(least(hi, e) - greatest(lo, s)) >= 200""")
 def j17_find_holes(spark: SparkSession, d: str) -> DataFrame:
-    words = talk_words(spark, d)
-    ends = words.groupBy("talk_id").agg((F.max("end_ms") + 5000).alias("total"))
-    holes = I.gaps(words, ["talk_id"], "start_ms", "end_ms", ends, "total").filter("hi - lo >= 500")
+    holes = I.pauses(talk_words(spark, d), ["talk_id"], "start_ms", "end_ms", 5000).filter("hi - lo >= 500")
     at = F.col("turn") * 9000 + 400
     speech = load(spark, d, "conversations").filter("text is not null").select(F.col("conv_id").alias("talk_id"), at.alias("s"), (at + F.length("text") * 12).alias("e"))
     both = I.overlap_join(holes, speech, ["talk_id"], ("lo", "hi"), ("s", "e"), 8000)

@@ -256,3 +256,18 @@ def test_streaming(spark, tmp_path):
     q = talks.pauses(stream, "k", "ts", 600).writeStream.format("memory").queryName("gaps").outputMode("append").option("checkpointLocation", f"{tmp_path}/c3").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r["k"], (r["hi"] - r["lo"]).total_seconds()) for r in spark.table("gaps").collect()] == [(1, 2700.0)]
+
+
+def test_pauses_in_one_pass(spark):
+    """As gaps with an end some way behind the last interval; the plan of the query sorts words by time once, and joins no ends to them."""
+    from strophe.plans import QUERIES
+
+    rows = [(1, 10, 90), (1, 20, 30), (1, 25, 95), (1, 97, 99), (2, 0, 5), (2, 5, 7), (3, 4, 9), (3, 4, 9), (4, 3, 50), (4, 5, 6)]
+    df = spark.createDataFrame(rows, "k int, s int, e int")
+    totals = df.groupBy("k").agg((F.max("e") + 5).alias("total"))
+    found = sorted(map(tuple, I.pauses(df, ["k"], "s", "e", 5).collect()))
+    assert found == sorted(map(tuple, I.gaps(df, ["k"], "s", "e", totals, "total").collect()))
+    assert found == [(1, 0, 10), (1, 95, 97), (1, 99, 104), (2, 7, 12), (3, 0, 4), (3, 9, 14), (4, 0, 3), (4, 50, 55)]
+    assert sorted(map(tuple, I.pauses(df, ["k"], "s", "e", 0).collect())) == [f for f in found if f[2] - f[1] != 5]
+    plan = QUERIES["j17_find_holes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
